@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import suffix_dedup
+from . import packing, suffix_dedup
 from .common import read_table
 
 
@@ -15,9 +15,21 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_by_cost(read_table(spark, sf_dir, "documents"))
+
+
+def op5_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id matrix by digests of its rows; packing.write_packed writes the matrix."""
+    packed = packing.packed_matrices(read_table(spark, sf_dir, "documents"))
+    return packed.select("sequence_id", "n_tokens", F.expr("int(size(doc_ids))").alias("n_segments"), "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("position_ids_crc32"), "doc_ids", "starts")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_cost_packing": op4_cost_packing,
+        "op5_packed_matrices": op5_packed_matrices,
     }
 
 
