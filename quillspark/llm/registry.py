@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, suffix_dedup
+from . import packing, quality_rules, suffix_dedup
 from .common import read_table
 
 
@@ -25,11 +25,16 @@ def op5_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("sequence_id", "n_tokens", F.expr("int(size(doc_ids))").alias("n_segments"), "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("position_ids_crc32"), "doc_ids", "starts")
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_cost_packing": op4_cost_packing,
         "op5_packed_matrices": op5_packed_matrices,
+        "op6_quality_rules": op6_quality_rules,
     }
 
 
