@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, secrets, suffix_dedup, url_filter
+from . import adaptive_scan, packing, quality_rules, secrets, suffix_dedup, url_filter
 from .common import read_table
 
 
+def op1_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages"), url_filter.RULES)
 
@@ -39,6 +43,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_adaptive_scan": op1_adaptive_scan,
         "op2_url_filter": op2_url_filter,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_cost_packing": op4_cost_packing,
