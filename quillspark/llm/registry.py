@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_scan, packing, quality_rules, secrets, suffix_dedup, url_filter
+from . import adaptive_scan, jaccard_join, packing, quality_rules, secrets, suffix_dedup, url_filter
 from .common import read_table
 
 
@@ -37,6 +37,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_cost_packing": op4_cost_packing,
         "op5_packed_matrices": op5_packed_matrices,
         "op6_quality_rules": op6_quality_rules,
+        "op7_jaccard_join": op7_jaccard_join,
         "op9_secret_scan": op9_secret_scan,
     }
 
