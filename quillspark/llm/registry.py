@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_scan, jaccard_join, packing, quality_rules, secrets, suffix_dedup, url_filter
+from . import adaptive_scan, jaccard_join, language_mixture, packing, quality_rules, secrets, suffix_dedup, unigram, url_filter
 from .common import read_table
 
 
@@ -41,10 +41,21 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_texts(read_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    names, logs = language_mixture.learn(docs.where(~held_out))
+    return language_mixture.identify(docs, names, logs, held_out=held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_adaptive_scan": op1_adaptive_scan,
@@ -54,7 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packed_matrices": op5_packed_matrices,
         "op6_quality_rules": op6_quality_rules,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_unigram_pieces": op8_unigram_pieces,
         "op9_secret_scan": op9_secret_scan,
+        "op10_language_mixture": op10_language_mixture,
     }
 
 
