@@ -62,12 +62,13 @@ class Trie:
         free = np.ones(size, bool)
         free[0] = False
         place = np.zeros(len(children), np.int64)
-        low = 1
+        low = high = 1
         for node, kids in enumerate(children):  # breadth is not needed: a parent always comes first
             if not kids:
                 continue
             codes = np.fromiter(kids, np.int64)
-            at, width = max(1, low - int(codes.min())), 32
+            begin = low if len(codes) == 1 else max(low, high - 4096)  # the start is full of small holes
+            at, width = max(1, begin - int(codes.min())), 32
             while True:
                 span = np.arange(at, at + width)
                 if span[-1] + 256 >= len(base):
@@ -79,7 +80,7 @@ class Trie:
                     break
                 at, width = at + width, 4096
             s = place[node]
-            base[s] = at
+            base[s], high = at, max(high, at + int(codes.max()))
             for c, kid in kids.items():
                 t = at + c
                 free[t] = False
