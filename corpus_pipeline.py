@@ -28,9 +28,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Text covered by 400-byte strings that start elsewhere too is cut out; a document
     of which nothing is left stays as an empty one."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = suffix_dedup.remove_repeats(docs, carry=others, with_text=True)
-    return cut.withColumns({"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}).select(*docs.columns)
+    cut = suffix_dedup.remove_repeats(docs, carry=True, with_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*((new[c] if c in new else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
 
 
 def hidden_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text a kernel handles at once (a longer text is handled alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 U64 = np.uint64
 
@@ -44,10 +44,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch: texts are long, and a task holds a few batches.
+BATCH_ROWS = "2000"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's folder.  Also bounds the Arrow batches of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # --------------------------------------------------------------------------
 # Arrow text columns as flat bytes
 # --------------------------------------------------------------------------

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, flat_bytes, mix, prefix_hash, range_hash, ranges, signed, slices, stored, word_hashes, word_spans
+from .common import U64, flat_bytes, free_names, mix, prefix_hash, range_hash, ranges, signed, slices, stored, word_hashes, word_spans
 from .components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -48,13 +48,16 @@ KEYS = 6
 SMALL, TILE = 12, 512
 #: Classes whose texts are fetched with a broadcast list of ids; beyond it by a shuffled join.
 BROADCAST_ROWS = 500_000
-_SEEDS = np.random.default_rng(5).integers(1, 2**63, 2 * KEYS, dtype=np.uint64)
+_SEEDS = np.random.default_rng(5).integers(1, 2**62, 2 * KEYS, dtype=np.uint64) * U64(2) + U64(1)
+
+_GRAM = U64((1 << 48) - 1)
 
 SET_SCHEMA = "doc long, th int, n int, name long, keys array<long>, sig binary, prefix array<long>"
 
 
 def gram_sets(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct gram hashes of every text, one after the other, and n+1 bounds."""
+    """Sorted distinct gram hashes (48 bits) of every text, one after the other, and n+1
+    bounds; of at most 65,535 texts."""
     start, end, first = word_spans(raw, off)
     count = np.diff(first)
     grams = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
@@ -62,13 +65,19 @@ def gram_sets(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.
     at = first[:-1][text] + ranges(grams)
     stop = np.minimum(at + words, first[1:][text])
     pre = prefix_hash(word_hashes(raw, start, end, fold=True)) if len(start) else np.zeros(1, np.uint64)
-    h = range_hash(pre, at, stop)
-    order = np.lexsort((h, text))
-    h, text = h[order], text[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-    h, text = h[new], text[new]
-    return h, np.searchsorted(text, np.arange(len(count) + 1))
+    key = range_hash(pre, at, stop) >> U64(16) | (text.astype(np.uint64) << U64(48))  # one sort for text and gram
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    bounds = np.searchsorted(key, np.arange(len(count) + 1, dtype=np.uint64) << U64(48))
+    return key & _GRAM, bounds
+
+
+def _spread(h: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """A cheap permutation of hashes."""
+    x = h * seed
+    x ^= x >> U64(29)
+    x *= seed
+    return x
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -100,7 +109,7 @@ def _sets(words: int, percent: int, common: np.ndarray, rank: np.ndarray):
                 if len(common) and len(h):
                     spot = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     own = np.where(common[spot] == h, rank[spot], 0)
-                order = np.lexsort((h, own, text))  # the fixed order, inside each text
+                order = np.argsort(text * 64 + own, kind="stable")  # the fixed order, inside each text
                 length = prefix_length(n, percent)
                 first = order[np.arange(len(h)) - at[:-1][text] < length[text]] if len(h) else order
                 prefix = signed(h[first])
@@ -109,7 +118,7 @@ def _sets(words: int, percent: int, common: np.ndarray, rank: np.ndarray):
                 minima = np.empty((len(n), 2 * KEYS), np.uint64)
                 for i, seed in enumerate(_SEEDS):
                     if len(h):
-                        minima[some, i] = np.minimum.reduceat(mix(h ^ seed), at[:-1][some])
+                        minima[some, i] = np.minimum.reduceat(_spread(h, seed), at[:-1][some])
                 keys = signed(np.ascontiguousarray(mix(minima[:, ::2] + mix(minima[:, 1::2]) * U64(3) + np.arange(KEYS, dtype=np.uint64))))
                 bits = signature_bits(n)
                 full = []
@@ -219,26 +228,51 @@ def difference_bits(sa: list[bytes], sb: list[bytes]) -> np.ndarray:
     return out
 
 
-def _tile(percent: int):
-    """Candidates between the two sides of a tile (side 1 empty: inside side 0)."""
-    def run(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        name, n, part = (table.column(c).to_numpy() for c in ("name", "n", "component"))
-        sig = table.column("sig").to_pylist()
+def _tiles(percent: int):
+    """Candidates of tiles.  Rows (tile, side, name, n, component, sig) come sorted by
+    tile, which holds two blocks at most; a tile with no side 1 is compared with itself."""
+    def compare(side: np.ndarray, name: np.ndarray, n: np.ndarray, part: np.ndarray, sig: list[bytes]):
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         inner = not len(right)
         right = left if inner else right
-        out_a, out_b, out_d = [], [], []
-        if len(left):
-            differ = difference_bits([sig[i] for i in left], [sig[i] for i in right])
-            total = n[left][:, None] + n[right][None, :]
-            # overlap <= (total - differ) / 2 must reach percent / (100 + percent) of total
-            ok = ((100 + percent) * (total - differ) >= 2 * percent * total) & (part[left][:, None] != part[right][None, :]) & may_link(n[left][:, None], n[right][None, :], percent)
-            if inner:
-                ok &= name[left][:, None] < name[right][None, :]
-            i, j = np.nonzero(ok)
-            out_a, out_b, out_d = name[left][i], name[right][j], differ[i, j] / total[i, j]
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64()), "far": pa.array(out_d, pa.float64())})
+        if not len(left) or len(set(part.tolist())) < 2:
+            return None
+        differ = difference_bits([sig[i] for i in left], [sig[i] for i in right])
+        total = n[left][:, None] + n[right][None, :]
+        # overlap <= (total - differ) / 2 must reach percent / (100 + percent) of total
+        ok = ((100 + percent) * (total - differ) >= 2 * percent * total) & (part[left][:, None] != part[right][None, :]) & may_link(n[left][:, None], n[right][None, :], percent)
+        if inner:
+            ok &= name[left][:, None] < name[right][None, :]
+        i, j = np.nonzero(ok)
+        a, b = name[left][i], name[right][j]
+        return np.minimum(a, b), np.maximum(a, b), differ[i, j] / total[i, j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def done(table: pa.Table) -> pa.RecordBatch | None:
+            tile = table.column("tile").to_numpy()
+            first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+            side, name, n, part = (table.column(c).to_numpy() for c in ("side", "name", "n", "component"))
+            sig = table.column("sig").to_pylist()
+            found = [f for i, j in zip(first.tolist(), np.append(first[1:], len(tile)).tolist(), strict=True) if j - i > 1 and (f := compare(side[i:j], name[i:j], n[i:j].astype(np.int64), part[i:j], sig[i:j]))]
+            if not found:
+                return None
+            a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], names=["a", "b", "far"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            tile = held.column("tile").to_numpy()
+            if not len(tile) or tile[0] == tile[-1]:
+                continue
+            cut = int(np.flatnonzero(tile != tile[-1])[-1]) + 1
+            if (out := done(held.slice(0, cut))) is not None:
+                yield out
+            held = held.slice(cut)
+        if held is not None and held.num_rows and (out := done(held)) is not None:
+            yield out
     return run
 
 
@@ -345,8 +379,9 @@ class _Join:
         below = F.transform(upto(F.col("m_prev")), lambda j: tile(b - 1, j, own, 1, F.lit(1)))
         spread = rows.select("gram", "name", "n", "component", F.explode(F.concat(inside, above, below)).alias("t")).select("gram", "name", "n", "component", "t.*")
         spread = spread.join(self.classes.select("name", "sig"), "name")
-        large = spread.groupBy("gram", "band", "i", "j", "kind").applyInArrow(_tile(self.percent), "a long, b long, far double")
-        large = large.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("far").alias("far"))
+        spread = spread.select(F.xxhash64("gram", "band", "i", "j", "kind").alias("tile"), "side", "name", "n", "component", "sig")
+        large = spread.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(self.percent), "a long, b long, far double")
+        large = large.groupBy("a", "b").agg(F.min("far").alias("far"))
         large = self.part_of(self.part_of(large, "a", "pa"), "b", "pb").select("a", "b", "pa", "pb", "far")
         return stored(small.unionByName(large).dropDuplicates(["a", "b"]), "candidates")
 
@@ -380,6 +415,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """The rows of ``docs`` that are the smallest id of their component (one of equal
     rows), or have no component; all columns as they are."""
     parts = components(docs, id_col, text_col, words, percent)
-    gone = parts.where("n_shingles > 0 and (doc_id <> component_id or doc_id is null)").select(F.col("doc_id").alias("__d"), F.col("th").alias("__k")).distinct()
-    left = docs.join(stored(gone, "gone"), F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.hash(text_col) == F.col("__k")), "left_anti")
-    return left
+    d, k = free_names(docs, "gone_id", "gone_text")
+    gone = parts.where("n_shingles > 0 and (doc_id <> component_id or doc_id is null)").select(F.col("doc_id").alias(d), F.col("th").alias(k)).distinct()
+    return docs.join(stored(gone, "gone"), F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.hash(text_col) == F.col(k)), "left_anti")

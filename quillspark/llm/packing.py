@@ -42,7 +42,7 @@ def balance(lengths: np.ndarray, room: int = LENGTH, linear: float = LINEAR, qua
     """Longest first, each to the sequence of lowest cost that still has room for
     all of it; one that fits nowhere whole is cut over the sequences of lowest cost.
 
-    As few sequences as hold all tokens, so only the last ones have padding.
+    As few sequences as hold all tokens, so a pool's padding is less than one sequence.
     """
     out: list[Piece] = []
     full = lengths // room

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_names, stored
 
 #: Characters between two parts that belong together, at most.
 SCOPE = 300
@@ -128,12 +128,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every span in the text replaced by ``mask`` (overlapping spans by one)."""
     parts = stored(find_parts(docs, id_col, text_col), "parts")
-    spans = _with_links(parts, scope).where(F.size("all") > 0).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("all").alias("__spans")).dropDuplicates(["__d", "__h"])
+    d, h, found, runs = free_names(docs, "found_id", "found_text", "found", "runs")
+    spans = _with_links(parts, scope).where(F.size("all") > 0).select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("all").alias(found)).dropDuplicates([d, h])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__h")), "left")
-    union = F.aggregate("__spans", F.array().cast("array<struct<s:int,e:int>>"), lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["e"] >= x["s"]), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["s"].alias("s"), F.greatest(F.element_at(out, -1)["e"], x["e"]).alias("e"))))).otherwise(F.array_append(out, F.struct(x["s"].alias("s"), x["e"].alias("e")))))
-    edges = F.concat(F.array(F.lit(0)), F.transform("__u", lambda x: x["e"]))
-    stops = F.concat(F.transform("__u", lambda x: x["s"]), F.array(F.length(text_col)))
+    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
+
+    def union(out: Column, x: Column) -> Column:
+        last, before = F.element_at(out, -1), F.slice(out, F.lit(1), F.size(out) - 1)
+        span = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+        return F.when((F.size(out) > 0) & (last["e"] >= x["s"]), F.array_append(before, span(last["s"], F.greatest(last["e"], x["e"])))).otherwise(F.array_append(out, span(x["s"], x["e"])))
+
+    edges = F.concat(F.array(F.lit(0)), F.transform(runs, lambda x: x["e"]))
+    stops = F.concat(F.transform(runs, lambda x: x["s"]), F.array(F.length(text_col)))
     pieces = F.zip_with(edges, stops, lambda a, b: F.substring(F.col(text_col), a + 1, b - a))
-    masked = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, mask))
-    return joined.withColumn("__u", F.when(F.col("__spans").isNotNull(), union)).withColumn(text_col, masked).select(*docs.columns)
+    masked = F.when(F.col(found).isNull(), F.col(text_col)).otherwise(F.array_join(pieces, mask))
+    merged = F.aggregate(found, F.array().cast("array<struct<s:int,e:int>>"), union)
+    return joined.withColumn(runs, F.when(F.col(found).isNotNull(), merged)).withColumn(text_col, masked).select(*docs.columns)

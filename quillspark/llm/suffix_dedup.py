@@ -237,15 +237,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
-    """One row a document: its id, the columns of ``carry``, n_bytes, n_removed,
-    n_spans, kept_sha256 and, if ``with_text``, kept (what is left; bytes of a
-    code point that a cut has broken are left out of it)."""
-    carry = carry or []
-    spans = repeated_spans(docs, id_col, text_col, length).select(F.col("doc").alias("__d"), F.col("th").alias("__k"), "spans")
-    base = docs.select(F.col(id_col).alias("doc_id"), *carry, F.col(text_col).alias("text"))
-    joined = base.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.hash("text") == F.col("__k")), "left")
-    joined = joined.select("doc_id", *carry, "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("text", "spans")]
-    schema = ", ".join(fields + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept string"] * with_text)
-    return joined.mapInArrow(_cut(with_text), schema)
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: bool = False, with_text: bool = False) -> DataFrame:
+    """One row a document: its id, carried (a struct of all columns but the text, if
+    ``carry``), n_bytes, n_removed, n_spans, kept_sha256 and, if ``with_text``, kept
+    (what is left; bytes of a code point that a cut has broken are left out of it)."""
+    spans = repeated_spans(docs, id_col, text_col, length).select(F.col("doc").alias("d"), F.col("th").alias("k"), "spans")
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("carried")] * carry
+    names = ["doc_id"] + ["carried"] * carry
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *rest, F.col(text_col).alias("text"))
+    joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.hash("text") == F.col("k")), "left")
+    joined = joined.select(*names, "text", F.coalesce("spans", F.array().cast("array<struct<lo:int,hi:int>>")).alias("spans"))
+    kinds = [f"{c} {joined.schema[c].dataType.simpleString()}" for c in names]
+    return joined.mapInArrow(_cut(with_text), ", ".join(kinds + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string"] + ["kept string"] * with_text))
