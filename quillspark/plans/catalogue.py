@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import chunking, entities, graph, metadata, retrieval, subtitles, video, web
+from ..functions.languages import language_name
+from ..functions.models import embedded
+from ..operators import assembly, chunking, entities, graph, metadata, retrieval, subtitles, video, web
 from ..session import configure, table
 from ..sources import tables
 
@@ -590,3 +592,32 @@ def blob_top(read):
     b = _boxes(read).select(F.col("v").alias("video_id"), (F.col("i") % 3).alias("t"), F.col("i"), "x", "y", "w", "h")
     ranked = tables.numbered(b.where("w * h >= 500"), ["video_id", "t"], [F.desc(F.col("w") * F.col("h")), "x", "y", "w", "h"], "rank").where("rank <= 5")
     return ranked.select(F.col("video_id").alias("v"), F.col("i").cast("long").alias("t"), F.col("x").cast("long").alias("x"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT doc_id, batch, string_agg('[' || i || ']: ' || line, chr(10) ORDER BY i) AS prompt FROM (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) // 5 AS batch, i, line FROM
+ (SELECT doc_id, i, t[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE lang = 'en'), range(1, 100000) r(i) WHERE i <= len(t)) WHERE regexp_matches(line, '\\S')) GROUP BY doc_id, batch""")
+def translation_prompts(read):
+    """ST-10, JS6: prompts of numbered lines in batches."""
+    lines = read("documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    rows = lines.select("doc_id", (F.col("i") + 1).alias("seq"), (F.col("i") + 1).cast("string").alias("id"), "text")
+    return assembly.translation_prompts(rows, 5).withColumn("batch", F.col("batch").cast("long"))
+
+
+@query("""SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' WHEN 'es' THEN 'Spanish' ELSE lang END AS language FROM documents""")
+def language_names(read):
+    """ST-26, PF16."""
+    return read("documents").select("doc_id", language_name(F.col("lang")).alias("language"))
+
+
+@query(None)
+def embedded_chunks(read):
+    """SK2, HA2, ST-1: chunks, cut, embedded by the offline model, with stable ids."""
+    parts = chunking.chunks(read("documents")).withColumn("id", N.uuid5(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))))
+    return parts.select("id", "doc_id", "chunk_index", embedded(X.truncate_for_embedding(F.col("content"))).alias("vector"))
+
+
+@query("""SELECT lower(a) AS subject, 'near' AS predicate, lower(b) AS object, count(*) AS n FROM (SELECT n_name AS a, r_name AS b FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY 1, 2, 3""")
+def relation_counts(read):
+    """AG7."""
+    both = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return assembly.relation_counts(both.select(F.col("n_name").alias("subject"), F.lit("near").alias("predicate"), F.col("r_name").alias("object")))
