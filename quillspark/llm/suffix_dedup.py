@@ -197,8 +197,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = stored(long_enough.mapInArrow(_runs(length, gram), RUN_SCHEMA), "runs")
 
     # Buckets of one row can't repeat; in buckets with one extent every row does.
+    # (Sums are stored before they are joined back: only then are both sides of the
+    # join plain exchanges, which Spark splits where a name is hot.)
     bucket = runs.groupBy("h").agg(F.count("*").alias("c"), F.min("x").alias("x0"), F.max("x").alias("x1")).where("c > 1").select("h", (F.col("x0") != F.col("x1")).alias("open"))
-    shared = stored(runs.join(bucket, "h"), "shared")
+    shared = stored(runs.join(stored(bucket, "buckets"), "h"), "shared")
     several = shared.where("open")
     extent = several.groupBy("h", "x").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th", "s", "e", "p")).alias("r"))
     extent = stored(extent, "extents")
@@ -219,8 +221,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = texts.join(w, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("k"))).select("doc", "th", "text", "runs")
     blocks = stored(joined.mapInArrow(_blocks(length, period), BLOCK_SCHEMA).withColumn("side_name", F.xxhash64("side", "t0", "cnt")), "blocks")
     core = blocks.groupBy("key").agg(F.count("*").alias("c"), F.min("side_name").alias("a"), F.max("side_name").alias("z")).where("c > 1").select("key", (F.col("a") != F.col("z")).alias("open"))
-    shared_core = stored(blocks.join(core, "key"), "cores")
-    by_side = shared_core.groupBy("key", "side_name").agg(F.count("*").alias("n"))
+    shared_core = stored(blocks.join(stored(core, "core"), "key"), "cores")
+    by_side = stored(shared_core.where("open").groupBy("key", "side_name").agg(F.count("*").alias("n")), "sides")
     sided = shared_core.where("open").join(by_side, ["key", "side_name"])
     whole = shared_core.where("not open").select("doc", "th", "lo", "cnt").unionByName(sided.where("n > 1").select("doc", "th", "lo", "cnt"))
     spans = spans.unionByName(whole.select("doc", "th", "lo", (F.col("lo") + F.col("cnt") - 1 + length).alias("hi")))
@@ -231,7 +233,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     t = F.col("t0") + F.col("i")
     starts = starts.select("doc", "th", "n", (F.col("lo") + F.col("i")).alias("lo"), F.xxhash64("key", t, F.substring("side", t + 1, F.lit(period - 1))).alias("name"))
     starts = stored(starts, "starts")
-    twice = starts.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    twice = stored(starts.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"), "twice")
     single = starts.where("n = 1").join(twice, "name", "left_semi").select("doc", "th", "lo", (F.col("lo") + length).alias("hi"))
     spans = spans.unionByName(single)
     return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
