@@ -4,9 +4,9 @@ and the components of its links.
 Candidates, all exact (no link between different texts is lost):
 
 1. Equal sets are one class (name: hash of the sorted set) from here on.
-2. Classes that share a pair of minhashes are compared with one leader each; the
-   links found join most copies early, so hot groups are one component soon.  This
-   step only saves work.
+2. Of classes that share a pair of minhashes, one of each component is compared with
+   one leader, for a few turns; the links found make hot groups one component
+   before any pairs are formed in them.  This step only saves work.
 3. Two linked sets share a gram among the first ``n - ceil(t n) + 1`` of each, in any
    fixed order.  The order used puts grams that are common in a bounded sample last.
    Rows (gram, class) are sorted by gram; small groups give pairs, large ones go on
@@ -16,9 +16,9 @@ Candidates, all exact (no link between different texts is lost):
    its grams' hashes; the bit count of two bitmaps' difference bounds the symmetric
    difference from below, so the overlap from above.  Pairs that pass and whose
    components differ are candidates.
-5. Candidates are checked on the sorted gram arrays of the whole texts.  First only
-   the best pair of every (class, other component), then what still joins two
-   components.
+5. Candidates are checked on the sorted gram arrays of the whole texts: the best pairs
+   of every two components until no more join, then every pair that is left between
+   two components.
 
 Defined cases: a null or empty text, or one without words, has no grams and links
 with nothing (it is its own component); fewer than ``words`` words are one gram; rows
@@ -45,7 +45,9 @@ ORDER_DOCS, ORDER_GRAMS, ORDER_LEAST = 8000, 200_000, 4
 #: Pairs of minhashes for the early links.
 KEYS = 6
 #: Members up to which a gram's group gives its pairs at once, and classes in a block of a tile.
-SMALL, TILE = 12, 512
+SMALL, TILE = 12, 1024
+#: Rounds of early links.
+TURNS = 3
 #: Classes whose texts are fetched with a broadcast list of ids; beyond it by a shuffled join.
 BROADCAST_ROWS = 500_000
 _SEEDS = np.random.default_rng(5).integers(1, 2**62, 2 * KEYS, dtype=np.uint64) * U64(2) + U64(1)
@@ -228,8 +230,8 @@ def difference_bits(sa: list[bytes], sb: list[bytes]) -> np.ndarray:
     return out
 
 
-def _tiles(percent: int):
-    """Candidates of tiles.  Rows (tile, side, name, n, component, sig) come sorted by
+def _tiles(percent: int, every: bool):
+    """Candidates of tiles: the best of every two components, or ``every`` one.  Rows (tile, side, name, n, component, sig) come sorted by
     tile, which holds two blocks at most; a tile with no side 1 is compared with itself."""
     def compare(side: np.ndarray, name: np.ndarray, n: np.ndarray, part: np.ndarray, sig: list[bytes]):
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -244,6 +246,12 @@ def _tiles(percent: int):
         if inner:
             ok &= name[left][:, None] < name[right][None, :]
         i, j = np.nonzero(ok)
+        if not every and len(i):
+            low, high = np.minimum(part[left][i], part[right][j]), np.maximum(part[left][i], part[right][j])
+            order = np.lexsort((differ[i, j] / total[i, j], high, low))
+            i, j, low, high = i[order], j[order], low[order], high[order]
+            first = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
+            i, j = i[first], j[first]
         a, b = name[left][i], name[right][j]
         return np.minimum(a, b), np.maximum(a, b), differ[i, j] / total[i, j]
 
@@ -329,14 +337,18 @@ class _Join:
         p = self.parts.select(F.col("node").alias(name), F.col("component").alias("__p"))
         return df.join(p, name, "left").withColumn(out, F.coalesce("__p", name)).drop("__p")
 
-    def early(self) -> DataFrame:
-        """For every class the leader (smallest class of a minhash pair) nearest to it by bitmap."""
-        keyed = self.sets.where("keys is not null").select("name", F.explode("keys").alias("key"))
-        lead = stored(keyed.groupBy("key").agg(F.min("name").alias("lead"), F.max("name").alias("last")).where("lead <> last").select("key", "lead"), "leaders")
-        pairs = keyed.join(lead, "key").where("name <> lead").select(F.col("lead").alias("a"), F.col("name").alias("b")).distinct()
-        near = self.bounded(pairs)
-        best = F.row_number().over(Window.partitionBy("b").orderBy("far", "a"))
-        return near.withColumn("r", best).where("r = 1").select("a", "b")
+    def stars(self, keyed: DataFrame, turn: int) -> None:
+        """Links between components that share keys (key, name): one class of each
+        component is compared with one class of the group.  Rows stay linear in
+        ``keyed``; a dense group is one component after a few turns."""
+        rows = self.part_of(keyed, "name", "part") if self.links is not None else keyed.withColumn("part", F.col("name"))
+        pick = F.struct(F.xxhash64("name", "key", F.lit(turn)).alias("h"), "name")
+        one = stored(rows.groupBy("key", "part").agg(F.min(pick)["name"].alias("name")), "ones")
+        lead = one.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("part", "key", F.lit(turn)).alias("h"), "part", "name")).alias("l")).where("c > 1")
+        lead = stored(lead.select("key", F.col("l.part").alias("lead_part"), F.col("l.name").alias("lead")), "leaders")
+        pairs = one.join(lead, "key").where("part <> lead_part").select(F.least("name", "lead").alias("a"), F.greatest("name", "lead").alias("b"), F.col("name").alias("mine")).dropDuplicates(["a", "b"])
+        best = F.row_number().over(Window.partitionBy("mine").orderBy("far", "a", "b"))
+        self.add(self.verified(self.bounded(pairs).withColumn("r", best).where("r <= 2").select("a", "b")))
 
     def bounded(self, pairs: DataFrame) -> DataFrame:
         """Pairs that sizes and bitmaps allow, with far: the share of bits that differ."""
@@ -355,8 +367,9 @@ class _Join:
         both = both.select("a", "b", *extra, "n_a", "n_b", "sig_a", "sig_b")
         return both.mapInArrow(run, ", ".join(f"{f} long" for f in ("a", "b", *extra)) + ", far double")
 
-    def candidates(self, grouped: DataFrame) -> DataFrame:
-        """a, b, pa, pb, far: pairs of different components that the bounds allow."""
+    def candidates(self, grouped: DataFrame, every: bool) -> DataFrame:
+        """a, b, pa, pb, far: pairs of different components that the bounds allow; of
+        large groups only the best of every two components unless ``every``."""
         small = grouped.where("b is not null").select("a", "b").distinct()
         small = self.part_of(self.part_of(small, "a", "pa"), "b", "pb").where("pa <> pb")
         small = self.bounded(small)
@@ -380,24 +393,28 @@ class _Join:
         spread = rows.select("gram", "name", "n", "component", F.explode(F.concat(inside, above, below)).alias("t")).select("gram", "name", "n", "component", "t.*")
         spread = spread.join(self.classes.select("name", "sig"), "name")
         spread = spread.select(F.xxhash64("gram", "band", "i", "j", "kind").alias("tile"), "side", "name", "n", "component", "sig")
-        large = spread.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(self.percent), "a long, b long, far double")
+        large = spread.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(self.percent, every), "a long, b long, far double")
         large = large.groupBy("a", "b").agg(F.min("far").alias("far"))
         large = self.part_of(self.part_of(large, "a", "pa"), "b", "pb").select("a", "b", "pa", "pb", "far")
         return stored(small.unionByName(large).dropDuplicates(["a", "b"]), "candidates")
 
     def run(self) -> None:
-        self.add(self.verified(self.early()))
+        keyed = self.sets.where("keys is not null").select("name", F.explode("keys").alias("key"))
+        for turn in range(TURNS):
+            self.stars(keyed, turn)
         rows = self.sets.where("prefix is not null").select(F.explode("prefix").alias("gram"), "name", "n")
         grouped = stored(rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_groups(self.percent), "gram long, a long, b long, n int"), "grouped")
-        found = self.candidates(grouped)
-        first = F.row_number().over(Window.partitionBy("a", "pb").orderBy("far", "b"))
-        best = found.withColumn("r", first).where("r = 1").select("a", "b")
-        self.add(self.verified(best))
-        rest = found.select("a", "b").join(stored(best, "best"), ["a", "b"], "left_anti")
-        rest = self.part_of(self.part_of(rest, "a", "pa"), "b", "pb").where("pa <> pb").select("a", "b")
-        rest = stored(rest, "rest")
+        self.stars(grouped.where("b is null").select(F.col("gram").alias("key"), F.col("a").alias("name")), TURNS)
+        while True:  # ends: every turn but the last joins components
+            found = self.candidates(grouped, every=False)
+            first = F.row_number().over(Window.partitionBy(F.least("pa", "pb"), F.greatest("pa", "pb")).orderBy("far", "a", "b"))
+            links = self.verified(found.withColumn("r", first).where("r <= 3").select("a", "b"))
+            if links.isEmpty():
+                break
+            self.add(links)
+        rest = self.verified(self.candidates(grouped, every=True).select("a", "b"))
         if not rest.isEmpty():
-            self.add(self.verified(rest))
+            self.add(rest)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, carry: list[str] | None = None) -> DataFrame:
