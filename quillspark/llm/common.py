@@ -36,9 +36,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and
-    survives the loss of any executor."""
+    survives the loss of any executor.  If at most ``rows`` rows are known to come, the
+    last stage has a task for every ``each`` of them, so small tables are few files."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // each)))
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -22,16 +22,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     lonely = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
     edges = edges.where("a <> b")
     label: DataFrame | None = None
-    while not edges.isEmpty():
+    nodes = 2 * edges.count()
+    while held := edges.count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("parent")), "parents")
+        parent = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("parent")), "parents", 2 * held)
         pa, pb = (parent.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}")) for c in "ab")
         if label is None:
             label = parent.withColumnRenamed("parent", "label")
         else:
-            label = stored(label.join(parent.select(F.col("node").alias("label"), "parent"), "label", "left").select("node", F.coalesce("parent", "label").alias("label")), "labels")
+            label = stored(label.join(parent.select(F.col("node").alias("label"), "parent"), "label", "left").select("node", F.coalesce("parent", "label").alias("label")), "labels", nodes)
         moved = edges.join(pa, "a").join(pb, "b").where("pa <> pb")
-        edges = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        edges = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges", held)
     if label is None:
         return lonely.select("node", F.col("label").alias("component"))
     lonely = lonely.join(label.select("node"), "node", "left_anti")

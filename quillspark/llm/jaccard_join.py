@@ -47,7 +47,7 @@ KEYS = 6
 #: Members up to which a gram's group gives its pairs at once, and classes in a block of a tile.
 SMALL, TILE = 12, 1024
 #: Rounds of early links.
-TURNS = 3
+TURNS = 2
 #: Classes whose texts are fetched with a broadcast list of ids; beyond it by a shuffled join.
 BROADCAST_ROWS = 500_000
 _SEEDS = np.random.default_rng(5).integers(1, 2**62, 2 * KEYS, dtype=np.uint64) * U64(2) + U64(1)
@@ -317,17 +317,18 @@ class _Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
         pairs = stored(pairs, "pairs")
+        n = pairs.count()
         wanted = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-        wanted = stored(wanted.join(self.classes, "name").select("name", F.col("at.doc").alias("d"), F.col("at.th").alias("k")), "wanted")
+        wanted = stored(wanted.join(self.classes, "name").select("name", F.col("at.doc").alias("d"), F.col("at.th").alias("k")), "wanted", 2 * n)
         same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("k"))
         docs = self.docs
         if wanted.count() <= BROADCAST_ROWS:
             docs = docs.join(F.broadcast(wanted.select("d", "k")), same, "left_semi")
         texts = docs.join(wanted, same).groupBy("name").agg(F.first("text").alias("text"))
-        texts = stored(texts, "texts")
+        texts = stored(texts, "texts", 2 * n, 2000)
         a, b = (texts.select(F.col("name").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return stored(both.mapInArrow(_check(self.words, self.percent), "a long, b long"), "links")
+        return stored(both.mapInArrow(_check(self.words, self.percent), "a long, b long"), "links", n, 2000)
 
     def add(self, links: DataFrame) -> None:
         self.links = links if self.links is None else self.links.unionByName(links)
