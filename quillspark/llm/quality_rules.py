@@ -14,6 +14,7 @@ the limits alone decide; other columns are passed by.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,8 @@ def with_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> boosted_trees.Trees:
-    """Trees for ``labels`` (doc_id, quality) over at most ``rows`` labelled documents."""
+    """Trees for ``labels`` (doc_id, quality) over at most ``rows`` labelled documents;
+    if these are all of one kind, a model that gives every document 1."""
     wanted = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("wanted_id")).agg(F.max("quality").cast("int").alias("wanted_quality"))
     wanted = wanted.orderBy(F.xxhash64("wanted_id"), "wanted_id").limit(rows)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -60,6 +62,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     sample = few.select("doc_id", "wanted_quality", "features").orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(rows).toArrow()
     x = np.array(sample.column("features").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = (sample.column("wanted_quality").to_numpy() > 0).astype(float)
+    if not 0 < y.sum() < len(y):
+        return replace(boosted_trees.fit(x[:0], y[:0]), bias=np.inf)
     return boosted_trees.fit(x, y, {FEATURES.index(k): v for k, v in MONOTONE.items()})
 
 

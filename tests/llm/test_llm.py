@@ -133,6 +133,18 @@ def test_quality(spark):
     assert all(r.kept != r.base_failed for r in none)
 
 
+@pytest.mark.parametrize("quality", [0, 1])
+def test_quality_with_labels_of_one_kind(spark, quality):
+    """The limits alone decide, whatever the score to be kept from."""
+    good = frame(spark, corpus(7, 48))
+    labels = spark.createDataFrame([(d, quality, 0) for d in range(48)], "doc_id long, quality int, toxic int")
+    for keep_from in (quality_rules.KEEP_FROM, 1.0):
+        got = quality_rules.judge(good, labels, keep_from=keep_from).collect()
+        assert all(r.kept != r.base_failed for r in got) and any(r.kept for r in got)
+        kept = sorted((r.doc_id for r in quality_rules.keep_good(good, labels, keep_from=keep_from).collect()), key=key)
+        assert kept == sorted((r.doc_id for r in got if r.kept), key=key)
+
+
 def test_trees_are_monotonic_and_learn():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
