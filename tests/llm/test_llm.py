@@ -308,6 +308,20 @@ def test_linked_parts(spark):
     assert masked[1] == "see [SECRET] with [SECRET] ok" and masked[2] == rows[1][1]
 
 
+def test_hints_hide_no_parts(spark, monkeypatch):
+    """Aligned assignments: any number of blanks may stand before the separator."""
+    weak = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
+    names = ["user", "Username", "LOGIN", "client_id", "clientid", "account", "account_id", "accountid"]
+    rows = [(i, f"{n}{q}{' ' * k}= bob99\nvalue {weak}") for i, (n, q, k) in enumerate((n, q, k) for n in names for q in ("", '"') for k in (0, 9, 13, 60))]
+    rows += [(100, "Password" + " " * 40 + ": abcdef99"), (101, f"jdbc:oracle://db {weak}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert all([k.split(":")[0] for k in got[i].split(",")] == ["user", "key"] for i, _ in rows[:-2])
+    assert all(weak not in r.text for r in secrets.redacted(docs).collect())
+    monkeypatch.setattr(secrets, "_HINT", {})
+    assert {r.doc_id: r.spans for r in secrets.scan(docs).collect()} == got
+
+
 def test_urls(spark):
     link = '<link rel="canonical" href="{}">'
     rows = [
