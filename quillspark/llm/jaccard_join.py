@@ -54,7 +54,7 @@ _SEEDS = np.random.default_rng(5).integers(1, 2**62, 2 * KEYS, dtype=np.uint64)
 
 _GRAM = U64((1 << 48) - 1)
 
-SET_SCHEMA = "doc long, th int, n int, name long, keys array<long>, sig binary, prefix array<long>"
+SET_SCHEMA = "doc long, th long, n int, name long, keys array<long>, sig binary, prefix array<long>"
 
 
 def gram_sets(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -418,21 +418,36 @@ class _Join:
             self.add(rest)
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, and th (text hash) and class for joining on."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("th"), F.col(text_col).alias("text"))
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """doc, th (text hash), n_shingles, name (of the set) and label (name of the component) of every row."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     join = _Join(base, words, percent)
     join.run()
-    rows = join.part_of(join.sets.select("doc", "th", F.col("n").cast("long").alias("n_shingles"), "name"), "name", "label")
+    return join.part_of(join.sets.select("doc", "th", F.col("n").cast("long").alias("n_shingles"), "name"), "name", "label")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, and th (text hash) and class for joining on."""
+    rows = _labelled(docs, id_col, text_col, words, percent)
     smallest = stored(rows.where("n_shingles > 0").groupBy("label").agg(F.min("doc").alias("least")), "smallest")
     out = rows.join(smallest, "label", "left")
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"), "th")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their component (one of equal
-    rows), or have no component; all columns as they are."""
-    parts = components(docs, id_col, text_col, words, percent)
+    """The rows of ``docs`` without a component, and one row of each component: of the
+    smallest id (nulls last), then text hash, any one of rows that are equal in both;
+    all columns as they are."""
+    rows = _labelled(docs, id_col, text_col, words, percent).where("n_shingles > 0")
+    keys = stored(rows.groupBy("label", "doc", "th").agg(F.count("*").alias("c")), "keys")
+    first = stored(keys.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "th")).alias("first")), "first")
     d, k = free_names(docs, "gone_id", "gone_text")
-    gone = parts.where("n_shingles > 0 and (doc_id <> component_id or doc_id is null)").select(F.col("doc_id").alias(d), F.col("th").alias(k)).distinct()
-    return docs.join(stored(gone, "gone"), F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.hash(text_col) == F.col(k)), "left_anti")
+    kept = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th"))
+    some = keys.join(first, "label").select(F.col("doc").alias(d), F.col("th").alias(k), kept.alias("kept"), "c")
+    some = stored(some.where("not kept or c > 1"), "gone")  # of repeated rows one comes back below
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text_col) == F.col(k))
+    out = docs.join(some.select(d, k), same, "left_anti")
+    repeated = some.where("kept").select(d, k)
+    if repeated.isEmpty():
+        return out
+    return out.union(docs.join(repeated, same).dropDuplicates([d, k]).drop(d, k))

@@ -85,6 +85,27 @@ def test_jaccard_join(spark):
     assert set(kept) >= {c for _, n, c in want if n} and None not in kept
 
 
+def test_keep_one_row_of_each_component(spark):
+    rng = random.Random(11)
+    prose = lambda: " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 400)}" for _ in range(60))
+    alone, nulls, twice, edited, copied = (prose() for _ in range(5))
+    rows = [(None, alone)] + [(None, nulls)] * 3 + [(None, nulls + " end")] + [(7, twice)] * 3 + [(None, twice), (9, twice)]
+    rows += [(8, edited), (8, edited + " end"), (10, copied), (None, copied), (None, ""), (None, ""), (11, None), (12, "lone words")]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(frame(spark, rows)).collect()]
+    want = [(None, alone), (7, twice), (10, copied), (None, ""), (None, ""), (11, None), (12, "lone words")]
+    rest = [r for r in kept if r[1] not in {t for _, t in want}]
+    assert sorted((r for r in kept if r not in rest), key=key) == sorted(want, key=key)
+    assert len(rest) == 2 and {d for d, _ in rest} == {None, 8}
+
+
+def test_keep_one_tells_null_ids_apart(spark):
+    """Two texts of one 32-bit hash: the copy goes, the other text stays."""
+    texts = spark.range(300_000).select(F.concat_ws(" ", *(F.xxhash64("id", F.lit(i)).cast("string") for i in range(6))).alias("text"))
+    a, b = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("x")).where("size(x) > 1").first().x[:2]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(frame(spark, [(1, a), (None, a), (None, b)])).collect()]
+    assert sorted(kept, key=key) == sorted([(1, a), (None, b)], key=key)
+
+
 def test_jaccard_join_with_large_groups(spark, monkeypatch):
     """Groups over the small limit go through tiles of several blocks."""
     monkeypatch.setattr(jaccard_join, "SMALL", 3)
