@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +45,12 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     return label
 
 
-def distances(edges: DataFrame, sources: DataFrame, depth: int = 10, directed: bool = False) -> DataFrame:
-    """source, node, distance, via (the smallest node before it on a shortest path), up to ``depth`` steps."""
+def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, directed: bool = False) -> DataFrame:
+    """source, node, distance, via (the smallest node before it on a shortest path), up to ``depth`` steps if it is given."""
     e = checkpointed((edges.select("src", "dst") if directed else both_ways(edges).select("src", "dst")).distinct())
     seen = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("distance"), F.lit(None).cast(sources.schema["node"].dataType).alias("via"))
     front = seen = checkpointed(seen)
-    for step in range(1, depth + 1):
+    for step in count(1) if depth is None else range(1, depth + 1):  # ends: every front holds new nodes
         reach = front.select("source", F.col("node").alias("src")).join(e, "src").groupBy("source", F.col("dst").alias("node")).agg(F.min("src").alias("via"))
         front = checkpointed(reach.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(step).alias("distance"), "via"))
         if front.isEmpty():
@@ -58,7 +59,7 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int = 10, directed: b
     return seen
 
 
-def shortest_path(edges: DataFrame, sources: list, targets: list, depth: int = 10, directed: bool = True) -> list | None:
+def shortest_path(edges: DataFrame, sources: list, targets: list, depth: int | None = None, directed: bool = True) -> list | None:
     """The shortest path from any source to any target: fewest steps, then smallest source, target and nodes."""
     spark = edges.sparkSession
     equal = sorted(set(sources) & set(targets))
@@ -70,13 +71,13 @@ def shortest_path(edges: DataFrame, sources: list, targets: list, depth: int = 1
     if not hit:
         return None
     path, node = [hit[0]["node"]], hit[0]
-    while node["via"] is not None:  # at most ``depth`` lookups
+    while node["via"] is not None:  # a lookup for every step of the path
         node = found.where((F.col("source") == node["source"]) & (F.col("node") == node["via"])).limit(1).collect()[0]
         path.append(node["node"])
     return path[::-1]
 
 
-def closeness(edges: DataFrame, depth: int = 10) -> DataFrame:
+def closeness(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """node, closeness: (r / (n - 1)) * (r / sum of distances) for the r nodes reached."""
     nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
     n = nodes.count()
@@ -84,7 +85,7 @@ def closeness(edges: DataFrame, depth: int = 10) -> DataFrame:
     return d.select("node", F.round(F.col("r") / F.lit(max(n - 1, 1)) * F.col("r") / F.col("d"), 9).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, depth: int = 10) -> DataFrame:
+def betweenness(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """node, betweenness (undirected, each pair once, not normalised): shortest paths are
     counted forwards and dependencies summed backwards, a level of distance at a time,
     for all sources together."""

@@ -88,14 +88,18 @@ def may_cancel(status: Column) -> Column:
     return ~status.isin("completed", "cancelled")
 
 
-def threads(messages: DataFrame, depth: int = 50) -> DataFrame:
-    """id, root, depth of every message in its tree (id, parent_id), parents first."""
+def threads(messages: DataFrame, depth: int | None = None) -> DataFrame:
+    """id, root, depth of every message in its tree (id, parent_id), parents first; up
+    to ``depth`` levels if it is given."""
+    from itertools import count
+
     from ..sources.tables import checkpointed
 
     front = out = checkpointed(messages.where("parent_id is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")))
-    for level in range(1, depth + 1):
-        front = checkpointed(messages.join(front.select(F.col("id").alias("parent_id"), "root"), "parent_id").select("id", "root", F.lit(level).alias("depth")))
+    for level in count(1) if depth is None else range(1, depth + 1):
+        below = messages.join(front.select(F.col("id").alias("parent_id"), "root"), "parent_id").select("id", "root", F.lit(level).alias("depth"))
+        front = checkpointed(below.join(out.select("id", "root"), ["id", "root"], "left_anti"))  # ends, even where repeated ids make a ring
         if front.isEmpty():
             break
-        out = out.unionByName(front)
+        out = checkpointed(out.unionByName(front))
     return out

@@ -262,7 +262,7 @@ def shortest_path_len(read):
     """GR8: steps from the regions, breadth first."""
     e = _small_edges(read)
     sources = e.select(F.col("dst").alias("node")).where("node like 'r%'").distinct()
-    return graph.distances(e, sources, depth=4).select("source", "node", F.col("distance").cast("long").alias("distance"))
+    return graph.distances(e, sources).select("source", "node", F.col("distance").cast("long").alias("distance"))
 
 
 @query("WITH RECURSIVE " + _SMALL[5:] + """, walk(node, other) AS (SELECT src, src FROM both_ways UNION SELECT w.node, b.dst FROM walk w JOIN both_ways b ON w.other = b.src)
@@ -275,13 +275,13 @@ def graph_components(read):
 @query(None)
 def closeness_centrality(read):
     """GR10 (closeness)."""
-    return graph.closeness(_small_edges(read), 6)
+    return graph.closeness(_small_edges(read))
 
 
 @query(None)
 def betweenness_centrality(read):
     """GR10 (betweenness)."""
-    return graph.betweenness(_small_edges(read), 6)
+    return graph.betweenness(_small_edges(read))
 
 
 @query(None)

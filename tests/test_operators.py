@@ -253,6 +253,23 @@ def test_crawl_limits(spark):
 
 # --- listings, sources, streams -------------------------------------------------------------------
 
+def test_long_paths_are_not_cut(spark):
+    n = 13
+    df = spark.createDataFrame([(f"v{i:02}", f"v{i + 1:02}", 1) for i in range(n - 1)], "src string, dst string, weight long")
+    names = [f"v{i:02}" for i in range(n)]
+    assert graph.shortest_path(df, names[:1], names[-1:]) == names
+    assert {r.node: r.betweenness for r in graph.betweenness(df).collect()} == pytest.approx({v: i * (n - 1 - i) for i, v in enumerate(names)})
+    assert {r.node: r.closeness for r in graph.closeness(df).collect()} == pytest.approx({v: (n - 1) / sum(abs(i - j) for j in range(n)) for i, v in enumerate(names)})
+    assert graph.distances(df, df.where("src = 'v00'").select(F.col("src").alias("node")), 3).count() == 4
+
+
+def test_deep_threads_are_not_cut(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(53)], "id long, parent_id long").coalesce(1)
+    assert sorted((r.id, r.root, r.depth) for r in metadata.threads(chain).collect()) == [(i, 0, i) for i in range(53)]
+    ring = spark.createDataFrame([(1, None), (2, 1), (1, 2)], "id long, parent_id long")
+    assert sorted((r.id, r.root, r.depth) for r in metadata.threads(ring).collect()) == [(1, 1, 0), (2, 1, 1)]
+
+
 def test_listing_rules(spark):
     jobs_ = spark.createDataFrame([(1, "ingestion_file", "pending", '{"redis_job_id": "r1"}', None), (2, "translation", "pending", '{"redis_job_id": "r1"}', None), (3, "ingestion_web", "pending", '{"redis_job_id": "r2"}', None)], "id long, job_type string, status string, payload string, completed_at timestamp")
     live = spark.createDataFrame([("r1", "storing", "2024-01-01T00:00:00Z"), ("r2", "", "")], "redis_job_id string, status string, completed_at string")
