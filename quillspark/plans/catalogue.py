@@ -218,10 +218,10 @@ _EDGES = _ACRONYMS + """, ok AS (SELECT doc_id, name FROM ent),
 edges AS (SELECT a.name AS src, b.name AS dst, count(*) AS weight FROM ok a JOIN ok b ON a.doc_id = b.doc_id AND a.name < b.name GROUP BY 1, 2)"""
 
 
-def _small_edges(read) -> DataFrame:
+def _small_edges(read, suppliers: str = "s_suppkey < 40") -> DataFrame:
     """A small graph: customers and the priorities, segments and nations they meet."""
     c = read("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), F.lit(1).cast("long").alias("weight"))
-    s = read("supplier").where("s_suppkey < 40").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"), F.lit(2).cast("long").alias("weight"))
+    s = read("supplier").where(suppliers).select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"), F.lit(2).cast("long").alias("weight"))
     return c.unionByName(s)
 
 
@@ -275,19 +275,19 @@ def graph_components(read):
 @query(None)
 def closeness_centrality(read):
     """GR10 (closeness)."""
-    return graph.closeness(_small_edges(read))
+    return graph.closeness(_small_edges(read, "true"))
 
 
 @query(None)
 def betweenness_centrality(read):
     """GR10 (betweenness)."""
-    return graph.betweenness(_small_edges(read))
+    return graph.betweenness(_small_edges(read, "true"))
 
 
 @query(None)
 def graph_communities(read):
     """GR11 (communities)."""
-    return graph.communities(_small_edges(read))
+    return graph.communities(_small_edges(read, "true"))
 
 
 @query(None)
@@ -529,7 +529,7 @@ def time_windows(read):
 @query(None)
 def biased_timestamps(read):
     """MA4, MA5, HA1."""
-    videos = read("part").where("p_partkey < 200").select(F.col("p_partkey").alias("video_id"), F.col("p_size").cast("double").alias("duration"))
+    videos = read("part").select(F.col("p_partkey").alias("video_id"), F.col("p_size").cast("double").alias("duration"))
     out = video.sampled(video.windows(videos))
     return out.withColumn("hash", N.chunk_hash(F.col("video_id").cast("string"), F.col("t_start"), F.col("t_end"), F.lit("biased"), F.size("frame_times"), F.lit("stub"), F.lit("p1")))
 
@@ -546,8 +546,8 @@ def vad_sessions(read):
 _BOXES = """WITH b AS (SELECT l_orderkey AS v, l_linenumber AS i, (l_partkey % 20) * 5 AS x, (l_suppkey % 10) * 5 AS y, 20 + (l_quantity::BIGINT % 3) * 10 AS w, 20 + (l_linenumber % 4) * 10 AS h FROM lineitem WHERE l_orderkey < 500)"""
 
 
-def _boxes(read) -> DataFrame:
-    l = read("lineitem").where("l_orderkey < 500")  # noqa: E741
+def _boxes(read, orders: str = "l_orderkey < 500") -> DataFrame:
+    l = read("lineitem").where(orders)  # noqa: E741
     return l.select(F.col("l_orderkey").alias("v"), F.col("l_linenumber").alias("i"), ((F.col("l_partkey") % 20) * 5).cast("int").alias("x"), ((F.col("l_suppkey") % 10) * 5).cast("int").alias("y"), (20 + (F.col("l_quantity").cast("long") % 3) * 10).cast("int").alias("w"), (20 + (F.col("l_linenumber") % 4) * 10).cast("int").alias("h"))
 
 
@@ -572,7 +572,7 @@ def track_summary(read):
 @query(None)
 def nms_merge(read):
     """GE1, TK7, PF14."""
-    b = _boxes(read)
+    b = _boxes(read, "true")
     hit = F.struct(F.concat(F.lit("w"), F.col("i") % 2).alias("text"), (1.0 / F.col("i")).alias("conf"), F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"), (F.col("x") + F.col("w")).cast("double").alias("x2"), (F.col("y") + F.col("h")).cast("double").alias("y2"))
     hits = b.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("i", hit.alias("h")))).alias("r")).select("v", F.transform("r", lambda r: r["h"]).alias("hits"))
     return hits.select("v", video.read_order(video.kept_hits(F.col("hits"))).alias("kept"))
