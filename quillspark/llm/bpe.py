@@ -2,8 +2,8 @@
 
 A text is cut before every run of ASCII white space that follows a visible
 character: byte-level pre-tokenisation always starts a new word there, so the
-pieces can be encoded apart.  Distinct pieces are found with numpy hashes and
-each new one is encoded once by the tokenizer; all others are copied.
+pieces can be encoded apart.  Each distinct piece is encoded once by the tokenizer
+and remembered by its bytes; all others are copied.
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ import base64
 
 import numpy as np
 
-from .common import BYTE_TABLE, SPACE, prefix_hash, range_hash, ranges
+from .common import SPACE, distinct_spans, ranges
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pieces a worker remembers (about 100 bytes each) before it starts afresh.
-REMEMBERED = 400_000
+#: Pieces a worker remembers (about 200 bytes each) before it starts afresh.
+REMEMBERED = 200_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -47,20 +47,20 @@ class Encoder:
         return cls._loaded[path]
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.flat = np.empty(1 << 20, np.int32)
         self.first = np.zeros(1 << 16, np.int64)
         self.n = self.used = 0
 
-    def _add(self, name: int, piece: str) -> int:
-        ids = self.encode(piece)
+    def _add(self, piece: bytes) -> int:
+        ids = self.encode(piece.decode("utf-8", "replace"))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.int32)])
         if self.n + 2 > len(self.first):
             self.first = np.concatenate([self.first, np.zeros_like(self.first)])
         self.flat[self.used:self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known[name] = at = self.n
+        self.known[piece] = at = self.n
         self.n += 1
         self.first[self.n] = self.used
         return at
@@ -78,16 +78,17 @@ class Encoder:
         cut[off[:-1][off[:-1] < n]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
-        names, one, which = np.unique(range_hash(prefix_hash(BYTE_TABLE[raw]), start, end), return_index=True, return_inverse=True)
-        if self.n + len(names) > REMEMBERED:
+        one, which = distinct_spans(raw, start, end)
+        if self.n + len(one) > REMEMBERED:
             self._forget()
         known, data = self.known, raw.tobytes()
-        at = np.empty(len(names), np.int64)
-        for i, (name, a, b) in enumerate(zip(names.tolist(), start[one].tolist(), end[one].tolist(), strict=True)):
-            k = known.get(name)
-            at[i] = self._add(name, data[a:b].decode("utf-8", "replace")) if k is None else k
-        piece = at[which]
-        size = self.first[piece + 1] - self.first[piece]
-        ids = self.flat[np.repeat(self.first[piece], size) + ranges(size)]
+        at = np.empty(len(one), np.int64)
+        for i, (a, b) in enumerate(zip(start[one].tolist(), end[one].tolist(), strict=True)):
+            piece = data[a:b]
+            k = known.get(piece)
+            at[i] = self._add(piece) if k is None else k
+        own = at[which]
+        size = self.first[own + 1] - self.first[own]
+        ids = self.flat[np.repeat(self.first[own], size) + ranges(size)]
         total = np.concatenate([[0], np.cumsum(size)])
         return ids, total[np.searchsorted(start, off)]

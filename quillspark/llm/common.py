@@ -1,5 +1,5 @@
 """Helpers shared by the llm operators: Arrow text columns as flat byte arrays,
-vectorised rolling hashes and word finding, and places for intermediate tables.
+vectorised hashes and word finding, and places for intermediate tables.
 
 Texts are handled as UTF-8 bytes in flat numpy arrays, a bounded slice of rows
 at a time, so a task holds a few times ``SLICE_BYTES`` whatever its partition.
@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text a kernel handles at once (a longer text is handled alone).
 SLICE_BYTES = 1 << 19
@@ -26,11 +27,13 @@ U64 = np.uint64
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for an intermediate table, under ``spark.checkpoint.dir``.
 
-    That setting is the shared folder of a cluster.  Where it is unset (a local
-    session in tests) a temporary folder is made and set.
+    That setting is the shared folder of a cluster.  Where it is unset, a local session
+    (as in tests) gets a temporary folder; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -47,13 +50,19 @@ def stored(df: DataFrame, name: str, rows: int | None = None, each: int = 100_00
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows in an Arrow batch: texts are long, and a task holds a few batches.
-BATCH_ROWS = "2000"
+#: Settings of a session that runs these operators: bytes and rows of an Arrow batch (texts
+#: are long, and a task holds a few batches), and shuffle files go when their query has ended.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the driver's folder.  Also bounds the Arrow batches of the session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of the driver's folder.  Also makes the ``SETTINGS`` of the session."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -110,14 +119,14 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 # Hashes
 # --------------------------------------------------------------------------
 
-_ODD = 0x9E3779B97F4A7C15
+_ODD = U64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
 #: A random 64-bit value for each byte.
 BYTE_TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: spreads a polynomial hash over all bits."""
+    """A 64-bit finaliser: every bit of the input moves every bit of the result."""
     x = x.astype(np.uint64, copy=True)
     x ^= x >> U64(31)
     x *= U64(0x7FB5D329728EA185)
@@ -127,10 +136,68 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def grouped_sums(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``x`` of the given sizes (0 for an empty run)."""
+    out = np.zeros(len(size), x.dtype)
+    some = size > 0
+    if some.any():
+        out[some] = np.add.reduceat(x, (np.cumsum(size) - size)[some])
+    return out
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = BYTE_TABLE, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes of every span, the same wherever it lies.
+
+    Byte and place are mixed before they are summed, so unlike a polynomial modulo
+    2**64 it has no texts that collide by construction.
+    """
+    size = end - start
+    place = ranges(size)
+    x = table[raw[np.repeat(start, size) + place]]
+    x += (place.astype(np.uint64) + U64(seed * 0x1000003 + 1)) * _ODD
+    x ^= x >> U64(32)
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    return mix(grouped_sums(x, size) + size.astype(np.uint64) * _ODD)
+
+
+def chain_hashes(names: np.ndarray, at: np.ndarray, stop: np.ndarray, most: int) -> np.ndarray:
+    """A hash of the sequence names[at:stop] of at most ``most`` names."""
+    x = (stop - at).astype(np.uint64)
+    for i in range(most):
+        inside = at + i < stop
+        if inside.all():
+            x = mix(x * _ODD + names[at + i])
+        else:
+            x[inside] = mix(x[inside] * _ODD + names[at[inside] + i])
+    return x
+
+
+def set_hash(values: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of every set, given as consecutive runs of distinct values."""
+    return mix(grouped_sums(mix(values ^ mix(np.array([seed], np.uint64))), size) + size.astype(np.uint64) * _ODD)
+
+
+def distinct_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One span for each distinct byte string, and the number of its string for every
+    span.  Exact: hashes group the spans, then their bytes are compared."""
+    _, one, which = np.unique(span_hashes(raw, start, end), return_index=True, return_inverse=True)
+    first, size = one[which], end - start
+    same = bool((size == size[first]).all())
+    if same:
+        place = ranges(size)
+        same = bool((raw[np.repeat(start, size) + place] == raw[np.repeat(start[first], size) + place]).all())
+    if not same:
+        data, known = raw.tobytes(), {}
+        which = np.array([known.setdefault(data[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        _, one = np.unique(which, return_index=True)
+    return one, which
+
+
 class Powers:
     """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
 
-    def __init__(self, base: int = _ODD):
+    def __init__(self, base: int = int(_ODD)):
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
         self.up = self.down = np.ones(1, np.uint64)
 
@@ -146,21 +213,22 @@ class Powers:
 POWERS = Powers()
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """P with P[i] = sum of values[j] * base**j for j < i (mod 2**64)."""
-    up, _ = POWERS.get(len(values) + 1)
-    out = np.empty(len(values) + 1, np.uint64)
-    out[0] = 0
-    np.multiply(values, up[:-1], out=out[1:])
-    np.cumsum(out[1:], out=out[1:])
-    return out
+def rolling_hashes(raw: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the ``n`` bytes from every place on.  A polynomial modulo 2**64: it may
+    choose places to look at, but equal hashes are no proof of equal bytes."""
+    up, down = POWERS.get(len(raw) + 1)
+    prefix = np.zeros(len(raw) + 1, np.uint64)
+    np.multiply(BYTE_TABLE[raw], up[:-1], out=prefix[1:])
+    np.cumsum(prefix[1:], out=prefix[1:])
+    return mix((prefix[n:] - prefix[:-n]) * down[:len(raw) - n + 1])
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], the same wherever the run lies; length is mixed in."""
-    _, down = POWERS.get(len(prefix))
-    h = (prefix[end] - prefix[start]) * down[start]
-    return mix(h + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+def text_key(column: str | Column) -> Column:
+    """Two 64-bit hashes of a text, which beside an id tell rows apart."""
+    return F.struct(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(1), column).alias("b"))
+
+
+TEXT_KEY = "struct<a:bigint,b:bigint>"
 
 
 # --------------------------------------------------------------------------
@@ -190,11 +258,6 @@ def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(start, off)
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-    table = BYTE_TABLE[LOWER] if fold else BYTE_TABLE
-    return range_hash(prefix_hash(table[raw]), start, end)
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import BYTE_TABLE, SPACE, prefix_hash, range_hash, ranges, word_spans
+from .common import SPACE, distinct_spans, ranges, word_spans
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
@@ -48,8 +48,7 @@ def text_stats(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray],
     start, end, first = word_spans(raw, off)
     words = np.diff(first)
     text = np.repeat(np.arange(n), words)
-    pre = prefix_hash(BYTE_TABLE[raw])
-    name = range_hash(pre, start, end)
+    name = distinct_spans(raw, start, end)[1]
 
     letters = (raw & 0xC0) != 0x80  # the first byte of a code point
     in_word = _sums(letters & ~SPACE[raw], off)
@@ -58,8 +57,9 @@ def text_stats(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray],
     windows = np.maximum(words - 2, 0)
     owner = np.repeat(np.arange(n), windows)
     at = first[:-1][owner] + ranges(windows)
-    over = prefix_hash(name)
-    twice = at[_repeated(range_hash(over, at, at + 3), owner) > 1]
+    kinds = len(name) + 1
+    pair = np.unique(name[at] * kinds + name[at + 1], return_inverse=True)[1]
+    twice = at[_repeated(pair * kinds + name[at + 2], owner) > 1]
     covered = np.zeros(len(name), bool)
     for k in range(3):
         covered[twice + k] = True
@@ -73,7 +73,7 @@ def text_stats(raw: np.ndarray, off: np.ndarray) -> tuple[dict[str, np.ndarray],
     stop = stop - ((stop > edge) & (raw[np.maximum(stop - 1, 0)] == 10)) if len(edge) else stop
     has_word = np.searchsorted(start, stop) > np.searchsorted(start, edge)
     edge, stop, owner_l = edge[has_word], stop[has_word], owner_l[has_word]
-    line = range_hash(pre, edge, stop)
+    line = distinct_spans(raw, edge, stop)[1]
     order = np.lexsort((edge, line, owner_l))
     again = np.zeros(len(line), bool)
     again[1:] = (line[order][1:] == line[order][:-1]) & (owner_l[order][1:] == owner_l[order][:-1])

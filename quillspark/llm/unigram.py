@@ -7,12 +7,13 @@ becomes its bytes' pieces.  Of segmentations with equal sums the one whose last
 is longest is taken.
 
 No piece holds a marker after another character, so texts are cut before runs of
-spaces, and distinct parts are segmented once, all new ones of a slice side by side in
-numpy.  (For a vocabulary with such pieces texts are not cut.)
+spaces.  Distinct short parts are segmented once, all new ones of a slice side by side in
+numpy; long parts one by one.  (For a vocabulary with such pieces texts are not cut.)
 
 Defined cases: a null or empty text has no pieces and decodes to the empty text; bytes
 that form no code point decode to U+FFFD; a marker character in a text comes back as a
-space; rows of one id are encoded each on its own; other columns are ignored.
+space; texts of any length are encoded whole; rows of one id are encoded each on its
+own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,19 +21,20 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, prefix_hash, range_hash, ranges, slices
+from .common import distinct_spans, ranges, slices
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁".encode()
 UNKNOWN_COST = 10.0
 REMEMBERED = 300_000
-#: Bytes of a part up to which parts are segmented side by side.
+#: Bytes (a space counts as one) of a part up to which parts are segmented side by side.
 SIDE_BY_SIDE = 64
 
 
@@ -135,10 +137,14 @@ class Pieces:
         kind = lambda i: "byte" if m.is_byte(i) else "other" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "normal"
         return cls.of([(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())])
 
-    @property
+    @cached_property
     def unknown(self) -> float:
         return float(self.score.min()) - UNKNOWN_COST
 
+    @cached_property
+    def lists(self) -> tuple[list[int], list[int], list[int], list[float]]:
+        return self.trie.base.tolist(), self.trie.check.tolist(), self.trie.value.tolist(), self.score.tolist()
+
 
 _WIDTH = np.ones(256, np.int64)  # bytes of a code point by its first byte
 _WIDTH[0xC0:0xE0], _WIDTH[0xE0:0xF0], _WIDTH[0xF0:] = 2, 3, 4
@@ -188,16 +194,46 @@ def viterbi(p: Pieces, parts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def viterbi_long(p: Pieces, part: bytes) -> np.ndarray:
+    """The same for one long part: place by place over the trie's arrays as lists, as
+    numpy has nothing to do side by side."""
+    base, check, value, score = p.lists
+    n, size, unknown = len(part), len(check), p.unknown
+    best, back, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    width = _WIDTH.tolist()
+    for s in range(n):
+        here = best[s]
+        if here == -np.inf:
+            continue
+        end = min(s + width[part[s]], n)
+        if here + unknown > best[end]:
+            best[end], back[end], piece[end] = here + unknown, s, -1
+        node = 0
+        for e in range(s, n):
+            t = base[node] + part[e]
+            if t >= size or check[t] != node:
+                break
+            node, v = t, value[t]
+            if v >= 0 and here + score[v] > best[e + 1]:
+                best[e + 1], back[e + 1], piece[e + 1] = here + score[v], s, v
+    out, at = [], n
+    while at:
+        s = back[at]
+        out.append(piece[at]) if piece[at] >= 0 else out.extend(p.byte_id[list(part[s:at])][::-1].tolist())
+        at = s
+    return np.array(out[::-1], np.int32)
+
+
 class UnigramEncoder:
-    """Encodes slices of texts; remembers the parts it has seen."""
+    """Encodes slices of texts; remembers the parts it has seen, by their bytes."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.known: dict[bytes, np.ndarray] = {}
 
     def encode(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and n+1 bounds."""
@@ -214,18 +250,17 @@ class UnigramEncoder:
         cut[at[:-1][some]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(marked))
-        names, one, which = np.unique(range_hash(prefix_hash(BYTE_TABLE[marked]), start, end), return_index=True, return_inverse=True)
-        if len(self.ids) + len(names) > REMEMBERED:
-            self._forget()
+        one, which = distinct_spans(marked, start, end)
         data = marked.tobytes()
-        new = [(name, data[a:b].replace(b" ", MARK)) for name, a, b in zip(names.tolist(), start[one].tolist(), end[one].tolist(), strict=True) if name not in self.known]
-        short = sorted((x for x in new if len(x[1]) <= SIDE_BY_SIDE), key=lambda x: len(x[1]))
-        for group in [short[i:i + 4096] for i in range(0, len(short), 4096)] + [[x] for x in new if len(x[1]) > SIDE_BY_SIDE]:
-            for (name, _), ids in zip(group, viterbi(self.pieces, [x[1] for x in group]), strict=True):
-                self.known[name] = len(self.ids)
-                self.ids.append(ids)
-        spot = [self.known[x] for x in names.tolist()]
-        own = [self.ids[i] for i in spot]
+        parts = [data[a:b] for a, b in zip(start[one].tolist(), end[one].tolist(), strict=True)]
+        if len(self.known) + len(parts) > REMEMBERED:
+            self._forget()
+        new = sorted((x for x in parts if x not in self.known), key=len)
+        short = [x for x in new if len(x) <= SIDE_BY_SIDE]
+        for i in range(0, len(short), 4096):
+            group = short[i:i + 4096]
+            self.known.update(zip(group, viterbi(self.pieces, [x.replace(b" ", MARK) for x in group]), strict=True))
+        own = [self.known[x] if len(x) <= SIDE_BY_SIDE else viterbi_long(self.pieces, x.replace(b" ", MARK)) for x in parts]  # long ones seldom come again
         size = np.array([len(x) for x in own])
         flat, first = np.concatenate(own), np.concatenate([[0], np.cumsum(size)])
         count = size[which]
