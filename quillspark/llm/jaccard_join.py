@@ -4,26 +4,26 @@ and the components of its links.
 Candidates, all exact (no link between different texts is lost):
 
 1. Equal sets are one class (name: hash of the sorted set) from here on.
-2. Of classes that share a pair of minhashes, one of each component is compared with
-   one leader, for a few turns; the links found make hot groups one component
-   before any pairs are formed in them.  This step only saves work.
-3. Two linked sets share a gram among the first ``n - ceil(t n) + 1`` of each, in any
-   fixed order.  The order used puts grams that are common in a bounded sample last.
-   Rows (gram, class) are sorted by gram; small groups give pairs, large ones go on
-   to tiles if their classes are not all of one component yet.
-4. Tiles: bands of set size (a link cannot span more than neighbouring bands), cut
-   to blocks of at most ``TILE`` classes.  Every class has a bitmap of the parities of
-   its grams' hashes; the bit count of two bitmaps' difference bounds the symmetric
-   difference from below, so the overlap from above.  Pairs that pass and whose
-   components differ are candidates.
-5. Candidates are checked on the sorted gram arrays of the whole texts: the best pairs
-   of every two components until no more join, then every pair that is left between
-   two components.
+2. Every class has a bitmap of the parities of its grams' hashes; the bit count of two
+   bitmaps' difference bounds the symmetric difference from below, so the overlap
+   from above.  Bitmaps are compared in *tiles*, classes of neighbouring sizes.
+3. First tiles: classes that share a pair of minhashes.  A spanning forest of the pairs
+   that look nearest is checked, so that groups of near copies become components
+   before pairs are formed in them.  This only saves work.
+4. Two linked sets share a gram among the first ``n - ceil(t n) + 1`` of each, in any
+   fixed order.  The order used counts grams in a sketch over all documents and puts
+   common ones last.  Classes that share such a gram, whose sizes and whose places of
+   the gram allow a link, and which are of several components, are a tile; large groups
+   are cut into bands of size and blocks of at most ``TILE`` classes.
+5. Pairs of a tile that its bitmaps allow are checked on the sorted gram arrays of the
+   whole texts: all if they are few, else a spanning forest, until no tile joins
+   components any more; then every pair that is left between two components.
 
 Defined cases: a null or empty text, or one without words, has no grams and links
-with nothing (it is its own component); fewer than ``words`` words are one gram; rows
-of one id are documents each, and equal rows link; a null id is left out of the
-smallest id of a component, which is null only if no id is known.
+with nothing (it is its own component); fewer than ``words`` words are one gram; texts
+of any length are taken whole; rows of one id are documents each, and equal rows link;
+a null id is left out of the smallest id of a component, which is null only if no id
+is known; an empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
@@ -34,44 +34,45 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import U64, flat_bytes, free_names, mix, prefix_hash, range_hash, ranges, signed, slices, stored, word_hashes, word_spans
+from .common import BYTE_TABLE, LOWER, TEXT_KEY, U64, chain_hashes, free_names, mix, ranges, set_hash, signed, slices, span_hashes, stored, text_key, word_spans
 from .components import connected_components
 
 WORDS, PERCENT = 5, 75
-#: Documents that the order of grams is fitted on, about; grams it may put last.
-ORDER_DOCS, ORDER_GRAMS, ORDER_LEAST = 8000, 200_000, 4
-#: Pairs of minhashes for the early links.
+#: Slots of the sketch of gram counts, and of a row of it.
+SLOTS, ROW = 1 << 22, 1 << 14
+#: Grams counted before a task passes its counts on; grams of counts beyond HOT never meet in one task.
+FLUSH, HOT = 1 << 24, 1 << 14
+#: Pairs of minhashes for the first tiles.
 KEYS = 6
-#: Members up to which a gram's group gives its pairs at once, and classes in a block of a tile.
-SMALL, TILE = 12, 1024
-#: Rounds of early links.
-TURNS = 2
-#: Classes whose texts are fetched with a broadcast list of ids; beyond it by a shuffled join.
+#: Classes in a block of a tile.
+TILE = 1024
+#: Leaders of a large group of the first tiles that all its blocks see.
+LEADERS = 16
+#: Classes whose texts are fetched with a broadcast list of ids, and linked classes that
+#: are broadcast; beyond it by a shuffled join.
 BROADCAST_ROWS = 500_000
 _SEEDS = np.random.default_rng(5).integers(1, 2**62, 2 * KEYS, dtype=np.uint64) * U64(2) + U64(1)
 
-_GRAM = U64((1 << 48) - 1)
-
-SET_SCHEMA = "doc long, th long, n int, name long, keys array<long>, sig binary, prefix array<long>"
+SET_SCHEMA = f"doc long, th {TEXT_KEY}, n int, name long, twin long, keys array<long>, sig binary, prefix array<long>, hot int"
+MEMBER_SCHEMA = "tile long, large boolean, name long, n int, pos int"
 
 
 def gram_sets(raw: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct gram hashes (48 bits) of every text, one after the other, and n+1
-    bounds; of at most 65,535 texts."""
+    """Sorted distinct gram hashes of every text, one after the other, and n+1 bounds."""
     start, end, first = word_spans(raw, off)
     count = np.diff(first)
     grams = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
-    text = np.repeat(np.arange(len(count)), grams)
-    at = first[:-1][text] + ranges(grams)
-    stop = np.minimum(at + words, first[1:][text])
-    pre = prefix_hash(word_hashes(raw, start, end, fold=True)) if len(start) else np.zeros(1, np.uint64)
-    key = range_hash(pre, at, stop) >> U64(16) | (text.astype(np.uint64) << U64(48))  # one sort for text and gram
-    key.sort()
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    bounds = np.searchsorted(key, np.arange(len(count) + 1, dtype=np.uint64) << U64(48))
-    return key & _GRAM, bounds
+    at = np.repeat(first[:-1], grams) + ranges(grams)
+    stop = np.minimum(at + words, np.repeat(first[1:], grams))
+    key = chain_hashes(span_hashes(raw, start, end, BYTE_TABLE[LOWER]), at, stop, words)
+    bounds = np.concatenate([[0], np.cumsum(grams)])
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        key[a:b].sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    new[bounds[:-1][grams > 0]] = True
+    return key[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
 def _spread(h: np.ndarray, seed: np.uint64) -> np.ndarray:
@@ -98,177 +99,254 @@ def parity_bitmap(h: np.ndarray, bits: int) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _sets(words: int, percent: int, common: np.ndarray, rank: np.ndarray):
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> U64(20) & U64(SLOTS - 1)).astype(np.int64)
+
+
+def gram_ranks(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """For every slot of the sketch a rank by the number of grams of all documents in
+    it, and the rank from which on grams are hot (``HOT`` more than the mean of a slot).  A
+    slot's count is no less than the count of each gram in it, up to 65,535 a task and
+    ``FLUSH`` grams; any ranks give the same links."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = np.zeros(SLOTS, np.int64), 0
+
+        def rows() -> pa.RecordBatch:
+            own = np.minimum(held, 65535).astype("<u2").reshape(-1, ROW)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(own), dtype=np.int32)), pa.array([x.tobytes() for x in own], pa.binary())], names=["row", "counts"])
+
+        for batch in batches:
+            for _, raw, off in slices(batch, "text"):
+                h = gram_sets(raw, off, words)[0]
+                np.add.at(held, _slot(h), 1)
+                seen += len(h)
+            if seen > FLUSH:
+                yield rows()
+                held[:], seen = 0, 0
+        if seen:
+            yield rows()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[row] = sums.get(row, 0) + np.frombuffer(own, "<u2").astype(np.int64)
+        for row, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([rank(x).tobytes()], pa.binary()), pa.array([int(x.sum())])], names=["row", "ranks", "n"])
+
+    def rank(x: np.ndarray) -> np.ndarray:
+        return np.minimum(4 * np.log2(x + 1.0), 255).astype(np.uint8)
+
+    sketch = docs.select("text").mapInArrow(count, "row int, counts binary").repartition("row").mapInArrow(total, "row int, ranks binary, n long").toArrow()
+    out = np.zeros((SLOTS // ROW, ROW), np.uint8)
+    for row, x in zip(sketch.column(0).to_pylist(), sketch.column(1).to_pylist(), strict=True):
+        out[row] = np.frombuffer(x, np.uint8)
+    mean = sum(sketch.column(2).to_pylist()) // SLOTS
+    return out.ravel(), int(rank(np.array([HOT + mean]))[0])
+
+
+def _sets(words: int, percent: int, ranks, hot_from: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order_of = ranks.value
         seen: set[int] = set()  # classes of this task, so copies give no more rows
         for batch in batches:
             for rows, raw, off in slices(batch, "text"):
                 h, at = gram_sets(raw, off, words)
                 n = np.diff(at)
-                text = np.repeat(np.arange(len(n)), n)
-                name = signed(range_hash(prefix_hash(h), at[:-1], at[1:]))
-                own = np.zeros(len(h), np.int64)
-                if len(common) and len(h):
-                    spot = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                    own = np.where(common[spot] == h, rank[spot], 0)
-                order = np.argsort(text * 64 + own, kind="stable")  # the fixed order, inside each text
-                length = prefix_length(n, percent)
-                first = order[np.arange(len(h)) - at[:-1][text] < length[text]] if len(h) else order
-                prefix = signed(h[first])
-                bounds = np.concatenate([[0], np.cumsum(length)])
+                name, twin = signed(set_hash(h, n, 1)), signed(set_hash(h, n, 2))
+                rank = order_of[_slot(h)]
                 some = n > 0
                 minima = np.empty((len(n), 2 * KEYS), np.uint64)
                 for i, seed in enumerate(_SEEDS):
                     if len(h):
                         minima[some, i] = np.minimum.reduceat(_spread(h, seed), at[:-1][some])
                 keys = signed(np.ascontiguousarray(mix(minima[:, ::2] + mix(minima[:, 1::2]) * U64(3) + np.arange(KEYS, dtype=np.uint64))))
-                bits = signature_bits(n)
-                full = []
+                bits, length = signature_bits(n).tolist(), prefix_length(n, percent).tolist()
+                sig, prefix, key, hot = [None] * len(n), [None] * len(n), [None] * len(n), [0] * len(n)
                 for i, v in enumerate(name.tolist()):
-                    full.append(bool(n[i]) and v not in seen)
-                    if n[i]:
-                        seen.add(v)
-                sig = [parity_bitmap(h[at[i]:at[i + 1]], int(bits[i])) if full[i] else None for i in range(len(n))]
-                pre = [prefix[bounds[i]:bounds[i + 1]] if full[i] else None for i in range(len(n))]
-                key = [keys[i] if full[i] else None for i in range(len(n))]
+                    if not n[i] or v in seen:
+                        continue
+                    seen.add(v)
+                    own, r = h[at[i]:at[i + 1]], rank[at[i]:at[i + 1]]
+                    first = np.argsort(r, kind="stable")[:length[i]]  # the fixed order: by rank, then hash
+                    sig[i], prefix[i], key[i], hot[i] = parity_bitmap(own, bits[i]), signed(own[first]), keys[i], int((r[first] >= hot_from).sum())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(n.astype(np.int32)), pa.array(name), pa.array(key, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(pre, pa.list_(pa.int64()))],
-                    names=["doc", "th", "n", "name", "keys", "sig", "prefix"],
+                    [rows.column(0), rows.column(1), pa.array(n.astype(np.int32)), pa.array(name), pa.array(twin), pa.array(key, pa.list_(pa.int64())), pa.array(sig, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(hot, pa.int32())],
+                    names=["doc", "th", "n", "name", "twin", "keys", "sig", "prefix", "hot"],
                 )
     return run
 
 
-def _common_grams(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams that are frequent in a bounded sample, with a rank by frequency.  They
-    set the order of grams only, so any sample gives the same links."""
-    total = docs.count()
-    few = docs.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, total // ORDER_DOCS))) == 0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, raw, off in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(signed(gram_sets(raw, off, words)[0]))], names=["gram"])
-
-    often = few.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") >= ORDER_LEAST)
-    top = often.orderBy(F.desc("c"), "gram").limit(ORDER_GRAMS).toArrow()
-    gram = top.column("gram").to_numpy().view(np.uint64)
-    rank = 1 + np.floor(np.log2(np.maximum(top.column("c").to_numpy(), 1))).astype(np.int64)
-    order = np.argsort(gram)
-    return gram[order], rank[order]
-
-
 def may_link(na, nb, percent: int):
     """Whether sizes alone allow a link."""
     return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
 
 
+def may_link_at(na, nb, i, j, percent: int):
+    """Whether two sets whose first common gram is at places i and j may link: that gram and
+    what follows must hold percent / (100 + percent) of both sizes."""
+    return (100 + percent) * np.minimum(na - i, nb - j) >= percent * (na + nb)
+
+
 def _groups(percent: int):
-    """Rows sorted by gram: pairs of small groups (b set), members of large ones (b null)."""
-    def emit(gram: np.ndarray, name: np.ndarray, n: np.ndarray) -> pa.RecordBatch | None:
-        order = np.lexsort((name, gram))
-        gram, name, n = gram[order], name[order], n[order]
+    """Rows (gram, name, n, pos) sorted by gram become members of tiles: runs of one
+    gram's classes in the order of size in which every two neighbours may link."""
+    def emit(gram: np.ndarray, name: np.ndarray, n: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((name, n, gram))
+        gram, name, n, pos = gram[order], name[order], n[order], pos[order]
         new = np.ones(len(gram), bool)
         new[1:] = (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])
-        gram, name, n = gram[new], name[new], n[new]
-        first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+        gram, name, n, pos = gram[new], name[new], n[new], pos[new]
+        joins = np.zeros(len(gram) + 1, bool)
+        joins[1:-1] = (gram[1:] == gram[:-1]) & may_link(n[1:], n[:-1], percent)
+        first = np.flatnonzero(~joins[:-1])
         size = np.diff(np.append(first, len(gram)))
-        large = np.repeat(size > SMALL, size)
-        pairs = []
-        for gap in range(1, SMALL):
-            i = np.flatnonzero(~large[:-gap] & (gram[gap:] == gram[:-gap]))
-            i = i[may_link(n[i], n[i + gap], percent)]
-            pairs.append(np.column_stack([name[i], name[i + gap]]))
-        p = np.unique(np.concatenate(pairs), axis=0)
-        a, g = np.concatenate([p[:, 0], name[large]]), np.concatenate([np.zeros(len(p), np.int64), gram[large]])
-        b = pa.array(np.concatenate([p[:, 1], np.zeros(int(large.sum()), np.int64)]), mask=np.arange(len(a)) >= len(p))
-        return pa.RecordBatch.from_arrays([pa.array(g), pa.array(a), b, pa.array(np.concatenate([np.zeros(len(p), np.int32), n[large]]).astype(np.int32))], names=["gram", "a", "b", "n"]) if len(a) else None
+        # a pair needs a member that holds the gram early enough for a set of its own size
+        early = np.add.reduceat(may_link_at(n, n, pos, pos, percent).astype(np.int64), first)
+        keep = np.repeat((size > 1) & (early > 0), size)
+        tile = signed(mix(gram.view(np.uint64) + np.repeat(n[first], size).astype(np.uint64) * U64(7919)))
+        large = np.repeat(size > TILE, size)
+        return pa.RecordBatch.from_arrays([pa.array(np.where(large, gram, tile)[keep]), pa.array(large[keep]), pa.array(name[keep]), pa.array(n[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["tile", "large", "name", "n", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the last gram's rows: its group may go on
-        open_large = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy() for i in range(3)]
+            now = [batch.column(i).to_numpy().astype(np.int64) for i in range(4)]
             held = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)] if held else now
             gram = held[0]
             whole = int(np.searchsorted(gram == gram[-1], True)) if gram[0] != gram[-1] else 0
             if whole:
-                part = [x[:whole] for x in held]
-                if open_large is not None:  # the rest of a group that was passed on in part
-                    rest = part[0] == open_large
-                    if rest.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(part[0][rest]), pa.array(part[1][rest]), pa.nulls(int(rest.sum()), pa.int64()), pa.array(part[2][rest])], names=["gram", "a", "b", "n"])
-                    part = [x[~rest] for x in part]
-                    open_large = None
-                if len(part[0]) and (out := emit(*part)) is not None:
-                    yield out
-                held = [x[whole:] for x in held]
-            if len(held[0]) > 50_000:  # one gram alone: a large group, streamed on
-                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.nulls(len(held[0]), pa.int64()), pa.array(held[2])], names=["gram", "a", "b", "n"])
-                open_large, held = int(held[0][0]), []
+                yield emit(*(x[:whole] for x in held))
+                held = [x[whole:].copy() for x in held]
         if held:
-            if open_large is not None and held[0][0] == open_large:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.nulls(len(held[0]), pa.int64()), pa.array(held[2])], names=["gram", "a", "b", "n"])
-            elif (out := emit(*held)) is not None:
-                yield out
+            yield emit(*held)
     return run
 
 
-def difference_bits(sa: list[bytes], sb: list[bytes]) -> np.ndarray:
-    """Bits in which every bitmap of ``sa`` differs from every one of ``sb``; wider
-    bitmaps are folded to the narrowest (parities add up)."""
-    width = min(min(map(len, sa)), min(map(len, sb)))
-
-    def fold(s: bytes) -> np.ndarray:
-        return np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, width // 8), axis=0)
-
-    x, y = np.array([fold(s) for s in sa]), np.array([fold(s) for s in sb])
-    out = np.zeros((len(x), len(y)), np.int32)
-    for j in range(x.shape[1]):
-        out += np.bitwise_count(x[:, j][:, None] ^ y[:, j][None, :])
-    return out
+class Bitmaps:
+    """Bitmaps of many classes; wide ones are folded to any narrower width (parities add up)."""
+
+    def __init__(self, sig: pa.Array):
+        self.sig = sig.to_pylist()
+        self.words = np.array([len(x) // 8 for x in self.sig])
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def folded(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ``width`` words, and the row of every class that is as wide at least."""
+        if width not in self.at:
+            some = np.flatnonzero(self.words >= width)
+            row = np.zeros(len(self.words), np.int64)
+            row[some] = np.arange(len(some))
+            out = np.empty((len(some), width), np.uint64)
+            for i, k in enumerate(some.tolist()):
+                out[i] = np.bitwise_xor.reduce(np.frombuffer(self.sig[k], np.uint64).reshape(-1, width), axis=0)
+            self.at[width] = out, row
+        return self.at[width]
+
+    def differences(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the bitmaps of each pair differ."""
+        out = np.zeros(len(i), np.int64)
+        narrow = np.minimum(self.words[i], self.words[j])
+        for width in np.unique(narrow).tolist():
+            bits, row = self.folded(width)
+            pairs, step = np.flatnonzero(narrow == width), max(1, (1 << 19) // width)
+            for k in range(0, len(pairs), step):
+                p = pairs[k:k + step]
+                out[p] = np.bitwise_count(bits[row[i[p]]] ^ bits[row[j[p]]]).sum(1, dtype=np.int64)
+        return out
 
 
-def _tiles(percent: int, every: bool):
-    """Candidates of tiles: the best of every two components, or ``every`` one.  Rows (tile, side, name, n, component, sig) come sorted by
-    tile, which holds two blocks at most; a tile with no side 1 is compared with itself."""
-    def compare(side: np.ndarray, name: np.ndarray, n: np.ndarray, part: np.ndarray, sig: list[bytes]):
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        inner = not len(right)
-        right = left if inner else right
-        if not len(left) or len(set(part.tolist())) < 2:
+def tile_pairs(tile: np.ndarray, side: np.ndarray, n: np.ndarray, pos: np.ndarray, part: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within each tile (rows are sorted by it) that sizes, places, sides and components allow."""
+    first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+    size = np.diff(np.append(first, len(tile)))
+    two = np.repeat(np.add.reduceat(side, first) > 0, size)
+
+    def allowed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (part[i] != part[j]) & (~two[i] | (side[i] != side[j])) & may_link(n[i], n[j], percent) & may_link_at(n[i], n[j], pos[i], pos[j], percent)
+
+    small = np.repeat(size <= 16, size)
+    for gap in range(1, 16):
+        i = np.flatnonzero(small[:-gap] & (tile[gap:] == tile[:-gap]))
+        i = i[allowed(i, i + gap)]
+        if len(i):
+            yield i, i + gap
+    for a, s in zip(first[size > 16].tolist(), size[size > 16].tolist(), strict=True):
+        for k in range(a, a + s - 1, 64):
+            i = np.arange(k, min(k + 64, a + s))
+            x, y = np.nonzero(allowed(i[:, None], np.arange(k + 1, a + s)[None, :]) & (i[:, None] < np.arange(k + 1, a + s)[None, :]))
+            if len(x):
+                yield i[x], k + 1 + y
+
+
+def spanning_forest(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:
+    """Edges (given best first) of the best spanning forest, by rounds of contraction."""
+    label, live, chosen = np.arange(nodes), np.arange(len(u)), []
+    while True:
+        a, b = label[u[live]], label[v[live]]
+        live, a, b = live[a != b], a[a != b], b[a != b]
+        if not len(live):
+            return np.unique(np.concatenate(chosen)) if chosen else live
+        best = np.full(nodes, len(u))
+        np.minimum.at(best, a, live)
+        np.minimum.at(best, b, live)
+        own = np.flatnonzero(best < len(u))
+        chosen.append(best[own])
+        x, y = label[u[best[own]]], label[v[best[own]]]
+        to = np.arange(nodes)
+        to[own] = np.where(x == own, y, x)
+        back = (to[to] == np.arange(nodes)) & (np.arange(nodes) < to)
+        to[back] = np.flatnonzero(back)
+        while not np.array_equal(to, to[to]):
+            to = to[to]
+        label = to[label]
+
+
+def _tiles(percent: int, forest: bool, every: bool):
+    """Candidates of tiles.  Rows (tile, side, name, n, pos, component, sig) come sorted by
+    tile.  ``forest``: a spanning forest of each tile; ``every``: all pairs; neither: all if
+    they are few, else a forest, and the tile is named in ``again``.  ``hub`` is the class
+    with most edges of a tile."""
+    def compare(table: pa.Table) -> pa.RecordBatch | None:
+        tile, side, name, n, pos, part = (table.column(c).to_numpy().astype(np.int64) for c in ("tile", "side", "name", "n", "pos", "component"))
+        found = list(tile_pairs(tile, side, n, pos, part, percent))
+        if not found:
             return None
-        differ = difference_bits([sig[i] for i in left], [sig[i] for i in right])
-        total = n[left][:, None] + n[right][None, :]
-        # overlap <= (total - differ) / 2 must reach percent / (100 + percent) of total
-        ok = ((100 + percent) * (total - differ) >= 2 * percent * total) & (part[left][:, None] != part[right][None, :]) & may_link(n[left][:, None], n[right][None, :], percent)
-        if inner:
-            ok &= name[left][:, None] < name[right][None, :]
-        i, j = np.nonzero(ok)
-        if not every and len(i):
-            low, high = np.minimum(part[left][i], part[right][j]), np.maximum(part[left][i], part[right][j])
-            order = np.lexsort((differ[i, j] / total[i, j], high, low))
-            i, j, low, high = i[order], j[order], low[order], high[order]
-            first = np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-            i, j = i[first], j[first]
-        a, b = name[left][i], name[right][j]
-        return np.minimum(a, b), np.maximum(a, b), differ[i, j] / total[i, j]
+        bitmaps, good = Bitmaps(table.column("sig").combine_chunks()), []
+        for i, j in found:
+            total, differ = n[i] + n[j], bitmaps.differences(i, j)
+            ok = (100 + percent) * (total - differ) >= 2 * percent * total  # overlap <= (total - differ) / 2
+            good.append((i[ok], j[ok], (differ / total)[ok]))
+        i, j, far = (np.concatenate(x) for x in zip(*good, strict=True))
+        order = np.argsort(far, kind="stable")
+        i, j = i[order], j[order]
+        number = np.cumsum(np.append(True, tile[1:] != tile[:-1])) - 1
+        pairs, rows = np.bincount(number[i], minlength=number[-1] + 1), np.bincount(number)
+        dense = (pairs > 2 * rows) if not (forest or every) else np.full(len(rows), forest)
+        wide = dense[number[i]]
+        if wide.any():
+            node = np.unique(np.column_stack([number, part]), axis=0, return_inverse=True)[1].ravel()
+            some = np.flatnonzero(wide)
+            some = some[spanning_forest(node[i[some]], node[j[some]], int(node.max()) + 1)]
+            take = np.sort(np.concatenate([np.flatnonzero(~wide), some]))
+            i, j = i[take], j[take]
+        ends = np.bincount(np.concatenate([i, j]), minlength=len(tile))
+        top = np.lexsort((-ends, number))
+        top = top[np.append(True, number[top][1:] != number[top][:-1])]
+        top = top[ends[top] > 1] if forest else top[:0]
+        again = np.unique(tile[dense[number]]) if not (forest or every) else tile[:0]
+        a, b = np.minimum(name[i], name[j]), np.maximum(name[i], name[j])
+        blank, count = pa.nulls, (len(a), len(top), len(again))
+        column = lambda *x: pa.concat_arrays([y if isinstance(y, pa.Array) else pa.array(y) for y in x])
+        return pa.RecordBatch.from_arrays([
+            column(a, blank(count[1] + count[2], pa.int64())), column(b, blank(count[1] + count[2], pa.int64())),
+            column(blank(count[0], pa.int64()), tile[top], again), column(blank(count[0], pa.int64()), name[top], blank(count[2], pa.int64())), column(np.zeros(count[0], np.int32), ends[top].astype(np.int32), np.zeros(count[2], np.int32)),
+        ], names=["a", "b", "tile", "hub", "edges"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-
-        def done(table: pa.Table) -> pa.RecordBatch | None:
-            tile = table.column("tile").to_numpy()
-            first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
-            side, name, n, part = (table.column(c).to_numpy() for c in ("side", "name", "n", "component"))
-            sig = table.column("sig").to_pylist()
-            found = [f for i, j in zip(first.tolist(), np.append(first[1:], len(tile)).tolist(), strict=True) if j - i > 1 and (f := compare(side[i:j], name[i:j], n[i:j].astype(np.int64), part[i:j], sig[i:j]))]
-            if not found:
-                return None
-            a, b, far = (np.concatenate(x) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(far)], names=["a", "b", "far"])
-
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
@@ -276,31 +354,64 @@ def _tiles(percent: int, every: bool):
             if not len(tile) or tile[0] == tile[-1]:
                 continue
             cut = int(np.flatnonzero(tile != tile[-1])[-1]) + 1
-            if (out := done(held.slice(0, cut))) is not None:
+            if (out := compare(held.slice(0, cut))) is not None:
                 yield out
             held = held.slice(cut)
-        if held is not None and held.num_rows and (out := done(held)) is not None:
+        if held is not None and held.num_rows and (out := compare(held)) is not None:
             yield out
     return run
 
 
-def _check(words: int, percent: int):
-    """Pairs of texts whose sets link: exact intersection of sorted arrays."""
+CANDIDATE_SCHEMA = "a long, b long, tile long, hub long, edges int"
+
+
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (tile, name, n, pos, component) sorted by tile, the tiles of several components."""
+    held = None
+    for last, batch in ((False, b) for b in batches):
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        tile = held.column("tile").to_numpy()
+        if not len(tile) or tile[0] == tile[-1]:
+            continue
+        cut = int(np.flatnonzero(tile != tile[-1])[-1]) + 1
+        yield from _mixed(held.slice(0, cut))
+        held = held.slice(cut)
+    if held is not None and held.num_rows:
+        yield from _mixed(held)
+
+
+def _mixed(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    tile, part = table.column("tile").to_numpy(), table.column("component").to_numpy()
+    first = np.flatnonzero(np.append(True, tile[1:] != tile[:-1]))
+    several = np.minimum.reduceat(part, first) != np.maximum.reduceat(part, first)
+    keep = np.repeat(several, np.diff(np.append(first, len(tile))))
+    yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def _arrays(words: int):
+    """The sorted grams of every text, as bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, off in slices(batch, "text"):
+                h, at = gram_sets(raw, off, words)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["name", "grams"])
+    return run
+
+
+def _check(percent: int):
+    """Pairs whose sets link: exact intersection of sorted arrays."""
+    def links(x: np.ndarray, y: np.ndarray) -> bool:
+        if len(x) > len(y):
+            x, y = y, x
+        both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, off in slices(batch, "text_a"):
-                other, other_off = flat_bytes(rows.column(3))
-                ha, ia = gram_sets(raw, off, words)
-                hb, ib = gram_sets(other, other_off, words)
-                keep = np.zeros(rows.num_rows, bool)
-                for i in range(rows.num_rows):
-                    x, y = ha[ia[i]:ia[i + 1]], hb[ib[i]:ib[i + 1]]
-                    if len(x) > len(y):
-                        x, y = y, x
-                    spot = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    both = int((y[spot] == x).sum())
-                    keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([rows.column(0).filter(pa.array(keep)), rows.column(1).filter(pa.array(keep))], names=["a", "b"])
+            sets = zip(batch.column(2), batch.column(3), strict=True)
+            keep = pa.array([links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in sets], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
     return run
 
 
@@ -308,11 +419,19 @@ class _Join:
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.words, self.percent = words, percent
         self.docs = docs
-        common, rank = _common_grams(docs, words)
-        self.sets = stored(docs.mapInArrow(_sets(words, percent, common, rank), SET_SCHEMA), "sets")
-        full = self.sets.where("prefix is not null")
-        self.classes = stored(full.groupBy("name").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("doc", "th")).alias("at")), "classes")
+        ranks, hot = gram_ranks(docs, words)
+        held = docs.sparkSession.sparkContext.broadcast(ranks)  # SLOTS bytes
+        self.sets = stored(docs.mapInArrow(_sets(words, percent, held, hot), SET_SCHEMA), "sets")
+        while True:
+            full = self.sets.where("prefix is not null")
+            self.classes = stored(full.groupBy("name").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct("doc", "th")).alias("at"), F.min("twin").alias("t0"), F.max("twin").alias("t1")), "classes")
+            clash = self.classes.where("t0 <> t1").select("name", F.lit(True).alias("clash"))
+            if clash.isEmpty():
+                break
+            # different sets of one 64-bit name: another name for each
+            self.sets = stored(self.sets.join(clash, "name", "left").withColumn("name", F.when(F.col("clash"), F.xxhash64("name", "twin")).otherwise(F.col("name"))).drop("clash"), "sets")
         self.links = None
+        self.linked = 0
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
@@ -321,106 +440,109 @@ class _Join:
         wanted = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
         wanted = stored(wanted.join(self.classes, "name").select("name", F.col("at.doc").alias("d"), F.col("at.th").alias("k")), "wanted", 2 * n)
         same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("k"))
-        docs = self.docs
-        if wanted.count() <= BROADCAST_ROWS:
-            docs = docs.join(F.broadcast(wanted.select("d", "k")), same, "left_semi")
-        texts = docs.join(wanted, same).groupBy("name").agg(F.first("text").alias("text"))
-        texts = stored(texts, "texts", 2 * n, 2000)
-        a, b = (texts.select(F.col("name").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return stored(both.mapInArrow(_check(self.words, self.percent), "a long, b long"), "links", n, 2000)
+        few = wanted.count() <= BROADCAST_ROWS
+        texts = self.docs.join(F.broadcast(wanted) if few else wanted, same).select("name", "text")
+        arrays = stored(texts.mapInArrow(_arrays(self.words), "name long, grams binary"), "arrays").groupBy("name").agg(F.first("grams").alias("grams"))
+        a, b = (arrays.select(F.col("name").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
+        both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b")
+        return stored(both.mapInArrow(_check(self.percent), "a long, b long"), "links", n, 2000)
 
     def add(self, links: DataFrame) -> None:
         self.links = links if self.links is None else self.links.unionByName(links)
         self.parts = stored(connected_components(self.links), "components")
+        self.linked = self.parts.count()
 
     def part_of(self, df: DataFrame, name: str, out: str) -> DataFrame:
+        if not self.linked:
+            return df.withColumn(out, F.col(name))
         p = self.parts.select(F.col("node").alias(name), F.col("component").alias("__p"))
+        p = F.broadcast(p) if self.linked <= BROADCAST_ROWS else p
         return df.join(p, name, "left").withColumn(out, F.coalesce("__p", name)).drop("__p")
 
-    def stars(self, keyed: DataFrame, turn: int) -> None:
-        """Links between components that share keys (key, name): one class of each
-        component is compared with one class of the group.  Rows stay linear in
-        ``keyed``; a dense group is one component after a few turns."""
-        rows = self.part_of(keyed, "name", "part") if self.links is not None else keyed.withColumn("part", F.col("name"))
-        pick = F.struct(F.xxhash64("name", "key", F.lit(turn)).alias("h"), "name")
-        one = stored(rows.groupBy("key", "part").agg(F.min(pick)["name"].alias("name")), "ones")
-        lead = one.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("part", "key", F.lit(turn)).alias("h"), "part", "name")).alias("l")).where("c > 1")
-        lead = stored(lead.select("key", F.col("l.part").alias("lead_part"), F.col("l.name").alias("lead")), "leaders")
-        pairs = one.join(lead, "key").where("part <> lead_part").select(F.least("name", "lead").alias("a"), F.greatest("name", "lead").alias("b"), F.col("name").alias("mine")).dropDuplicates(["a", "b"])
-        best = F.row_number().over(Window.partitionBy("mine").orderBy("far", "a", "b"))
-        self.add(self.verified(self.bounded(pairs).withColumn("r", best).where("r <= 2").select("a", "b")))
-
-    def bounded(self, pairs: DataFrame) -> DataFrame:
-        """Pairs that sizes and bitmaps allow, with far: the share of bits that differ."""
-        c = self.classes
-        both = pairs.join(c.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(c.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-        percent, extra = self.percent, [f for f in pairs.columns if f not in ("a", "b")]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                na, nb = batch.column("n_a").to_numpy().astype(np.int64), batch.column("n_b").to_numpy().astype(np.int64)
-                differ = np.array([difference_bits([x], [y])[0, 0] for x, y in zip(batch.column("sig_a").to_pylist(), batch.column("sig_b").to_pylist(), strict=True)], np.int64)
-                ok = ((100 + percent) * (na + nb - differ) >= 2 * percent * (na + nb)) & may_link(na, nb, percent)
-                keep = pa.array(ok)
-                yield pa.RecordBatch.from_arrays([batch.column(f).filter(keep) for f in ("a", "b", *extra)] + [pa.array(differ / (na + nb)).filter(keep)], names=["a", "b", *extra, "far"])
-
-        both = both.select("a", "b", *extra, "n_a", "n_b", "sig_a", "sig_b")
-        return both.mapInArrow(run, ", ".join(f"{f} long" for f in ("a", "b", *extra)) + ", far double")
-
-    def candidates(self, grouped: DataFrame, every: bool) -> DataFrame:
-        """a, b, pa, pb, far: pairs of different components that the bounds allow; of
-        large groups only the best of every two components unless ``every``."""
-        small = grouped.where("b is not null").select("a", "b").distinct()
-        small = self.part_of(self.part_of(small, "a", "pa"), "b", "pb").where("pa <> pb")
-        small = self.bounded(small)
-        members = self.part_of(grouped.where("b is null").select("gram", F.col("a").alias("name"), "n").distinct(), "name", "component")
-        members = stored(members, "members")
-        mixed = stored(members.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram"), "mixed")
+    def compared(self, rows: DataFrame, forest: bool = False, every: bool = False) -> DataFrame:
+        """Candidates of tiles (tile, side, name, n, pos, sig)."""
+        rows = self.part_of(rows, "name", "component").select("tile", "side", "name", "n", "pos", "component", "sig")
+        return stored(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(self.percent, forest, every), CANDIDATE_SCHEMA), "candidates")
+
+    def pairs(self, found: DataFrame) -> DataFrame:
+        return found.where("a is not null").select("a", "b").distinct()
+
+    def first_tiles(self) -> None:
+        """Links between classes that share keys.  Large groups are cut into blocks; the
+        classes with most edges of all blocks are then shown to every block."""
+        keyed = self.sets.where("keys is not null").select("name", F.explode("keys").alias("key")).distinct()
+        shared = stored(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
+        block = F.pmod(F.xxhash64("name", "key"), F.ceil(F.col("c") / TILE)).cast("int")
+        rows = stored(keyed.join(shared, "key").select("key", "name", (F.col("c") > TILE).alias("large"), F.xxhash64("key", block).alias("tile")), "keyed")
+        shown = lambda x: x.join(self.classes.select("name", "n", "sig"), "name").select("tile", F.lit(0).alias("side"), "name", "n", F.lit(0).alias("pos"), "sig")
+        found = self.compared(shown(rows), forest=True)
+        self.add(self.verified(self.pairs(found)))
+        blocks = stored(rows.where("large").select("key", "tile").distinct(), "blocks")
+        leaders = found.where("hub is not null").join(blocks, "tile").groupBy("key").agg(F.expr(f"slice(sort_array(collect_list(struct(edges, hub)), false), 1, {LEADERS})").alias("l"))
+        leaders = stored(leaders.select("key", F.explode("l.hub").alias("name")), "leaders")
+        if leaders.isEmpty():
+            return
+        more = leaders.join(blocks, "key").select("key", "name", F.lit(True).alias("large"), "tile")
+        again = rows.where("large").unionByName(more).dropDuplicates(["tile", "name"])
+        self.add(self.verified(self.pairs(self.compared(shown(again), forest=True))))
+
+    def members(self) -> DataFrame:
+        """tile, side, name, n, pos, sig: classes that share a gram of their prefixes, by tile."""
+        rows = self.sets.where("prefix is not null").select("name", "n", F.size("prefix").alias("m"), "hot", F.posexplode("prefix").alias("pos", "gram"))
+        hot = F.col("pos") >= F.col("m") - F.col("hot")
+        cold = rows.where(~hot).select("gram", "name", "n", "pos").repartition("gram").sortWithinPartitions("gram")
+        grouped = stored(cold.mapInArrow(_groups(self.percent), MEMBER_SCHEMA), "grouped")
+        small = self.part_of(grouped.where("not large"), "name", "component").select("tile", "name", "n", "pos", "component")
+        small = small.repartition("tile").sortWithinPartitions("tile").mapInArrow(_several, small.schema)
+        small = small.select("tile", F.lit(0).alias("side"), "name", "n", "pos")
+        large = grouped.where("large").select(F.col("tile").alias("gram"), "name", "n", "pos").unionByName(rows.where(hot).select("gram", "name", "n", "pos"))
+        tiles = stored(small.unionByName(self.blocks(large)), "tiles")
+        return stored(tiles.join(self.classes.select("name", "sig"), "name").select("tile", "side", "name", "n", "pos", "sig"), "tiles")
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """Tiles of large groups: bands of size, cut to blocks; a block meets those of its own band and of the next."""
+        rows = stored(self.part_of(rows.distinct(), "name", "component"), "large")
+        mixed = stored(rows.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram"), "mixed")
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / self.percent) + 1e-9)).cast("int")
-        members = stored(members.join(mixed, "gram").withColumn("band", band), "members")
-        counts = members.groupBy("gram", "band").agg(F.count("*").alias("c"))
-        blocks = stored(counts.select("gram", "band", F.ceil(F.col("c") / TILE).cast("int").alias("m")), "blocks")
-        nxt = blocks.select("gram", (F.col("band") - 1).alias("band"), F.col("m").alias("m_next"))
-        prev = blocks.select("gram", (F.col("band") + 1).alias("band"), F.col("m").alias("m_prev"))
-        shape = stored(blocks.join(nxt, ["gram", "band"], "left").join(prev, ["gram", "band"], "left").na.fill(0), "shape")
-        rows = members.join(shape, ["gram", "band"]).withColumn("own", F.pmod(F.xxhash64("name"), F.col("m")).cast("int"))
+        rows = stored(rows.join(mixed, "gram", "left_semi").withColumn("band", band), "large")
+        counts = stored(rows.groupBy("gram", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("m")), "bands")
+        nxt = counts.select("gram", (F.col("band") - 1).alias("band"), F.col("m").alias("m_next"))
+        prev = counts.select("gram", (F.col("band") + 1).alias("band"), F.col("m").alias("m_prev"))
+        shape = stored(counts.join(nxt, ["gram", "band"], "left").join(prev, ["gram", "band"], "left").na.fill(0), "shape")
+        rows = rows.join(shape, ["gram", "band"]).withColumn("own", F.pmod(F.xxhash64("name"), F.col("m")).cast("int"))
         upto = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
         tile = lambda band, i, j, kind, side: F.struct(band.alias("band"), i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), side.cast("int").alias("side"))
         own, b = F.col("own"), F.col("band")
         inside = F.transform(upto(F.col("m")), lambda j: tile(b, F.least(own, j), F.greatest(own, j), 0, F.when(own > j, 1).otherwise(0)))
         above = F.transform(upto(F.col("m_next")), lambda j: tile(b, own, j, 1, F.lit(0)))
         below = F.transform(upto(F.col("m_prev")), lambda j: tile(b - 1, j, own, 1, F.lit(1)))
-        spread = rows.select("gram", "name", "n", "component", F.explode(F.concat(inside, above, below)).alias("t")).select("gram", "name", "n", "component", "t.*")
-        spread = spread.join(self.classes.select("name", "sig"), "name")
-        spread = spread.select(F.xxhash64("gram", "band", "i", "j", "kind").alias("tile"), "side", "name", "n", "component", "sig")
-        large = spread.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(self.percent, every), "a long, b long, far double")
-        large = large.groupBy("a", "b").agg(F.min("far").alias("far"))
-        large = self.part_of(self.part_of(large, "a", "pa"), "b", "pb").select("a", "b", "pa", "pb", "far")
-        return stored(small.unionByName(large).dropDuplicates(["a", "b"]), "candidates")
+        spread = rows.select("gram", "name", "n", "pos", F.explode(F.concat(inside, above, below)).alias("t"))
+        return spread.select(F.xxhash64("gram", "t.band", "t.i", "t.j", "t.kind").alias("tile"), "t.side", "name", "n", "pos")
 
     def run(self) -> None:
-        keyed = self.sets.where("keys is not null").select("name", F.explode("keys").alias("key"))
-        for turn in range(TURNS):
-            self.stars(keyed, turn)
-        rows = self.sets.where("prefix is not null").select(F.explode("prefix").alias("gram"), "name", "n")
-        grouped = stored(rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(_groups(self.percent), "gram long, a long, b long, n int"), "grouped")
-        self.stars(grouped.where("b is null").select(F.col("gram").alias("key"), F.col("a").alias("name")), TURNS)
+        self.first_tiles()
+        tiles = self.members()
+        found = self.compared(tiles)
         while True:  # ends: every turn but the last joins components
-            found = self.candidates(grouped, every=False)
-            first = F.row_number().over(Window.partitionBy(F.least("pa", "pb"), F.greatest("pa", "pb")).orderBy("far", "a", "b"))
-            links = self.verified(found.withColumn("r", first).where("r <= 3").select("a", "b"))
-            if links.isEmpty():
+            links = self.verified(self.pairs(found))
+            joined = not links.isEmpty()
+            if joined:
+                self.add(links)
+            again = found.where("tile is not null").select("tile").distinct()
+            if again.isEmpty():
+                return
+            tiles = tiles.join(again, "tile", "left_semi")
+            if not joined:
                 break
-            self.add(links)
-        rest = self.verified(self.candidates(grouped, every=True).select("a", "b"))
+            found = self.compared(tiles)
+        rest = self.verified(self.pairs(self.compared(tiles, every=True)))
         if not rest.isEmpty():
             self.add(rest)
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """doc, th (text hash), n_shingles, name (of the set) and label (name of the component) of every row."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("th"), F.col(text_col).alias("text"))
     join = _Join(base, words, percent)
     join.run()
     return join.part_of(join.sets.select("doc", "th", F.col("n").cast("long").alias("n_shingles"), "name"), "name", "label")
@@ -445,7 +567,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     kept = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th"))
     some = keys.join(first, "label").select(F.col("doc").alias(d), F.col("th").alias(k), kept.alias("kept"), "c")
     some = stored(some.where("not kept or c > 1"), "gone")  # of repeated rows one comes back below
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(text_col) == F.col(k))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (text_key(text_col) == F.col(k))
     out = docs.join(some.select(d, k), same, "left_anti")
     repeated = some.where("kept").select(d, k)
     if repeated.isEmpty():
