@@ -20,7 +20,9 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """The contract's columns and the text that is left."""
+    cut = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), with_text=True)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))
 
 
 def op4_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

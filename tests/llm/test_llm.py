@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from quillspark.llm import adaptive_scan, boosted_trees, jaccard_join, language_mixture, packing, quality_rules, registry, secrets, suffix_dedup, unigram, url_filter
+from quillspark.llm import adaptive_scan, boosted_trees, common, jaccard_join, language_mixture, packing, quality_rules, registry, secrets, suffix_dedup, unigram, url_filter
 from quillspark.llm.bpe import Encoder, vocabulary_path
 from quillspark.llm.components import connected_components
 
@@ -64,17 +64,66 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(frame(spark, []).where("false")).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "length"), [(2, 40), (3, 64), (4, 33)])
-def test_suffix_dedup_of_other_lengths(spark, seed, length):
+@pytest.mark.parametrize(("seed", "length", "bucket"), [(2, 40, 512), (3, 64, 512), (4, 33, 512), (5, 40, 2), (6, 64, 1)])
+def test_suffix_dedup_of_other_lengths(spark, seed, length, bucket):
+    """Buckets within and beyond the limit of a task."""
     rng = random.Random(seed)
     rows = [(i, "".join(rng.choice("ab") if rng.random() < 0.3 else "abcdefgh"[(j * 7 + i % 3) % 8] for j in range(rng.randint(0, 400)))) for i in range(25)]
-    spans = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), length=length, gram=16, period=8)
+    spans = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), length=length, gram=16, period=8, bucket=bucket)
     found = {r.doc: r.spans for r in spans.collect()}
     for (d, t), (_, removed, n_spans, _, _) in zip(rows, brute.repeats([t for _, t in rows], length), strict=True):
         a, z = suffix_dedup.merge_spans(np.array([s.lo for s in found.get(d, [])], int), np.array([s.hi for s in found.get(d, [])], int))
         assert (int(sum(z) - sum(a)), len(a)) == (removed, n_spans)
 
 
+def thue_morse(turns=10):
+    """Two words of 1024 bytes that collide in every polynomial modulo 2**64 with an odd base."""
+    word = "A"
+    for _ in range(turns):
+        word += word.translate(str.maketrans("AB", "BA"))
+    return word, word.translate(str.maketrans("AB", "BA"))
+
+
+def test_words_that_collide_in_polynomials(spark):
+    a, b = thue_morse()
+    rows = [(1, a), (2, b), (3, f"{a} {b} {a} {b}"), (4, f"{a}\n{b}\n{a}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {d: w[:4] for (d, _), w in zip(rows, brute.repeats([t for _, t in rows]), strict=True)}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()} == want
+    for d, ids in zip((1, 2), ids_by_tokenizers([a, b]), strict=True):
+        pieces = packing.pack_by_cost(docs, with_ids=True).where(F.col("doc_id") == d).orderBy("start").collect()
+        assert b"".join(bytes(r.ids) for r in pieces) == ids.tobytes()
+        segments = packing.unpack(packing.packed_matrices(docs)).where(F.col("doc_id") == d).orderBy("start").collect()
+        assert b"".join(bytes(r.ids) for r in segments) == ids.tobytes()
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.judge(docs, labels).collect()) == [(d, *brute.counts(t)) for d, t in rows]
+    got = jaccard_join.components(docs).collect()
+    assert [(r.n_shingles, r.component_id) for r in sorted(got)] == brute.linked_components([d for d, _ in rows], [t for _, t in rows])
+    assert {r.doc_id: r.decoded for r in unigram.encode_texts(docs, with_ids=True).collect()} == dict(rows)
+
+
+def test_hash_collisions_are_settled_by_bytes(monkeypatch):
+    monkeypatch.setattr(common, "span_hashes", lambda raw, start, end: np.zeros(len(start), np.uint64))
+    raw = np.frombuffer(b"ab cd ab cde", np.uint8)
+    one, which = common.distinct_spans(raw, np.array([0, 3, 6, 9]), np.array([2, 5, 8, 12]))
+    assert which[0] == which[2] and len(set(which.tolist())) == 3 and [which[i] for i in one] == [0, 1, 2]
+
+
+def test_equal_and_null_ids_are_told_apart(spark):
+    """Texts of one 32-bit hash without ids: only the copied one loses its text."""
+    texts = spark.range(300_000).select(F.concat_ws(" ", *(F.xxhash64("id", F.lit(i)).cast("string") for i in range(25))).alias("text"))
+    a, b = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("x")).where("size(x) > 1").first().x[:2]
+    got = suffix_dedup.remove_repeats(frame(spark, [(None, a), (None, b), (5, b)])).collect()
+    assert sorted((r.n_removed, r.n_bytes) for r in got) == sorted([(0, len(a)), (len(b), len(b)), (len(b), len(b))])
+
+
+def test_difference_cover():
+    for period in (8, 32):
+        on, meet = suffix_dedup.difference_cover(period)
+        i, j = np.indices((period, period))
+        assert on[(i + meet) % period].all() and on[(j + meet) % period].all() and on.sum() < period / 2 + 1
+
+
 def test_jaccard_join(spark):
     rows = corpus(5, 90)
     want = [(d, *w) for (d, _), w in zip(rows, brute.linked_components([d for d, _ in rows], [t for _, t in rows]), strict=True)]
@@ -106,10 +155,11 @@ def test_keep_one_tells_null_ids_apart(spark):
     assert sorted(kept, key=key) == sorted([(1, a), (None, b)], key=key)
 
 
-def test_jaccard_join_with_large_groups(spark, monkeypatch):
-    """Groups over the small limit go through tiles of several blocks."""
-    monkeypatch.setattr(jaccard_join, "SMALL", 3)
+@pytest.mark.parametrize("hot", [0, 1 << 14])
+def test_jaccard_join_with_large_groups(spark, monkeypatch, hot):
+    """Groups that are hot, or larger than a tile, are cut into bands and blocks."""
     monkeypatch.setattr(jaccard_join, "TILE", 4)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -411,7 +461,7 @@ def test_pipeline(spark):
     rows = [(r.doc_id, r.text) for r in one.collect()]
     cut = stages["repeated_passages"](spark, one, sf)
     left = {r.doc_id: r.text for r in cut.collect()}
-    assert left == {d: b[4].decode("utf-8", "ignore") for (d, _), b in zip(rows, brute.repeats([t for _, t in rows]), strict=True)}
+    assert left == {d: b[4].decode("utf-8", "ignore") for (d, _), b in zip(rows, brute.repeats([t for _, t in rows], corpus_pipeline.PASSAGE), strict=True)}
     masked = stages["hidden_secrets"](spark, cut, sf)
     assert masked.columns == docs.columns and not any(brute.secrets(r.text) for r in masked.collect())
     assert {r.doc_id for r in stages["packed"](spark, masked, sf).collect()} == set(left)
