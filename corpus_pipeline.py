@@ -25,10 +25,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard_join.keep_one(docs)
 
 
+#: Bytes of a string that counts as a repeated passage: passages of 50 words are 260 bytes
+#: and more.  (The query of the operator alone is held to 400.)
+PASSAGE, PASSAGE_GRAM = 240, 32
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Text covered by 400-byte strings that start elsewhere too is cut out; a document
-    of which nothing is left stays as an empty one."""
-    cut = suffix_dedup.remove_repeats(docs, carry=True, with_text=True)
+    """Text covered by strings of ``PASSAGE`` bytes that start elsewhere too is cut out, every
+    copy of it, as the operator does; a document of which nothing is left stays as an empty one."""
+    cut = suffix_dedup.remove_repeats(docs, length=PASSAGE, gram=PASSAGE_GRAM, carry=True, with_text=True)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return cut.select(*((new[c] if c in new else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns))
 
