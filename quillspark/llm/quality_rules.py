@@ -8,7 +8,8 @@ and travel to the tasks as small node arrays.
 Defined cases: a null text has no words and fails the limits; a null id is kept as
 it is and has no label; rows of one id are judged each on its own; of labels that
 contradict each other for one id the higher counts; without labels of both kinds
-the limits alone decide; other columns are passed by.
+the limits alone decide; texts of any length are taken whole; documents of equal score
+are judged alike; an empty table gives an empty result; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -45,12 +46,6 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def with_stats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, the counts and the features of every document."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(_stats, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<float>")
-
-
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> boosted_trees.Trees:
     """Trees for ``labels`` (doc_id, quality) over at most ``rows`` labelled documents;
     if these are all of one kind, a model that gives every document 1."""
@@ -67,21 +62,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return boosted_trees.fit(x, y, {FEATURES.index(k): v for k, v in MONOTONE.items()})
 
 
-def _score(model: boosted_trees.Trees):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.names.index("features")
-            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + [pa.array(model.predict(x))], names=[batch.schema.names[i] for i in keep] + ["score"])
-    return run
-
-
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, the counts, base_failed, score (probability of good quality), kept."""
     model = fit_quality(docs, labels, id_col, text_col, train_rows)
-    out = with_stats(docs, id_col, text_col).mapInArrow(_score(model), "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double")
-    return verdict(out, keep_from)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, off in slices(batch, "text"):
+                counts, features = text_stats(raw, off)
+                yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(counts[c]) for c in COUNTS), pa.array(model.predict(features))], names=["doc_id", *COUNTS, "score"])
+
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return verdict(base.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"), keep_from)
 
 
 def verdict(scored: DataFrame, keep_from: float) -> DataFrame:
