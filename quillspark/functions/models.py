@@ -53,6 +53,136 @@ def embedded(text: Column, model: Embedder | None = None) -> Column:
     return run(text)
 
 
+class Generator(Protocol):
+    """Answers to (system message, question) pairs, a batch at a time."""
+
+    def generate(self, systems: list[str], questions: list[str]) -> list[str]: ...
+
+
+class FirstSource:
+    """Offline stand-in: the first source's first line answers."""
+
+    def generate(self, systems: list[str], questions: list[str]) -> list[str]:
+        def one(system: str) -> str:
+            lines = system.partition("Context:\n")[2].split("\n")
+            return next((x.strip() for x in lines[1:] if x.strip()), "")
+
+        return [one(s) for s in systems]
+
+
+def generated(system: Column, question: Column, model: Generator | None = None) -> Column:
+    """The model's answers; null where the system message is null (no call is made)."""
+    model = model or FirstSource()
+
+    @F.pandas_udf(T.StringType())
+    def run(s: pd.Series, q: pd.Series) -> pd.Series:
+        some = s.notna()
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        if some.any():
+            out[some] = model.generate(s[some].tolist(), q[some].fillna("").tolist())
+        return out
+
+    return run(system, question)
+
+
+class Tracker(Protocol):
+    """Tracks (id and boxes) of a segment's frames."""
+
+    def track(self, frames: list[dict]) -> list[dict]: ...
+
+
+class Vision(Protocol):
+    """A reply about frames for a prompt."""
+
+    def describe(self, frames: list[dict], prompt: str) -> str: ...
+
+
+class Deblurrer(Protocol):
+    """A frame made sharper."""
+
+    def sharpen(self, frame: dict) -> dict: ...
+
+
+class NoTracker:
+    def track(self, frames: list[dict]) -> list[dict]:
+        return []
+
+
+class NoVision:
+    def describe(self, frames: list[dict], prompt: str) -> str:
+        return ""
+
+
+class NoDeblurrer:
+    def sharpen(self, frame: dict) -> dict:
+        return frame
+
+
+#: Stand-ins that do nothing, for names that are unknown or can't be made.
+NOTHING: dict[str, Callable[[], object]] = {"tracker": NoTracker, "vision": NoVision, "deblurrer": NoDeblurrer}
+
+
+def made(kind: str, name: str | None, known: dict[str, Callable[[], object]]) -> object:
+    """The backend of that name, else (unknown, or it can't be made) the one that does nothing."""
+    try:
+        return known[name or ""]()
+    except Exception:
+        return NOTHING[kind]()
+
+
+class Chat(Protocol):
+    """One turn of a conversation: the names and arguments of tools to call, or an answer."""
+
+    def turn(self, messages: list[dict], tools: list[str]) -> dict: ...
+
+
+def react(model: Chat, tools: dict[str, Callable[[str], str]], question: str, most: int = 10) -> list[dict]:
+    """Messages of a loop of model and tools, until the model calls none; more than ``most`` turns are an error.
+    An unknown tool's reply says so."""
+    messages = [{"role": "user", "content": question}]
+    for _ in range(most):
+        reply = model.turn(messages, sorted(tools))
+        messages.append({"role": "assistant", **reply})
+        if not reply.get("calls"):
+            return messages
+        for name, argument in reply["calls"]:
+            messages.append({"role": "tool", "name": name, "content": tools[name](argument) if name in tools else f"unknown tool: {name}"})
+    raise RuntimeError(f"no answer after {most} turns")
+
+
+def bound_tools(factories: dict[str, Callable[[int, int], Callable[[str], str]]], agent_id: int, user_id: int, names: list[str]) -> dict[str, Callable[[str], str]]:
+    """Tools of one agent and user, made by their factories; unknown names are left out."""
+    return {n: factories[n](agent_id, user_id) for n in names if n in factories}
+
+
+class ToolServer(Protocol):
+    """A remote server's tools: their names, and a call from string to string."""
+
+    def names(self) -> list[str]: ...
+
+    def call(self, name: str, argument: str) -> str: ...
+
+
+def discovered(servers: list[ToolServer]) -> dict[str, Callable[[str], str]]:
+    """Tools of all servers by name (the first of equal names); a server that can't be reached has none,
+    and a call that fails answers with its error."""
+    out: dict[str, Callable[[str], str]] = {}
+    for server in servers:
+        try:
+            names = server.names()
+        except Exception:
+            continue
+        for name in names:
+            def call(argument: str, server: ToolServer = server, name: str = name) -> str:
+                try:
+                    return server.call(name, argument)
+                except Exception as e:
+                    return f"error: {e}"
+
+            out.setdefault(name, call)
+    return out
+
+
 class Tools:
     """Functions by name: columns to a column.  Unknown names are left out."""
 

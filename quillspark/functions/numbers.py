@@ -89,3 +89,13 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; null if a vector is all zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+
+
+def frame_index(t: Column, fps: Column) -> Column:
+    """The frame at a time, halves to even."""
+    return F.bround(t * fps).cast("long")
+
+
+def frame_duration(frames: Column, fps: Column) -> Column:
+    """Seconds of a video; 0 without a rate."""
+    return F.when(fps > 0, frames / fps).otherwise(F.lit(0.0))

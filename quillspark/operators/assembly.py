@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator
+from typing import Protocol
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -175,11 +177,101 @@ def office_runs(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, seq int, id string, text string")
 
 
+def docx_paragraphs(content: bytes) -> str:
+    """Paragraphs, blank ones too, joined by a blank line."""
+    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{_W}body")
+    return "\n\n".join("".join(_texts(run, f"{_W}t") for run in par.findall(f"{_W}r")) for par in body.findall(f"{_W}p"))
+
+
+class PdfReader(Protocol):
+    """Pages' texts and the information of a PDF; a library or service stands behind it."""
+
+    def pages(self, content: bytes) -> list[str]: ...
+
+    def information(self, content: bytes) -> dict[str, str]: ...
+
+
+class PlainPdf:
+    """Offline stand-in: literal strings of uncompressed content streams, a page for each, and the plain entries of the information."""
+
+    def pages(self, content: bytes) -> list[str]:
+        streams = re.findall(rb"stream\r?\n(.*?)endstream", content, re.S)
+        shown = (re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*Tj", s) for s in streams)
+        return [" ".join(re.sub(rb"\\(.)", rb"\1", x).decode("latin-1") for x in page) for page in shown]
+
+    def information(self, content: bytes) -> dict[str, str]:
+        return {k.decode(): v.decode("latin-1") for k, v in re.findall(rb"/(Author|Title|CreationDate|ModDate)\s*\(((?:[^()\\]|\\.)*)\)", content)}
+
+
+def pdf_text(content: bytes, reader: PdfReader | None = None) -> str:
+    """Pages that are not empty, joined by a blank line; the empty text if it can't be read."""
+    try:
+        return "\n\n".join(p for p in (reader or PlainPdf()).pages(content) if p.strip())
+    except Exception:
+        return ""
+
+
+def extracted(files: DataFrame, pdf: PdfReader | None = None) -> DataFrame:
+    """path, file_type, text, error of binaryFile rows (path, content), by the file's ending:
+    pdf, text and markdown (strict UTF-8) and docx; anything else, or a file that can't be read, is an error."""
+    def one(path: str, content: bytes) -> tuple[str, str | None, str | None]:
+        kind = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+        try:
+            if kind == "pdf":
+                return kind, pdf_text(content, pdf), None
+            if kind in ("txt", "md", "markdown"):
+                return kind, content.decode("utf-8"), None
+            if kind == "docx":
+                return kind, docx_paragraphs(content), None
+        except (UnicodeDecodeError, zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as e:
+            return kind, None, str(e)
+        return kind, None, f"Unsupported file type: {kind}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            rows = [one(p, c or b"") for p, c in zip(paths, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *(pa.array([r[i] for r in rows], pa.string()) for i in range(3))], names=["path", "file_type", "text", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, file_type string, text string, error string")
+
+
+def pdf_information(files: DataFrame, reader: PdfReader | None = None) -> DataFrame:
+    """path, information (map of Author, Title, CreationDate, ModDate, stripped; missing ones left out)."""
+    reader = reader or PlainPdf()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [[(k, v.strip()) for k, v in reader.information(c or b"").items() if v.strip()] for c in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(maps, pa.map_(pa.string(), pa.string()))], names=["path", "information"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, information map<string,string>")
+
+
+def table_embed_text(caption: Column, markdown: Column) -> Column:
+    """Caption, a blank line and the table; the table alone without a caption."""
+    return F.when(F.coalesce(strip(caption), F.lit("")) != "", F.concat(caption, F.lit("\n\n"), F.coalesce(markdown, F.lit("")))).otherwise(F.coalesce(markdown, F.lit("")))
+
+
+def tracks_json(tracks: Column) -> Column:
+    """JSON of an array of tracks; ``[]`` for none."""
+    return F.when(F.coalesce(F.size(tracks), F.lit(0)) > 0, F.to_json(tracks)).otherwise(F.lit("[]"))
+
+
+def frame_detections(detections: DataFrame) -> DataFrame:
+    """video_id, t, detections: JSON of the boxes (track_id, x, y, w, h) of every frame, by track."""
+    box = F.struct("track_id", "x", "y", "w", "h")
+    return detections.groupBy("video_id", "t").agg(F.to_json(F.array_sort(F.collect_list(box))).alias("detections"))
+
+
 # --- small figures -------------------------------------------------------------------------------
 
 def pipeline_summary(segments: DataFrame) -> DataFrame:
-    """segments, avg_frames (one decimal, 0 without segments) and tracks in all."""
-    return segments.agg(F.count("*").alias("segments"), F.coalesce(F.round(F.avg(F.size("frame_times")), 1), F.lit(0.0)).alias("avg_frames"), F.coalesce(F.sum(F.size("tracks")), F.lit(0)).alias("tracks"))
+    """segments, avg_frames (one decimal, 0 without segments), tracks in all, and elapsed
+    seconds from the first start to the last end where segments have started and ended."""
+    timed = {"started", "ended"} <= set(segments.columns)
+    elapsed = [F.round(F.unix_micros(F.max("ended")) / 1e6 - F.unix_micros(F.min("started")) / 1e6, 3).alias("elapsed")] if timed else []
+    return segments.agg(*elapsed, F.count("*").alias("segments"), F.coalesce(F.round(F.avg(F.size("frame_times")), 1), F.lit(0.0)).alias("avg_frames"), F.coalesce(F.sum(F.size("tracks")), F.lit(0)).alias("tracks"))
 
 
 def every_nth(rows: DataFrame, n: int, index: str = "segment_idx") -> DataFrame:

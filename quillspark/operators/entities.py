@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import checkpointed
+
 # Kinds of entities and their patterns, in the order in which they are tried.
 PATTERNS = [
     ("person", r"\b[A-Z][a-z]+ [A-Z][a-z]+\b"),
@@ -28,11 +30,13 @@ SAME_FROM = 0.85
 
 
 def mentions(docs: DataFrame, key: str = "doc_id", text: str = "text", kinds: list[str] | None = None) -> DataFrame:
-    """key, pattern_no, match_no, entity, entity_type of every match."""
+    """key, pattern_no, match_no, entity, entity_type of every match; letters, digits and
+    blanks of any script count as such at word bounds."""
     found = None
     for no, (kind, pattern) in enumerate(PATTERNS):
         if kinds and kind not in kinds:
             continue
+        pattern = "(?U)" + pattern
         hits = docs.where(F.col(text).rlike(pattern)).select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("match_no", "m"))
         hits = hits.select(key, F.lit(no).alias("pattern_no"), "match_no", F.regexp_replace("m", r"(?U)^\s+|\s+$", "").alias("entity"), F.lit(kind).alias("entity_type"))
         found = hits if found is None else found.unionByName(hits)
@@ -71,33 +75,83 @@ def similarity(a: str, b: str) -> float:
     return SequenceMatcher(None, a.lower(), b.lower()).ratio()
 
 
+def _letters(names: list[str]) -> np.ndarray:
+    """How often each of 64 character classes occurs in every name."""
+    out = np.zeros((len(names), 64), np.int16)
+    for i, name in enumerate(names):
+        np.add.at(out[i], np.frombuffer(name.lower().encode("utf-32-le"), np.uint32) % 64, 1)
+    return out
+
+
+class _Leaders:
+    """Canonical names of one turn, searched for the most similar one of a name."""
+
+    def __init__(self, same_from: float):
+        self.same_from, self.name, self.seq = same_from, [], []
+        self.letters = np.zeros((0, 64), np.int16)
+
+    def add(self, name: str, seq: int) -> None:
+        self.name.append(name)
+        self.seq.append(seq)
+        self.letters = np.concatenate([self.letters, _letters([name])])
+
+    def best(self, name: str, seq: int, letters: np.ndarray) -> tuple[float, int, str] | None:
+        """(ratio, -seq, name) of the most similar leader of smaller seq, from ``same_from`` on."""
+        if not self.name:
+            return None
+        size = self.letters.sum(1) + letters.sum()
+        reach = 2 * np.minimum(self.letters, letters).sum(1) / np.maximum(size, 1)  # no ratio is larger
+        found = None
+        for i in np.flatnonzero(reach >= self.same_from - 1e-9).tolist():
+            if self.seq[i] >= seq or (found and reach[i] < found[0] - 1e-9):
+                continue
+            ratio = 1.0 if self.name[i] == name else similarity(name, self.name[i])
+            if ratio >= self.same_from and (found is None or (ratio, -self.seq[i]) > found[:2]):
+                found = ratio, -self.seq[i], self.name[i]
+        return found
+
+
+#: Names that a turn settles in order, at most (all that the driver holds).
+LEADERS = 512
+
+
 def canonical(names: DataFrame, same_from: float = SAME_FROM) -> DataFrame:
-    """name, entity_type, seq -> canonical: greedy in order of seq inside a type: an
-    equal name, else the most similar canonical name from ``same_from`` on (the earlier
-    of equals), else a new one.  The order makes it sequential, so a type is one group."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["seq", "name"], kind="stable")
-        known: list[str] = []
-        length: list[int] = []
-        out, seen = [], {}
-        for name in frame["name"]:
-            if name not in seen:
-                best, best_ratio, n = name, same_from, len(name)
-                taken = False
-                for other, m in zip(known, length, strict=True):
-                    if 2 * min(n, m) < best_ratio * (n + m):  # even a whole match would not reach it
-                        continue
-                    ratio = similarity(name, other)
-                    if ratio > best_ratio or (not taken and ratio == best_ratio):
-                        best, best_ratio, taken = other, ratio, True
-                if not taken:
-                    known.append(name)
-                    length.append(n)
-                seen[name] = best
-            out.append(seen[name])
-        return frame.assign(canonical=out)[["name", "entity_type", "seq", "canonical"]]
-
-    return names.select("name", "entity_type", F.col("seq").cast("long").alias("seq")).groupBy("entity_type").applyInPandas(run, "name string, entity_type string, seq long, canonical string")
+    """name, entity_type, seq -> canonical: greedy in order of seq inside a type: the most
+    similar canonical name before it from ``same_from`` on (the earlier of equals), else itself.
+
+    Distinct names are settled in turns: the next ``LEADERS`` open names in order are
+    settled among themselves; every later name of any partition is then compared with
+    the new canonical ones, and keeps the best it has met.  The number of turns grows
+    with that of canonical names, the work with names times canonical names.
+    """
+    state = names.groupBy("entity_type", "name").agg(F.min(F.col("seq").cast("long")).alias("seq"))
+    state = checkpointed(state.select("entity_type", "name", "seq", F.lit(0.0).alias("ratio"), F.lit(0).cast("long").alias("leader_seq"), F.lit(None).cast("string").alias("canonical")))
+    while True:  # ends: every turn settles the names it begins with
+        head = state.where("canonical is null").orderBy("seq", "name").limit(LEADERS).collect()
+        if not head:
+            break
+        leaders: dict[str, _Leaders] = {}
+        fresh = set()
+        for row in head:
+            own = leaders.setdefault(row["entity_type"], _Leaders(same_from))
+            if own.best(row["name"], row["seq"], _letters([row["name"]])[0]) is None:
+                own.add(row["name"], row["seq"])
+                fresh.add((row["entity_type"], row["name"]))
+
+        def compare(frames, leaders=leaders, fresh=fresh):
+            for f in frames:
+                letters = _letters(f["name"].tolist())
+                ratio, at, canon = f["ratio"].tolist(), f["leader_seq"].tolist(), f["canonical"].tolist()
+                for i, (kind, name, seq) in enumerate(zip(f["entity_type"], f["name"], f["seq"], strict=True)):
+                    if (kind, name) in fresh:
+                        canon[i], ratio[i] = name, 2.0  # itself, whatever comes
+                    elif ratio[i] < 2 and kind in leaders and (hit := leaders[kind].best(name, seq, letters[i])):
+                        if canon[i] is None or hit[:2] > (ratio[i], -at[i]):
+                            ratio[i], at[i], canon[i] = hit[0], -hit[1], hit[2]
+                yield f.assign(ratio=ratio, leader_seq=at, canonical=canon)
+
+        state = checkpointed(state.mapInPandas(compare, state.schema))
+    return names.select("name", "entity_type", F.col("seq").cast("long").alias("seq")).join(state.select("entity_type", "name", "canonical"), ["entity_type", "name"]).select("name", "entity_type", "seq", "canonical")
 
 
 def clusters(canon: DataFrame) -> DataFrame:

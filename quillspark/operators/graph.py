@@ -16,25 +16,35 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes, edges, density (of a directed graph; 0 with fewer than two nodes)."""
+    """nodes, edges, density of the undirected view (0 with fewer than two nodes)."""
     n, m = nodes.agg(F.count("*").alias("nodes")), edges.agg(F.count("*").alias("edges"))
-    return n.crossJoin(m).select("nodes", "edges", F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(F.lit(0.0)).alias("density"))  # one row by one row
+    return n.crossJoin(m).select("nodes", "edges", F.when(F.col("nodes") > 1, 2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(F.lit(0.0)).alias("density"))  # one row by one row
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    return both_ways(edges).distinct().groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("degree"))
+    """node, degree (different neighbours) and centrality, the degree's share of all other nodes."""
+    out = both_ways(edges).select("src", "dst").distinct().groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    return out.crossJoin(out.agg(F.count("*").alias("n"))).select("node", "degree", (F.col("degree") / F.greatest(F.col("n") - 1, F.lit(1))).alias("centrality"))  # one row on the right
 
 
-def related(edges: DataFrame, node: str, top: int = 10) -> DataFrame:
-    """Neighbours of a node, heaviest edge first, then by name."""
-    return both_ways(edges).where(F.col("src") == node).select(F.col("dst").alias("node"), "weight").orderBy(F.desc("weight"), "node").limit(top)
+def top_central(scores: DataFrame, score: str, k: int = 10) -> DataFrame:
+    """The k nodes of highest score, ties by node."""
+    return scores.orderBy(F.desc(score), "node").limit(k)
 
 
-def components(edges: DataFrame, most: int = 100) -> DataFrame:
-    """node, component (smallest node): labels spread to neighbours and jump to their label's label."""
+def related(edges: DataFrame, node: str, top: int = 10, directed: bool = False) -> DataFrame:
+    """Neighbours of a node (those it points to if ``directed``), heaviest edge first, then by name."""
+    e = edges.select("src", "dst", "weight") if directed else both_ways(edges)
+    near = e.where(F.col("src") == node).groupBy(F.col("dst").alias("node")).agg(F.max("weight").alias("weight"))
+    return near.orderBy(F.desc("weight"), "node").limit(top)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (smallest node): labels spread to neighbours and jump to their
+    label's label, until none moves."""
     e = checkpointed(both_ways(edges).select("src", "dst").distinct())
     label = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")))
-    for _ in range(most):
+    while True:  # ends: labels only get smaller
         near = e.join(label, e.dst == label.node).groupBy("src").agg(F.min("component").alias("near"))
         moved = label.join(near, label.node == near.src).select("node", "component", F.least("component", "near").alias("to"))
         jump = label.select(F.col("node").alias("to"), F.col("component").alias("far"))
@@ -59,36 +69,113 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, di
     return seen
 
 
-def shortest_path(edges: DataFrame, sources: list, targets: list, depth: int | None = None, directed: bool = True) -> list | None:
-    """The shortest path from any source to any target: fewest steps, then smallest source, target and nodes."""
-    spark = edges.sparkSession
-    equal = sorted(set(sources) & set(targets))
-    if equal:
-        return [equal[0]]
-    kind = edges.schema["src"].dataType.simpleString()
-    found = checkpointed(distances(edges, spark.createDataFrame([(s,) for s in sources], f"node {kind}"), depth, directed))
-    hit = found.where(F.col("node").isin(targets)).orderBy("distance", "source", "node").limit(1).collect()
-    if not hit:
+def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, directed: bool = True) -> DataFrame:
+    """path (an array of nodes; no row if there is none): the shortest path from any of
+    ``sources`` (node) to any of ``targets``: fewest steps, then the smallest nodes in
+    order.  One search from all sources; a node keeps the smallest of its paths."""
+    e = checkpointed((edges.select("src", "dst") if directed else both_ways(edges).select("src", "dst")).distinct())
+    aims = checkpointed(targets.select("node").distinct())
+    front = seen = checkpointed(sources.select("node").distinct().withColumn("path", F.array("node")))
+    while True:  # ends: every front holds new nodes
+        hit = front.join(aims, "node", "left_semi").orderBy("path").limit(1).select("path")
+        if front.isEmpty() or not hit.isEmpty():
+            return hit
+        reach = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("before"))
+        front = checkpointed(reach.join(seen.select("node"), "node", "left_anti").select("node", F.array_append("before", F.col("node")).alias("path")))
+        seen = checkpointed(seen.select("node").unionByName(front.select("node")))
+
+
+#: Edges (both ways) of a graph that every task may hold, to search it from its share of the nodes.
+HELD_EDGES = 2_000_000
+
+
+def _per_source(edges: DataFrame, measure, schema: str) -> DataFrame | None:
+    """``measure(neighbours, source)`` gives rows of every node as a source, in tasks that
+    hold the whole graph as lists of numbers; None if it has too many edges."""
+    e = checkpointed(both_ways(edges).select("src", "dst").distinct())
+    if e.count() > HELD_EDGES:
         return None
-    path, node = [hit[0]["node"]], hit[0]
-    while node["via"] is not None:  # a lookup for every step of the path
-        node = found.where((F.col("source") == node["source"]) & (F.col("node") == node["via"])).limit(1).collect()[0]
-        path.append(node["node"])
-    return path[::-1]
+    held = e.toArrow()  # at most HELD_EDGES rows
+    names = sorted(set(held.column("src").to_pylist()))
+    number = {n: i for i, n in enumerate(names)}
+    near: list[list[int]] = [[] for _ in names]
+    for a, b in zip(held.column("src").to_pylist(), held.column("dst").to_pylist(), strict=True):
+        near[number[a]].append(number[b])
+    spark = edges.sparkSession
+    graph = spark.sparkContext.broadcast((names, near))
+
+    def run(batches):
+        import pyarrow as pa
+
+        names, near = graph.value
+        for batch in batches:
+            rows = [x for s in batch.column(0).to_pylist() for x in measure(near, s)]
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in rows]), pa.array([float(x) for _, x in rows], pa.float64())], names=["node", "x"])
+
+    return spark.range(0, len(names), 1, max(1, min(len(names) // 16, 512))).mapInArrow(run, schema)
+
+
+def _steps(near: list[list[int]], source: int) -> tuple[list[int], dict[int, int]]:
+    """Nodes in the order of a breadth-first search, and their distances."""
+    order, far = [source], {source: 0}
+    for v in order:
+        for w in near[v]:
+            if w not in far:
+                far[w] = far[v] + 1
+                order.append(w)
+    return order, far
+
+
+def _closeness_of(near: list[list[int]], source: int) -> list[tuple[int, float]]:
+    far = _steps(near, source)[1]
+    r, d = len(far) - 1, sum(far.values())
+    return [(source, r / max(len(near) - 1, 1) * r / d if d else 0.0)]
+
+
+def _dependencies_of(near: list[list[int]], source: int) -> list[tuple[int, float]]:
+    """What every node adds to the paths from one source (0 is left out)."""
+    order, far = _steps(near, source)
+    paths, dep = dict.fromkeys(order, 0.0), dict.fromkeys(order, 0.0)
+    paths[source] = 1.0
+    for v in order:
+        for w in near[v]:
+            if far[w] == far[v] + 1:
+                paths[w] += paths[v]
+    for w in reversed(order):
+        for v in near[w]:
+            if far[v] == far[w] - 1:
+                dep[v] += paths[v] / paths[w] * (1 + dep[w])
+    return [(v, x) for v, x in dep.items() if x and v != source]
 
 
 def closeness(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """node, closeness: (r / (n - 1)) * (r / sum of distances) for the r nodes reached."""
+    """node, closeness: (r / (n - 1)) * (r / sum of distances) for the r nodes reached.  A
+    graph of up to ``HELD_EDGES`` edges is searched from each node within tasks, a larger one by joins."""
+    kind = edges.schema["src"].dataType.simpleString()
+    local = _per_source(edges, _closeness_of, f"node {kind}, x double") if depth is None else None
+    if local is not None:
+        return local.select("node", F.round("x", 9).alias("closeness"))
     nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
     n = nodes.count()
     d = distances(edges, nodes, depth).where("distance > 0").groupBy(F.col("source").alias("node")).agg(F.count("*").alias("r"), F.sum("distance").alias("d"))
     return d.select("node", F.round(F.col("r") / F.lit(max(n - 1, 1)) * F.col("r") / F.col("d"), 9).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """node, betweenness (undirected, each pair once, not normalised): shortest paths are
-    counted forwards and dependencies summed backwards, a level of distance at a time,
-    for all sources together."""
+def betweenness(edges: DataFrame, depth: int | None = None, normalised: bool = True) -> DataFrame:
+    """node, betweenness: the share of pairs of other nodes whose shortest paths lead over
+    a node (each undirected pair once; ``normalised``: by the number of such pairs).  Searched as in ``closeness``."""
+    kind = edges.schema["src"].dataType.simpleString()
+    nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
+    local = _per_source(edges, _dependencies_of, f"node {kind}, x double") if depth is None else None
+    dep = local.groupBy("node").agg((F.sum("x") / 2).alias("b")) if local is not None else _dependencies_by_joins(edges, depth)
+    n = nodes.agg(F.count("*").alias("n"))
+    share = F.lit(1.0) if not normalised else F.when(F.col("n") > 2, 2.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(F.lit(1.0))
+    return nodes.join(dep, "node", "left").crossJoin(n).select("node", F.round(F.coalesce("b", F.lit(0.0)) * share, 9).alias("betweenness"))  # one row on the right
+
+
+def _dependencies_by_joins(edges: DataFrame, depth: int | None) -> DataFrame:
+    """node, b: shortest paths are counted forwards and dependencies summed backwards, a
+    level of distance at a time, for all sources together."""
     e = checkpointed(both_ways(edges).select("src", "dst").distinct())
     nodes = e.select(F.col("src").alias("node")).distinct()
     d = checkpointed(distances(edges, nodes, depth).select("source", "node", "distance"))
@@ -102,30 +189,33 @@ def betweenness(edges: DataFrame, depth: int | None = None) -> DataFrame:
     paths = checkpointed(paths)
     a, b = paths.select("source", F.col("node").alias("src"), F.col("paths").alias("pa")), paths.select("source", F.col("node").alias("dst"), F.col("paths").alias("pb"))
     shared = checkpointed(step.join(a, ["source", "src"]).join(b, ["source", "dst"]).select("source", "src", "dst", "k2", (F.col("pa") / F.col("pb")).alias("share")))
-    total, below = None, None
+    total, below = nodes.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dep")).limit(0), None
     for k in range(far, 0, -1):
         s = shared.where(F.col("k2") == k)
         s = s.withColumn("dep", F.lit(0.0)) if below is None else s.join(below.select("source", F.col("node").alias("dst"), "dep"), ["source", "dst"], "left").na.fill(0.0, ["dep"])
         below = checkpointed(s.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("share") * (1 + F.col("dep"))).alias("dep")))
-        total = below if total is None else total.unionByName(below)
-    if total is None:
-        return nodes.withColumn("betweenness", F.lit(0.0))
-    dep = total.where("source <> node").groupBy("node").agg((F.sum("dep") / 2).alias("b"))
-    return nodes.join(dep, "node", "left").select("node", F.round(F.coalesce("b", F.lit(0.0)), 9).alias("betweenness"))
+        total = total.unionByName(below)
+    return total.where("source <> node").groupBy("node").agg((F.sum("dep") / 2).alias("b"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """node, community: weighted label propagation from connected starts (ties to the
-    smaller label, nodes move in two alternating halves), a stand-in for greedy
-    modularity that spreads over a cluster; every community lies inside one component."""
+def communities(edges: DataFrame) -> DataFrame:
+    """node, community: weighted label propagation from connected starts, a stand-in for
+    modularity optimisation in sequence that spreads over a cluster; every community lies
+    inside one component.  A node moves only to a label of more weight among its neighbours
+    than its own has (ties to the smaller hash), and ever fewer nodes move in one turn, until none would."""
     e = checkpointed(both_ways(edges))
     label = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
-    for turn in range(rounds):
+    for turn in count():
         pull = e.join(label, e.dst == label.node).groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        best = pull.groupBy("src").agg(F.max(F.struct("w", F.struct((-F.hash("community").cast("long")).alias("h"), F.col("community").alias("c")).alias("x"))).alias("m")).select(F.col("src").alias("node"), F.col("m.x.c").alias("to"))
-        mine = F.pmod(F.hash("node"), F.lit(2)) == turn % 2
-        label = checkpointed(label.join(best, "node", "left").select("node", F.when(mine, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community")))
-    return label
+        best = pull.groupBy("src").agg(F.max(F.struct("w", F.struct((-F.hash("community").cast("long")).alias("h"), F.col("community").alias("c")).alias("x"))).alias("m")).select(F.col("src").alias("node"), F.col("m.x.c").alias("to"), F.col("m.w").alias("best"))
+        own = label.join(pull.select(F.col("src").alias("node"), "community", "w"), ["node", "community"], "left")
+        wish = checkpointed(own.join(best, "node", "left").select("node", "community", F.when(F.col("best") > F.coalesce("w", F.lit(0)), F.col("to")).alias("to")))
+        if wish.where("to is not null").isEmpty():
+            return label
+        # about one node in ``few`` may move: neighbours seldom move at once, and in the end none do
+        few = 2 + turn // 4
+        mine = F.pmod(F.hash("node", F.lit(turn)), F.lit(few)) == 0
+        label = checkpointed(wish.select("node", F.when(mine, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community")))
 
 
 def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:

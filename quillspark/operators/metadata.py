@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.rules import is_video
+
 
 def usage(messages: DataFrame, conversations: DataFrame, translations: DataFrame, user_id: int) -> DataFrame:
     """One row: prompts, input_tokens, output_tokens, total_tokens of a user."""
@@ -103,3 +105,75 @@ def threads(messages: DataFrame, depth: int | None = None) -> DataFrame:
             break
         out = checkpointed(out.unionByName(front))
     return out
+
+
+def through(left: DataFrame, bridge: DataFrame, right: DataFrame, left_key: str, right_key: str, value: str, name: str, most: int | None = None) -> DataFrame:
+    """Rows of ``left`` with the values of ``right`` that a bridge (left_key, right_key) ties to
+    them, sorted, repeats once; an empty array without any.  ``most`` bounds a list."""
+    values = bridge.select(left_key, right_key).distinct().join(right.select(right_key, F.col(value).alias("__v")), right_key)
+    lists = values.groupBy(left_key).agg(F.array_sort(F.collect_set("__v")).alias(name))
+    out = left.join(lists, left_key, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+    return out if most is None else out.withColumn(name, F.slice(name, 1, most))
+
+
+def parents(messages: DataFrame) -> DataFrame:
+    """id, parent_id, parent_text of messages (id, parent_id, text) by a self join; null without a parent."""
+    other = messages.select(F.col("id").alias("parent_id"), F.col("text").alias("parent_text"))
+    return messages.select("id", "parent_id").join(other, "parent_id", "left").select("id", "parent_id", "parent_text")
+
+
+def lowered(rows: DataFrame, column: str, known: list[str] | None = None) -> DataFrame:
+    """A column in lower case; a value that is none of ``known`` then is an error."""
+    low = F.lower(column)
+    if known is not None:
+        low = F.when(low.isNull() | low.isin(*known), low).otherwise(F.raise_error(F.concat(F.lit(f"{column} has an unknown value: "), low)).cast("string"))
+    return rows.withColumn(column, low)
+
+
+def filled(rows: DataFrame, **defaults: object) -> DataFrame:
+    """Given values in place of nulls."""
+    return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
+
+
+def unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows; a key that occurs more than once is an error when they are read."""
+    n = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    named = F.concat_ws(", ", *(F.col(k).cast("string") for k in keys))
+    checked = n.select(*keys, F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("not unique: "), named)).cast("boolean")).alias("__ok"))
+    return rows.join(checked, keys).where("__ok").select(*rows.columns)
+
+
+def jobs_deleted(documents: DataFrame, jobs: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, jobs) after the jobs of ``gone`` (id) are deleted: a document of a deleted ingestion job has failed."""
+    dead = jobs.join(gone.select("id").distinct(), "id", "left_semi")
+    lost = dead.where(F.col("job_type").startswith("ingestion_") & F.col("document_id").isNotNull()).select(F.col("document_id").alias("id")).distinct()
+    changes = lost.select("id", F.lit("failed").alias("status"), F.lit("Job removed by user").alias("error_message"))
+    return updated(documents, changes), jobs.join(gone.select("id").distinct(), "id", "left_anti")
+
+
+def with_metadata(rows: DataFrame, column: str = "metadata", **fields: str) -> DataFrame:
+    """Rows with a JSON object of other columns where ``column`` is null."""
+    return rows.withColumn(column, F.coalesce(column, F.to_json(F.struct(*(F.col(c).alias(k) for k, c in fields.items())))))
+
+
+def reindexed(documents: DataFrame, points: DataFrame, jobs: DataFrame, wanted: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, points, jobs) after the wanted documents are to be ingested again: their
+    points go, they are pending with no chunks and no error, and each gets a queued job."""
+    again = documents.where(F.coalesce(wanted, F.lit(False)))
+    source = again.select(F.col("filename").alias("source_file")).distinct()
+    changed = documents.withColumns({
+        "status": F.when(F.coalesce(wanted, F.lit(False)), F.lit("pending")).otherwise(F.col("status")),
+        "chunk_count": F.when(F.coalesce(wanted, F.lit(False)), F.lit(0)).otherwise(F.col("chunk_count")),
+        "error_message": F.when(~F.coalesce(wanted, F.lit(False)), F.col("error_message")),
+    })
+    queued = again.select(F.col("id").alias("document_id"), F.concat(F.lit("ingestion_"), F.when(is_video(F.col("processing_type"), F.col("file_type")), "video").otherwise("file")).alias("job_type"), F.lit("queued").alias("status"))
+    return changed, points.join(source, "source_file", "left_anti"), jobs.unionByName(queued, allowMissingColumns=True)
+
+
+def prompt_changed(domains: DataFrame, given: DataFrame, documents: DataFrame) -> DataFrame:
+    """Documents with ``again``: whether their domain's prompt is given anew and differs, and they are videos."""
+    new = given.where("vlm_prompt is not null").select(F.col("id").alias("data_domain_id"), F.col("vlm_prompt").alias("__new"))
+    old = domains.select(F.col("id").alias("data_domain_id"), F.col("vlm_prompt").alias("__old"))
+    changed = old.join(new, "data_domain_id").where(~F.col("__old").eqNullSafe(F.col("__new"))).select("data_domain_id", F.lit(True).alias("__changed"))
+    out = documents.join(changed, "data_domain_id", "left")
+    return out.withColumn("again", F.coalesce("__changed", F.lit(False)) & is_video(F.col("processing_type"), F.col("file_type"))).select(*documents.columns, "again")

@@ -27,21 +27,51 @@ def wanted(url: Column, include: Column, exclude: Column) -> Column:
     return ~out & (~some | F.exists(include, lambda p: matches_glob(url, p)))
 
 
+# Blocks of IPv6 addresses that are not public (first group pattern).
+LOCAL6 = r"^(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|fec[0-9a-f]:.*|2001:db8:.*|2001:0*[0-9a-f]{0,2}:.*|100::.*|64:ff9b:1:.*)$"
+
+
 def _number(ip: str) -> int:
     return reduce(lambda n, x: n * 256 + int(x), ip.split("."), 0)
 
 
-def is_safe(url: Column, known_names: bool = True) -> Column:
-    """http(s) with a host that is neither a metadata service nor a literal address
-    outside the public blocks.  Names are not resolved: ``known_names`` says whether they pass."""
+def ipv4_number(host: Column) -> Column:
+    """The address that a literal IPv4 host names, in any spelling that resolvers take: one to
+    four parts, each decimal, octal (0..) or hexadecimal (0x..), the last one filling
+    what is left; null for anything else."""
+    parts = F.split(host, r"\.")
+    n = F.size(parts)
+    part = lambda x: F.when(x.rlike(r"^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(x, F.lit(3), F.length(x)), 16, 10)).when(x.rlike(r"^0[0-7]*$"), F.conv(x, 8, 10)).when(x.rlike(r"^[1-9][0-9]*$"), x).try_cast("decimal(20,0)").try_cast("long")
+    values = F.transform(parts, part)
+    head = F.aggregate(F.slice(values, F.lit(1), n - 1), F.lit(0).cast("long"), lambda s, x: s * 256 + x)
+    last = F.element_at(values, -1)
+    room = F.pow(F.lit(256), 5 - n).cast("long")
+    fine = (n <= 4) & F.forall(values, lambda x: x.isNotNull()) & F.forall(F.slice(values, F.lit(1), n - 1), lambda x: x < 256) & (last < room)
+    return F.when(fine, head * room + last)
+
+
+def _mapped(host: Column) -> Column:
+    """The IPv4 number inside an IPv6 host (mapped, compatible or translated), or null."""
+    dotted = F.regexp_extract(host, r"^(?:::ffff:(?:0+:)?|::|64:ff9b::|(?:0+:){5}ffff:)(\d+\.\d+\.\d+\.\d+)$", 1)
+    group = lambda i: F.regexp_extract(host, r"^(?:::ffff:(?:0+:)?|64:ff9b::|(?:0+:){5}ffff:)([0-9a-f]{1,4}):([0-9a-f]{1,4})$", i)
+    hexed = F.when(group(1) != "", F.conv(group(1), 16, 10).cast("long") * 65536 + F.conv(group(2), 16, 10).cast("long"))
+    return F.coalesce(F.when(dotted != "", ipv4_number(dotted)), hexed)
+
+
+def is_safe(url: Column, known_names: bool = False) -> Column:
+    """http(s) with a host that is neither a metadata service nor a literal address outside
+    the public blocks, however it is spelled.  Names are not resolved: ``known_names`` says
+    whether they pass (a name that can't be resolved does not)."""
     scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
-    number = F.aggregate(F.split(host, r"\."), F.lit(0).cast("long"), lambda n, x: n * 256 + F.coalesce(x.try_cast("long"), F.lit(0)))
-    inside = reduce(lambda a, b: a | b, (F.shiftright(number, 32 - bits) == _number(first) >> (32 - bits) for first, bits in NOT_PUBLIC))
-    literal = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    local6 = host.rlike(r"^\[(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]$")
-    ok = scheme.isin("http", "https") & (host != "") & ~host.isin(*METADATA_HOSTS) & (host != "localhost") & ~(literal & inside) & ~local6
-    return F.coalesce(ok & (literal | host.startswith("[") | F.lit(known_names)), F.lit(False))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    host = F.regexp_replace(host, r"\.+$", "")
+    six = F.when(host.startswith("["), F.regexp_replace(host, r"^\[|%.*$|\]$", ""))
+    number = F.coalesce(_mapped(six), F.when(six.isNull(), ipv4_number(host)))
+    outside = reduce(lambda a, b: a & b, (F.shiftright(number, 32 - bits) != _number(first) >> (32 - bits) for first, bits in NOT_PUBLIC))
+    public6 = six.rlike(r"^[0-9a-f:.]+$") & ~six.rlike(LOCAL6)
+    named = host.rlike(r"[a-z]") & ~host.rlike(r"^(.*\.)?localhost$") & F.lit(known_names)
+    ok = F.when(number.isNotNull(), outside).when(six.isNotNull(), public6).otherwise(named)
+    return F.coalesce(scheme.isin("http", "https") & (host != "") & ~host.isin(*METADATA_HOSTS) & ok, F.lit(False))
 
 
 def normalised(url: Column) -> Column:
@@ -91,23 +121,61 @@ def markdown_rows(x: Column) -> Column:
     return F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(s, r"^\||\|$", ""), r"\|"), strip))
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, depth: int, max_pages: int | None = None) -> DataFrame:
+def table_records(html: Column, strategy: str = "markdown") -> Column:
+    """array<struct<index,html,markdown,needs_summary>> of a page's tables: ``raw_html`` has no
+    markdown, ``summary_and_html`` has it and asks for a summary."""
+    found = tables(html)
+    return F.transform(found, lambda t, i: F.struct(
+        i.alias("index"), t.alias("html"),
+        (table_markdown(t) if strategy != "raw_html" else F.lit(None).cast("string")).alias("markdown"),
+        F.lit(strategy == "summary_and_html").alias("needs_summary"),
+    ))
+
+
+def crawl(seeds: DataFrame, edges: DataFrame, depth: int, max_pages: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None, safe: bool = False) -> DataFrame:
     """url, depth of pages reached from ``seeds`` (url) over ``edges`` (src, dst) in at
     most ``depth`` steps, breadth first; of a level that would pass ``max_pages`` the
-    first by url stay."""
+    first by url stay.  Pages that the patterns or (``safe``) the address rules refuse are
+    neither taken nor followed; an unsafe seed is an error."""
+    array = lambda x: F.array(*map(F.lit, x or [])).cast("array<string>")
+    fine = lambda df: df.where(wanted(F.col("url"), array(include), array(exclude)) & (is_safe(F.col("url"), known_names=True) if safe else F.lit(True)))
+    if safe and not seeds.where(~is_safe(F.col("url"), known_names=True)).isEmpty():
+        raise ValueError("unsafe start address")
     e = checkpointed(edges.select(normalised(F.col("src")).alias("src"), normalised(F.col("dst")).alias("dst")).distinct())
-    seen = front = checkpointed(seeds.select(normalised(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0)))
+    front = fine(seeds.select(normalised(F.col("url")).alias("url")).distinct()).withColumn("depth", F.lit(0))
+    seen = front = checkpointed(front if max_pages is None else front.orderBy("url").limit(max_pages))
     held = front.count()
     for level in range(1, depth + 1):
         if max_pages is not None and held >= max_pages:
             break
-        front = front.join(e, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level))
+        front = fine(front.join(e, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()).join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level))
         if max_pages is not None:
             front = front.orderBy("url").limit(max_pages - held)
         front = checkpointed(front)
-        count = front.count()
-        if not count:
+        found = front.count()
+        if not found:
             break
-        held += count
+        held += found
         seen = checkpointed(seen.unionByName(front))
-    return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
+    return seen
+
+
+def crawl_deep(seeds: list[str], edges: DataFrame, depth: int, max_pages: int, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """url, depth, place of at most ``max_pages`` pages, the last found link first.  ``edges``
+    has src, dst and pos (the link's place on its page).  One page follows another by definition,
+    so it is a lookup a page, and ``max_pages`` is the bound of all that the driver holds."""
+    spark = edges.sparkSession
+    array = lambda x: F.array(*map(F.lit, x or [])).cast("array<string>")
+    fine = wanted(F.col("dst"), array(include), array(exclude))
+    e = checkpointed(edges.select(normalised(F.col("src")).alias("src"), normalised(F.col("dst")).alias("dst"), "pos").where(fine).repartition("src"))
+    start = spark.createDataFrame([(s,) for s in seeds], "dst string").select(normalised(F.col("dst")).alias("dst")).where(fine).toArrow().column(0).to_pylist()
+    stack, seen = [(u, 0) for u in start], {}
+    while stack and len(seen) < max_pages:
+        url, d = stack.pop()
+        if url in seen or d > depth:
+            continue
+        seen[url] = (d, len(seen))
+        if d < depth:
+            links = e.where(F.col("src") == url).orderBy("pos", "dst").limit(max_pages * 10).collect()
+            stack += [(r["dst"], d + 1) for r in links if r["dst"] not in seen]
+    return spark.createDataFrame([(u, d, i) for u, (d, i) in seen.items()], "url string, depth int, place int")

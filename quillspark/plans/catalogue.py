@@ -11,7 +11,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..functions.languages import language_name
 from ..functions.models import embedded
-from ..operators import assembly, chunking, entities, graph, metadata, retrieval, subtitles, video, web
+from ..operators import assembly, chunking, entities, graph, knowledge, metadata, retrieval, subtitles, video, web
 from ..session import configure, table
 from ..sources import tables
 
@@ -33,32 +33,32 @@ def query(sql: str | None = None):
     return add
 
 
-# --- vector search: embeddings by label as collections, the first ids as queries ----------
+# --- vector search: embeddings by label as collections, ids divisible by 50 as queries ----------
 
 def _points(read) -> DataFrame:
     return read("embeddings").select(F.col("vec_id").alias("point_id"), F.col("label").alias("collection"), F.col("embedding").alias("vector"))
 
 
-def _queries(read, n: int) -> DataFrame:
-    return read("embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+def _queries(read) -> DataFrame:
+    return read("embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 _HITS = """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 hits AS (SELECT q.vec_id AS query_id, p.vec_id AS point_id, p.label AS collection, list_cosine_similarity(q.e, p.e) AS s
-  FROM v q, v p WHERE q.vec_id < {n}),
+  FROM v q, v p WHERE q.vec_id % 50 = 0),
 good AS (SELECT * FROM hits WHERE s >= 0.3)"""
 
 
-@query(_HITS.format(n=20) + """
+@query(_HITS + """
 SELECT query_id, point_id, CAST(collection AS BIGINT) AS collection, round(s, 6) AS score, rank FROM
  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, point_id) AS rank FROM good) WHERE rank <= 5""")
 def retrieve_global(read):
     """TK1, PF2, JN9, MA1: the five best over all collections."""
-    hits = retrieval.retrieve(_points(read), _queries(read, 20))
+    hits = retrieval.retrieve(_points(read), _queries(read))
     return hits.select("query_id", "point_id", F.col("collection").cast("long").alias("collection"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_MULTI = _HITS.format(n=20) + """,
+_MULTI = _HITS + """,
 each AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY s DESC, point_id) AS r FROM good) WHERE r <= 1),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, collection, point_id) AS rank FROM each) WHERE rank <= 5)"""
 
@@ -67,12 +67,12 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 SELECT query_id, point_id, CAST(collection AS BIGINT) AS collection, round(s, 6) AS score, rank FROM best""")
 def retrieve_multi(read):
     """WN2, TK2, SO2, MA6: a share of the five from each collection, then merged."""
-    hits = retrieval.retrieve_multi(_points(read), _queries(read, 20), collections=10)
+    hits = retrieval.retrieve_multi(_points(read), _queries(read), collections=10)
     return hits.select("query_id", "point_id", F.col("collection").cast("long").alias("collection"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _hits_with_text(read) -> DataFrame:
-    hits = retrieval.retrieve_multi(_points(read), _queries(read, 20), collections=10)
+    hits = retrieval.retrieve_multi(_points(read), _queries(read), collections=10)
     docs = read("documents").select(F.col("doc_id").alias("point_id"), F.col("text").alias("content"), F.col("source").alias("source_file"))
     return hits.join(docs, "point_id", "left").withColumns({"document_id": F.col("point_id"), "text": F.lit(None).cast("string"), "filename": F.lit(None).cast("string"), "page": F.lit(None).cast("string"), "page_number": F.lit(None).cast("string"), "chunk_id": F.lit("")})
 
@@ -93,13 +93,16 @@ def citations(read):
     return retrieval.citations(_hits_with_text(read)).select("query_id", F.col("rank").cast("long").alias("rank"), "document_id", "filename", "chunk_id", "chunk_text", F.round("score", 6).alias("score"))
 
 
-@query(None)
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT item_id % 4 AS agent_id, item_id AS question_id FROM benchmark),
+hits AS (SELECT question_id, p.vec_id AS point_id, list_cosine_similarity(x.e, p.e) AS s FROM q JOIN v x ON x.vec_id = question_id, v p),
+best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY s DESC, point_id) AS rank FROM hits WHERE s >= 0.3)
+SELECT agent_id, q.question_id, rank, point_id, round(s, 6) AS score FROM q LEFT JOIN (SELECT * FROM best WHERE rank <= 5) b ON q.question_id = b.question_id""")
 def test_question_eval(read):
     """UD9: every agent's test questions retrieved in one plan."""
     agents = read("benchmark").groupBy(F.pmod("item_id", F.lit(4)).alias("agent_id")).agg(F.collect_list(F.struct(F.col("item_id").alias("question_id"), F.col("text").alias("question"))).alias("test_questions"))
     vectors = read("embeddings").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("vector"))
     found = retrieval.evaluation(agents, _points(read), vectors.join(read("benchmark").select(F.col("item_id").alias("question_id")), "question_id", "left_semi"))
-    return found.select("agent_id", "question_id", "rank", "point_id", F.round("score", 6).alias("score"))
+    return found.select("agent_id", "question_id", F.col("rank").cast("long").alias("rank"), "point_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT label AS collection, count(*) AS points FROM embeddings GROUP BY label")
@@ -108,6 +111,17 @@ def collection_info(read):
     return _points(read).groupBy("collection").agg(F.count("*").alias("points"))
 
 
+@query(_MULTI + """, n AS (SELECT query_id, count(*) AS n, arg_min(text, rank) AS text FROM best JOIN documents ON doc_id = point_id GROUP BY query_id)
+SELECT q.vec_id AS query_id, coalesce(n, 0) AS n_sources, CASE WHEN n IS NULL THEN 'No relevant documents found.' ELSE regexp_replace(regexp_extract(text, '[^\\n]*\\S[^\\n]*'), '^\\s+|\\s+$', '', 'g') END AS answer
+FROM (SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0) q LEFT JOIN n ON q.vec_id = n.query_id""")
+def retrieve_and_answer(read):
+    """UD8, ST-14: retrieve, then generate (the offline model answers with the first source's first line)."""
+    questions = _queries(read).select("query_id", F.lit("?").alias("question"))
+    hits = retrieval.retrieve_multi(_points(read), _queries(read), collections=10).join(read("documents").select(F.col("doc_id").alias("point_id"), F.col("text").alias("content"), F.col("source").alias("source_file")), "point_id")
+    hits = hits.withColumns({c: F.lit(None).cast("string") for c in ("text", "filename", "page")})
+    return retrieval.answers(questions, hits).select("query_id", "n_sources", "answer")
+
+
 # --- documents: sources, sinks, chunks --------------------------------------------------------
 
 @query("SELECT doc_id, source, n_chars FROM documents WHERE source <> 'src3'")
@@ -130,11 +144,55 @@ def chunk_listing_page(read):
     return tables.page(rows, ["source_key", "doc_id"], 50, 100)
 
 
+@query("""WITH p AS (SELECT doc_id AS id, source AS source_file, CASE WHEN doc_id % 3 > 0 THEN doc_id % 17 END AS chunk_index, doc_id % 5 * 1.5::DOUBLE AS t_start FROM documents ORDER BY id LIMIT 10000)
+SELECT id, source_file, (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p) > 40 AS has_more FROM p ORDER BY lower(coalesce(source_file, '')), coalesce(chunk_index, t_start, 0), id LIMIT 20 OFFSET 20""")
+def chunk_listing(read):
+    """TK4: a page in document order with its total."""
+    points = read("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("source_file"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 17).alias("chunk_index"), (F.col("doc_id") % 5 * 1.5).alias("t_start"))
+    return tables.listing(points, 20, 20).select("id", "source_file", "total", "has_more")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN doc_id % 4 > 0 THEN source || '/' || doc_id || '.mp4' END AS clip_key, CASE WHEN doc_id IS NULL THEN 'Point not found.' WHEN doc_id % 4 = 0 THEN 'No clip available for this point.' END AS problem FROM orders LEFT JOIN documents ON doc_id = o_orderkey""")
+def clip_lookup(read):
+    """SC17: clips of points, absent and empty ones named."""
+    points = read("documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 > 0, F.concat("source", F.lit("/"), "doc_id", F.lit(".mp4"))).otherwise("").alias("clip_key"))
+    return tables.clip_of(points, read("orders").select(F.col("o_orderkey").alias("id")))
+
+
+@query("""SELECT d.doc_id AS id, CASE WHEN j.doc_id IS NULL THEN 'done' ELSE 'failed' END AS status, CASE WHEN j.doc_id IS NOT NULL THEN 'Job removed by user' END AS error_message FROM documents d
+LEFT JOIN (SELECT DISTINCT o_orderkey AS doc_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0) j ON j.doc_id = d.doc_id""")
+def delete_jobs(read):
+    """DM6: documents of deleted ingestion jobs have failed."""
+    docs = read("documents").select(F.col("doc_id").alias("id"), F.lit("done").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    jobs = read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderkey") % 2 == 0, "ingestion_file").otherwise("translation").alias("job_type"), "o_orderstatus")
+    return metadata.jobs_deleted(docs, jobs.drop("o_orderstatus"), jobs.where("o_orderstatus = 'F'").select("id"))[0]
+
+
+@query("""SELECT doc_id AS id, CASE WHEN again THEN 'pending' ELSE 'done' END AS status, CASE WHEN again THEN 0 ELSE 7 END::BIGINT AS chunk_count FROM (SELECT doc_id, (lang IN ('en', 'fr') AND source = 'src1') AS again FROM documents)""")
+def prompt_reingest(read):
+    """SM7, SM8, PF5: a new prompt of a domain (here a language) sends its videos back; the others stay."""
+    docs = read("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("data_domain_id"), F.col("source").alias("filename"), F.lit("done").alias("status"), F.lit(7).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("error_message"), F.when(F.col("source") == "src1", "video").otherwise("text").alias("processing_type"), F.lit("txt").alias("file_type"))
+    domains = docs.select(F.col("data_domain_id").alias("id"), F.when(F.col("data_domain_id") == "de", "new").otherwise("old").alias("vlm_prompt")).distinct()
+    given = domains.select("id", F.when(F.col("id") != "es", "new").alias("vlm_prompt"))
+    marked = metadata.prompt_changed(domains, given, docs)
+    jobs = marked.limit(0).select(F.col("id").alias("document_id"), F.lit("").alias("job_type"), F.lit("").alias("status"))
+    points = docs.limit(0).select(F.col("filename").alias("source_file"))
+    return metadata.reindexed(marked, points, jobs, F.col("again"))[0].select("id", "status", F.col("chunk_count").cast("long").alias("chunk_count"))
+
+
+@query("""SELECT c_custkey, lower(c_mktsegment) AS segment, coalesce(CASE WHEN c_acctbal > 0 THEN c_acctbal END, 0)::DOUBLE AS balance, '{"name":"' || c_name || '","kind":"' || lower(c_mktsegment) || '"}' AS metadata FROM customer""")
+def backfill_metadata(read):
+    """DM2, DM3, JS3: values in lower case, defaults for nulls, a JSON object built from columns."""
+    rows = read("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("double")).alias("balance"), "c_name", F.lit(None).cast("string").alias("metadata"))
+    rows = metadata.filled(metadata.lowered(rows, "segment"), balance=0.0)
+    return metadata.with_metadata(rows, name="c_name", kind="segment").select("c_custkey", "segment", "balance", "metadata")
+
+
 @query("""SELECT doc_id, CAST(i - 1 AS BIGINT) AS chunk_index, CAST(len(p) AS BIGINT) AS total_chunks, p[i] AS content FROM
- (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents WHERE lang = 'en') t, range(1, 100000) r(i) WHERE i <= len(p)""")
+ (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents) t, range(1, 100000) r(i) WHERE i <= len(p)""")
 def chunk_lines(read):
     """SC8, ST-3, WN3, UD7: paragraphs (of one line break, as the data hold no blank lines)."""
-    parts = chunking.paragraph_chunks(read("documents").where("lang = 'en'"), "\n")
+    parts = chunking.paragraph_chunks(read("documents"), "\n")
     return parts.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "content")
 
 
@@ -145,10 +203,10 @@ def chunk_recursive(read):
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) <= 1024 THEN text WHEN w = '' THEN p WHEN regexp_matches(w, '\\S\\s+\\S+$') THEN regexp_replace(w, '\\s+\\S+$', '') ELSE regexp_replace(w, '^\\s+', '') END AS truncated
-FROM (SELECT doc_id, text, text[1:1024] AS p, regexp_replace(text[1:1024], '\\s+$', '') AS w FROM documents WHERE lang = 'en')""")
+FROM (SELECT doc_id, text, text[1:1024] AS p, regexp_replace(text[1:1024], '\\s+$', '') AS w FROM documents)""")
 def truncate_embed(read):
     """ST-1."""
-    return read("documents").where("lang = 'en'").select("doc_id", X.truncate_for_embedding(F.col("text")).alias("truncated"))
+    return read("documents").select("doc_id", X.truncate_for_embedding(F.col("text")).alias("truncated"))
 
 
 @query("""SELECT source AS doc, string_agg(n || ' ' || lang, ', ' ORDER BY f) AS summary FROM (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY source, lang) GROUP BY source""")
@@ -184,13 +242,15 @@ def feedback_join(read):
 
 # --- entities and their graph ------------------------------------------------------------------
 
-_ACRONYMS = """WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents WHERE lang = 'en'),
+# Letters and digits beyond ASCII count as such at word bounds, which SQL's patterns do not
+# know: they become underscores there (which no pattern matches), other characters blanks.
+_ASCII = """WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^\\x00-\\x7F\\p{L}\\p{N}]', ' ', 'g'), '[^\\x00-\\x7F]', '_', 'g') AS text FROM documents)"""
+_ACRONYMS = _ASCII + """,
 ent AS (SELECT DISTINCT doc_id, lower(e) AS name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z]{2,}\\b')) AS e FROM t))"""
 
 
 def _acronyms(read) -> DataFrame:
-    docs = read("documents").where("lang = 'en'").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
-    return entities.entities(docs, kinds=["acronym"])
+    return entities.entities(read("documents"), kinds=["acronym"])
 
 
 @query(_ACRONYMS + " SELECT name, count(*) AS n FROM ent GROUP BY name")
@@ -199,34 +259,42 @@ def entity_counts(read):
     return entities.occurrence_counts(_acronyms(read)).select("name", "n")
 
 
-@query("""SELECT doc_id, name, arg_min(e, o) AS entity FROM (SELECT doc_id, lower(e) AS name, e, o FROM
- (SELECT doc_id, unnest(m) AS e, generate_subscripts(m, 1) AS o FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g'), '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b') AS m FROM documents WHERE lang = 'en'))) GROUP BY doc_id, name""")
+@query(_ASCII + """ SELECT doc_id, name, arg_min(e, o) AS entity FROM (SELECT doc_id, lower(e) AS name, e, o FROM
+ (SELECT doc_id, unnest(m) AS e, generate_subscripts(m, 1) AS o FROM (SELECT doc_id, regexp_extract_all(text, '\\b[A-Z][a-z]+ [A-Z][a-z]+\\b') AS m FROM t))) GROUP BY doc_id, name""")
 def entity_persons(read):
     """GR1: the first person pattern, first written form kept."""
-    docs = read("documents").where("lang = 'en'").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", " ").alias("text"))
-    found = entities.mentions(docs, kinds=["person"]).where("pattern_no = 0").withColumn("name", F.lower("entity"))
+    found = entities.mentions(read("documents"), kinds=["person"]).where("pattern_no = 0").withColumn("name", F.lower("entity"))
     return found.groupBy("doc_id", "name").agg(F.min_by("entity", "match_no").alias("entity"))
 
 
-@query(None)
+_MENTIONS = _ASCII + ", m AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, {no} AS pattern_no, '{kind}' AS entity_type, regexp_extract_all(text, '{pattern}') AS found FROM t" for no, (kind, pattern) in enumerate(entities.PATTERNS)
+) + """), one AS (SELECT doc_id, pattern_no, entity_type, generate_subscripts(found, 1) AS o, unnest(found) AS e FROM m),
+ent AS (SELECT doc_id, lower(e) AS name, entity_type, arg_min(e, pattern_no * 1000000 + o) AS entity FROM one GROUP BY 1, 2, 3)"""
+
+
+@query(_MENTIONS + " SELECT doc_id, name, entity_type, entity, 0.7::DOUBLE AS confidence FROM ent")
 def entities_all(read):
     """GR1, WN5 over all kinds and languages."""
-    return entities.entities(read("documents")).select("doc_id", "name", "entity_type", "entity", "confidence")
+    return entities.entities(read("documents")).select("doc_id", "name", "entity_type", "entity", F.col("confidence").cast("double").alias("confidence"))
 
 
 _EDGES = _ACRONYMS + """, ok AS (SELECT doc_id, name FROM ent),
 edges AS (SELECT a.name AS src, b.name AS dst, count(*) AS weight FROM ok a JOIN ok b ON a.doc_id = b.doc_id AND a.name < b.name GROUP BY 1, 2)"""
 
 
-def _small_edges(read, suppliers: str = "s_suppkey < 40") -> DataFrame:
-    """A small graph: customers and the priorities, segments and nations they meet."""
-    c = read("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), F.lit(1).cast("long").alias("weight"))
-    s = read("supplier").where(suppliers).select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"), F.lit(2).cast("long").alias("weight"))
+def _places(read) -> DataFrame:
+    """A graph of known shape: suppliers in nations, by how many of them share a balance's hundreds, and nations in regions."""
+    c = read("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), (F.col("n_nationkey") % 7 + 1).cast("long").alias("weight"))
+    s = read("supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"), (F.col("s_suppkey") % 11 + 1).cast("long").alias("weight"))
     return c.unionByName(s)
 
 
-_SMALL = """WITH edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier WHERE s_suppkey < 40),
-both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges)"""
+_PLACES = """WITH edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, n_nationkey % 7 + 1 AS weight FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_suppkey % 11 + 1 FROM supplier),
+both_ways AS (SELECT src, dst, weight FROM edges UNION SELECT dst, src, weight FROM edges)"""
+# shortest distances between all nodes: the graph is a tree for each region, so no path is longer than four steps
+_FAR = "WITH RECURSIVE " + _PLACES[5:] + """, walk(source, node, d) AS (SELECT DISTINCT src, src, 0 FROM both_ways UNION SELECT w.source, b.dst, w.d + 1 FROM walk w JOIN both_ways b ON w.node = b.src WHERE w.d < 4),
+far AS (SELECT source, node, min(d) AS d FROM walk GROUP BY source, node)"""
 
 
 @query(_EDGES + " SELECT src, dst, weight FROM edges")
@@ -235,59 +303,91 @@ def cooccurrence_pairs(read):
     return entities.pair_counts(_acronyms(read))
 
 
-@query(_EDGES + """ SELECT (SELECT count(DISTINCT name) FROM ent) AS nodes, (SELECT count(*) FROM edges) AS edges, round((SELECT count(*) FROM edges) / ((SELECT count(DISTINCT name) FROM ent) * ((SELECT count(DISTINCT name) FROM ent) - 1.0)), 9) AS density""")
+_TYPED = _MENTIONS + """, c AS (SELECT a.name AS n1, a.entity_type AS t1, b.name AS n2, b.entity_type AS t2, count(*) AS weight FROM ent a JOIN ent b ON a.doc_id = b.doc_id AND (a.name, a.entity_type) < (b.name, b.entity_type) AND a.name <> b.name GROUP BY 1, 2, 3, 4)"""
+
+
+@query(_TYPED + """ SELECT n.nodes, e.edges, CASE WHEN n.nodes > 1 THEN round(2 * e.edges / (n.nodes * (n.nodes - 1.0)), 9) ELSE 0 END AS density, n.nodes AS unique_entities, 0::BIGINT AS relationships, e.edges AS co_occurrences
+FROM (SELECT count(*) AS nodes FROM (SELECT DISTINCT name, entity_type FROM ent)) n, (SELECT count(*) AS edges FROM c) e""")
 def graph_stats(read):
-    """AG8."""
-    found = _acronyms(read)
-    out = graph.stats(found.select("name").distinct(), entities.pair_counts(found))
-    return out.select("nodes", "edges", F.round("density", 9).alias("density"))
+    """AG8, GR7, GR13: the graph of all typed entities and its figures (no relations are stated)."""
+    found = entities.entities(read("documents"))
+    nodes, edges = knowledge.build(found)
+    return knowledge.figures(nodes, tables.checkpointed(edges)).withColumn("density", F.round("density", 9))
+
 
+@query(_TYPED + """ SELECT n1 || ' (' || t1 || ')' AS src, n2 || ' (' || t2 || ')' AS dst, weight::DOUBLE AS weight FROM c""")
+def typed_pairs(read):
+    """GR7: co-occurrence edges between typed nodes."""
+    e = knowledge.cooccurrence_edges(entities.entities(read("documents")))
+    name = lambda x: F.concat(F.col(f"{x}.name"), F.lit(" ("), F.col(f"{x}.type"), F.lit(")"))
+    return e.select(name("src").alias("src"), name("dst").alias("dst"), "weight")
 
-@query(_EDGES + """ SELECT node, count(DISTINCT other) AS degree FROM (SELECT src AS node, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY node""")
+
+_DEGREES = _EDGES + """, d AS (SELECT node, count(DISTINCT other) AS degree FROM (SELECT src AS node, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges) GROUP BY node)"""
+
+
+@query(_DEGREES + " SELECT node, degree, round(degree / greatest((SELECT count(*) FROM d) - 1, 1)::DOUBLE, 9) AS centrality FROM d")
 def degree_centrality(read):
     """GR10 (degree)."""
-    return graph.degrees(entities.pair_counts(_acronyms(read)))
+    return graph.degrees(entities.pair_counts(_acronyms(read))).withColumn("centrality", F.round("centrality", 9))
+
+
+@query(_DEGREES + " SELECT node, degree FROM d ORDER BY degree DESC, node LIMIT 10")
+def top_degree(read):
+    """TK6: the ten most central nodes."""
+    return graph.top_central(graph.degrees(entities.pair_counts(_acronyms(read))), "degree").select("node", "degree")
 
 
-@query(_SMALL + """ SELECT dst AS node FROM both_ways WHERE src = 'n3' ORDER BY dst LIMIT 10""")
+@query(_PLACES + """ SELECT dst AS node, max(weight)::BIGINT AS weight FROM both_ways WHERE src = 'n3' GROUP BY dst ORDER BY weight DESC, node LIMIT 10""")
 def related_entities(read):
-    """GR9, TK5."""
-    e = _small_edges(read).withColumn("weight", F.lit(1))
-    return graph.related(e, "n3").select("node")
+    """GR9, TK5: heaviest edge first."""
+    return graph.related(_places(read), "n3")
 
 
-@query("WITH RECURSIVE " + _SMALL[5:] + """, walk(source, node, d) AS (SELECT DISTINCT src, src, 0 FROM both_ways WHERE src LIKE 'r%' UNION SELECT w.source, b.dst, w.d + 1 FROM walk w JOIN both_ways b ON w.node = b.src WHERE w.d < 4)
-SELECT source, node, CAST(min(d) AS BIGINT) AS distance FROM walk GROUP BY source, node""")
+@query(_FAR + " SELECT source, node, CAST(d AS BIGINT) AS distance FROM far WHERE source LIKE 'r%'")
 def shortest_path_len(read):
     """GR8: steps from the regions, breadth first."""
-    e = _small_edges(read)
+    e = _places(read)
     sources = e.select(F.col("dst").alias("node")).where("node like 'r%'").distinct()
     return graph.distances(e, sources).select("source", "node", F.col("distance").cast("long").alias("distance"))
 
 
-@query("WITH RECURSIVE " + _SMALL[5:] + """, walk(node, other) AS (SELECT src, src FROM both_ways UNION SELECT w.node, b.dst FROM walk w JOIN both_ways b ON w.other = b.src)
-SELECT node, min(other) AS component FROM walk GROUP BY node""")
+@query("""SELECT 's' || min(s_suppkey) || ' (supplier) -> n5 (nation) -> r' || (SELECT n_regionkey FROM nation WHERE n_nationkey = 5) || ' (region)' AS rendered FROM supplier WHERE s_nationkey = 5 HAVING count(*) > 0""")
+def reasoning_path(read):
+    """GR12, ST-16: from a nation's suppliers to the region, over typed nodes."""
+    kind = lambda x: F.when(F.col(x).startswith("s"), "supplier").when(F.col(x).startswith("n"), "nation").otherwise("region")
+    typed = _places(read).select(F.struct(F.col("src").alias("name"), kind("src").alias("type")).alias("src"), F.struct(F.col("dst").alias("name"), kind("dst").alias("type")).alias("dst"))
+    first = read("supplier").where("s_nationkey = 5").agg(F.concat(F.lit("s"), F.min("s_suppkey")).alias("name")).where("name is not null").withColumn("entity_type", F.lit("supplier"))
+    last = read("region").select(F.concat(F.lit("r"), "r_regionkey").alias("name"), F.lit("region").alias("entity_type"))
+    return knowledge.reasoning_path(first, last, typed).select("rendered")
+
+
+@query(_FAR + " SELECT source AS node, min(node) AS component FROM far GROUP BY source")
 def graph_components(read):
     """GR11 (components)."""
-    return graph.components(_small_edges(read))
+    return graph.components(_places(read))
 
 
-@query(None)
+@query(_FAR + """, n AS (SELECT count(DISTINCT source) AS n FROM far)
+SELECT source AS node, round((count(*) - 1) / (n - 1)::DOUBLE * (count(*) - 1) / sum(d), 9) AS closeness FROM far, n GROUP BY source, n""")
 def closeness_centrality(read):
     """GR10 (closeness)."""
-    return graph.closeness(_small_edges(read, "true"))
+    return graph.closeness(_places(read))
 
 
-@query(None)
+@query(_FAR + """, n AS (SELECT count(DISTINCT source) AS n FROM far),
+pairs AS (SELECT v.node, count(*) AS c FROM far v JOIN far t ON t.source = v.node JOIN far st ON st.source = v.source AND st.node = t.node
+  WHERE v.d > 0 AND t.d > 0 AND v.source < t.node AND v.d + t.d = st.d GROUP BY v.node)
+SELECT a.node, round(coalesce(c, 0) * 2.0 / ((n - 1) * (n - 2)), 9)::DOUBLE AS betweenness FROM (SELECT DISTINCT source AS node FROM far) a LEFT JOIN pairs USING (node), n""")
 def betweenness_centrality(read):
-    """GR10 (betweenness)."""
-    return graph.betweenness(_small_edges(read, "true"))
+    """GR10 (betweenness): in a tree the one path between two nodes is the shortest."""
+    return graph.betweenness(_places(read))
 
 
 @query(None)
 def graph_communities(read):
     """GR11 (communities)."""
-    return graph.communities(_small_edges(read, "true"))
+    return graph.communities(_places(read))
 
 
 @query(None)
@@ -317,23 +417,46 @@ def url_normalise(read):
     return read("pages").select("page_id", web.normalised(F.col("url")).alias("url"))
 
 
-@query("""SELECT page_id, regexp_matches(url, '^https?://[^/?#]+') AS safe FROM pages""")
+#: Hosts in the spellings that resolvers take, and whether each may be read.
+_HOSTS = [
+    ("127.0.0.1", False), ("2130706433", False), ("127.1", False), ("0x7f.0.0.1", False), ("0177.0.0.1", False), ("[::1]", False), ("[::ffff:127.0.0.1]", False), ("[::ffff:7f00:1]", False), ("localhost.", False), ("169.254.169.254.", False), ("10.1.2.3", False), ("172.31.0.1", False), ("172.32.0.1", True),
+    ("192.168.1.1:80", False), ("8.8.8.8", True), ("134744072", True), ("[fe80::1%25eth0]", False), ("[fd00::1]", False), ("[2606:4700::1111]", True), ("metadata.google.internal", False), ("user@10.0.0.1", False), ("0", False), ("224.0.0.1", True), ("240.0.0.1", False), ("www.example.com", True),
+]
+
+
+@query("SELECT page_id, host, safe AND regexp_matches(url, '^https?://') AS safe FROM pages, (VALUES " + ", ".join(f"('{h}', {ok})" for h, ok in _HOSTS) + ") t(host, safe)")
 def safe_url(read):
-    """PF8 (literal addresses; the data hold public names only)."""
-    return read("pages").select("page_id", web.is_safe(F.col("url")).alias("safe"))
+    """PF8: every page's address on hosts of all spellings (names pass as known)."""
+    hosts = F.explode(F.array(*(F.lit(h) for h, _ in _HOSTS)))
+    rows = read("pages").select("page_id", "url", hosts.alias("host"))
+    url = F.concat(F.regexp_extract("url", r"^([^:]*://)[^/?#]*", 1), "host", F.regexp_extract("url", r"^[^:]*://[^/?#]*(.*)", 1))
+    return rows.select("page_id", "host", web.is_safe(url, known_names=True).alias("safe"))
+
+
+_LINKS = """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || o_custkey AS src, 'p' || o_orderkey AS dst FROM orders),
+walk(url, depth) AS (SELECT 'p1', 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON w.url = e.src WHERE w.depth < 3 {rule})"""
+
+
+def _links(read) -> DataFrame:
+    return read("orders").select(F.concat(F.lit("p"), "o_custkey").alias("src"), F.concat(F.lit("p"), "o_orderkey").alias("dst"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || o_custkey % 50 AS src, 'p' || o_orderkey % 50 AS dst FROM orders WHERE o_orderkey < 120),
-walk(url, depth) AS (SELECT 'p1', 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON w.url = e.src WHERE w.depth < 3)
-SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY url""")
+@query(_LINKS.format(rule="") + """ SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY url""")
 def crawl_depth(read):
     """SC13, SO4: breadth-first levels of a link graph."""
-    o = read("orders").where("o_orderkey < 120")
-    edges = o.select(F.concat(F.lit("p"), F.col("o_custkey") % 50).alias("src"), F.concat(F.lit("p"), F.col("o_orderkey") % 50).alias("dst"))
+    edges = _links(read)
     seeds = edges.sparkSession.range(1).select(F.lit("p1").alias("url"))
     return web.crawl(seeds, edges, 3).select("url", F.col("depth").cast("long").alias("depth"))
 
 
+@query(_LINKS.format(rule="AND NOT regexp_matches(e.dst, '7')") + """ SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY url""")
+def crawl_excluding(read):
+    """SC13, PF6: pages that a pattern refuses are neither taken nor followed."""
+    edges = _links(read)
+    seeds = edges.sparkSession.range(1).select(F.lit("p1").alias("url"))
+    return web.crawl(seeds, edges, 3, exclude=["7"]).select("url", F.col("depth").cast("long").alias("depth"))
+
+
 # --- conversations, messages, jobs ---------------------------------------------------------------
 
 _MESSAGES = """WITH m AS (SELECT conv_id, turn, role, text, conv_id % 7 AS user_id, length(text) AS tokens FROM conversations)"""
@@ -370,12 +493,12 @@ def prev_context(read):
     return subtitles.with_context(rows, F.lit(False)).select(F.col("video_id").alias("conv_id"), F.col("seq").alias("turn"), "context")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn > lo THEN lo END AS root FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id) AS lo FROM conversations)""")
+@query("""SELECT m.conv_id * 1000 + m.turn AS id, CASE WHEN m.turn > 0 THEN m.conv_id * 1000 + m.turn // 2 END AS parent_id, p.text AS parent_text
+FROM conversations m LEFT JOIN conversations p ON m.turn > 0 AND p.conv_id = m.conv_id AND p.turn = m.turn // 2 AND m.turn <> m.turn // 2""")
 def message_parent(read):
-    """JN7: each turn's first turn by a self join."""
-    m = read("conversations").select("conv_id", "turn")
-    first = m.groupBy("conv_id").agg(F.min("turn").alias("lo"))
-    return m.join(first, "conv_id").select("conv_id", "turn", F.when(F.col("turn") > F.col("lo"), F.col("lo")).alias("root"))
+    """JN7: each message beside its parent (a tree in every conversation)."""
+    m = read("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("parent_id"), "text")
+    return metadata.parents(m)
 
 
 @query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50""")
@@ -384,15 +507,15 @@ def job_list_recent(read):
     return metadata.optional(read("orders"), o_orderstatus="F", o_orderpriority=None).orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
-_LIVE = """WITH jobs AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'ingestion_file' ELSE 'translation' END AS job_type, o_orderstatus AS status, o_orderkey % 40 AS entry FROM orders),
-live AS (SELECT event_id AS entry, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS status FROM events WHERE event_id < 30)"""
+_LIVE = """WITH jobs AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'ingestion_file' ELSE 'translation' END AS job_type, o_orderstatus AS status, o_orderkey AS entry FROM orders),
+live AS (SELECT event_id AS entry, CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END AS status FROM events)"""
 
 
 @query(_LIVE + """ SELECT j.id, CASE WHEN job_type = 'ingestion_file' THEN coalesce(nullif(l.status, ''), j.status) ELSE j.status END AS status FROM jobs j LEFT JOIN live l ON j.entry = l.entry""")
 def job_live_merge(read):
     """JN6, JS2: live status over stored status."""
-    jobs = read("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "ingestion_file").otherwise("translation").alias("job_type"), F.col("o_orderstatus").alias("status"), F.to_json(F.struct((F.col("o_orderkey") % 40).cast("string").alias("redis_job_id"))).alias("payload"), F.col("o_orderdate").alias("completed_at"))
-    live = read("events").where("event_id < 30").select(F.col("event_id").cast("string").alias("redis_job_id"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type")).alias("status"), F.lit("").alias("completed_at"))
+    jobs = read("orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "ingestion_file").otherwise("translation").alias("job_type"), F.col("o_orderstatus").alias("status"), F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("redis_job_id"))).alias("payload"), F.col("o_orderdate").alias("completed_at"))
+    live = read("events").select(F.col("event_id").cast("string").alias("redis_job_id"), F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type")).alias("status"), F.lit("").alias("completed_at"))
     return metadata.with_live_status(jobs, live).select("id", "status")
 
 
@@ -445,11 +568,12 @@ def missing_ids(read):
     return metadata.missing(read("orders").select(F.col("o_custkey").alias("c_custkey")), read("customer").where("c_acctbal > 0"), "c_custkey")
 
 
-@query("""SELECT n_name, string_agg(s_name, ',' ORDER BY s_name) AS suppliers FROM nation JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_name""")
+@query("""SELECT s_suppkey, coalesce(string_agg(p_name, '|' ORDER BY p_name), '') AS parts FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey) ON l_suppkey = s_suppkey GROUP BY s_suppkey""")
 def agent_domains(read):
-    """JN4: the many side as an ordered list."""
-    both = read("nation").join(read("supplier"), F.col("n_nationkey") == F.col("s_nationkey"))
-    return both.groupBy("n_name").agg(F.array_join(F.array_sort(F.collect_list("s_name")), ",").alias("suppliers"))
+    """JN4: many to many through a bridge table, as an ordered list."""
+    bridge = read("lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("p_partkey"))
+    out = metadata.through(read("supplier").select("s_suppkey"), bridge, read("part"), "s_suppkey", "p_partkey", "p_name", "parts")
+    return out.select("s_suppkey", F.array_join("parts", "|").alias("parts"))
 
 
 @query("""SELECT c_custkey, coalesce(n_name, 'Unknown') AS n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey""")
@@ -543,11 +667,11 @@ def vad_sessions(read):
     return loud.select("user_id", F.unix_micros(F.col("session_window.start").cast("timestamp")).alias("start_us"), "n")
 
 
-_BOXES = """WITH b AS (SELECT l_orderkey AS v, l_linenumber AS i, (l_partkey % 20) * 5 AS x, (l_suppkey % 10) * 5 AS y, 20 + (l_quantity::BIGINT % 3) * 10 AS w, 20 + (l_linenumber % 4) * 10 AS h FROM lineitem WHERE l_orderkey < 500)"""
+_BOXES = """WITH b AS (SELECT l_orderkey AS v, l_linenumber AS i, (l_partkey % 20) * 5 AS x, (l_suppkey % 10) * 5 AS y, 20 + (l_quantity::BIGINT % 3) * 10 AS w, 20 + (l_linenumber % 4) * 10 AS h FROM lineitem)"""
 
 
-def _boxes(read, orders: str = "l_orderkey < 500") -> DataFrame:
-    l = read("lineitem").where(orders)  # noqa: E741
+def _boxes(read) -> DataFrame:
+    l = read("lineitem")  # noqa: E741
     return l.select(F.col("l_orderkey").alias("v"), F.col("l_linenumber").alias("i"), ((F.col("l_partkey") % 20) * 5).cast("int").alias("x"), ((F.col("l_suppkey") % 10) * 5).cast("int").alias("y"), (20 + (F.col("l_quantity").cast("long") % 3) * 10).cast("int").alias("w"), (20 + (F.col("l_linenumber") % 4) * 10).cast("int").alias("h"))
 
 
@@ -572,7 +696,7 @@ def track_summary(read):
 @query(None)
 def nms_merge(read):
     """GE1, TK7, PF14."""
-    b = _boxes(read, "true")
+    b = _boxes(read)
     hit = F.struct(F.concat(F.lit("w"), F.col("i") % 2).alias("text"), (1.0 / F.col("i")).alias("conf"), F.col("x").cast("double").alias("x1"), F.col("y").cast("double").alias("y1"), (F.col("x") + F.col("w")).cast("double").alias("x2"), (F.col("y") + F.col("h")).cast("double").alias("y2"))
     hits = b.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("i", hit.alias("h")))).alias("r")).select("v", F.transform("r", lambda r: r["h"]).alias("hits"))
     return hits.select("v", video.read_order(video.kept_hits(F.col("hits"))).alias("kept"))
@@ -582,7 +706,7 @@ def nms_merge(read):
 def track_fuse(read):
     """GE3, JN10."""
     b = _boxes(read)
-    tracks = b.select((F.col("v") % 10).alias("video_id"), F.floor(F.col("v") / 10).cast("int").alias("segment_idx"), F.col("i").alias("seq"), F.format_string("T%02d", F.col("i")).alias("track_id"), F.array(F.struct(F.lit(0.0).alias("t"), "x", "y", "w", "h")).alias("boxes"))
+    tracks = b.select(F.floor(F.col("v") / 8).alias("video_id"), (F.col("v") % 8).cast("int").alias("segment_idx"), F.col("i").alias("seq"), F.format_string("T%02d", F.col("i")).alias("track_id"), F.array(F.struct(F.lit(0.0).alias("t"), "x", "y", "w", "h")).alias("boxes"))
     return video.fused(tracks)
 
 
@@ -595,10 +719,10 @@ def blob_top(read):
 
 
 @query("""SELECT doc_id, batch, string_agg('[' || i || ']: ' || line, chr(10) ORDER BY i) AS prompt FROM (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) // 5 AS batch, i, line FROM
- (SELECT doc_id, i, t[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents WHERE lang = 'en'), range(1, 100000) r(i) WHERE i <= len(t)) WHERE regexp_matches(line, '\\S')) GROUP BY doc_id, batch""")
+ (SELECT doc_id, i, t[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents), range(1, 100000) r(i) WHERE i <= len(t)) WHERE regexp_matches(line, '\\S')) GROUP BY doc_id, batch""")
 def translation_prompts(read):
     """ST-10, JS6: prompts of numbered lines in batches."""
-    lines = read("documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    lines = read("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
     rows = lines.select("doc_id", (F.col("i") + 1).alias("seq"), (F.col("i") + 1).cast("string").alias("id"), "text")
     return assembly.translation_prompts(rows, 5).withColumn("batch", F.col("batch").cast("long"))
 

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,9 +21,12 @@ MAX_BYTES, MAX_VIDEO_BYTES = 50 << 20, 500 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in ``spark.checkpoint.dir`` (set to a temporary one only where unset)."""
+    """A new folder in ``spark.checkpoint.dir``; where unset, a local session gets a temporary
+    one, and on a cluster it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -136,15 +140,71 @@ def collection_info(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("collection").agg(F.count("*").alias("points"))
 
 
+def create_collection(spark: SparkSession, path: str, name: str, schema: str) -> bool:
+    """An empty collection of the given columns; False if it is there already."""
+    if exists(spark, f"{path}/collection={name}"):
+        return False
+    spark.createDataFrame([], schema).write.parquet(f"{path}/collection={name}")
+    return True
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).limit(1).count()
+    except AnalysisException:
+        return False
+    return True
+
+
 def page(rows: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+#: Fixed value: chunks of a listing, at most.
+LISTED = 10_000
+
+
+def listing(points: DataFrame, limit: int = 20, offset: int = 0, cap: int = LISTED) -> DataFrame:
+    """A page of a collection's chunks in document order, with total and has_more.  Points
+    have id, source_file, chunk_index and t_start; of more than ``cap`` the first by id are listed."""
+    some = points.orderBy("id").limit(cap)
+    total = some.agg(F.count("*").alias("total"))
+    order = [F.lower(F.coalesce("source_file", F.lit(""))), F.coalesce(F.col("chunk_index").cast("double"), F.col("t_start").cast("double"), F.lit(0.0)), "id"]
+    shown = page(some, order, limit, offset)
+    return shown.crossJoin(total).crossJoin(shown.agg(F.count("*").alias("__n"))).withColumn("has_more", F.col("total") > F.lit(offset) + F.col("__n")).drop("__n")  # rows of one
+
+
+def scrolled(points: DataFrame, limit: int = 20, after: object = None, with_vectors: bool = False) -> tuple[DataFrame, object]:
+    """The next points by id after a cursor (null at the start), and the cursor of the page after them (null at the end)."""
+    rows = points if with_vectors else points.drop("vector")
+    rows = rows if after is None else rows.where(F.col("id") > F.lit(after))
+    shown = rows.orderBy("id").limit(limit)
+    last = shown.agg(F.max("id"), F.count("*")).collect()[0]
+    more = last[1] == limit and not rows.where(F.col("id") > F.lit(last[0])).isEmpty()
+    return shown, last[0] if more else None
+
+
+def clip_of(points: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, clip_key, problem of asked points (id): ``Point not found.`` or ``No clip available
+    for this point.`` where there is none."""
+    have = points.select("id", F.col("clip_key").alias("__k"), F.lit(True).alias("__there"))
+    out = wanted.select("id").join(have, "id", "left")
+    key = F.nullif("__k", F.lit(""))
+    return out.select("id", key.alias("clip_key"), F.when(F.col("__there").isNull(), "Point not found.").when(key.isNull(), "No clip available for this point.").alias("problem"))
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON-lines files; blank lines are skipped."""
     return spark.read.schema(schema).json(path)
 
 
+def jsonl_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """path, chunk_idx (the number of the line in its file, blank ones counted) and the
+    fields of every line that is not blank.  A file is one row while it is cut to lines."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("chunk_idx", "line"))
+    return files.where(F.trim("line") != "").select("path", "chunk_idx", F.from_json("line", schema).alias("r")).select("path", "chunk_idx", "r.*")
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 

@@ -43,6 +43,30 @@ def dispatched(tasks: DataFrame, handlers: dict[str, Callable[[DataFrame], None]
     return tasks.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: States of a job in order; the last three end it.
+STATES = ["queued", "crawling", "extracting", "partitioning", "embedding", "storing", "completed", "failed", "cancelled"]
+ENDED = ["completed", "failed", "cancelled"]
+
+
+def status_fields(updates: DataFrame) -> DataFrame:
+    """job_id and, of every other field, its last value that was given (by ts): a null changes nothing."""
+    fields = [c for c in updates.columns if c not in ("job_id", "ts")]
+    return updates.groupBy("job_id").agg(F.max("ts").alias("ts"), *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c) for c in fields))
+
+
+def transitions(updates: DataFrame) -> DataFrame:
+    """job_id, ts, status, before, valid: whether a known state follows one that has not ended (batch)."""
+    from pyspark.sql.window import Window
+
+    rows = updates.withColumn("before", F.lag("status").over(Window.partitionBy("job_id").orderBy("ts")))
+    return rows.select("job_id", "ts", "status", "before", (F.col("status").isin(*STATES) & ~F.coalesce(F.col("before").isin(*ENDED), F.lit(False))).alias("valid"))
+
+
+def merged_pairs(spark, path: str) -> DataFrame:
+    """src, dst, weight over all epochs that ``growing_pairs`` has written."""
+    return spark.read.parquet(path).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
 def growing_pairs(texts: DataFrame, path: str, checkpoint: str):
     """Starts a query that adds every micro-batch's entity pairs to a table of counts
     (a file set an epoch; an epoch that is run again replaces its own)."""

@@ -7,6 +7,7 @@ import json
 import random
 import uuid
 from collections import deque
+from difflib import SequenceMatcher
 from itertools import combinations
 
 import pytest
@@ -120,6 +121,39 @@ def test_entity_patterns(spark):
     assert {("john smith", "person"), ("acme corp", "organization"), ("paris, tx", "location"), ("12/31/2024", "date"), ("$1,200.50", "number"), ("nasa", "acronym")} <= found
 
 
+def greedy(rows, same_from=0.85):
+    """The rule as a plain loop over (name, type, seq) in order."""
+    known, out = {}, {}
+    for name, kind, seq in sorted(rows, key=lambda r: (r[2], r[0])):
+        if (name, kind) in out:
+            continue
+        best, ratio = name, 0
+        for other in known.setdefault(kind, []):
+            r = SequenceMatcher(None, name, other).ratio()
+            if r >= same_from and r > ratio:
+                best, ratio = other, r
+        if best == name:
+            known[kind].append(name)
+        out[name, kind] = best
+    return out
+
+
+@pytest.mark.parametrize("leaders", [3, 512])
+def test_greedy_names_equal_a_plain_loop(spark, monkeypatch, leaders):
+    monkeypatch.setattr(entities, "LEADERS", leaders)
+    rng = random.Random(3)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(6, 14))) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        name = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            name[rng.randrange(len(name))] = rng.choice("abcxyz")
+        rows.append(("".join(name), rng.choice(["person", "place"]), i))
+    got = entities.canonical(spark.createDataFrame(rows, "name string, entity_type string, seq long")).collect()
+    want = greedy(rows)
+    assert len(got) == len(rows) and all(r.canonical == want[r.name, r.entity_type] for r in got)
+
+
 def test_greedy_names(spark):
     rows = [("acme corporation", "organization", 0), ("acme corporatio", "organization", 1), ("other", "organization", 2), ("acme corporation", "person", 3)]
     got = {(r.name, r.entity_type): r.canonical for r in entities.canonical(spark.createDataFrame(rows, "name string, entity_type string, seq long")).collect()}
@@ -149,7 +183,13 @@ def paths_between(edges):
     return near, dist, count
 
 
-def test_graph_measures(spark):
+def path_of(spark, edges, sources, targets, **options):
+    nodes = lambda x: spark.createDataFrame([(v,) for v in x], "node string")
+    row = graph.shortest_path(edges, nodes(sources), nodes(targets), **options).first()
+    return row and row.path
+
+
+def test_graph_measures(spark, monkeypatch):
     df = spark.createDataFrame(EDGES, "src string, dst string, weight long")
     near, dist, count = paths_between(EDGES)
     assert {r.node: r.component for r in graph.components(df).collect()} == {n: min(dist[n]) for n in near}
@@ -159,13 +199,19 @@ def test_graph_measures(spark):
             for v in near:
                 if v not in (s, t) and v in dist[s] and dist[s][v] + dist[v].get(t, 99) == dist[s][t]:
                     between[v] += count[s][v] * count[v][t] / count[s][t]
-    got = {r.node: r.betweenness for r in graph.betweenness(df).collect()}
-    assert got == pytest.approx(between)
     n = len(near)
+    assert {r.node: r.betweenness for r in graph.betweenness(df, normalised=False).collect()} == pytest.approx(between)
+    assert {r.node: r.betweenness for r in graph.betweenness(df).collect()} == pytest.approx({v: b * 2 / (n - 1) / (n - 2) for v, b in between.items()}, abs=1e-8)
+    assert {r.node: (r.degree, r.centrality) for r in graph.degrees(df).collect()} == {v: (len(w), len(w) / (n - 1)) for v, w in near.items()}
+    monkeypatch.setattr(graph, "HELD_EDGES", 0)  # the way by joins
+    assert {r.node: r.betweenness for r in graph.betweenness(df, normalised=False).collect()} == pytest.approx(between)
     close = {v: (len(d) - 1) ** 2 / (n - 1) / sum(d.values()) for v, d in dist.items()}
     assert {r.node: r.closeness for r in graph.closeness(df).collect()} == pytest.approx(close)
-    assert graph.shortest_path(df, ["a"], ["e"], directed=False) == ["a", "d", "e"]
-    assert graph.shortest_path(df, ["a"], ["a", "e"]) == ["a"] and graph.shortest_path(df, ["a"], ["x"]) is None
+    assert path_of(spark, df, ["a"], ["e"], directed=False) == ["a", "d", "e"]
+    assert path_of(spark, df, ["a"], ["a", "e"]) == ["a"] and path_of(spark, df, ["a"], ["x"]) is None
+    assert path_of(spark, df, ["a", "c"], ["e", "d"]) == ["a", "d"]
+    assert [(r.node, r.weight) for r in graph.related(df, "d").collect()] == [("e", 5), ("c", 2), ("a", 1)]
+    assert [(r.node, r.weight) for r in graph.related(df, "d", directed=True).collect()] == [("e", 5)]
     label = {r.node: r.community for r in graph.communities(df).collect()}
     assert set(label) == set(near) and all(label[v] in dist[v] for v in near)
 
@@ -173,9 +219,9 @@ def test_graph_measures(spark):
 # --- subtitles and video ---------------------------------------------------------------------------
 
 def test_words_close_segments(spark):
-    words = [(1, i, w, i * 2.0, i * 2.0 + 1) for i, w in enumerate("one two three four. five".split())]
+    words = [(1, i, w, i * 2.0, i * 2.0 + 1) for i, w in enumerate("one two three four. five, six: seven".split())]
     got = subtitles.words_to_segments(spark.createDataFrame(words, "video_id long, seq long, word string, start double, end double")).orderBy("seq").collect()
-    assert [r.text for r in got] == ["one two three", "four.", "five"]
+    assert [r.text for r in got] == ["one two three", "four.", "five,", "six:", "seven"]
 
 
 def test_retimed_sums_to_the_group(spark):
@@ -233,7 +279,13 @@ def test_tracks_and_frames(spark):
 
 @pytest.mark.parametrize(("url", "safe"), [("http://example.com/a", True), ("ftp://example.com", False), ("http://127.0.0.1/", False), ("http://10.2.3.4", False), ("http://172.31.0.1", False), ("http://172.32.0.1", True), ("http://169.254.169.254/x", False), ("http://metadata", False), ("http://[::1]/", False), ("http://8.8.8.8:80/", True), ("nonsense", False), (None, False), ("http://localhost/", False)])
 def test_safe_urls(spark, url, safe):
-    assert one(spark, web.is_safe(F.col("u")), u=url) is safe
+    assert one(spark, web.is_safe(F.col("u"), known_names=True), u=url) is safe
+    assert one(spark, web.is_safe(F.col("u")), u=url) is (safe and not (url or "").startswith("http://example"))
+
+
+@pytest.mark.parametrize("host", ["127.1", "2130706433", "0x7f.0.0.1", "0177.1", "[::ffff:127.0.0.1]", "[::ffff:7f00:1]", "[::]", "[fe80::1]", "[0:0:0:0:0:ffff:10.0.0.1]", "localhost.", "a.localhost", "169.254.169.254.", "0", "127.0.0.1:8080", "me@127.0.0.1"])
+def test_spellings_of_unsafe_hosts(spark, host):
+    assert one(spark, web.is_safe(F.col("u"), known_names=True), u=f"http://{host}/x") is False
 
 
 def test_tables(spark):
@@ -241,6 +293,8 @@ def test_tables(spark):
     rows = one(spark, F.transform(web.tables(F.col("h")), web.table_markdown), h=html)
     assert rows == ["| a | b c |\n| --- | --- |\n| 1 | 2 |", "| only |"]
     assert one(spark, web.markdown_rows(F.lit(rows[0])), h="") == [["a", "b c"], ["1", "2"]]
+    got = one(spark, F.array(*(web.table_records(F.col("h"), x) for x in ("raw_html", "markdown", "summary_and_html"))), h=html)
+    assert [[(t["index"], t.markdown, t.needs_summary) for t in x] for x in got] == [[(0, None, False), (1, None, False)], [(0, rows[0], False), (1, rows[1], False)], [(0, rows[0], True), (1, rows[1], True)]]
     assert one(spark, web.joined(F.lit("http://a.com/x/y"), F.col("l")), l="z") == "http://a.com/x/z"
 
 
@@ -249,6 +303,23 @@ def test_crawl_limits(spark):
     seeds = spark.createDataFrame([("a/",)], "url string")
     assert sorted((r.url, r.depth) for r in web.crawl(seeds, edges, 2).collect()) == [("a", 0), ("b", 1), ("c", 1), ("d", 2)]
     assert sorted(r.url for r in web.crawl(seeds, edges, 9, max_pages=3).collect()) == ["a", "b", "c"]
+    assert sorted(r.url for r in web.crawl(seeds, edges, 9, exclude=["b"]).collect()) == ["a", "c"]
+    assert web.crawl(seeds, edges, 9, max_pages=0).count() == 0
+
+
+def test_safe_crawl(spark):
+    edges = spark.createDataFrame([("http://a.com", "http://127.1/x"), ("http://a.com", "http://b.com"), ("http://127.1/x", "http://c.com")], "src string, dst string")
+    start = lambda u: spark.createDataFrame([(u,)], "url string")
+    assert sorted(r.url for r in web.crawl(start("http://a.com"), edges, 5, safe=True).collect()) == ["http://a.com", "http://b.com"]
+    with pytest.raises(ValueError, match="unsafe"):
+        web.crawl(start("http://10.0.0.1"), edges, 5, safe=True)
+
+
+def test_deep_crawl(spark):
+    edges = spark.createDataFrame([("a", "b", 0), ("a", "c", 1), ("c", "d", 0), ("c", "e", 1), ("b", "f", 0), ("d", "a", 0)], "src string, dst string, pos int")
+    order = lambda *x, **k: [r.url for r in web.crawl_deep(["a"], edges, *x, **k).orderBy("place").collect()]
+    assert order(9, 10) == ["a", "c", "e", "d", "b", "f"] and order(1, 10) == ["a", "c", "b"] and order(9, 3) == ["a", "c", "e"]
+    assert order(9, 10, exclude=["c"]) == ["a", "b", "f"]
 
 
 # --- listings, sources, streams -------------------------------------------------------------------
@@ -257,8 +328,8 @@ def test_long_paths_are_not_cut(spark):
     n = 13
     df = spark.createDataFrame([(f"v{i:02}", f"v{i + 1:02}", 1) for i in range(n - 1)], "src string, dst string, weight long")
     names = [f"v{i:02}" for i in range(n)]
-    assert graph.shortest_path(df, names[:1], names[-1:]) == names
-    assert {r.node: r.betweenness for r in graph.betweenness(df).collect()} == pytest.approx({v: i * (n - 1 - i) for i, v in enumerate(names)})
+    assert path_of(spark, df, names[:1], names[-1:]) == names
+    assert {r.node: r.betweenness for r in graph.betweenness(df, normalised=False).collect()} == pytest.approx({v: i * (n - 1 - i) for i, v in enumerate(names)})
     assert {r.node: r.closeness for r in graph.closeness(df).collect()} == pytest.approx({v: (n - 1) / sum(abs(i - j) for j in range(n)) for i, v in enumerate(names)})
     assert graph.distances(df, df.where("src = 'v00'").select(F.col("src").alias("node")), 3).count() == 4
 
