@@ -73,5 +73,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+# --- SQL: what op2 returns, step by step ------------------------------------------------------
+
+def _attribute(name: str) -> str:
+    pattern = r"""(?is)(?:^|[\s\"''/])""" + name + r"""\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
+    value = " || ".join(f"regexp_extract(tag, '{pattern}', {i})" for i in (1, 2, 3))
+    for entity, sign in url_filter.ENTITIES:
+        value = f"replace({value}, '{entity}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return value
+
+
+def _address(name: str, source: str, url: str, keep: str) -> str:
+    """Tables that add host, path and plain (the path without dot segments) to ``source``."""
+    return f"""{name}_r AS (SELECT {keep}, CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END AS rest FROM {source}),
+{name}_p AS (SELECT {keep}, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\\?[^#]*)?', 1) AS query FROM {name}_r),
+{name}_l AS (SELECT *, string_split(path, '/')[2:] AS parts FROM {name}_p),
+{name} AS (SELECT * EXCLUDE (parts), CASE WHEN path = '' THEN '/' WHEN NOT regexp_matches(path, '/\\.\\.?(/|$)') THEN path ELSE '/' || array_to_string(
+  list_reduce(list_prepend([]::VARCHAR[], list_transform(parts, lambda s: [s])), lambda a, x: CASE x[1] WHEN '.' THEN a WHEN '..' THEN a[1:len(a) - 1] ELSE list_concat(a, x) END) || CASE WHEN parts[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END, '/') END AS plain FROM {name}_l)""".replace("\\\\", "\\")
+
+
+def _rule(host: str, path: str) -> str:
+    cases = (f"WHEN ({host} = '{r.host}' OR ends_with({host}, '.{r.host}')) AND starts_with({path}, '{r.path}') THEN '{r}'" for r in sorted(url_filter.RULES, key=lambda r: -len(str(r))))
+    return "CASE " + " ".join(cases) + " END"
+
+
+_BLOCKS = ", ".join(f"'{r}'" for r in url_filter.RULES if not r.allow)
+
+OP2 = f"""WITH RECURSIVE {_address("own", "pages", "url", "page_id, url, html")},
+tags AS (SELECT url, host, path, plain, query, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM own WHERE host <> ''),
+attributes AS (SELECT * EXCLUDE (tag), {_attribute("rel")} AS rel, {_attribute("href")} AS href, {_attribute("http-equiv")} AS equiv, {_attribute("content")} AS content FROM tags),
+named AS (SELECT *, trim(CASE WHEN regexp_matches(lower(rel), '(^|\\s)canonical(\\s|$)') THEN href WHEN lower(trim(equiv)) = 'refresh' THEN regexp_extract(content, '(?i)url\\s*=\\s*["'']?([^"'';]+)', 1) END) AS target, regexp_extract(url, '^([^:/?#]*):', 1) AS scheme, CASE WHEN path = '' THEN '/' ELSE path END AS base FROM attributes),
+seen AS (SELECT host AS a_host, path AS a_path, host || plain || query AS a, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') OR target[1] = '#' THEN NULL WHEN target[1:2] = '//' THEN scheme || ':' || target
+  WHEN target[1] = '/' THEN scheme || '://' || host || target WHEN target[1] = '?' THEN scheme || '://' || host || base || target ELSE scheme || '://' || host || regexp_replace(base, '[^/]*$', '') || target END AS url FROM named WHERE target <> ''),
+{_address("aim", "seen", "url", "a, a_host, a_path")},
+links AS (SELECT DISTINCT a, a_host, a_path, host || plain || query AS b, host AS b_host, CASE WHEN path = '' THEN '' ELSE plain END AS b_path FROM aim WHERE host <> ''),
+ends AS (SELECT a AS node, a_host AS host, a_path AS path FROM links UNION SELECT b, b_host, b_path FROM links),
+ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+hit(node) AS (SELECT node FROM ends WHERE {_rule("host", "path")} IN ({_BLOCKS}) UNION SELECT ways.b FROM hit JOIN ways ON hit.node = ways.a),
+judged AS (SELECT page_id, host, path, {_rule("host", "path")} AS rule, CASE WHEN host <> '' THEN host || plain || query END AS address FROM own)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKS}) OR (rule IS NULL AND hit.node IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict, rule IS NULL AND hit.node IS NOT NULL AS by_alias FROM judged LEFT JOIN hit ON address = hit.node"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_url_filter": OP2}

@@ -8,9 +8,15 @@ http-equiv=refresh>``) are joined into components, and one blocked address block
 the component.  A page's own rule always comes first, so an explicit allow is never
 overruled by an alias.
 
+Targets are resolved as RFC 3986 says: a bare query or fragment keeps the page's path,
+dot segments go, and the five named entities of HTML are decoded first.  An address is
+host, path without dot segments, and query.
+
 Defined cases: a null url, or one without ``://``, has empty host and path, fits no
-rule, has no aliases and is allowed; null or empty html has no links; repeated rows
-get equal verdicts; other columns are passed by; an empty table gives an empty result.
+rule, has no aliases and is allowed; null or empty html has no links, html of any length
+is read whole; a target of another kind of address (``mailto:``) is none; repeated rows
+get equal verdicts; other columns, whatever their names, are passed by; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,10 +57,19 @@ RULES = [
 ]
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash without its ``.`` and ``..`` segments."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.size(F.split(path, "/")))
+    up = lambda out: F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, x: F.when(x == ".", out).when(x == "..", up(out)).otherwise(F.array_append(out, x)))
+    open_end = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(F.concat(kept, open_end), "/"))).otherwise(path)
+
+
 def with_address(df: DataFrame, url: str) -> DataFrame:
-    """Adds host, path, and address: host, path and query, which name a page whatever
-    its scheme and fragment (null without a host).  One step builds on another's
-    columns, so no expression is evaluated twice."""
+    """Adds host, path, and address: host, path without dot segments and query, which name
+    a page whatever its scheme and fragment (null without a host).  One step builds on
+    another's columns, so no expression is evaluated twice."""
     rest = F.when(F.instr(url, "://") > 0, F.substring(F.col(url), F.instr(url, "://") + 3, F.length(url))).otherwise(F.lit(""))
     df = df.withColumn("__rest", F.coalesce(rest, F.lit("")))
     df = df.withColumns({
@@ -62,7 +77,8 @@ def with_address(df: DataFrame, url: str) -> DataFrame:
         "path": F.regexp_extract("__rest", r"^[^/?#]*([^?#]*)", 1),
         "__query": F.regexp_extract("__rest", r"^[^?#]*(\?[^#]*)?", 1),
     })
-    return df.withColumn("address", F.when(F.col("host") != "", F.concat("host", F.when(F.col("path") == "", "/").otherwise(F.col("path")), "__query"))).drop("__rest", "__query")
+    plain = F.when(F.col("path") == "", "/").otherwise(without_dots(F.col("path")))
+    return df.withColumn("address", F.when(F.col("host") != "", F.concat("host", plain, "__query"))).drop("__rest", "__query")
 
 
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -82,16 +98,28 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.concat(*(F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)))
 
 
+#: Entities of HTML that are decoded in attributes, in this order.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+
+
+def decoded(text: Column) -> Column:
+    for name, sign in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return text
+
+
 def _absolute() -> Column:
-    """``target`` as seen from the page of columns scheme, host, path."""
+    """``target`` as seen from the page of columns scheme, host, path; its dot segments stay."""
     target, scheme = F.col("target"), F.col("scheme")
     root = F.concat(scheme, F.lit("://"), "host")
+    path = F.when(F.col("path") == "", "/").otherwise(F.col("path"))
     return (
-        F.when(F.instr(target, "://") > 0, target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | target.startswith("#"), None)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
-        .when(target.startswith("#"), None)
-        .otherwise(F.concat(root, F.regexp_replace("path", r"[^/]*$", ""), F.when(F.col("path") == "", "/").otherwise(""), target))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .otherwise(F.concat(root, F.regexp_replace(path, r"[^/]*$", ""), target))
     )
 
 
@@ -101,13 +129,13 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     linked = pages.select(F.col(url_col).alias("u"), F.col(html_col).alias("h")).where(F.col("h").rlike(r"(?i)canonical|refresh"))
     tags = linked.select("u", F.explode(F.regexp_extract_all("h", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
     tags = stored(tags.where(F.col("tag").rlike(r"(?i)canonical|refresh")), "tags")
-    tags = stored(tags.select("u", *(_attribute(F.col("tag"), a).alias(a.replace("-", "_")) for a in ("rel", "href", "http-equiv", "content"))), "attributes")
+    tags = stored(tags.select("u", *(decoded(_attribute(F.col("tag"), a)).alias(a.replace("-", "_")) for a in ("rel", "href", "http-equiv", "content"))), "attributes")
     canonical = F.when(F.lower("rel").rlike(r"(^|\s)canonical(\s|$)"), F.col("href"))
     refresh = F.when(F.lower(F.trim("http_equiv")) == "refresh", F.regexp_extract("content", r"(?i)url\s*=\s*[\"']?([^\"';]+)", 1))
     found = tags.select("u", F.trim(F.coalesce(canonical, refresh)).alias("target")).where("target <> ''").distinct()
     found = with_address(found, "u").where("address is not null").withColumn("scheme", F.regexp_extract("u", r"^([^:/?#]*):", 1))
     source = found.select(F.col("address").alias("a"), F.col("host").alias("a_host"), F.col("path").alias("a_path"), _absolute().alias("url"))
-    out = with_address(source, "url").where("address is not null")
+    out = with_address(source, "url").where("address is not null").withColumn("path", without_dots(F.col("path")))
     return stored(out.select("a", "a_host", "a_path", F.col("address").alias("b"), F.col("host").alias("b_host"), F.col("path").alias("b_path")).distinct(), "links")
 
 

@@ -107,3 +107,73 @@ def segmentation(text, scores, byte_ids, unknown):
         s, ids = back[e]
         out, e = ids + out, s
     return out
+
+
+# --- addresses and their aliases -----------------------------------------------------------
+
+def split_url(url):
+    """host, path, query of a url, as the contract reads them."""
+    if not url or "://" not in url:
+        return "", "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    rest = rest[len(host):].split("#", 1)[0]
+    path, mark, query = rest.partition("?")
+    return host.translate(FOLD), path, mark + query
+
+
+def remove_dots(path):
+    """RFC 3986, section 5.2.4, for a path that begins with a slash."""
+    out = []
+    while path:
+        if path.startswith("/../") or path == "/..":
+            path = "/" + path[4:]
+            out = out[:-1]
+        elif path.startswith("/./") or path == "/.":
+            path = "/" + path[3:]
+        else:
+            end = path.find("/", 1)
+            end = len(path) if end < 0 else end
+            out.append(path[:end])
+            path = path[end:]
+    return "".join(out)
+
+
+def verdicts(pages, rules):
+    """{page_id: (host, path, rule, verdict)} of (page_id, url, [targets as written, decoded])."""
+    from urllib.parse import urljoin
+
+    def rule_of(host, path):
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        return max(fits, key=lambda r: len(str(r)), default=None)
+
+    own, blocked = {}, set()
+
+    def find(x):
+        while own.setdefault(x, x) != x:
+            x = own[x]
+        return x
+
+    def node(url, dots=False):
+        host, path, query = split_url(url)
+        if not host:
+            return None
+        name = host + remove_dots(path or "/") + query
+        rule = rule_of(host, remove_dots(path) if dots and path else path)
+        return name, rule is not None and not rule.allow
+
+    for _, url, targets in pages:
+        a = node(url)
+        for target in targets if a else []:
+            b = node(urljoin(url, target), True) if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:(?!//)", target) and not target.startswith("#") and target else None
+            if b:
+                own[find(a[0])] = find(b[0])
+                blocked |= {x for x, bad in (a, b) if bad}
+    roots = {find(x) for x in blocked}
+    out = {}
+    for page, url, _ in pages:
+        host, path, _ = split_url(url)
+        rule, a = rule_of(host, path), node(url)
+        verdict = ("allow" if rule.allow else "block") if rule else "block" if a and a[0] in own and find(a[0]) in roots else "allow"
+        out[page] = (host, path, str(rule) if rule else None, verdict)
+    return out

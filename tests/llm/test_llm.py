@@ -406,6 +406,37 @@ def test_urls(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string, html string"), url_filter.RULES).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_urls_equal_brute_force_and_sql(spark, seed):
+    """Random pages whose links are written in every way, repeated rows and clashing columns."""
+    import duckdb
+
+    rng = random.Random(seed)
+    hosts = ["m.org", "n.org", "a.net", "Example.com", "www.example.com", "k.io"]
+    paths = ["", "/", "/en/a", "/es/1", "/fr/b/c", "/d/2", "/d/e/f", "/d/../es/1", "/x/./y"]
+    ways = ["../q", "../../q", "?p=1&amp;r=2", "#top", "g", "./h/", "/es/1", "//a.net/fr/b/c", "mailto:x@y.z", "http://n.org/d/2", "HTTP://A.NET/es/1", "/go?u=http://k.io/", "..", "../../../es/1", "http://m.org/d/../q", ""]
+    tag = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel='x canonical y'>", '<meta http-equiv="refresh" content="0; url={}">', "<meta content=\'3;URL={}\' http-equiv=Refresh >"]
+    rows, plain = [], []
+    for i in range(150):
+        url = rng.choice(["http", "https"]) + "://" + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "", "?p=1&r=2", "#x"])
+        targets = [rng.choice(ways) for _ in range(rng.choice([0, 1, 1, 2]))]
+        html = "<p>text</p>".join(rng.choice(tag).format(t) for t in targets) or rng.choice(["", None, "<p>canonical</p>"])
+        rows.append((i, url, html))
+        plain.append((i, url, [t.replace("&amp;", "&") for t in targets]))
+    rows += [(900, None, tag[0].format("http://a.net/es/1")), (901, "nothing", None), rows[3]]
+    plain += [(900, None, []), (901, "nothing", [])]
+    pages = spark.createDataFrame([(*r, "h", "a", "r") for r in rows], "page_id long, url string, html string, host string, address string, rule string")
+    got = url_filter.filter_urls(pages, url_filter.RULES).collect()
+    assert len(got) == len(rows)
+    want = brute.verdicts(plain, url_filter.RULES)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == want
+    assert any(r.by_alias for r in got) and any(v[3] == "allow" for v in want.values())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert sorted(map(repr, con.execute(registry.OP2).fetchall())) == sorted(repr((r.page_id, r.host, r.path, r.rule, r.verdict, r.by_alias)) for r in got)
+
+
 @pytest.mark.parametrize("n", [30, 5200])
 def test_nearest(spark, n):
     rng = np.random.default_rng(6)
