@@ -114,5 +114,39 @@ judged AS (SELECT page_id, host, path, {_rule("host", "path")} AS rule, CASE WHE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKS}) OR (rule IS NULL AND hit.node IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict, rule IS NULL AND hit.node IS NOT NULL AS by_alias FROM judged LEFT JOIN hit ON address = hit.node"""
 
 
+# --- SQL: what op9 returns; a pattern's places are sums of lengths, parts meet by a plain interval join ---
+
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _found(order: int, pattern: str, lead: int | None, part: int, least: int, also: str = "true") -> str:
+    """Matches of one kind; ``lead`` is a group that comes before the match proper."""
+    p = _quoted(pattern)
+    before = f"regexp_extract_all(t, '{p}', {lead})" if lead else "NULL::VARCHAR[]"
+    return f"""SELECT rid, {order} AS o, s, e FROM (SELECT rid, list_sum(list_transform(b[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) + coalesce(length(l[i]), 0) AS s,
+ list_sum(list_transform(b[:i], lambda x: length(x))) + list_sum(list_transform(m[:i], lambda x: length(x))) AS e, g[i] AS g, m[i] AS m FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM
+ (SELECT rid, regexp_extract_all(t, '{p}', 0) AS m, {before} AS l, regexp_extract_all(t, '{p}', {part}) AS g, regexp_split_to_array(t, '{p}') AS b FROM d WHERE regexp_matches(t, '{p}')))) WHERE length(g) >= {least} AND {also}"""
+
+
+# SQL's patterns can't look around: a bare key is a whole run of key characters, and a user's name takes the character before it along.
+_KEY = r"[A-Za-z0-9+/=_-]{40,}"
+_USER = r"(^|[^A-Za-z0-9_])(" + secrets.WEAK["user"][0].removeprefix("(?<![A-Za-z0-9_])") + ")"
+_FITS = " OR ".join(f"(w.o = {secrets.KINDS.index(k)} AND p.o IN ({', '.join(str(secrets.KINDS.index(x)) for x in others)}))" for k, others in secrets.COMPLEMENT.items())
+_NAMES = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+_LIST = f"string_agg({_NAMES}[o + 1] || ':' || s || ':' || e, ',' ORDER BY s, o, e)"
+OP9 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+parts AS ({" UNION ALL ".join([
+    *(_found(i, *spec[:1], None, *spec[1:]) for i, spec in enumerate(secrets.BASE.values())),
+    _found(3, _KEY, None, 0, 40, "length(m) = 40 AND regexp_full_match(m, '[A-Za-z0-9+/]+') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[0-9]')"),
+    _found(4, _USER, 1, 2, 6),
+    _found(5, *secrets.WEAK["endpoint"][:1], None, *secrets.WEAK["endpoint"][1:]),
+])}),
+linked AS (SELECT w.* FROM parts w WHERE w.o > 2 AND EXISTS (SELECT 1 FROM parts p WHERE p.rid = w.rid AND p.s <= w.e + {secrets.SCOPE} AND p.e >= w.s - {secrets.SCOPE} AND ({_FITS}))),
+base AS (SELECT rid, count(*) FILTER (o = 0) AS a, count(*) FILTER (o = 1) AS k, count(*) FILTER (o = 2) AS h, {_LIST} AS l FROM parts WHERE o < 3 GROUP BY rid),
+every AS (SELECT rid, count(*) FILTER (o > 2) AS n, {_LIST} AS l FROM (SELECT * FROM parts WHERE o < 3 UNION ALL SELECT * FROM linked) GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base.l, '')) AS base_sha256, coalesce(every.l, '') AS spans, coalesce(n, 0) AS n_linked FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2}
+    return {"op2_url_filter": OP2, "op9_secret_scan": OP9}

@@ -8,8 +8,9 @@ text are joined by interval: a bare key is reported if an identifier or endpoint
 within ``SCOPE`` characters, a user or endpoint if a secret does.
 
 Places are code points, ends exclusive.  Defined cases: a null text is empty and has
-no spans; rows of one id are told apart by their text, equal rows get equal results;
-a null id is an id of its own; other columns are passed by.
+no spans; texts of any length are read whole; rows of one id are told apart by their
+text, equal rows get equal results; a null id is an id of its own; an empty table gives
+an empty result; other columns are passed by.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, stored
+from .common import free_names, stored, text_key
 
 #: Characters between two parts that belong together, at most.
 SCOPE = 300
@@ -73,7 +74,7 @@ def spans_of(text: Column, pattern: str, group: int, least: int, hint: str | Non
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, th (text hash) and an array of spans for every kind, base or weak."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("th"), *(spans_of(text, *spec, _HINT.get(k)).alias(k) for k, spec in (BASE | WEAK).items()))
+    return docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("th"), *(spans_of(text, *spec, _HINT.get(k)).alias(k) for k, spec in (BASE | WEAK).items()))
 
 
 def _tag(spans: Column, value: Column, name: str) -> Column:
@@ -131,7 +132,7 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     d, h, found, runs = free_names(docs, "found_id", "found_text", "found", "runs")
     spans = _with_links(parts, scope).where(F.size("all") > 0).select(F.col("doc_id").alias(d), F.col("th").alias(h), F.col("all").alias(found)).dropDuplicates([d, h])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(text) == F.col(h)), "left")
+    joined = docs.join(spans, F.col(id_col).eqNullSafe(F.col(d)) & (text_key(text) == F.col(h)), "left")
 
     def union(out: Column, x: Column) -> Column:
         last, before = F.element_at(out, -1), F.slice(out, F.lit(1), F.size(out) - 1)
