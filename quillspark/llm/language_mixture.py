@@ -3,14 +3,18 @@
 A language is a smoothed distribution of hashed byte trigrams (letters folded to
 lower case, all else a gap), counted over all training documents.  A word's likelihood
 under a language is the product over its trigrams.  For every document the shares of
-the languages are estimated by EM over its words; then sets of the languages with the
-largest shares are compared by penalised likelihood (half a log of the number of words
-for each language more), and the set's largest share names the document.
+the languages are estimated by EM over its words; then the sets of the one, two and three
+languages with the largest shares are fitted by EM again, each alone, and compared by
+penalised likelihood (half a log of the number of words for each language more); the
+set's largest share names the document.
 
 Training rows are chosen by the caller; only their text and language are read.  Defined
 cases: a text that is null or holds no letter is ``und`` with score 0, as is every
 text if nothing could be learned; a null or empty language is not learned from; rows
-of one id are predicted each on its own; ties go to the first language by name.
+of one id are predicted each on its own; ties go to the first language by name; texts
+of any length are read whole, whatever stands beside them; an empty table gives an empty
+result; more than ``MOST_LANGUAGES`` learned languages are an error (the model is held
+by every task); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ SMOOTHING = 0.5
 #: Languages in a document's set, at most; a language counts from this share on.
 MOST, LEAST_SHARE = 3, 0.05
 UNKNOWN = "und"
+#: Languages that can be learned (BUCKETS numbers each, on the driver and in the tasks).
+MOST_LANGUAGES = 500
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -38,11 +44,14 @@ _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
-def trigrams(raw: np.ndarray) -> np.ndarray:
-    """Bucket of the trigram around every byte (a gap stands before and after)."""
-    b = np.full(len(raw) + 2, 0x20, np.uint32)
-    b[1:-1] = _FOLD[raw]
-    code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
+def trigrams(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Bucket of the trigram around every byte (a gap stands before and after each text)."""
+    here = _FOLD[raw].astype(np.uint32)
+    before, after = np.full(len(raw), 0x20, np.uint32), np.full(len(raw), 0x20, np.uint32)
+    before[1:], after[:-1] = here[:-1], here[1:]
+    some = off[1:] > off[:-1]
+    before[off[:-1][some]] = after[off[1:][some] - 1] = 0x20
+    code = (before << np.uint32(16)) | (here << np.uint32(8)) | after
     return ((code * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int32)
 
 
@@ -50,7 +59,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
         for rows, raw, off in slices(batch, "text"):
-            grams, letter = trigrams(raw), _FOLD[raw] != 0x20
+            grams, letter = trigrams(raw, off), _FOLD[raw] != 0x20
             langs = np.array(rows.column(0).to_pylist(), object)
             owner = np.repeat(np.arange(len(langs)), np.diff(off))
             for lang in sorted(set(langs)):
@@ -64,6 +73,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Language names and the log-likelihoods of grams, a column for each language."""
     base = training.where(F.col(text_col).isNotNull() & (F.coalesce(F.col(lang_col), F.lit("")) != "")).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    if base.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     table = base.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(table.column("lang").to_pylist()))
     counts = np.full((BUCKETS, len(names)), SMOOTHING)
@@ -77,6 +88,15 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(x - top[:, None]).sum(1))
 
 
+def expectation(like: np.ndarray, text: np.ndarray, words: np.ndarray, shares: np.ndarray, rounds: int) -> np.ndarray:
+    """Shares of every text after some rounds of EM over its words' likelihoods; a share of 0 stays 0."""
+    for _ in range(rounds):
+        r = like * shares[text]
+        r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
+        shares = np.column_stack([np.bincount(text, weights=r[:, k], minlength=len(words)) for k in range(like.shape[1])]) / np.maximum(words, 1)[:, None]
+    return shares
+
+
 def mixture(raw: np.ndarray, off: np.ndarray, logs: np.ndarray, rounds: int = ROUNDS, most: int = MOST, least: float = LEAST_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For every text: languages by falling share, their shares within the chosen set
     (0 outside it), and how many words with letters it has."""
@@ -89,24 +109,20 @@ def mixture(raw: np.ndarray, off: np.ndarray, logs: np.ndarray, rounds: int = RO
     shares = np.full((n, kinds), 1 / kinds, np.float64)
     if not len(text):
         return np.tile(np.arange(kinds), (n, 1)), np.zeros((n, kinds)), words
-    grams = trigrams(raw)
+    grams = trigrams(raw, off)
     edges = np.column_stack([start[some], end[some]]).ravel()
     if edges[-1] == len(raw):
         edges = edges[:-1]
     fit = np.add.reduceat(logs[grams], edges, axis=0)[::2].astype(np.float64)  # a word's log-likelihoods
     fit -= fit.max(1, keepdims=True)
     like = np.exp(np.maximum(fit, -60))
-    for _ in range(rounds):
-        r = like * shares[text]
-        r /= r.sum(1, keepdims=True)
-        shares = np.column_stack([np.bincount(text, weights=r[:, k], minlength=n) for k in range(kinds)]) / np.maximum(words, 1)[:, None]
-        shares = np.maximum(shares, 1e-9)
+    shares = np.maximum(expectation(like, text, words, shares, rounds), 1e-9)
     order = np.argsort(-shares, axis=1, kind="stable")
     best, chosen = np.full(n, -np.inf), np.zeros((n, kinds))
     for k in range(1, min(most, kinds) + 1):
         part = np.zeros((n, kinds))
         np.put_along_axis(part, order[:, :k], np.take_along_axis(shares, order[:, :k], 1), 1)
-        part /= part.sum(1, keepdims=True)
+        part = expectation(like, text, words, part / part.sum(1, keepdims=True), rounds if k > 1 else 0)
         total = np.bincount(text, weights=np.log((like * part[text]).sum(1) + 1e-300), minlength=n) - 0.5 * k * np.log(np.maximum(words, 2))
         better = (total > best) & ((k == 1) | (np.take_along_axis(shares, order[:, k - 1:k], 1)[:, 0] >= least))
         best, chosen = np.where(better, total, best), np.where(better[:, None], part, chosen)
