@@ -16,6 +16,7 @@ null, all zero, of another length than most, or that hold null or non-finite
 components take no part, nor do null ids; rows with equal id and vector are one
 candidate, and rows of one id are never candidates of a query with that id; ties go to the smaller id; with fewer candidates than
 wanted all are given; an empty table gives an empty result; other columns are ignored.
+(Products of vectors of different lengths are not defined; components may be floats or doubles.)
 """
 
 from __future__ import annotations
@@ -46,10 +47,16 @@ ROWS, QUERIES = 1024, 512
 _SEED = 11
 
 
+def _kind(df: DataFrame, vec_col: str) -> str:
+    """Components are read as they are stored, so that scores are those of the original vectors."""
+    kind = getattr(df.schema[vec_col].dataType, "elementType", None)
+    return "float" if kind is not None and kind.simpleString() == "float" else "double"
+
+
 def _usable(df: DataFrame, id_col: str, vec_col: str, is_query: Column) -> DataFrame:
     """id, vec, is_query of rows that take part."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(f"array<{_kind(df, vec_col)}>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     return rows.where("id is not null and vec is not null and size(vec) > 0").where(~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0))
 
 
@@ -144,6 +151,7 @@ def scan_tile(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray
 def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = NEAREST, sample: int = SAMPLE, probed: float = PROBED, epsilon: float = EPSILON, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row of ``is_query``."""
     spark = vectors.sparkSession
+    kind = _kind(vectors, vec_col)
     result = "query_id long, vec_id long, score double"
     rows = _usable(vectors, id_col, vec_col, is_query)
     sizes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("norm2")).orderBy(F.desc("n"), "dim").limit(1).collect()
@@ -182,8 +190,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
                 known = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(sample_ids[px]), pa.array(score)], names=["vec_id", "score"]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(limit), pa.ListArray.from_arrays(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1], near.ravel()), known], names=["id", "vec", "limit", "lists", "known"])
 
-    dealt = stored(rows.mapInArrow(deal, "id long, vec array<float>, is_query boolean, list int"), "lists")
-    aimed = stored(dealt.where("is_query").select("id", "vec").mapInArrow(aim, "id long, vec array<float>, limit double, lists array<int>, known array<struct<vec_id:long,score:double>>"), "queries")
+    dealt = stored(rows.mapInArrow(deal, f"id long, vec array<{kind}>, is_query boolean, list int"), "lists")
+    aimed = stored(dealt.where("is_query").select("id", "vec").mapInArrow(aim, f"id long, vec array<{kind}>, limit double, lists array<int>, known array<struct<vec_id:long,score:double>>"), "queries")
     # rows and queries of a list, at most MOST_LISTS numbers each
     held = {r["list"]: r["n"] for r in dealt.groupBy("list").agg(F.count("*").alias("n")).collect()}
     asked = {r["list"]: r["n"] for r in aimed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}

@@ -117,6 +117,14 @@ def test_equal_and_null_ids_are_told_apart(spark):
     assert sorted((r.n_removed, r.n_bytes) for r in got) == sorted([(0, len(a)), (len(b), len(b)), (len(b), len(b))])
 
 
+def test_suffix_dedup_of_a_very_long_text(spark):
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, 9 << 20, dtype=np.uint8).tobytes().decode()
+    text = text[:1000] + text[-500:] + text[1000:]
+    r = suffix_dedup.remove_repeats(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_bytes, r.n_removed, r.n_spans) == (len(text), 1000, 2)
+
+
 def test_difference_cover():
     for period in (8, 32):
         on, meet = suffix_dedup.difference_cover(period)
@@ -216,6 +224,29 @@ def test_quality_with_labels_of_one_kind(spark, quality):
         assert kept == sorted((r.doc_id for r in got if r.kept), key=key)
 
 
+def plain_walk(model, row):
+    total = model.bias
+    for at in model.roots.tolist():
+        while model.left[at] != at:
+            at = model.left[at] if row[model.feature[at]] <= model.threshold[at] else model.right[at]
+        total += model.value[at]
+    return total
+
+
+def test_quality_of_an_empty_table_and_of_ties(spark):
+    good = frame(spark, [(1, "same words " * 40)] * 3 + [(None, "same words " * 40)])
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id long, quality int")
+    assert len({(r.score, r.kept) for r in quality_rules.judge(good, labels).collect()}) == 1
+    assert quality_rules.judge(good.where("false"), labels).count() == 0 and quality_rules.keep_good(good.where("false"), labels).count() == 0
+
+
+def test_trees_equal_a_plain_walk():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((600, 4)), 2)
+    model = boosted_trees.fit(x, (x[:, 0] + x[:, 2] * x[:, 3] > 0.8).astype(float), {0: 1})
+    assert model.raw(x) == pytest.approx([plain_walk(model, row) for row in x])
+
+
 def test_trees_are_monotonic_and_learn():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
@@ -309,6 +340,20 @@ def test_best_fit_matrices(spark):
         assert not place[r.n_tokens:].any() and len(r.ids) == 4 * 2048
 
 
+def test_matrices_of_odd_rows(spark, tmp_path):
+    rows = [(None, "null id"), (1, None), (2, ""), (3, "twice"), (3, "twice"), (4, "long " * 5000)]
+    docs = frame(spark, rows)
+    packing.write_packed(docs, f"file://{tmp_path}/packed")
+    packed = spark.read.parquet(f"file://{tmp_path}/packed")
+    got = {}
+    for r in packing.unpack(packed).collect():
+        got.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    ids = [x.tobytes() for x in ids_by_tokenizers([t for _, t in rows])]
+    assert [x for _, x in got[None]] == [ids[0]] and [x for _, x in got[1]] == [ids[1]] and [x for _, x in got[2]] == [ids[2]]
+    assert [x for _, x in got[3]] == ids[3:5] and b"".join(x for _, x in sorted(got[4])) == ids[5]
+    assert packing.packed_matrices(docs.where("false")).count() == 0
+
+
 def test_best_fit_equals_plain_search():
     rng = np.random.default_rng(5)
     for _ in range(20):
@@ -346,6 +391,23 @@ def test_unigram(spark):
         assert r.decoded == m.decode(r.ids)
 
 
+def test_unigram_of_long_and_no_texts(spark):
+    rows = [(1, "日本語の文章" * 3000), (2, "x" * 20_000), (3, "aGVsbG8" * 500 + " end"), (4, "word " * 50_000)]
+    got = unigram.encode_texts(frame(spark, rows), with_ids=True).collect()
+    assert all(r.round_trip for r in got) and {r.doc_id: r.decoded for r in got} == dict(rows)
+    assert unigram.encode_texts(frame(spark, []).where("false")).count() == 0
+
+
+def test_long_parts_equal_short_ones():
+    import public_tokenizers
+
+    p = unigram.Pieces.read(public_tokenizers.path(unigram.MODEL))
+    rng = random.Random(8)
+    parts = [("▁" + "".join(rng.choice("abcdeilnorst日本éx1") for _ in range(rng.randint(1, 90)))).encode() for _ in range(60)]
+    for part, ids in zip(parts, unigram.viterbi(p, parts), strict=True):
+        assert unigram.viterbi_long(p, part).tolist() == ids.tolist()
+
+
 def test_unigram_prefers_likely_pieces():
     pieces = [("<unk>", 0.0, "other"), *((f"<0x{b:02X}>", 0.0, "byte") for b in range(256)), ("▁", -3.0, "normal"), ("a", -2.0, "normal"), ("b", -2.0, "normal"), ("ab", -3.5, "normal"), ("▁ab", -7.0, "normal"), ("ba", -1.0, "normal")]
     p = unigram.Pieces.of(pieces)
@@ -454,6 +516,13 @@ def test_urls_equal_brute_force_and_sql(spark, seed):
     assert sorted(map(repr, con.execute(registry.OP2).fetchall())) == sorted(repr((r.page_id, r.host, r.path, r.rule, r.verdict, r.by_alias)) for r in got)
 
 
+def test_scores_of_double_vectors(spark):
+    x = np.random.default_rng(1).standard_normal((40, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for r in adaptive_scan.nearest(df, F.col("vec_id") < 3).collect():
+        assert abs(r.score - float(x[r.query_id] @ x[r.vec_id])) < 1e-14
+
+
 @pytest.mark.parametrize("n", [30, 5200])
 def test_nearest(spark, n):
     rng = np.random.default_rng(6)
@@ -481,6 +550,57 @@ def test_languages(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.98 and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_mixture(text, names, logs):
+    """Shares of the chosen set by EM, a word at a time."""
+    import math
+
+    data = text.encode()
+    fold = [c if c >= 128 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in data]
+    padded = [32, *fold, 32]
+    at = [((padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]) * 2654435761 % 2**32) >> (32 - language_mixture.BUCKETS.bit_length() + 1) for i in range(len(fold))]
+    words = []
+    for m in __import__("re").finditer(rb"[^\x20\x09-\x0D]+", data):
+        if any(fold[i] != 32 for i in range(*m.span())):
+            sums = [sum(float(logs[at[i], k]) for i in range(*m.span())) for k in range(len(names))]
+            words.append([math.exp(max(x - max(sums), -60)) for x in sums])
+
+    def em(shares):
+        for _ in range(language_mixture.ROUNDS):
+            new = [0.0] * len(names)
+            for like in words:
+                total = sum(p * s for p, s in zip(like, shares))
+                for k in range(len(names)):
+                    new[k] += like[k] * shares[k] / total
+            shares = [x / len(words) for x in new]
+        return shares
+
+    shares = em([1 / len(names)] * len(names))
+    order = sorted(range(len(names)), key=lambda k: -shares[k])
+    best = None
+    for k in range(1, min(language_mixture.MOST, len(names)) + 1):
+        if k > 1 and shares[order[k - 1]] < language_mixture.LEAST_SHARE:
+            continue
+        part = [shares[j] / sum(shares[i] for i in order[:k]) if j in order[:k] else 0.0 for j in range(len(names))]
+        part = em(part) if k > 1 else part
+        fit = sum(math.log(sum(p * s for p, s in zip(like, part)) + 1e-300) for like in words) - 0.5 * k * math.log(max(len(words), 2))
+        if best is None or fit > best[0]:
+            best = fit, {names[j]: part[j] for j in order[:k]}
+    return best[1]
+
+
+def test_mixtures_equal_a_plain_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names, logs = language_mixture.learn(docs)
+    texts = [r.text for r in docs.where("length(text) between 20 and 1500").orderBy("doc_id").limit(40).collect()]
+    texts = [a + " " + b for a, b in zip(texts[:20], texts[20:])] + texts[:10]
+    got = language_mixture.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), names, logs).collect()
+    for r in got:
+        want = plain_mixture(texts[r.doc_id], names, logs)
+        assert dict(zip(r.languages, r.shares)) == pytest.approx(want, abs=1e-4) and r.lang_pred == max(want, key=want.get)
+    assert len({len(r.languages) for r in got}) > 1
+    assert language_mixture.identify(docs.where("false"), names, logs).count() == 0
+
+
 def test_language_mixtures_and_odd_texts(spark):
     en, fr = "the house and the garden with the old tree of the town ", "la maison et le jardin avec le vieux arbre de la ville "
     train = spark.createDataFrame([(1, en * 5, "en"), (2, fr * 5, "fr"), (3, None, "en"), (4, "x", None)], "doc_id long, text string, lang string")
@@ -514,3 +634,27 @@ def test_pipeline(spark):
     assert masked.columns == docs.columns and not any(brute.secrets(r.text) for r in masked.collect())
     assert {r.doc_id for r in stages["packed"](spark, masked, sf).collect()} == set(left)
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    """Nulls, repeats, clashing columns and an empty table, stage by stage."""
+    rng = random.Random(12)
+    prose = lambda k: " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 999)}" for _ in range(k))
+    passage, text = prose(60), prose(120)
+    rows = [(i, prose(80)) for i in range(20)] + [(30, text), (30, text), (31, text + " end"), (None, text), (None, prose(90)), (40, None), (41, ""), (42, prose(70) + " " + passage), (43, passage + " " + prose(70)), (44, prose(60) + " token = abcdef123 " + prose(9))]
+    spark.createDataFrame([(i, 1) for i in range(5)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = frame(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality"](spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(map(key, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(key, [r for r in rows if r[1]]))
+    one = stages["near_duplicates"](spark, kept, "")
+    left = [(r.doc_id, r.text) for r in one.collect()]
+    assert one.columns == docs.columns and len(left) == len([r for r in rows if r[1]]) - 3 and (30, text) in left
+    cut = stages["repeated_passages"](spark, docs, "")
+    got = {r.doc_id: r.text for r in cut.where("doc_id in (42, 43)").collect()}
+    assert cut.columns == docs.columns and cut.count() == len(rows) and not any(passage[40:200] in t for t in got.values())
+    masked = stages["hidden_secrets"](spark, docs, "")
+    assert masked.columns == docs.columns and masked.count() == len(rows) and "[SECRET]" in masked.where("doc_id = 44").first().text
+    assert stages["packed"](spark, docs, "").count() >= len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
