@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapse, strip
+from ..functions.text import strip
 from ..sources.tables import checkpointed
 
 # Hosts of cloud metadata services, and address blocks that are not public (first address, prefix length).
@@ -99,20 +99,20 @@ def tables(html: Column) -> Column:
 
 
 def table_rows(table: Column) -> Column:
-    """array<array<string>>: the cells' plain text, row by row."""
+    """array<array<string>>: the cells' texts, row by row; a cell's pieces of text are stripped and joined."""
     rows = F.regexp_extract_all(table, F.lit(r"(?is)<tr\b.*?(?:</tr>|(?=<tr\b)|$)"), F.lit(0))
-    plain = lambda c: collapse(F.regexp_replace(F.regexp_replace(c, r"(?is)^<t[hd]\b[^>]*>", ""), r"(?s)<[^>]+>", ""))
+    plain = lambda c: F.array_join(F.transform(F.split(F.regexp_replace(c, r"(?is)^<t[hd]\b[^>]*>", ""), r"(?s)<[^>]+>"), strip), "")
     cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd]\b[^>]*>.*?(?=</t[hd]>|<t[hd]\b|</tr>|$)"), F.lit(0)), plain)
     return F.filter(F.transform(rows, cells), lambda r: F.size(r) > 0)
 
 
 def table_markdown(table: Column) -> Column:
-    """``| a | b |`` lines, a rule after the first if there are more."""
+    """``| a | b |`` lines; if there are more than one, ``|---|---|`` after the first, a part for each of its columns (as its pipes count them)."""
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    rows = table_rows(table)
-    rule = F.concat(F.lit("| "), F.array_join(F.transform(rows[0], lambda c: F.lit("---")), " | "), F.lit(" |"))
-    lines = F.transform(rows, line)
-    return F.when(F.size(rows) > 1, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")).when(F.size(rows) == 1, F.array_join(lines, "\n")).otherwise(F.lit(""))
+    lines = F.transform(table_rows(table), line)
+    columns = F.size(F.split(F.get(lines, F.lit(0)), r"\|")) - 2
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), columns))
+    return F.when(F.size(lines) > 1, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")).when(F.size(lines) == 1, F.array_join(lines, "\n")).otherwise(F.lit(""))
 
 
 def markdown_rows(x: Column) -> Column:

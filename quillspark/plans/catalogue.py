@@ -745,3 +745,6 @@ def relation_counts(read):
     """AG7."""
     both = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return assembly.relation_counts(both.select(F.col("n_name").alias("subject"), F.lit("near").alias("predicate"), F.col("r_name").alias("object")))
+
+
+from . import rules  # noqa: E402, F401  (registers its queries)
