@@ -183,15 +183,24 @@ def viterbi(p: Pieces, parts: list[bytes]) -> list[np.ndarray]:
             better = score > best[r, s + d + 1]
             r = r[better]
             best[r, s + d + 1], back[r, s + d + 1], piece[r, s + d + 1] = score[better], s, v[hit][better]
-    out: list[np.ndarray] = []
-    for i in range(n):
-        ids, at = [], int(size[i])
-        while at:
-            s = int(back[i, at])
-            ids.append(p.byte_id[text[i, s:at]][::-1] if piece[i, at] < 0 else piece[i, at:at + 1])
-            at = s
-        out.append(np.concatenate(ids)[::-1].astype(np.int32) if ids else np.empty(0, np.int32))
-    return out
+    # all parts' pieces at once, from the last one back; a byte fallback is several ids
+    steps, at, live = [], size.copy(), np.flatnonzero(size)
+    while len(live):
+        end = at[live]
+        begin = back[live, end]
+        steps.append((live, begin, end, piece[live, end]))
+        at[live] = begin
+        live = live[begin > 0]
+    if not steps:
+        return [np.empty(0, np.int32)] * n
+    row, begin, end, own = (np.concatenate(x) for x in zip(*reversed(steps), strict=True))
+    order = np.argsort(row, kind="stable")
+    row, begin, end, own = row[order], begin[order], end[order], own[order]
+    count = np.where(own < 0, end - begin, 1)
+    k = np.repeat(np.arange(len(row)), count)
+    ids = np.where(own[k] < 0, p.byte_id[text[row[k], begin[k] + ranges(count)]], own[k]).astype(np.int32)
+    bounds = np.searchsorted(row[k], np.arange(n + 1)).tolist()
+    return [ids[i:j] for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def viterbi_long(p: Pieces, part: bytes) -> np.ndarray:
