@@ -39,6 +39,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts and limits of op6 alone, which SQL can say."""
+    return quality_rules.base_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_cost_packing": op4_cost_packing,
         "op5_packed_matrices": op5_packed_matrices,
         "op6_quality_rules": op6_quality_rules,
+        "quality_counts": quality_counts,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_unigram_pieces": op8_unigram_pieces,
         "op9_secret_scan": op9_secret_scan,
@@ -89,7 +95,7 @@ def _address(name: str, source: str, url: str, keep: str) -> str:
 {name}_p AS (SELECT {keep}, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\\?[^#]*)?', 1) AS query FROM {name}_r),
 {name}_l AS (SELECT *, string_split(path, '/')[2:] AS parts FROM {name}_p),
 {name} AS (SELECT * EXCLUDE (parts), CASE WHEN path = '' THEN '/' WHEN NOT regexp_matches(path, '/\\.\\.?(/|$)') THEN path ELSE '/' || array_to_string(
-  list_reduce(list_prepend([]::VARCHAR[], list_transform(parts, lambda s: [s])), lambda a, x: CASE x[1] WHEN '.' THEN a WHEN '..' THEN a[1:len(a) - 1] ELSE list_concat(a, x) END) || CASE WHEN parts[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END, '/') END AS plain FROM {name}_l)""".replace("\\\\", "\\")
+  list_reduce(list_prepend([]::VARCHAR[], list_transform(parts, lambda s: [s])), lambda a, x: CASE x[1] WHEN '.' THEN a WHEN '..' THEN a[1:len(a) - 1] ELSE list_concat(a, x) END) || CASE WHEN parts[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END, '/') END AS plain FROM {name}_l)"""
 
 
 def _rule(host: str, path: str) -> str:
@@ -148,5 +154,17 @@ every AS (SELECT rid, count(*) FILTER (o > 2) AS n, {_LIST} AS l FROM (SELECT *
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base.l, '')) AS base_sha256, coalesce(every.l, '') AS spans, coalesce(n, 0) AS n_linked FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid)"""
 
 
+COUNTS = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, unnest(l) AS w, unnest(generate_series(1, len(l))) AS i FROM (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM d)),
+windows AS (SELECT rid, i, w, lead(w) OVER p AS b, lead(w, 2) OVER p AS c FROM w WINDOW p AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, w, b, c) AS n FROM windows WHERE c IS NOT NULL) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(0, 3) r(k) GROUP BY rid),
+lines AS (SELECT rid, sum(n - 1)::BIGINT AS n FROM (SELECT rid, line, count(*) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid, line) GROUP BY rid),
+words AS (SELECT rid, count(*) AS n, sum(length(w))::BIGINT AS c FROM w GROUP BY rid),
+found AS (SELECT doc_id, coalesce(words.n, 0) AS n_words, coalesce(words.c, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN words USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2, "op9_secret_scan": OP9}
+    return {"op2_url_filter": OP2, "op9_secret_scan": OP9, "quality_counts": COUNTS}
