@@ -181,3 +181,22 @@ def fill_template(template: str, values: dict[str, Column]) -> Column:
     if not names <= set(values):
         return F.lit(template)
     return reduce(lambda s, n: F.replace(s, F.lit("{" + n + "}"), values[n].cast("string")), sorted(names), F.lit(template))
+
+
+def video_prompt(library: dict[str, dict[str, str]], mode: Column, values: dict[str, Column], tracks: Column, model_id: Column, instructions: dict[str, str] | None = None) -> Column:
+    """struct<prompt,id>: the template of a mode (template, id, tracks_append, tracks_append_empty), of
+    ``procedure`` for unknown ones; what it says with or without tracks is added, then the
+    instruction of a model whose id holds one of the names."""
+    def of(m: dict[str, str]) -> Column:
+        base = library.get("procedure", {}).get("template", "") if not m.get("template") else m["template"]
+        filled = fill_template(base, {**values, "tracks_json": F.coalesce(tracks, F.lit(""))})
+        more = F.when(non_blank(tracks), fill_template(m.get("tracks_append", ""), {"tracks_json": tracks})).otherwise(F.lit(m.get("tracks_append_empty", "")))
+        return F.struct(F.concat(filled, more).alias("prompt"), F.lit(m.get("id", "procedure_v1")).alias("id"))
+
+    out = of(library.get("procedure", {}))
+    for name, m in library.items():
+        out = F.when(mode == name, of(m)).otherwise(out)
+    extra = F.lit("")
+    for name, text in (instructions or {}).items():
+        extra = F.when(F.contains(F.lower(F.coalesce(model_id, F.lit(""))), F.lit(name)), F.lit(text)).otherwise(extra)
+    return F.struct(F.concat(out["prompt"], extra).alias("prompt"), out["id"].alias("id"))

@@ -9,8 +9,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import models, numbers
-from quillspark.operators import assembly, entities, graph, knowledge, metadata, retrieval
+from quillspark.functions import models, numbers, text
+from quillspark.operators import assembly, entities, graph, knowledge, metadata, retrieval, subtitles
 from quillspark.sources import tables
 from quillspark.streaming import jobs
 
@@ -215,3 +215,29 @@ def test_job_states(spark, tmp_path):
     stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
     jobs.growing_pairs(stream, f"file://{tmp_path}/pairs", f"file://{tmp_path}/cp").awaitTermination()
     assert {(r.src, r.dst): r.weight for r in jobs.merged_pairs(spark, f"file://{tmp_path}/pairs").collect()} == {("ibm", "nasa"): 2, ("esa", "ibm"): 1, ("esa", "nasa"): 1}
+
+
+def test_subtitles_translated(spark):
+    rows = [(1, 0, 0.0, 2.0, "one two"), (1, 1, 2.0, 6.0, "three four."), (1, 2, 6.0, 7.0, " "), (1, 3, 7.0, 8.0, "bad."), (1, 4, 8.0, 9.0, "five"), (1, 5, 9.0, 10.0, "six.")]
+    df = spark.createDataFrame(rows, "video_id long, seq long, start double, end double, text string")
+
+    class Model:
+        def generate(self, systems, questions):
+            q = questions[0]
+            if "bad" in q:
+                return ["no JSON"]
+            if "five" in q:
+                assert not q.startswith("Context")  # a failed sentence is no context
+                return ['```json\n["a", "b", "too many"]\n```']
+            return ['["only one"]']
+
+    got = [(r.text, r.start, r.end, r.done) for r in subtitles.translated(df, "en", "de", Model()).orderBy("seq").collect()]
+    assert got == [("only one", 0.0, 2.526, True), ("three four.", 2.526, 6.0, True), (" ", 6.0, 7.0, False), ("bad.", 7.0, 8.0, False), ("a", 8.0, 9.0, True), ("b", 9.0, 10.0, True)]
+    assert [r.text for r in subtitles.translated(df.where("seq < 2"), "", "xx").orderBy("seq").collect()] == ["one two", "three four."]
+
+
+def test_video_prompts(spark):
+    library = {"procedure": {"template": "From {t_start}: {n}.", "id": "p1", "tracks_append": " Tracks {tracks_json}", "tracks_append_empty": " No tracks"}, "race": {"id": "r1"}}
+    rows = spark.createDataFrame([("race", "[1]", "X-Cosmo-2"), ("procedure", " ", None), ("other", None, "y")], "mode string, tracks string, model string")
+    out = text.video_prompt(library, F.col("mode"), {"t_start": F.lit(1.5), "n": F.lit(3)}, F.col("tracks"), F.col("model"), {"cosmo": " Stamp."})
+    assert [tuple(r.p) for r in rows.select(out.alias("p")).collect()] == [("From 1.5: 3. Stamp.", "r1"), ("From 1.5: 3. No tracks", "p1"), ("From 1.5: 3. No tracks", "p1")]
