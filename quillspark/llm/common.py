@@ -43,11 +43,34 @@ def stored(df: DataFrame, name: str, rows: int | None = None, each: int = 100_00
     """Write ``df`` to the shared folder and read it back: cuts lineage and
     survives the loss of any executor.  If at most ``rows`` rows are known to come, the
     last stage has a task for every ``each`` of them, so small tables are few files."""
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // each)))
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).stored(df, name, rows, each)
+
+
+class Scratch:
+    """Intermediate tables of one piece of work, which go when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def stored(self, df: DataFrame, name: str, rows: int | None = None, each: int = 100_000) -> DataFrame:
+        """As ``stored``, and remembered."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // each)))
+        path = scratch_dir(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((path, out))
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Deletes all tables but ``keep``."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path, df in self.tables:
+            if not any(df is k for k in keep):
+                at = hadoop(path)
+                at.getFileSystem(conf).delete(at, True)
+        self.tables = [(path, df) for path, df in self.tables if any(df is k for k in keep)]
 
 
 #: Settings of a session that runs these operators: bytes and rows of an Arrow batch (texts

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); the component is its smallest node.
 
     Rounds of contraction: every node moves to its smallest neighbour, edges follow,
@@ -16,8 +16,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     constant factor a round.  A node's neighbours are only ever reduced to their
     minimum (partial sums before the shuffle), and the joins have unique keys on one
     side, so a hub needs no task of its own.  Null ends and loops are ignored, except
-    that a node with nothing but loops is a component by itself.
+    that a node with nothing but loops is a component by itself.  Tables go to ``scratch``.
     """
+    stored = (scratch or Scratch(edges.sparkSession)).stored
     edges = stored(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     lonely = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
     edges = edges.where("a <> b")

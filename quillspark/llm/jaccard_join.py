@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_TABLE, LOWER, TEXT_KEY, U64, chain_hashes, free_names, mix, ranges, set_hash, signed, slices, span_hashes, stored, text_key, word_spans
+from .common import BYTE_TABLE, LOWER, TEXT_KEY, Scratch, U64, chain_hashes, free_names, mix, ranges, set_hash, signed, slices, span_hashes, stored, text_key, word_spans
 from .components import connected_components
 
 WORDS, PERCENT = 5, 75
@@ -419,6 +419,8 @@ class _Join:
     def __init__(self, docs: DataFrame, words: int, percent: int):
         self.words, self.percent = words, percent
         self.docs = docs
+        self.scratch = Scratch(docs.sparkSession)
+        stored = self.scratch.stored
         ranks, hot = gram_ranks(docs, words)
         held = docs.sparkSession.sparkContext.broadcast(ranks)  # SLOTS bytes
         self.sets = stored(docs.mapInArrow(_sets(words, percent, held, hot), SET_SCHEMA), "sets")
@@ -435,6 +437,8 @@ class _Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link."""
+        own = Scratch(pairs.sparkSession)
+        stored = own.stored
         pairs = stored(pairs, "pairs")
         n = pairs.count()
         wanted = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
@@ -445,11 +449,15 @@ class _Join:
         arrays = stored(texts.mapInArrow(_arrays(self.words), "name long, grams binary"), "arrays").groupBy("name").agg(F.first("grams").alias("grams"))
         a, b = (arrays.select(F.col("name").alias(c), F.col("grams").alias(f"grams_{c}")) for c in "ab")
         both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "grams_a", "grams_b")
-        return stored(both.mapInArrow(_check(self.percent), "a long, b long"), "links", n, 2000)
+        links = self.scratch.stored(both.mapInArrow(_check(self.percent), "a long, b long"), "links")
+        own.drop()
+        return links
 
     def add(self, links: DataFrame) -> None:
         self.links = links if self.links is None else self.links.unionByName(links)
-        self.parts = stored(connected_components(self.links), "components")
+        own = Scratch(links.sparkSession)
+        self.parts = self.scratch.stored(connected_components(self.links, own), "components")
+        own.drop()
         self.linked = self.parts.count()
 
     def part_of(self, df: DataFrame, name: str, out: str) -> DataFrame:
@@ -462,7 +470,7 @@ class _Join:
     def compared(self, rows: DataFrame, forest: bool = False, every: bool = False) -> DataFrame:
         """Candidates of tiles (tile, side, name, n, pos, sig)."""
         rows = self.part_of(rows, "name", "component").select("tile", "side", "name", "n", "pos", "component", "sig")
-        return stored(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(self.percent, forest, every), CANDIDATE_SCHEMA), "candidates")
+        return self.scratch.stored(rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tiles(self.percent, forest, every), CANDIDATE_SCHEMA), "candidates")
 
     def pairs(self, found: DataFrame) -> DataFrame:
         return found.where("a is not null").select("a", "b").distinct()
@@ -470,6 +478,8 @@ class _Join:
     def first_tiles(self) -> None:
         """Links between classes that share keys.  Large groups are cut into blocks; the
         classes with most edges of all blocks are then shown to every block."""
+        own = Scratch(self.sets.sparkSession)
+        stored = own.stored
         keyed = self.sets.where("keys is not null").select("name", F.explode("keys").alias("key")).distinct()
         shared = stored(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared")
         block = F.pmod(F.xxhash64("name", "key"), F.ceil(F.col("c") / TILE)).cast("int")
@@ -481,13 +491,16 @@ class _Join:
         leaders = found.where("hub is not null").join(blocks, "tile").groupBy("key").agg(F.expr(f"slice(sort_array(collect_list(struct(edges, hub)), false), 1, {LEADERS})").alias("l"))
         leaders = stored(leaders.select("key", F.explode("l.hub").alias("name")), "leaders")
         if leaders.isEmpty():
-            return
+            return own.drop()
         more = leaders.join(blocks, "key").select("key", "name", F.lit(True).alias("large"), "tile")
         again = rows.where("large").unionByName(more).dropDuplicates(["tile", "name"])
         self.add(self.verified(self.pairs(self.compared(shown(again), forest=True))))
+        own.drop()
 
     def members(self) -> DataFrame:
         """tile, side, name, n, pos, sig: classes that share a gram of their prefixes, by tile."""
+        own = Scratch(self.sets.sparkSession)
+        stored = own.stored
         rows = self.sets.where("prefix is not null").select("name", "n", F.size("prefix").alias("m"), "hot", F.posexplode("prefix").alias("pos", "gram"))
         hot = F.col("pos") >= F.col("m") - F.col("hot")
         cold = rows.where(~hot).select("gram", "name", "n", "pos").repartition("gram").sortWithinPartitions("gram")
@@ -496,11 +509,14 @@ class _Join:
         small = small.repartition("tile").sortWithinPartitions("tile").mapInArrow(_several, small.schema)
         small = small.select("tile", F.lit(0).alias("side"), "name", "n", "pos")
         large = grouped.where("large").select(F.col("tile").alias("gram"), "name", "n", "pos").unionByName(rows.where(hot).select("gram", "name", "n", "pos"))
-        tiles = stored(small.unionByName(self.blocks(large)), "tiles")
-        return stored(tiles.join(self.classes.select("name", "sig"), "name").select("tile", "side", "name", "n", "pos", "sig"), "tiles")
+        tiles = stored(small.unionByName(self.blocks(large, own)), "tiles")
+        tiles = self.scratch.stored(tiles.join(self.classes.select("name", "sig"), "name").select("tile", "side", "name", "n", "pos", "sig"), "tiles")
+        own.drop()
+        return tiles
 
-    def blocks(self, rows: DataFrame) -> DataFrame:
+    def blocks(self, rows: DataFrame, scratch: Scratch) -> DataFrame:
         """Tiles of large groups: bands of size, cut to blocks; a block meets those of its own band and of the next."""
+        stored = scratch.stored
         rows = stored(self.part_of(rows.distinct(), "name", "component"), "large")
         mixed = stored(rows.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gram"), "mixed")
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / self.percent) + 1e-9)).cast("int")
@@ -520,6 +536,11 @@ class _Join:
         return spread.select(F.xxhash64("gram", "t.band", "t.i", "t.j", "t.kind").alias("tile"), "t.side", "name", "n", "pos")
 
     def run(self) -> None:
+        """Finds the components; of the tables only ``sets`` and ``parts`` are left."""
+        self.join()
+        self.scratch.drop(self.sets, *([self.parts] if self.linked else []))
+
+    def join(self) -> None:
         self.first_tiles()
         tiles = self.members()
         found = self.compared(tiles)
@@ -540,17 +561,17 @@ class _Join:
             self.add(rest)
 
 
-def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """doc, th (text hash), n_shingles, name (of the set) and label (name of the component) of every row."""
+def _labelled(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, Scratch]:
+    """doc, th (text hash), n_shingles, name (of the set) and label (name of the component) of every row, and the tables that it reads."""
     base = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("th"), F.col(text_col).alias("text"))
     join = _Join(base, words, percent)
     join.run()
-    return join.part_of(join.sets.select("doc", "th", F.col("n").cast("long").alias("n_shingles"), "name"), "name", "label")
+    return join.part_of(join.sets.select("doc", "th", F.col("n").cast("long").alias("n_shingles"), "name"), "name", "label"), join.scratch
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, and th (text hash) and class for joining on."""
-    rows = _labelled(docs, id_col, text_col, words, percent)
+    rows, _ = _labelled(docs, id_col, text_col, words, percent)
     smallest = stored(rows.where("n_shingles > 0").groupBy("label").agg(F.min("doc").alias("least")), "smallest")
     out = rows.join(smallest, "label", "left")
     return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"), "th")
@@ -560,16 +581,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     """The rows of ``docs`` without a component, and one row of each component: of the
     smallest id (nulls last), then text hash, any one of rows that are equal in both;
     all columns as they are."""
-    rows = _labelled(docs, id_col, text_col, words, percent).where("n_shingles > 0")
-    keys = stored(rows.groupBy("label", "doc", "th").agg(F.count("*").alias("c")), "keys")
-    first = stored(keys.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "th")).alias("first")), "first")
+    rows, scratch = _labelled(docs, id_col, text_col, words, percent)
+    rows = rows.where("n_shingles > 0")
+    keys = scratch.stored(rows.groupBy("label", "doc", "th").agg(F.count("*").alias("c")), "keys")
+    first = scratch.stored(keys.groupBy("label").agg(F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "th")).alias("first")), "first")
     d, k = free_names(docs, "gone_id", "gone_text")
     kept = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("th") == F.col("first.th"))
     some = keys.join(first, "label").select(F.col("doc").alias(d), F.col("th").alias(k), kept.alias("kept"), "c")
-    some = stored(some.where("not kept or c > 1"), "gone")  # of repeated rows one comes back below
+    some = scratch.stored(some.where("not kept or c > 1"), "gone")  # of repeated rows one comes back below
+    scratch.drop(some)
+    few = some.count() <= BROADCAST_ROWS
     same = F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (text_key(text_col) == F.col(k))
-    out = docs.join(some.select(d, k), same, "left_anti")
+    gone = some.select(d, k)
+    out = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
     repeated = some.where("kept").select(d, k)
     if repeated.isEmpty():
         return out
-    return out.union(docs.join(repeated, same).dropDuplicates([d, k]).drop(d, k))
+    return out.union(docs.join(F.broadcast(repeated) if few else repeated, same).dropDuplicates([d, k]).drop(d, k))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_KEY, U64, mix, ranges, rolling_hashes, signed, slices, span_hashes, stored, text_key
+from .common import TEXT_KEY, Scratch, U64, mix, ranges, rolling_hashes, signed, slices, span_hashes, text_key
 
 LENGTH = 400
 GRAM = 64
@@ -364,9 +364,9 @@ def _cut(with_text: bool):
     return run
 
 
-def _with_texts(base: DataFrame, runs: DataFrame) -> DataFrame:
+def _with_texts(base: DataFrame, runs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc, th, text, runs of the documents that have runs (doc, th, h, s, e, p, n)."""
-    wanted = stored(runs.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "s", "e", "p", "n")).alias("runs")), "open")
+    wanted = scratch.stored(runs.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "s", "e", "p", "n")).alias("runs")), "open")
     w = wanted.select(F.col("doc").alias("d"), F.col("th").alias("k"), "runs")
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("k"))
     if wanted.count() <= BROADCAST_ROWS:
@@ -374,9 +374,10 @@ def _with_texts(base: DataFrame, runs: DataFrame) -> DataFrame:
     return base.join(w, same).select("doc", "th", "text", "runs")
 
 
-def _block_spans(base: DataFrame, extents: DataFrame, length: int, period: int) -> DataFrame:
+def _block_spans(base: DataFrame, extents: DataFrame, length: int, period: int, scratch: Scratch) -> DataFrame:
     """Spans of the extents of buckets too large for a task."""
-    blocks = stored(_with_texts(base, extents).mapInArrow(_blocks(length, period), BLOCK_SCHEMA).withColumn("side_name", F.struct(F.xxhash64("side", "t0", "cnt").alias("a"), F.xxhash64(F.lit(1), "side", "t0", "cnt").alias("b"))), "blocks")
+    stored = scratch.stored
+    blocks = stored(_with_texts(base, extents, scratch).mapInArrow(_blocks(length, period), BLOCK_SCHEMA).withColumn("side_name", F.struct(F.xxhash64("side", "t0", "cnt").alias("a"), F.xxhash64(F.lit(1), "side", "t0", "cnt").alias("b"))), "blocks")
     key = ["k1", "k2"]
     core = blocks.groupBy(*key).agg(F.count("*").alias("c"), F.min("side_name").alias("a"), F.max("side_name").alias("z")).where("c > 1").select(*key, (F.col("a") != F.col("z")).alias("open"))
     shared_core = stored(blocks.join(stored(core, "core"), key), "cores")
@@ -398,6 +399,8 @@ def _block_spans(base: DataFrame, extents: DataFrame, length: int, period: int)
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, period: int = PERIOD, bucket: int = BUCKET) -> DataFrame:
     """Spans of repeated text: doc, th (text hashes), spans array<struct<lo,hi>> of
     bytes, overlapping as they were found; only of texts that have any."""
+    scratch = Scratch(docs.sparkSession)
+    stored = scratch.stored
     base = docs.select(F.col(id_col).cast("long").alias("doc"), text_key(text_col).alias("th"), F.col(text_col).alias("text"))
     long_enough = base.where(F.octet_length("text") >= length)
     runs = stored(long_enough.mapInArrow(_runs(length, gram), RUN_SCHEMA), "runs")
@@ -416,12 +419,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # One row of every extent in a bucket of several is compared with the others.
     large = stored(extent.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > bucket).select("h"), "large")
-    rows = _with_texts(base, extent.join(large, "h", "left_anti")).mapInArrow(_extents(length), EXTENT_SCHEMA)
+    rows = _with_texts(base, extent.join(large, "h", "left_anti"), scratch).mapInArrow(_extents(length), EXTENT_SCHEMA)
     rows = rows.repartition("h").sortWithinPartitions("h")
     spans = spans.unionByName(stored(rows.mapInArrow(_sorted_buckets(length, period), SPAN_SCHEMA), "sorted"))
     if not large.isEmpty():
-        spans = spans.unionByName(_block_spans(base, extent.join(large, "h", "left_semi"), length, period))
-    return spans.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+        spans = spans.unionByName(_block_spans(base, extent.join(large, "h", "left_semi"), length, period, scratch))
+    found = stored(spans.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    scratch.drop(found)
+    return found
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: bool = False, with_text: bool = False) -> DataFrame:
