@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, discard
 
 # Kinds of entities and their patterns, in the order in which they are tried.
 PATTERNS = [
@@ -150,7 +150,8 @@ def canonical(names: DataFrame, same_from: float = SAME_FROM) -> DataFrame:
                             ratio[i], at[i], canon[i] = hit[0], -hit[1], hit[2]
                 yield f.assign(ratio=ratio, leader_seq=at, canonical=canon)
 
-        state = checkpointed(state.mapInPandas(compare, state.schema))
+        old, state = state, checkpointed(state.mapInPandas(compare, state.schema))
+        discard(old)
     return names.select("name", "entity_type", F.col("seq").cast("long").alias("seq")).join(state.select("entity_type", "name", "canonical"), ["entity_type", "name"]).select("name", "entity_type", "seq", "canonical")
 
 

@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, discard
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -48,11 +48,12 @@ def components(edges: DataFrame) -> DataFrame:
         near = e.join(label, e.dst == label.node).groupBy("src").agg(F.min("component").alias("near"))
         moved = label.join(near, label.node == near.src).select("node", "component", F.least("component", "near").alias("to"))
         jump = label.select(F.col("node").alias("to"), F.col("component").alias("far"))
-        after = checkpointed(moved.join(jump, "to").select("node", F.col("component").alias("was"), F.least("to", "far").alias("component")))
-        label = after.select("node", "component")
+        after = checkpointed(moved.join(jump, "to").select("node", F.least("to", "far").alias("component"), F.col("component").alias("was")))
+        discard(label)
+        label = after
         if after.where("was <> component").isEmpty():
-            break
-    return label
+            discard(e)
+            return label.select("node", "component")
 
 
 def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, directed: bool = False) -> DataFrame:
@@ -65,7 +66,9 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, di
         front = checkpointed(reach.join(seen.select("source", "node"), ["source", "node"], "left_anti").select("source", "node", F.lit(step).alias("distance"), "via"))
         if front.isEmpty():
             break
-        seen = checkpointed(seen.unionByName(front))
+        old, seen = seen, checkpointed(seen.unionByName(front))
+        discard(old)
+    discard(e, *([] if front is seen else [front]))
     return seen
 
 
@@ -82,7 +85,8 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, dire
             return hit
         reach = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("path").alias("before"))
         front = checkpointed(reach.join(seen.select("node"), "node", "left_anti").select("node", F.array_append("before", F.col("node")).alias("path")))
-        seen = checkpointed(seen.select("node").unionByName(front.select("node")))
+        old, seen = seen, checkpointed(seen.select("node").unionByName(front.select("node")))
+        discard(old)
 
 
 #: Edges (both ways) of a graph that every task may hold, to search it from its share of the nodes.
@@ -215,7 +219,8 @@ def communities(edges: DataFrame) -> DataFrame:
         # about one node in ``few`` may move: neighbours seldom move at once, and in the end none do
         few = 2 + turn // 4
         mine = F.pmod(F.hash("node", F.lit(turn)), F.lit(few)) == 0
-        label = checkpointed(wish.select("node", F.when(mine, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community")))
+        old, label = label, checkpointed(wish.select("node", F.when(mine, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community")))
+        discard(old, wish)
 
 
 def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:

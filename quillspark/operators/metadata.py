@@ -95,7 +95,7 @@ def threads(messages: DataFrame, depth: int | None = None) -> DataFrame:
     to ``depth`` levels if it is given."""
     from itertools import count
 
-    from ..sources.tables import checkpointed
+    from ..sources.tables import checkpointed, discard
 
     front = out = checkpointed(messages.where("parent_id is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")))
     for level in count(1) if depth is None else range(1, depth + 1):
@@ -103,7 +103,8 @@ def threads(messages: DataFrame, depth: int | None = None) -> DataFrame:
         front = checkpointed(below.join(out.select("id", "root"), ["id", "root"], "left_anti"))  # ends, even where repeated ids make a ring
         if front.isEmpty():
             break
-        out = checkpointed(out.unionByName(front))
+        old, out = out, checkpointed(out.unionByName(front))
+        discard(old)
     return out
 
 

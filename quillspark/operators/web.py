@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..sources.tables import checkpointed
+from ..sources.tables import checkpointed, discard
 
 # Hosts of cloud metadata services, and address blocks that are not public (first address, prefix length).
 METADATA_HOSTS = ["169.254.169.254", "metadata.google.internal", "metadata"]
@@ -156,7 +156,8 @@ def crawl(seeds: DataFrame, edges: DataFrame, depth: int, max_pages: int | None
         if not found:
             break
         held += found
-        seen = checkpointed(seen.unionByName(front))
+        old, seen = seen, checkpointed(seen.unionByName(front))
+        discard(old)
     return seen
 
 

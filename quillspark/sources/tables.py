@@ -36,7 +36,17 @@ def checkpointed(df: DataFrame, name: str = "step") -> DataFrame:
     """Written to the shared folder and read back: cuts lineage, survives lost executors."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.checkpoint_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``checkpointed`` has given and that nothing reads any more."""
+    for path in {df.checkpoint_path for df in tables if hasattr(df, "checkpoint_path")}:
+        spark = tables[0].sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def decoded(content: bytes | None) -> str:
