@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import jaccard_join, packing, quality_rules, secrets, suffix_dedup
-from quillspark.llm.common import read_table, stored
+from quillspark.llm.common import Scratch, read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, scratch = read_table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = scratch.stored(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)  # the stage before is read no more
     return STAGES[-1][1](spark, docs, sf_dir)
