@@ -130,6 +130,25 @@ def made(kind: str, name: str | None, known: dict[str, Callable[[], object]]) ->
         return NOTHING[kind]()
 
 
+# Keys that stand for none.
+NO_KEYS = ["", "sk-dummy-key", "dummy", "placeholder", "none"]
+
+
+def model_catalogue(fetch: Callable[[str | None], list[dict]], key: str | None = None) -> tuple[list[dict], str | None]:
+    """(models, error) of a server.  ``fetch`` is called with the key, or None for placeholder
+    keys; where it says 401 it is asked again without one."""
+    own = (key or "").strip()
+    use = None if own.lower() in NO_KEYS else own
+    for attempt in ([use, None] if use else [None]):
+        try:
+            return fetch(attempt), None
+        except Exception as e:
+            error = str(e)
+            if "401" not in error:
+                break
+    return [], error
+
+
 class Chat(Protocol):
     """One turn of a conversation: the names and arguments of tools to call, or an answer."""
 

@@ -36,10 +36,12 @@ def distinct_scales(scales: Column) -> Column:
     return F.array_distinct(scales)
 
 
-def resized(width: Column, height: Column, longest: int) -> Column:
-    """struct<width,height> with the longer side at most ``longest``, sides rounded half to even."""
+def resized(width: Column, height: Column, longest: int, truncated: bool = False) -> Column:
+    """struct<width,height> with the longer side at most ``longest``, sides rounded half to
+    even (as for text recognition) or ``truncated`` (as for the vision model)."""
     scale = F.least(F.lit(1.0), F.lit(longest) / F.greatest(width, height))
-    return F.struct(F.bround(width * scale).cast("int").alias("width"), F.bround(height * scale).cast("int").alias("height"))
+    whole = lambda x: (x if truncated else F.bround(x)).cast("int")
+    return F.struct(whole(width * scale).alias("width"), whole(height * scale).alias("height"))
 
 
 def minute_stamp(ts: Column) -> Column:

@@ -29,6 +29,12 @@ def looked_up(rows: DataFrame, other: DataFrame, key: str, value: str, default:
     return rows.join(other.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
 
 
+def with_availability(agents: DataFrame, models: DataFrame) -> DataFrame:
+    """Agents with model_available: whether their llm_model is given and in the catalogue (id)."""
+    known = models.select(F.col("id").alias("llm_model")).distinct().withColumn("__there", F.lit(True))
+    return agents.join(known, "llm_model", "left").withColumn("model_available", F.coalesce("__there", F.lit(False))).drop("__there")
+
+
 def visible(owner: Column, public: Column, user_id: int) -> Column:
     return F.coalesce(owner == user_id, F.lit(False)) | F.coalesce(public, F.lit(False))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages, numbers, rules, text
 from ..functions.numbers import chunk_hash
-from ..operators import assembly, chunking, entities, metadata, subtitles, video, web
+from ..operators import assembly, chunking, entities, knowledge, metadata, subtitles, video, web
 from ..sources import tables
 from ..streaming import jobs
 from .catalogue import query
@@ -98,6 +98,21 @@ def arrays_of_numbers(read):
     return read("embeddings").select("vec_id", F.size(rules.present(frames)).cast("long").alias("frames"), F.round(assembly.mean_level(v), 9).alias("level"), numbers.around(points)["x1"].alias("x1"), numbers.around(points)["y2"].alias("y2"))
 
 
+@query(f"SELECT s_suppkey, {picked('s_suppkey', 'gpt', 'none such', 'mistral')} <> 'none such' AND s_suppkey % 5 > 0 AS model_available FROM supplier")
+def models_available(read):
+    """PF22: whether an agent's model is given and in the catalogue."""
+    agents = read("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 5 > 0, pick("s_suppkey", "gpt", "none such", "mistral")).alias("llm_model"))
+    known = read("region").select(F.when(F.col("r_regionkey") % 2 == 0, "gpt").otherwise("mistral").alias("id"))
+    return metadata.with_availability(agents, known).select("s_suppkey", "model_available")
+
+
+@query("SELECT p_partkey, trunc(least(1.0, 32.0 / greatest(p_size, p_partkey % 60 + 1)) * p_size)::INTEGER AS width, least(20, p_size)::BIGINT AS first_entities, p_name[1:2000] AS first_chars FROM part")
+def first_of_many(read):
+    """MA7 (the vision model's), TK9: sides cut off, the first of long lists and texts."""
+    many = F.sequence(F.lit(1), F.greatest(F.col("p_size"), F.lit(1)))
+    return read("part").select("p_partkey", rules.resized(F.col("p_size"), F.col("p_partkey") % 60 + 1, 32, truncated=True)["width"].alias("width"), F.size(F.slice(many, 1, knowledge.MOST_ENTITIES)).cast("long").alias("first_entities"), F.substring("p_name", 1, knowledge.MOST_CHARS).alias("first_chars"))
+
+
 # --- joins and merges ----------------------------------------------------------------------------
 
 @query("""SELECT doc_id, greatest(0, least(len(string_split(text, chr(10))), 3)) AS pairs FROM documents WHERE text IS NOT NULL""")

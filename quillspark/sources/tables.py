@@ -100,6 +100,20 @@ def json_texts(df: DataFrame, column: str, out: str = "text") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def json_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """path, text: a readable text of every JSON file; bytes that are not UTF-8, or no JSON, are an error when read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    strict = F.when(F.expr("is_valid_utf8(decode_bytes)"), F.expr("string(decode_bytes)")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path")).cast("string"))
+    rows = json_texts(files.withColumn("decode_bytes", F.col("content")).select("path", strict.alias("json")), "json")
+    return rows.select("path", F.coalesce("text", F.raise_error(F.concat(F.lit("no JSON: "), "path")).cast("string")).alias("text"))
+
+
+def drop_collection(spark: SparkSession, path: str, name: str) -> bool:
+    """Deletes a collection's files; False if there are none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/collection={name}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def file_format(name: Column) -> Column:
     known = F.create_map(*(F.lit(x) for k, v in FORMATS.items() for x in (k[1:], v)))
     return F.element_at(known, file_extension(name))

@@ -241,3 +241,33 @@ def test_video_prompts(spark):
     rows = spark.createDataFrame([("race", "[1]", "X-Cosmo-2"), ("procedure", " ", None), ("other", None, "y")], "mode string, tracks string, model string")
     out = text.video_prompt(library, F.col("mode"), {"t_start": F.lit(1.5), "n": F.lit(3)}, F.col("tracks"), F.col("model"), {"cosmo": " Stamp."})
     assert [tuple(r.p) for r in rows.select(out.alias("p")).collect()] == [("From 1.5: 3. Stamp.", "r1"), ("From 1.5: 3. No tracks", "p1"), ("From 1.5: 3. No tracks", "p1")]
+
+
+def test_catalogue_of_models():
+    asked = []
+
+    def fetch(key):
+        asked.append(key)
+        if key:
+            raise RuntimeError("HTTP 401")
+        return [{"id": "m"}]
+
+    assert models.model_catalogue(fetch, " real ") == ([{"id": "m"}], None) and asked == ["real", None]
+    assert models.model_catalogue(fetch, "Dummy") == ([{"id": "m"}], None) and asked[2:] == [None]
+
+    def down(key):
+        raise RuntimeError("timed out")
+
+    assert models.model_catalogue(down, "k") == ([], "timed out")
+
+
+def test_json_files_and_collections(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j/a.json").write_text('{"a": [1, {"b": null}]}')
+    assert tables.json_files(spark, f"file://{tmp_path}/j").first().text == "a:\n  - 1\n  [1]:\n    b: None"
+    (tmp_path / "j/b.json").write_bytes(b'"\xff"')
+    with pytest.raises(Exception, match="not UTF-8"):
+        tables.json_files(spark, f"file://{tmp_path}/j").collect()
+    where = f"file://{tmp_path}/points"
+    tables.create_collection(spark, where, "c", "id long")
+    assert tables.drop_collection(spark, where, "c") and not tables.drop_collection(spark, where, "c")
