@@ -79,11 +79,15 @@ def is_chat_model(model_id: Column) -> Column:
     return ~contains_any(F.lower(F.coalesce(model_id, F.lit(""))), NOT_CHAT_MODELS)
 
 
+# The markup of titles, each with its text in the first group.
+TITLE_MARKUP = [r"\*\*([^*]+)\*\*", r"\*([^*]+)\*", r"__([^_]+)__", r"_([^_]+)_", r"`([^`]+)`", r"\[([^\]]+)\]\([^\)]+\)"]
+
+
 def clean_title(raw: Column, limit: int = 60) -> Column:
     """A model's title without quotes, prefix and markdown, at most ``limit`` characters."""
     t = strip(F.regexp_replace(F.regexp_replace(strip(raw), r'^"+|"+$', ""), r"^'+|'+$", ""))
     t = F.when(F.lower(t).startswith("title:"), strip(F.substring(t, 7, 1 << 20))).otherwise(t)
-    for pattern in (r"\*\*([^*]+)\*\*", r"\*([^*]+)\*", r"__([^_]+)__", r"_([^_]+)_", r"`([^`]+)`", r"\[([^\]]+)\]\([^\)]+\)"):
+    for pattern in TITLE_MARKUP:
         t = F.regexp_replace(t, pattern, "$1")
     t = F.substring(collapse(F.regexp_replace(t, "#", "")), 1, limit)
     return F.when(F.coalesce(t, F.lit("")) == "", "Untitled").otherwise(t)
