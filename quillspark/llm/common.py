@@ -264,9 +264,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each text the index of its first word (n+1)."""
-    inside = ~SPACE[raw]
+def word_spans(raw: np.ndarray, off: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and for each text the index of its first word (n+1).
+    A word is a maximal run of bytes that are not ``outside``."""
+    inside = ~outside[raw]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     bounds = off[1:-1]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptive_scan, jaccard_join, language_mixture, packing, quality_rules, secrets, suffix_dedup, unigram, url_filter
+from . import adaptive_scan, jaccard_join, language_mixture, merkle, packing, pu_quality, quality_rules, ranked_search, secrets, suffix_dedup, unigram, url_filter
 from .common import read_table
 
 
@@ -56,13 +56,30 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def _crc32_of_id() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held_out = _crc32_of_id() % 4 == 2
     names, logs = language_mixture.learn(docs.where(~held_out))
     return language_mixture.identify(docs, names, logs, held_out=held_out)
 
 
+def op11_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), _crc32_of_id() % 4 == 2)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 7 divides the id's crc32 the verifier has a document of one more character in n_chars."""
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}, _crc32_of_id() % 7 == 0)
+
+
+def op13_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_adaptive_scan": op1_adaptive_scan,
@@ -76,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_unigram_pieces": op8_unigram_pieces,
         "op9_secret_scan": op9_secret_scan,
         "op10_language_mixture": op10_language_mixture,
+        "op11_pu_quality": op11_pu_quality,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_threshold_search": op13_threshold_search,
     }
 
 
@@ -166,5 +186,41 @@ found AS (SELECT doc_id, coalesce(words.n, 0) AS n_words, coalesce(words.c, 0) A
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM found"""
 
 
+# --- SQL: what op12 returns; levels of all trees by recursion, ids' crc32 bit by bit -----------
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+_CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, c: list_reduce(list_prepend(xor(a, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
+OP12 = f"""WITH RECURSIVE d AS (SELECT doc_id, lang, sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("text")}) AS leaf,
+  CASE WHEN xor({_CRC32}, 4294967295) % 7 = 0 THEN sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("(n_chars + 1)")} || {_field("text")}) END AS claim FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM d),
+low(t, level, i, n, h) AS (SELECT t, 0, i, n, leaf FROM leaves UNION ALL SELECT t, any_value(level) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY t, i // 2),
+roots AS (SELECT t AS i, h, level AS height, count(*) OVER () AS n FROM low WHERE n = 1),
+high(level, i, n, h) AS (SELECT 0, i, n, h FROM roots UNION ALL SELECT any_value(level) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY i // 2),
+step AS (SELECT l.t, l.i, s.level AS k, l.i // (1 << s.level) % 2 AS side, o.h FROM leaves l JOIN roots r ON r.i = l.t JOIN (SELECT DISTINCT level FROM low) s ON s.level < r.height LEFT JOIN low o ON o.t = l.t AND o.level = s.level AND o.i = xor(l.i // (1 << s.level), 1)
+  UNION ALL SELECT l.t, l.i, 100 + s.level, l.t // (1 << s.level) % 2, o.h FROM leaves l JOIN (SELECT DISTINCT level FROM high WHERE n > 1) s ON true LEFT JOIN high o ON o.level = s.level AND o.i = xor(l.t // (1 << s.level), 1)),
+way AS (SELECT t, i, list({{'side': side, 'h': h}} ORDER BY k) AS steps, coalesce(string_agg(h, '' ORDER BY k), '') AS proof FROM step GROUP BY t, i)
+SELECT doc_id, leaf, roots.h AS subroot, top.h AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+  list_reduce(list_prepend({{'side': 0::BIGINT, 'h': coalesce(claim, leaf)}}, coalesce(steps, [])), lambda a, s: {{'side': 0::BIGINT, 'h': CASE WHEN s.h IS NULL THEN sha256(a.h) WHEN s.side = 1 THEN sha256(s.h || a.h) ELSE sha256(a.h || s.h) END}}).h AS folded_root,
+  folded_root = top.h AS verified FROM leaves JOIN roots ON roots.i = leaves.t LEFT JOIN way ON way.t = leaves.t AND way.i = leaves.i, (SELECT h FROM high WHERE n = 1) top"""
+
+
+# --- SQL: what op13 returns, from the scores of all documents ------------------------------------
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13 = f"""WITH w AS (SELECT rid, doc_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS rid, * FROM documents)),
+size AS (SELECT rid, any_value(doc_id) AS doc_id, count(*) AS n FROM w GROUP BY rid),
+total AS (SELECT count(*) AS n, sum(n)::BIGINT AS l FROM size),
+asked AS (SELECT q, item_id, term, count(*) AS c FROM (SELECT q, item_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS q, * FROM benchmark)) GROUP BY ALL),
+tf AS (SELECT rid, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM asked) GROUP BY rid, term),
+weight AS (SELECT term, floor(1000 * ln((2 * total.n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+impact AS (SELECT rid, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * size.n * total.n) // total.l)) AS i FROM tf JOIN size USING (rid), total),
+scored AS (SELECT q, item_id, rid, sum(c * w * i)::BIGINT AS score FROM asked JOIN weight USING (term) JOIN impact USING (term) GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM scored JOIN size USING (rid) WHERE score > 0 QUALIFY rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2, "op9_secret_scan": OP9, "quality_counts": COUNTS}
+    return {"op2_url_filter": OP2, "op9_secret_scan": OP9, "op12_merkle_manifest": OP12, "op13_threshold_search": OP13, "quality_counts": COUNTS}

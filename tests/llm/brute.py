@@ -177,3 +177,51 @@ def verdicts(pages, rules):
         verdict = ("allow" if rule.allow else "block") if rule else "block" if a and a[0] in own and find(a[0]) in roots else "allow"
         out[page] = (host, path, str(rule) if rule else None, verdict)
     return out
+
+
+# --- Merkle manifest -------------------------------------------------------------------------
+
+def _hash(*texts):
+    return hashlib.sha256("".join(texts).encode()).hexdigest()
+
+
+def leaf(fields):
+    return _hash(*("-" if f is None else f"{len(str(f).encode())}:{f}" for f in fields))
+
+
+def _tree(nodes):
+    """The root of a list of digests, and for each of them (siblings, fold of another digest in its place)."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([_hash(*levels[-1][i:i + 2]) for i in range(0, len(levels[-1]), 2)])
+    sides = []
+    for i in range(len(nodes)):
+        steps = []
+        for level in levels[:-1]:
+            j = i + 1 if i % 2 == 0 else i - 1
+            steps.append((i % 2, level[j] if j < len(level) else None))
+            i //= 2
+        sides.append(steps)
+    return levels[-1][0], sides
+
+
+def merkle(rows, changed):
+    """Sorted (doc_id, leaf, subroot, root, proof, folded, verified) of (doc_id, source, lang, n_chars, text)."""
+    trees = {}
+    for r in rows:
+        trees.setdefault(r[2], []).append(r)
+    names = sorted(trees, key=lambda n: (n is not None, (n or "").encode()))
+    own = {}
+    for name in names:
+        mine = sorted(trees[name], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+        own[name] = mine, *_tree([leaf(r) for r in mine])
+    root, top = _tree([own[n][1] for n in names])
+    out = []
+    for name, above in zip(names, top, strict=True):
+        mine, subroot, sides = own[name]
+        for r, steps in zip(mine, sides, strict=True):
+            digest = leaf((*r[:3], r[3] + 1, r[4]) if changed(r[0]) and r[3] is not None else r)
+            for side, other in [*steps, *above]:
+                digest = _hash(digest) if other is None else _hash(other, digest) if side else _hash(digest, other)
+            out.append((r[0], leaf(r), subroot, root, _hash(*(x for _, x in [*steps, *above] if x)), digest, digest == root))
+    return out
