@@ -12,9 +12,9 @@ smallest share of unlabelled texts over the share of positives above a score, wi
 for the size of both samples (the best bin).
 
 Everything is a sum over all training rows: bin edges come from counts of all values, and
-each Newton step is one pass that adds up risks, gradients and curvatures, tasks first.  While
-the estimated risk of the negatives is below zero the step goes the other way, up that part
-alone, as it is then fitted to noise; the weights of least non-negative risk are kept.
+each Newton step is one pass that adds up risks, gradients and curvatures, tasks first.  Where
+the estimated risk of the negatives falls clearly below zero (by BETA) the weights are fitted
+to noise: the step is halved until it is not, and those of least risk are kept.
 The texts are read once; what stays is one byte a statistic for each document.
 
 Defined cases: a null text is the empty one and is scored as such; a null id is no training
@@ -40,12 +40,14 @@ from .doc_stats import FEATURES, text_stats
 
 #: Bins of a statistic, at most.
 BINS = 12
-#: Added to the risk: half of it times the squares of the weights.
-RIDGE = 0.03
+#: Added to the risk is half of RIDGE + SHRINK / positives times the squares of the weights.
+RIDGE, SHRINK = 0.03, 10.0
 #: Newton steps of a fit, at most; a fit ends before when no weight moves by SMALL.
 STEPS, SMALL = 12, 1e-3
 #: No weight moves further in one step.
 FARTHEST = 2.0
+#: The estimated risk of the negatives may fall this far below zero.
+BETA = 0.1
 #: The prior of the models that estimate the prior (their scores only order the texts).
 FIRST_PRIOR = 0.5
 #: Score from which on a text is predicted to be good.
@@ -80,17 +82,16 @@ class Sums:
     loss_p: float  # l(z)
     back_p: float  # l(-z)
     slope_u: np.ndarray  # of l(-z)
-    slope_p: np.ndarray  # of l(-z)
     at_p: np.ndarray  # positives with each weight
     curve: np.ndarray  # of l(-z) over u
 
     @staticmethod
     def size(d: int) -> int:
-        return 5 + 3 * d + d * d
+        return 5 + 2 * d + d * d
 
     @staticmethod
     def of(flat: np.ndarray, d: int) -> Sums:
-        return Sums(*flat[:5].tolist(), *flat[5:5 + 3 * d].reshape(3, d), flat[5 + 3 * d:].reshape(d, d))
+        return Sums(*flat[:5].tolist(), *flat[5:5 + 2 * d].reshape(2, d), flat[5 + 2 * d:].reshape(d, d))
 
 
 def row_sums(codes: np.ndarray, unlabelled: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -99,38 +100,42 @@ def row_sums(codes: np.ndarray, unlabelled: np.ndarray, positive: np.ndarray, w:
     z = w[codes].sum(1)
     u, p = unlabelled.astype(float), positive.astype(float)
     s = _sigmoid(z)
-    slopes = [np.bincount(codes.ravel(), weights=np.repeat(x, width), minlength=d) for x in (u * s, p * s, p)]
+    slopes = [np.bincount(codes.ravel(), weights=np.repeat(x, width), minlength=d) for x in (u * s, p)]
     curve = np.zeros(d * d)
     for i in range(width):
         pairs = (codes[:, i:i + 1] * d + codes).ravel()
         curve += np.bincount(pairs, weights=np.repeat(u * s * (1 - s), width), minlength=d * d)
-    return np.concatenate([[u.sum(), p.sum(), u @ _softplus(z), p @ _softplus(-z), p @ _softplus(z)], *slopes, curve])
+    loss = _softplus(z)
+    return np.concatenate([[u.sum(), p.sum(), u @ loss, p @ _softplus(-z), p @ loss], *slopes, curve])
 
 
 class Fit:
     """Minimises the non-negative risk: one Newton step for each set of sums."""
 
-    def __init__(self, d: int, prior: float, ridge: float = RIDGE):
-        self.w, self.prior, self.ridge = np.zeros(d), prior, np.full(d, ridge)
-        self.ridge[0] = 1e-6  # of the constant
+    def __init__(self, d: int, prior: float):
+        self.w, self.prior, self.free = np.zeros(d), prior, np.arange(d) > 0  # the constant is not held
         self.best, self.least, self.done = self.w, math.inf, False
 
+    def ridge(self, s: Sums) -> np.ndarray:
+        return np.where(self.free, RIDGE + SHRINK / s.n_p, 1e-6)
+
     def risk(self, s: Sums) -> tuple[float, float]:
         """The risk with the ridge, and its part that is the estimated risk of the negatives."""
         negative = s.loss_u / s.n_u - self.prior * s.back_p / s.n_p
-        return self.prior * s.loss_p / s.n_p + max(0.0, negative) + 0.5 * float(self.ridge @ self.w**2), negative
+        return self.prior * s.loss_p / s.n_p + max(0.0, negative) + 0.5 * float(self.ridge(s) @ self.w**2), negative
 
     def step(self, s: Sums) -> None:
+        """Goes on from weights that lower the risk; goes half way back from others, and from
+        those at which the risk of the negatives is clearly below zero."""
         risk, negative = self.risk(s)
-        if risk < self.least:
+        if negative >= -BETA and risk < self.least:
             self.best, self.least = self.w, risk
-        slope_u, curve = s.slope_u / s.n_u, s.curve / s.n_u + np.diag(self.ridge)
-        if negative >= 0:  # l(z) - l(-z) = -z
-            move = np.linalg.solve(curve, slope_u - self.prior * s.at_p / s.n_p + self.ridge * self.w)
+            slope = s.slope_u / s.n_u - self.prior * s.at_p / s.n_p + self.ridge(s) * self.w  # as l(z) - l(-z) = -z
+            move = np.linalg.solve(s.curve / s.n_u + np.diag(self.ridge(s)), slope)
+            move *= min(1.0, FARTHEST / max(float(np.abs(move).max()), 1e-12))
         else:
-            move = 0.5 * np.linalg.solve(curve, self.prior * s.slope_p / s.n_p - slope_u + self.ridge * self.w)
-        far = float(np.abs(move).max())
-        self.w, self.done = self.w - move * min(1.0, FARTHEST / max(far, 1e-12)), far < SMALL
+            move = 0.5 * (self.w - self.best)
+        self.w, self.done = self.w - move, float(np.abs(move).max()) < SMALL
 
 
 def best_bin(u: np.ndarray, p: np.ndarray, delta: float = DELTA, gamma: float = GAMMA) -> float:

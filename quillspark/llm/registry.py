@@ -195,7 +195,7 @@ def _field(column: str) -> str:
 _CRC32 = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
   lambda a, c: list_reduce(list_prepend(xor(a, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
 OP12 = f"""WITH RECURSIVE d AS (SELECT doc_id, lang, sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("text")}) AS leaf,
-  CASE WHEN xor({_CRC32}, 4294967295) % 7 = 0 THEN sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("(n_chars + 1)")} || {_field("text")}) END AS claim FROM documents),
+  CASE WHEN doc_id IS NOT NULL AND xor({_CRC32}, 4294967295) % 7 = 0 THEN sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("(n_chars + 1)")} || {_field("text")}) END AS claim FROM documents),
 leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t FROM d),
 low(t, level, i, n, h) AS (SELECT t, 0, i, n, leaf FROM leaves UNION ALL SELECT t, any_value(level) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY t, i // 2),
 roots AS (SELECT t AS i, h, level AS height, count(*) OVER () AS n FROM low WHERE n = 1),
