@@ -3,15 +3,18 @@
 Nearness is the inner product.  Vectors get one more component so that all have the
 norm of the longest; then the largest inner product is the smallest distance.  They
 are dealt to the lists of nearest centroids (k-means on a bounded sample; every
-vector is dealt).  A query probes a share of the lists.  Inside a list, vectors and
-query are turned by one random rotation, so that any first d components are a fair
-sample of the distance, and are read in blocks of columns: after each block a
-candidate is abandoned when its distance so far is larger than what a candidate
-within the query's present 20th distance would show, at ``EPSILON`` standard errors.
-What is left gets its exact inner product, in double precision, on the vectors as given.
-
-Lists are cut into tiles of at most ``ROWS`` vectors by ``QUERIES`` queries, so one
-list that holds a third of all rows is many tasks.  Defined cases: vectors that are
+vector is dealt).  A query probes its nearest lists: as many as hold the share ``AIM`` of the
+nearest neighbours within the sample, so clustered vectors need few and vectors without any
+structure most of them.  Inside a list, vectors and query are turned by one random rotation,
+so that any first d components are a fair sample of the distance, and are read in blocks of
+columns: after each block a candidate is abandoned when its distance so far is larger than
+what a candidate within the query's present 20th distance would show, at ``EPSILON`` standard
+errors.  What is left gets its exact inner product, in double precision, on the vectors as
+given.  The sample serves for centroids, for the number of lists and for a first limit (the
+20th distance within the probed lists); every result comes out of a scanned list.
+
+Lists are cut into tiles of bounded numbers of vectors and queries, so one list that holds a
+third of all rows is many tasks.  Defined cases: vectors that are
 null, all zero, of another length than most, or that hold null or non-finite
 components take no part, nor do null ids; rows with equal id and vector are one
 candidate, and rows of one id are never candidates of a query with that id; ties go to the smaller id; with fewer candidates than
@@ -29,21 +32,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored
+from .common import Scratch
 
 NEAREST = 20
-#: Vectors that centroids and first limits are fitted on, at most.
+#: Vectors that centroids, the number of probed lists and first limits are fitted on, at most.
 SAMPLE = 8192
 MOST_LISTS = 1024
-#: Rows from which on there is more than one list.
-SPLIT_FROM = 4096
-#: Share of the lists that a query probes.
-PROBED = 0.75
+#: Share of a query's nearest neighbours that the probed lists should hold, and the vectors of
+#: the sample whose neighbours tell how many lists that takes.
+AIM, ASKED = 0.98, 512
+#: A query's lists hold so many times the wanted vectors at least.
+PLENTY = 8
 #: Standard errors of the test that abandons a candidate.
 EPSILON = 2.5
 #: Columns read at a time.
 BLOCK = 16
-ROWS, QUERIES = 1024, 512
+#: Vectors and queries of a tile: twice what a list holds on average, within these bounds.
+FEWEST, MOST = 1024, 16384
+#: Queries of a tile that are compared with its vectors at once.
+AT_ONCE = 256
 _SEED = 11
 
 
@@ -107,6 +114,18 @@ def products(x: np.ndarray, q: np.ndarray, px: np.ndarray, pq: np.ndarray) -> np
     return out
 
 
+def probes_needed(x: np.ndarray, center: np.ndarray, k: int, aim: float = AIM, asked: int = ASKED) -> int:
+    """How many nearest lists hold the share ``aim`` of the ``k`` nearest neighbours within ``x``."""
+    some = np.random.default_rng(_SEED).choice(len(x), min(asked, len(x)), replace=False)
+    d = _distances(x[some], x)
+    d[np.arange(len(some)), some] = np.inf
+    near = np.argsort(d, axis=1, kind="stable")[:, :max(1, min(k, len(x) - 1))]
+    own = _distances(x, center).argmin(1)
+    rank = np.argsort(np.argsort(_distances(x[some], center), axis=1, kind="stable"), axis=1)
+    held = np.bincount(np.take_along_axis(rank, own[near], 1).ravel(), minlength=len(center)).cumsum()
+    return int(np.searchsorted(held, aim * held[-1])) + 1
+
+
 def scan_tile(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray, limit: np.ndarray, norm: float, turn: np.ndarray, k: int, epsilon: float, block: int):
     """Nearest of one tile: query number, row number, score.  ``limit`` is a distance
     (squared) within which a query is known to have k candidates, or infinity."""
@@ -115,17 +134,16 @@ def scan_tile(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray
     a, b = _lifted(x, norm) @ turn, _flat(q) @ turn
     dim = a.shape[1]
     slack = {d: d / dim * (1 + epsilon / math.sqrt(d)) ** 2 for d in range(block, dim, block)}
-    first = _distances(b[:, :block], a[:, :block])
     pairs_q, pairs_x = [], []
     for i in range(len(b)):
-        part = first[i]
-        if len(ids) > 4 * k:  # the distances of the k that look nearest so far bound the k-th
-            some = np.argpartition(part, k)[:k + 1]
-            some = some[ids[some] != queries[i]][:k]
-            full = ((a[some] - b[i]) ** 2).sum(1)
-            limit_i = min(limit[i], full.max()) if len(some) == k else limit[i]
-        else:
-            limit_i = limit[i]
+        if i % AT_ONCE == 0:
+            first = _distances(b[i:i + AT_ONCE, :block], a[:, :block])
+        part, limit_i = first[i % AT_ONCE], limit[i]
+        # the k that look nearest so far stay: there are always k to report, and their distances bound the k-th
+        some = np.argpartition(part, k)[:k + 1] if len(ids) > k + 1 else np.arange(len(ids))
+        some = some[ids[some] != queries[i]][:k]
+        if len(some) == k:
+            limit_i = min(limit_i, float(((a[some] - b[i]) ** 2).sum(1).max()))
         limit_i = limit_i * (1 + 1e-9) + 1e-12
         alive = np.flatnonzero(part <= limit_i * slack.get(block, 1.0))
         part = part[alive]
@@ -136,7 +154,7 @@ def scan_tile(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray
             part = part + np.einsum("ij,ij->i", diff, diff)
             stay = part <= limit_i * slack.get(d + block, 1.0)
             alive, part = alive[stay], part[stay]
-        alive = alive[ids[alive] != queries[i]]
+        alive = np.union1d(alive[ids[alive] != queries[i]], some)
         pairs_q.append(np.full(len(alive), i))
         pairs_x.append(alive)
     pq, px = np.concatenate(pairs_q), np.concatenate(pairs_x)
@@ -148,9 +166,10 @@ def scan_tile(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, q: np.ndarray
     return pq[keep], ids[px[keep]], score[keep]
 
 
-def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = NEAREST, sample: int = SAMPLE, probed: float = PROBED, epsilon: float = EPSILON, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = NEAREST, sample: int = SAMPLE, aim: float = AIM, epsilon: float = EPSILON, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each row of ``is_query``."""
     spark = vectors.sparkSession
+    scratch = Scratch(spark)
     kind = _kind(vectors, vec_col)
     result = "query_id long, vec_id long, score double"
     rows = _usable(vectors, id_col, vec_col, is_query)
@@ -160,10 +179,10 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     dim, n, norm = sizes[0]["dim"], sizes[0]["n"], math.sqrt(sizes[0]["norm2"])
     rows = rows.where(F.size("vec") == dim)
     fitted = rows.orderBy(F.xxhash64("id", "vec"), "id").limit(sample).select("id", "vec").toArrow()
-    sample_ids, sample_vec = fitted.column("id").to_numpy(), _matrix(fitted.column("vec"), dim)
-    sample_x = _lifted(sample_vec, norm)
-    center = centroids(sample_x, 1 if n < SPLIT_FROM else min(MOST_LISTS, round(math.sqrt(n) / 3)))
-    probes = max(1, math.ceil(probed * len(center)))
+    sample_ids, sample_x = fitted.column("id").to_numpy(), _lifted(_matrix(fitted.column("vec"), dim), norm)
+    center = centroids(sample_x, max(1, min(MOST_LISTS, round(math.sqrt(n) / 3))))
+    sample_list = _distances(sample_x, center).argmin(1)
+    probes = probes_needed(sample_x, center, max(1, round(k * len(sample_x) / n)), aim)
     turn = rotation(dim + 1)
 
     def deal(batches):
@@ -174,29 +193,32 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
                 part = batch.slice(at, 4096)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.astype(np.int32))], names=["id", "vec", "is_query", "list"])
 
-    def aim(batches):
+    dealt = scratch.stored(rows.mapInArrow(deal, f"id long, vec array<{kind}>, is_query boolean, list int"), "lists")
+    # rows of a list, and below its queries: at most MOST_LISTS numbers each
+    held = {r["list"]: r["n"] for r in dealt.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    sizes = np.array([held.get(i, 0) for i in range(len(center))])
+
+    def aimed_at(batches):
         for batch in batches:
             x = _matrix(batch.column(1), dim)
             for at in range(0, len(x), 512):
                 part, q = batch.slice(at, 512), _flat(x[at:at + 512])
-                near = np.argsort(_distances(q, center), axis=1, kind="stable")[:, :probes].astype(np.int32)
-                d = np.maximum(_distances(q, sample_x), 0)
+                near = np.argsort(_distances(q, center), axis=1, kind="stable").astype(np.int32)
+                enough = (np.cumsum(sizes[near], axis=1) < PLENTY * k).sum(1) + 1
+                count = np.minimum(np.maximum(probes, enough), len(center)).astype(np.int32)
+                probed = np.zeros(near.shape, bool)
+                np.put_along_axis(probed, near, np.arange(near.shape[1]) < count[:, None], 1)
+                d = np.where(probed[:, sample_list], np.maximum(_distances(q, sample_x), 0), np.inf)
                 d[part.column(0).to_numpy()[:, None] == sample_ids[None, :]] = np.inf
                 limit = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(q), np.inf)
-                # those of the sample within the limit are found already
-                pq, px = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-                score = products(sample_vec, x[at:at + 512], px, pq)
-                bounds = np.searchsorted(pq, np.arange(len(q) + 1)).astype(np.int32)
-                known = pa.ListArray.from_arrays(bounds, pa.StructArray.from_arrays([pa.array(sample_ids[px]), pa.array(score)], names=["vec_id", "score"]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(limit), pa.ListArray.from_arrays(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1], near.ravel()), known], names=["id", "vec", "limit", "lists", "known"])
-
-    dealt = stored(rows.mapInArrow(deal, f"id long, vec array<{kind}>, is_query boolean, list int"), "lists")
-    aimed = stored(dealt.where("is_query").select("id", "vec").mapInArrow(aim, f"id long, vec array<{kind}>, limit double, lists array<int>, known array<struct<vec_id:long,score:double>>"), "queries")
-    # rows and queries of a list, at most MOST_LISTS numbers each
-    held = {r["list"]: r["n"] for r in dealt.groupBy("list").agg(F.count("*").alias("n")).collect()}
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(count)]).astype(np.int32), np.concatenate([x[:c] for x, c in zip(near, count, strict=True)]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(limit), lists], names=["id", "vec", "limit", "lists"])
+
+    aimed = scratch.stored(dealt.where("is_query").select("id", "vec").mapInArrow(aimed_at, f"id long, vec array<{kind}>, limit double, lists array<int>"), "queries")
     asked = {r["list"]: r["n"] for r in aimed.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).collect()}
-    blocks = F.array(*(F.lit(max(1, -(-held.get(i, 0) // ROWS))) for i in range(len(center))))
-    chunks = F.array(*(F.lit(max(1, -(-asked.get(i, 0) // QUERIES))) for i in range(len(center))))
+    rows_each, queries_each = (min(MOST, max(FEWEST, 2 * total // len(center))) for total in (n, sum(asked.values())))
+    blocks = F.array(*(F.lit(max(1, -(-held.get(i, 0) // rows_each))) for i in range(len(center))))
+    chunks = F.array(*(F.lit(max(1, -(-asked.get(i, 0) // queries_each))) for i in range(len(center))))
     left = dealt.where(F.array_contains(F.array(*(F.lit(i) for i in sorted(asked))), F.col("list")) if asked else F.lit(False))
     left = left.select("list", F.pmod(F.xxhash64("id", "vec"), F.get(blocks, F.col("list"))).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.get(chunks, F.col("list")) - 1)).alias("chunk"), "id", "vec")
     right = aimed.select("id", "vec", "limit", F.explode("lists").alias("list"))
@@ -211,6 +233,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
 
     key = ["list", "block", "chunk"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(tile, result)
-    found = found.unionByName(aimed.select(F.col("id").alias("query_id"), F.explode("known").alias("x")).select("query_id", "x.*")).distinct()
+    found = found.distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = scratch.stored(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    scratch.drop(out)
+    return out

@@ -2,19 +2,23 @@
 
 A text is cut before every run of ASCII white space that follows a visible
 character: byte-level pre-tokenisation always starts a new word there, so the
-pieces can be encoded apart.  Each distinct piece is encoded once by the tokenizer
-and remembered by its bytes; all others are copied.
+pieces can be encoded apart.  The vocabulary's added tokens (``<|endoftext|>``) are found
+first and are pieces of their own, as its tokenizer file says.  Each distinct piece is
+encoded once by the tokenizer and remembered by its bytes; all others are copied.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 
 import numpy as np
 
 from .common import SPACE, distinct_spans, ranges
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The tokenizer file of the same vocabulary, which names its added tokens.
+TOKENIZER = "byte_bpe_50k.json"
 #: Pieces a worker remembers (about 200 bytes each) before it starts afresh.
 REMEMBERED = 200_000
 
@@ -26,14 +30,18 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """Ids of texts; special tokens in a text are ordinary text, none are added."""
+    """Ids of texts as the tokenizer file gives them: its added tokens are matched where
+    they stand in a text, and none are put in."""
 
     _loaded: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tokenizer: str | None = None):
         import public_tokenizers
         import tiktoken
 
+        with open(tokenizer or vocabulary_path(TOKENIZER), encoding="utf-8") as f:
+            self.added = {t["content"].encode(): t["id"] for t in json.load(f)["added_tokens"]}
+
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -52,8 +60,21 @@ class Encoder:
         self.first = np.zeros(1 << 16, np.int64)
         self.n = self.used = 0
 
+    def _places(self, data: bytes, off: np.ndarray) -> list[tuple[int, int]]:
+        """Where added tokens stand, from left to right, within single texts."""
+        out, at = [], {t: data.find(t) for t in self.added}
+        while (some := {t: i for t, i in at.items() if i >= 0}):
+            token = min(some, key=lambda t: (some[t], -len(t)))
+            a, b = some[token], some[token] + len(token)
+            if np.searchsorted(off, a, side="right") == np.searchsorted(off, b, side="left"):
+                out.append((a, b))
+            else:
+                b = a + 1
+            at |= {t: data.find(t, b) for t, i in some.items() if i < b}
+        return out
+
     def _add(self, piece: bytes) -> int:
-        ids = self.encode(piece.decode("utf-8", "replace"))
+        ids = [self.added[piece]] if piece in self.added else self.encode(piece.decode("utf-8", "replace"))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.int32)])
         if self.n + 2 > len(self.first):
@@ -76,12 +97,15 @@ class Encoder:
         cut = np.zeros(n, bool)
         cut[1:] = space[1:] & visible[:-1]
         cut[off[:-1][off[:-1] < n]] = True
+        data = raw.tobytes()
+        for a, b in self._places(data, off):
+            cut[[a, *([b] if b < n else [])]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
         one, which = distinct_spans(raw, start, end)
         if self.n + len(one) > REMEMBERED:
             self._forget()
-        known, data = self.known, raw.tobytes()
+        known = self.known
         at = np.empty(len(one), np.int64)
         for i, (a, b) in enumerate(zip(start[one].tolist(), end[one].tolist(), strict=True)):
             piece = data[a:b]

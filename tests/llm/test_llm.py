@@ -271,11 +271,10 @@ def ids_by_tokenizers(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [np.array([*x.ids, 1], "<u4") for x in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
-ODD = ["", None, " ", "  two  spaces ", "tab\tand\nline\n\n x", "nbsp  x y 　z", "don't we'll  'S", "é è ñ", "日本語 text", "a\u0085 b", "<|endoftext|> x", "x" * 5000, " \n", "1 22 333", "\x1c \x1d"]
+ODD = ["", None, " ", "  two  spaces ", "tab\tand\nline\n\n x", "nbsp  x y 　z", "don't we'll  'S", "é è ñ", "日本語 text", "a\u0085 b", "<|endoftext|> x", "a<|endoftext|><|endoftext|> b\n<|endoftext|", "|>", "x" * 5000, " \n", "1 22 333", "\x1c \x1d"]
 
 
 def test_bpe_equals_the_tokenizer():
@@ -314,6 +313,38 @@ def test_cost_packing(spark):
     assert packing.pack_by_cost(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_balance_equals_a_plain_loop(seed):
+    """Longest first, to the cheapest sequence with room; what fits nowhere whole is cut over the cheapest."""
+    rng = random.Random(seed)
+    room = 100
+    lengths = [rng.choice([rng.randint(1, 30), rng.randint(1, 99), rng.randint(1, 350), 50]) for _ in range(rng.randint(1, 80))]
+    full = [(d, i * room, room, 0) for d, n in enumerate(lengths) for i in range(n // room)]
+    rests = sorted(((n % room, d) for d, n in enumerate(lengths) if n % room), key=lambda r: (-r[0], r[1]))
+    used, cost, want = [0] * -(-sum(n for n, _ in rests) // room), [0.0] * -(-sum(n for n, _ in rests) // room), []
+    for size, doc in rests:
+        start = lengths[doc] - size
+        while size:
+            whole = [s for s in range(len(used)) if used[s] + size <= room]
+            seq = min(whole or [s for s in range(len(used)) if used[s] < room], key=lambda s: (cost[s], s))
+            part = size if whole else min(size, room - used[seq])
+            want.append((doc, start, part, len(full) + seq, used[seq]))
+            used[seq] += part
+            cost[seq] += part + part * part / 2048
+            start, size = start + part, size - part
+            if not whole and size:
+                while size:  # the rest of a cut one is cut on, without looking for room for all of it
+                    seq = min((s for s in range(len(used)) if used[s] < room), key=lambda s: (cost[s], s))
+                    part = min(size, room - used[seq])
+                    want.append((doc, start, part, len(full) + seq, used[seq]))
+                    used[seq] += part
+                    cost[seq] += part + part * part / 2048
+                    start, size = start + part, size - part
+    got = packing.balance(np.array(lengths), room, 1.0, 1 / 2048)
+    assert sorted((d, s, n, o) for d, s, n, q, o in got if n == room and q < len(full)) == sorted(full)
+    assert [p for p in got if p[3] >= len(full)] == want
+
+
 def test_balance_prefers_cheap_sequences():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 900, 300)
@@ -523,6 +554,40 @@ def test_scores_of_double_vectors(spark):
         assert abs(r.score - float(x[r.query_id] @ x[r.vec_id])) < 1e-14
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_recall_of_the_scan_alone(spark, kind):
+    """A table forty times the sample: what is found comes out of scanned lists, through the test."""
+    rng = np.random.default_rng(9)
+    n, dim = 20_000, 64
+    x = rng.standard_normal((n, dim)) if kind == "even" else rng.standard_normal((60, dim))[rng.integers(0, 60, n)] + 0.15 * rng.standard_normal((n, dim))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+
+    def recall(**options):
+        found = {}
+        for r in adaptive_scan.nearest(df, F.col("vec_id") % 200 == 0, sample=500, **options).collect():
+            found.setdefault(r.query_id, []).append(r.score)
+        hits = 0
+        for q in range(0, n, 200):
+            s = x.astype(float) @ x[q].astype(float)
+            s[q] = -np.inf
+            assert len(found[q]) == 20
+            hits += sum(v >= np.partition(s, -20)[-20] - 1e-9 for v in found[q])
+        return hits / (20 * n / 200)
+
+    assert recall() >= 0.9
+    if kind == "even":  # if the test abandons every candidate, results suffer: nothing comes by another way
+        assert recall(epsilon=-4.0) < 0.7
+
+
+def test_fewer_lists_where_vectors_cluster():
+    rng = np.random.default_rng(2)
+    even = rng.standard_normal((4000, 16))
+    clustered = rng.standard_normal((30, 16))[rng.integers(0, 30, 4000)] + 0.1 * rng.standard_normal((4000, 16))
+    shares = [adaptive_scan.probes_needed(x, adaptive_scan.centroids(x, 30), 20) / 30 for x in (even, clustered)]
+    assert shares[1] < 0.35 < shares[0]
+
+
 @pytest.mark.parametrize("n", [30, 5200])
 def test_nearest(spark, n):
     rng = np.random.default_rng(6)
