@@ -114,14 +114,15 @@ def products(x: np.ndarray, q: np.ndarray, px: np.ndarray, pq: np.ndarray) -> np
     return out
 
 
-def probes_needed(x: np.ndarray, center: np.ndarray, k: int, aim: float = AIM, asked: int = ASKED) -> int:
-    """How many nearest lists hold the share ``aim`` of the ``k`` nearest neighbours within ``x``."""
+def probes_needed(x: np.ndarray, q: np.ndarray, center: np.ndarray, k: int, aim: float = AIM, asked: int = ASKED) -> int:
+    """How many nearest lists hold the share ``aim`` of the ``k`` nearest neighbours within ``x``
+    of its own rows, which are ``q`` as queries."""
     some = np.random.default_rng(_SEED).choice(len(x), min(asked, len(x)), replace=False)
-    d = _distances(x[some], x)
+    d = _distances(q[some], x)
     d[np.arange(len(some)), some] = np.inf
     near = np.argsort(d, axis=1, kind="stable")[:, :max(1, min(k, len(x) - 1))]
     own = _distances(x, center).argmin(1)
-    rank = np.argsort(np.argsort(_distances(x[some], center), axis=1, kind="stable"), axis=1)
+    rank = np.argsort(np.argsort(_distances(q[some], center), axis=1, kind="stable"), axis=1)
     held = np.bincount(np.take_along_axis(rank, own[near], 1).ravel(), minlength=len(center)).cumsum()
     return int(np.searchsorted(held, aim * held[-1])) + 1
 
@@ -179,10 +180,11 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_co
     dim, n, norm = sizes[0]["dim"], sizes[0]["n"], math.sqrt(sizes[0]["norm2"])
     rows = rows.where(F.size("vec") == dim)
     fitted = rows.orderBy(F.xxhash64("id", "vec"), "id").limit(sample).select("id", "vec").toArrow()
-    sample_ids, sample_x = fitted.column("id").to_numpy(), _lifted(_matrix(fitted.column("vec"), dim), norm)
+    sample_ids, sample_vec = fitted.column("id").to_numpy(), _matrix(fitted.column("vec"), dim)
+    sample_x = _lifted(sample_vec, norm)
     center = centroids(sample_x, max(1, min(MOST_LISTS, round(math.sqrt(n) / 3))))
     sample_list = _distances(sample_x, center).argmin(1)
-    probes = probes_needed(sample_x, center, max(1, round(k * len(sample_x) / n)), aim)
+    probes = probes_needed(sample_x, _flat(sample_vec), center, max(1, round(k * len(sample_x) / n)), aim)
     turn = rotation(dim + 1)
 
     def deal(batches):

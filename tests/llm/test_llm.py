@@ -584,7 +584,7 @@ def test_fewer_lists_where_vectors_cluster():
     rng = np.random.default_rng(2)
     even = rng.standard_normal((4000, 16))
     clustered = rng.standard_normal((30, 16))[rng.integers(0, 30, 4000)] + 0.1 * rng.standard_normal((4000, 16))
-    shares = [adaptive_scan.probes_needed(x, adaptive_scan.centroids(x, 30), 20) / 30 for x in (even, clustered)]
+    shares = [adaptive_scan.probes_needed(x, x, adaptive_scan.centroids(x, 30), 20) / 30 for x in (even, clustered)]
     assert shares[1] < 0.35 < shares[0]
 
 
