@@ -148,7 +148,7 @@ def gram_ranks(docs: DataFrame, words: int) -> tuple[np.ndarray, int]:
 def _sets(words: int, percent: int, ranks, hot_from: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_of = ranks.value
-        seen: set[int] = set()  # classes of this task, so copies give no more rows
+        seen: set[tuple[int, int]] = set()  # classes of this task, so copies give no more rows
         for batch in batches:
             for rows, raw, off in slices(batch, "text"):
                 h, at = gram_sets(raw, off, words)
@@ -163,7 +163,7 @@ def _sets(words: int, percent: int, ranks, hot_from: int):
                 keys = signed(np.ascontiguousarray(mix(minima[:, ::2] + mix(minima[:, 1::2]) * U64(3) + np.arange(KEYS, dtype=np.uint64))))
                 bits, length = signature_bits(n).tolist(), prefix_length(n, percent).tolist()
                 sig, prefix, key, hot = [None] * len(n), [None] * len(n), [None] * len(n), [0] * len(n)
-                for i, v in enumerate(name.tolist()):
+                for i, v in enumerate(zip(name.tolist(), twin.tolist(), strict=True)):
                     if not n[i] or v in seen:
                         continue
                     seen.add(v)

@@ -12,7 +12,7 @@ Training rows are chosen by the caller; only their text and language are read.
 cases: a text that is null or holds no letter is ``und`` with score 0, as is every
 text if nothing could be learned; a null or empty language is not learned from; rows
 of one id are predicted each on its own; ties go to the first language by name; texts
-of any length are read whole, whatever stands beside them; an empty table gives an empty
+of any length are read whole, whatever stands beside them, in blocks bounded by ``CELLS``; an empty table gives an empty
 result; more than ``MOST_LANGUAGES`` learned languages are an error (the model is held
 by every task); other columns are ignored.
 """
@@ -38,6 +38,9 @@ UNKNOWN = "und"
 #: Languages that can be learned (BUCKETS numbers each, on the driver and in the tasks).
 MOST_LANGUAGES = 500
 
+#: Bytes times languages that a task works on at once, and bytes of a word that is cut.
+CELLS, BLOCK_BYTES = 1 << 22, 1 << 18
+
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -83,17 +86,64 @@ def learn(training: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return names, np.log(counts / counts.sum(0)).astype(np.float32) if names else counts.astype(np.float32)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(1)
-    return top + np.log(np.exp(x - top[:, None]).sum(1))
+def word_scores(raw: np.ndarray, start: np.ndarray, end: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each word holds a letter, and the log-likelihoods (words x languages) of those that do."""
+    base = start[0]
+    if len(start) == 1 and end[0] - base > 2 * BLOCK_BYTES:  # one very long word: its trigrams are counted, a block at a time
+        counts, lettered = np.zeros(BUCKETS), False
+        for at in range(base, end[0], BLOCK_BYTES):
+            lo, hi = max(at - 1, base), min(at + BLOCK_BYTES + 1, end[0])  # a byte of context on either side
+            grams = trigrams(raw[lo:hi], np.array([0, hi - lo]))[at - lo:at - lo + BLOCK_BYTES]
+            counts += np.bincount(grams, minlength=BUCKETS)
+            lettered |= bool((_FOLD[raw[at:at + BLOCK_BYTES]] != 0x20).any())
+        return np.array([lettered]), (counts @ logs.astype(np.float64))[None, :][:int(lettered)]
+    part = raw[base:end[-1]]
+    letters = np.concatenate([[0], np.cumsum(_FOLD[part] != 0x20)])
+    some = letters[end - base] > letters[start - base]
+    if not some.any():
+        return some, np.zeros((0, logs.shape[1]))
+    edges = np.column_stack([start[some], end[some]]).ravel() - base
+    # a word stands between white space, so its trigrams are the same without what is around
+    grams = trigrams(part, np.array([0, len(part)]))
+    if edges[-1] == len(part):
+        edges = edges[:-1]
+    return some, np.add.reduceat(logs[grams], edges, axis=0)[::2].astype(np.float64)
+
+
+class Words:
+    """The words of some texts: their likelihoods under every language, a bounded block of
+    bytes at a time.  A single block is kept; several are made again for every round."""
 
+    def __init__(self, raw: np.ndarray, off: np.ndarray, logs: np.ndarray):
+        self.raw, self.logs = raw, logs
+        self.start, self.end, first = word_spans(raw, off)
+        self.text = np.repeat(np.arange(len(off) - 1), np.diff(first))
+        most, self.blocks, i = max(1, CELLS // logs.shape[1]), [], 0
+        while i < len(self.start):
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + most, side="right")))
+            self.blocks.append((i, j))
+            i = j
+        self.kept = [self._block(*self.blocks[0])] if len(self.blocks) == 1 else None
 
-def expectation(like: np.ndarray, text: np.ndarray, words: np.ndarray, shares: np.ndarray, rounds: int) -> np.ndarray:
+    def _block(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+        some, fit = word_scores(self.raw, self.start[i:j], self.end[i:j], self.logs)
+        fit -= fit.max(1, keepdims=True) if len(fit) else 0
+        return np.exp(np.maximum(fit, -60)), self.text[i:j][some]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Likelihoods of words, relative to each word's largest, and the text of each."""
+        yield from self.kept if self.kept is not None else (self._block(i, j) for i, j in self.blocks)
+
+
+def expectation(parts: Words, words: np.ndarray, shares: np.ndarray, rounds: int) -> np.ndarray:
     """Shares of every text after some rounds of EM over its words' likelihoods; a share of 0 stays 0."""
     for _ in range(rounds):
-        r = like * shares[text]
-        r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-        shares = np.column_stack([np.bincount(text, weights=r[:, k], minlength=len(words)) for k in range(like.shape[1])]) / np.maximum(words, 1)[:, None]
+        total = np.zeros_like(shares)
+        for like, text in parts:
+            r = like * shares[text]
+            r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
+            total += np.column_stack([np.bincount(text, weights=r[:, k], minlength=len(words)) for k in range(r.shape[1])])
+        shares = total / np.maximum(words, 1)[:, None]
     return shares
 
 
@@ -101,29 +151,21 @@ def mixture(raw: np.ndarray, off: np.ndarray, logs: np.ndarray, rounds: int = RO
     """For every text: languages by falling share, their shares within the chosen set
     (0 outside it), and how many words with letters it has."""
     n, kinds = len(off) - 1, logs.shape[1]
-    start, end, first = word_spans(raw, off)
-    letters = np.concatenate([[0], np.cumsum(_FOLD[raw] != 0x20)])
-    some = letters[end] > letters[start]
-    text = np.repeat(np.arange(n), np.diff(first))[some]
-    words = np.bincount(text, minlength=n)
-    shares = np.full((n, kinds), 1 / kinds, np.float64)
-    if not len(text):
+    parts, words = Words(raw, off, logs), np.zeros(n, np.int64)
+    for _, text in parts:
+        words += np.bincount(text, minlength=n)
+    if not words.any():
         return np.tile(np.arange(kinds), (n, 1)), np.zeros((n, kinds)), words
-    grams = trigrams(raw, off)
-    edges = np.column_stack([start[some], end[some]]).ravel()
-    if edges[-1] == len(raw):
-        edges = edges[:-1]
-    fit = np.add.reduceat(logs[grams], edges, axis=0)[::2].astype(np.float64)  # a word's log-likelihoods
-    fit -= fit.max(1, keepdims=True)
-    like = np.exp(np.maximum(fit, -60))
-    shares = np.maximum(expectation(like, text, words, shares, rounds), 1e-9)
+    shares = np.maximum(expectation(parts, words, np.full((n, kinds), 1 / kinds), rounds), 1e-9)
     order = np.argsort(-shares, axis=1, kind="stable")
     best, chosen = np.full(n, -np.inf), np.zeros((n, kinds))
     for k in range(1, min(most, kinds) + 1):
         part = np.zeros((n, kinds))
         np.put_along_axis(part, order[:, :k], np.take_along_axis(shares, order[:, :k], 1), 1)
-        part = expectation(like, text, words, part / part.sum(1, keepdims=True), rounds if k > 1 else 0)
-        total = np.bincount(text, weights=np.log((like * part[text]).sum(1) + 1e-300), minlength=n) - 0.5 * k * np.log(np.maximum(words, 2))
+        part = expectation(parts, words, part / part.sum(1, keepdims=True), rounds if k > 1 else 0)
+        total = -0.5 * k * np.log(np.maximum(words, 2))
+        for like, text in parts:
+            total = total + np.bincount(text, weights=np.log((like * part[text]).sum(1) + 1e-300), minlength=n)
         better = (total > best) & ((k == 1) | (np.take_along_axis(shares, order[:, k - 1:k], 1)[:, 0] >= least))
         best, chosen = np.where(better, total, best), np.where(better[:, None], part, chosen)
     return order, chosen, words
@@ -134,7 +176,7 @@ def _predict(names: list[str], logs: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, raw, off in slices(batch, "text", 1 << 20):
+            for rows, raw, off in slices(batch, "text", max(1, CELLS // max(1, len(names)))):
                 n = rows.num_rows
                 known = rows.column(2).to_numpy(zero_copy_only=False).astype(bool)
                 if names:

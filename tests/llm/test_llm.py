@@ -163,6 +163,18 @@ def test_keep_one_tells_null_ids_apart(spark):
     assert sorted(kept, key=key) == sorted([(1, a), (None, b)], key=key)
 
 
+def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
+    """All sets get the same first hash: different ones in one task still link only where they should."""
+    real = common.set_hash
+    monkeypatch.setattr(jaccard_join, "set_hash", lambda values, size, seed: real(values, size, seed) if seed == 2 else np.full(len(size), 7, np.uint64))
+    rng = random.Random(3)
+    prose = lambda: " ".join(f"{rng.choice(WORDS)}{rng.randint(0, 400)}" for _ in range(60))
+    a, b, c = prose(), prose(), prose()
+    rows = [(1, a), (2, b), (3, b + " end"), (4, c), (5, a + " end"), (6, c), (7, None)]
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 1, 6: 4, 7: 7}
+
+
 @pytest.mark.parametrize("hot", [0, 1 << 14])
 def test_jaccard_join_with_large_groups(spark, monkeypatch, hot):
     """Groups that are hot, or larger than a tile, are cut into bands and blocks."""
@@ -666,6 +678,36 @@ def test_mixtures_equal_a_plain_loop(spark):
     assert language_mixture.identify(docs.where("false"), names, logs).count() == 0
 
 
+@pytest.mark.parametrize("cells", [40, 4000])
+def test_mixtures_do_not_depend_on_blocks(monkeypatch, cells):
+    rng = np.random.default_rng(3)
+    logs = np.log(rng.dirichlet(np.ones(language_mixture.BUCKETS), 4).T).astype(np.float32)
+    texts = [b"the house and \xc3\xa9t\xc3\xa9 12 -- garden " * 30, b"", b"  ", b"x" * 900 + b" end", b"12 34", b"word"]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = language_mixture.mixture(raw, off, logs)
+    monkeypatch.setattr(language_mixture, "CELLS", cells)
+    monkeypatch.setattr(language_mixture, "BLOCK_BYTES", 64)
+    got = language_mixture.mixture(raw, off, logs)
+    assert (got[0] == want[0]).all() and got[1] == pytest.approx(want[1], abs=1e-4) and (got[2] == want[2]).all()
+
+
+@pytest.mark.parametrize("long_words", [False, True])
+def test_memory_of_mixtures_is_bounded(long_words):
+    """A text of 24 MB in 200 languages: without blocks its scores alone would take 19 GB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    logs = np.log(rng.dirichlet(np.ones(64), 200).T.repeat(language_mixture.BUCKETS // 64, 0)).astype(np.float32)
+    raw = rng.integers(97, 123, 24 << 20 if long_words else 1 << 20, dtype=np.uint8)
+    if not long_words:
+        raw[::6] = 32
+    tracemalloc.start()
+    language_mixture.mixture(raw, np.array([0, len(raw)]), logs, rounds=1, most=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+
+
 def test_language_mixtures_and_odd_texts(spark):
     en, fr = "the house and the garden with the old tree of the town ", "la maison et le jardin avec le vieux arbre de la ville "
     train = spark.createDataFrame([(1, en * 5, "en"), (2, fr * 5, "fr"), (3, None, "en"), (4, "x", None)], "doc_id long, text string, lang string")
