@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import biased_times, corners, iou_corners, iou_sized
+from ..functions.numbers import biased_times, iou_corners, iou_sized
 from ..functions.text import collapse
+from ..sources.tables import checkpointed, discard, numbered
 
 SEGMENT, OVERLAP, FRAMES = 4.0, 1.0, 10
 IOU_FROM = 0.4
@@ -34,44 +34,48 @@ def track_summary(tracks: DataFrame) -> DataFrame:
     return tracks.withColumns({"first_seen": F.array_min(t), "last_seen": F.array_max(t), "frames": F.size("boxes"), "first_box": F.array_min(keyed)["b"], "last_box": F.array_max(late)["b"]})
 
 
+def matches(tracks: DataFrame, threshold: float = IOU_FROM) -> DataFrame:
+    """video_id, segment_idx, seq, old_seq: which track of the segment before a track goes on.
+
+    In the order of ``seq``, a track takes the still unclaimed track of the segment before whose
+    last box overlaps its first the most, from ``threshold`` on.  Only the two segments count,
+    so every pair of segments is settled by itself: a fold over the offers within one row.
+    """
+    ends = track_summary(tracks).select("video_id", "segment_idx", F.col("seq").cast("long").alias("seq"), "first_box", "last_box")
+    before = ends.select("video_id", (F.col("segment_idx") + 1).alias("segment_idx"), F.col("seq").alias("old_seq"), F.col("last_box").alias("old_box"))
+    near = ends.join(before, ["video_id", "segment_idx"]).select("video_id", "segment_idx", "seq", "old_seq", iou_sized(F.col("first_box"), F.col("old_box")).alias("iou")).where(F.col("iou") >= threshold)
+    offers = F.array_sort(F.collect_list(F.struct("seq", (-F.col("iou")).alias("less"), "old_seq")))  # by track, the best offer first
+    taken = near.groupBy("video_id", "segment_idx").agg(offers.alias("offers"))
+
+    def claim(done: Column, offer: Column) -> Column:
+        late = F.exists(done, lambda d: (d["seq"] == offer["seq"]) | (d["old_seq"] == offer["old_seq"]))
+        return F.when(late, done).otherwise(F.array_append(done, F.struct(offer["seq"].alias("seq"), offer["old_seq"].alias("old_seq"))))
+
+    pairs = F.aggregate("offers", F.array().cast("array<struct<seq:bigint,old_seq:bigint>>"), claim)
+    return taken.select("video_id", "segment_idx", F.inline(pairs))
+
+
 def fused(tracks: DataFrame, threshold: float = IOU_FROM) -> DataFrame:
     """Adds global_id (G001, …) to tracks (video_id, segment_idx, seq, track_id, boxes).
 
-    In order of segments and tracks, a track takes over the id of the still unclaimed
-    track of the segment before whose last box overlaps its first the most, from
-    ``threshold`` on; else it gets a new id.  First come, first served, so a video is
-    folded in order; the overlaps themselves are joined and computed beforehand.
+    A track that goes on one of the segment before (see ``matches``) has its id; the others are
+    heads of chains and are numbered in each video by segment and seq.  Chains are followed by
+    pointer doubling: in every round a track points to where its target points, so a chain of n
+    tracks takes log2(n) rounds, and no video needs a task of its own.
     """
-    ends = track_summary(tracks).select("video_id", "segment_idx", "seq", "track_id", "first_box", "last_box")
-    before = ends.select("video_id", (F.col("segment_idx") + 1).alias("segment_idx"), F.col("seq").alias("old_seq"), F.col("last_box").alias("old_box"))
-    overlap = iou_sized(F.col("first_box"), F.col("old_box"))
-    near = ends.join(before, ["video_id", "segment_idx"]).select("video_id", "segment_idx", "seq", "old_seq", overlap.alias("iou")).where(F.col("iou") >= threshold)
-    offers = near.groupBy("video_id", "segment_idx", "seq").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("less"), "old_seq"))).alias("offers"))
-    rows = ends.select("video_id", "segment_idx", "seq", "track_id").join(offers, ["video_id", "segment_idx", "seq"], "left")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["segment_idx", "seq"], kind="stable")
-        ids: dict[tuple[int, int], str] = {}
-        claimed: set[tuple[int, int]] = set()
-        fresh: dict[int, list[tuple[int, int]]] = {}
-        number = 0
-        for segment, part in frame.groupby("segment_idx", sort=True):
-            for seq, offers_ in zip(part["seq"], part["offers"], strict=True):
-                key = (segment, seq)
-                for o in offers_ if offers_ is not None else []:
-                    old = (segment - 1, o["old_seq"])
-                    if old not in claimed:
-                        claimed.add(old)
-                        ids[key] = ids[old]
-                        break
-                else:
-                    fresh.setdefault(segment, []).append(key)
-            for key in fresh.get(segment, []):
-                number += 1
-                ids[key] = f"G{number:03d}"
-        return frame.assign(global_id=[ids[k] for k in zip(frame["segment_idx"], frame["seq"], strict=True)])[["video_id", "segment_idx", "seq", "track_id", "global_id"]]
-
-    return rows.groupBy("video_id").applyInPandas(run, "video_id long, segment_idx int, seq int, track_id string, global_id string")
+    key = ["video_id", "segment_idx", "seq"]
+    every = tracks.select("video_id", "segment_idx", F.col("seq").cast("long").alias("seq"), "track_id")
+    links = matches(tracks, threshold).select(*key, F.struct((F.col("segment_idx") - 1).alias("segment_idx"), F.col("old_seq").alias("seq")).alias("to"), F.lit(True).alias("moved"))
+    links = checkpointed(links, "links")
+    while not links.where("moved").isEmpty():
+        further = links.select("video_id", F.struct("segment_idx", "seq").alias("to"), F.col("to").alias("next"))
+        jumped = links.where("moved").join(further, ["video_id", "to"], "left").select(*key, F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+        old, links = links, checkpointed(links.where("not moved").unionByName(jumped), "links")
+        discard(old)
+    heads = numbered(every.join(links.select(*key), key, "left_anti").select(*key), ["video_id"], ["segment_idx", "seq"], "number")
+    number = heads.select("video_id", F.struct("segment_idx", "seq").alias("to"), "number")
+    placed = every.join(links.drop("moved"), key, "left").withColumn("to", F.coalesce("to", F.struct("segment_idx", "seq")))
+    return placed.join(number, ["video_id", "to"]).select(*key, "track_id", F.format_string("G%03d", "number").alias("global_id"))
 
 
 def kept_hits(hits: Column, merge: float = 0.35, least: float = 0.0) -> Column:
@@ -131,6 +135,3 @@ def index_text(caption: Column, events: Column, entities: Column, transcript: Co
 def stub_caption(video: Column, start: Column, end: Column, frames: Column) -> Column:
     """What the offline vision model says of a segment."""
     return F.format_string("Segment of %s from %.1fs to %.1fs in %d frames.", video, start, end, frames)
-
-
-__all__ = ["windows", "sampled", "track_summary", "fused", "kept_hits", "read_order", "blob_tracks", "tracks_of", "boxes_at", "index_text", "stub_caption", "corners"]

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import strip
 from ..sources.tables import checkpointed, discard
@@ -133,50 +134,77 @@ def table_records(html: Column, strategy: str = "markdown") -> Column:
 
 
 def crawl(seeds: DataFrame, edges: DataFrame, depth: int, max_pages: int | None = None, include: list[str] | None = None, exclude: list[str] | None = None, safe: bool = False) -> DataFrame:
-    """url, depth of pages reached from ``seeds`` (url) over ``edges`` (src, dst) in at
-    most ``depth`` steps, breadth first; of a level that would pass ``max_pages`` the
-    first by url stay.  Pages that the patterns or (``safe``) the address rules refuse are
-    neither taken nor followed; an unsafe seed is an error."""
+    """url, depth (and, with ``max_pages``, place) of pages reached from ``seeds`` (url) over
+    ``edges`` (src, dst and, if there is one, pos: the link's place on its page) in at most
+    ``depth`` steps, breadth first.
+
+    With ``max_pages`` a level that would pass it is cut by arrival: links of earlier pages come
+    first, and those of a page in their order (by pos, else by dst; seeds by pos or url).  Pages that the patterns or
+    (``safe``) the address rules refuse are neither taken nor followed; an unsafe seed is an error."""
     array = lambda x: F.array(*map(F.lit, x or [])).cast("array<string>")
     fine = lambda df: df.where(wanted(F.col("url"), array(include), array(exclude)) & (is_safe(F.col("url"), known_names=True) if safe else F.lit(True)))
     if safe and not seeds.where(~is_safe(F.col("url"), known_names=True)).isEmpty():
         raise ValueError("unsafe start address")
-    e = checkpointed(edges.select(normalised(F.col("src")).alias("src"), normalised(F.col("dst")).alias("dst")).distinct())
-    front = fine(seeds.select(normalised(F.col("url")).alias("url")).distinct()).withColumn("depth", F.lit(0))
-    seen = front = checkpointed(front if max_pages is None else front.orderBy("url").limit(max_pages))
+    pos = lambda df: F.col("pos").cast("long") if "pos" in df.columns else F.lit(0).cast("long")
+    arrival = F.min(F.struct("place", "pos", "url"))
+    e = checkpointed(edges.select(normalised(F.col("src")).alias("src"), normalised(F.col("dst")).alias("dst"), pos(edges).alias("pos")).groupBy("src", "dst").agg(F.min("pos").alias("pos")))
+
+    def level_of(arrived: DataFrame, level: int, held: int) -> DataFrame:
+        """url, depth, place of what has arrived (url, came: its first arrival)."""
+        if max_pages is None:
+            return checkpointed(arrived.select("url", F.lit(level).alias("depth"), F.lit(0).cast("long").alias("place")))
+        first = arrived.orderBy("came", "url").limit(max_pages - held)  # so many rows at most are numbered
+        return checkpointed(first.select("url", F.lit(level).alias("depth"), (F.row_number().over(Window.orderBy("came", "url")) - 1 + held).cast("long").alias("place")))
+
+    start = fine(seeds.select(normalised(F.col("url")).alias("url"), F.lit(0).cast("long").alias("place"), pos(seeds).alias("pos")))
+    seen = front = level_of(start.groupBy("url").agg(arrival.alias("came")), 0, 0)
     held = front.count()
     for level in range(1, depth + 1):
         if max_pages is not None and held >= max_pages:
             break
-        front = fine(front.join(e, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()).join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(level))
-        if max_pages is not None:
-            front = front.orderBy("url").limit(max_pages - held)
-        front = checkpointed(front)
+        reached = fine(front.join(e, F.col("url") == F.col("src")).select(F.col("dst").alias("url"), "place", "pos"))
+        arrived = reached.groupBy("url").agg(arrival.alias("came")).join(seen.select("url"), "url", "left_anti")
+        front = level_of(arrived, level, held)
         found = front.count()
         if not found:
             break
         held += found
         old, seen = seen, checkpointed(seen.unionByName(front))
         discard(old)
-    return seen
+    return seen.drop(*(["place"] if max_pages is None else []))
+
+
+#: Pages at the head of the stack whose links are looked up by one job.
+AHEAD = 16
 
 
 def crawl_deep(seeds: list[str], edges: DataFrame, depth: int, max_pages: int, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """url, depth, place of at most ``max_pages`` pages, the last found link first.  ``edges``
-    has src, dst and pos (the link's place on its page).  One page follows another by definition,
-    so it is a lookup a page, and ``max_pages`` is the bound of all that the driver holds."""
+    """url, depth, place of at most ``max_pages`` pages, depth first: the link found last is
+    followed first.  ``edges`` has src, dst and pos (the link's place on its page).
+
+    Which page follows is known only when the one before has been taken, so the walk is the
+    driver's; the links are looked up for several pages at the head of the stack at once.  Of
+    a page's links the last ``max_pages`` different ones are all that can be taken: each is
+    either taken from here or has been by then.  So the driver holds max_pages squared urls at most.
+    """
     spark = edges.sparkSession
     array = lambda x: F.array(*map(F.lit, x or [])).cast("array<string>")
     fine = wanted(F.col("dst"), array(include), array(exclude))
-    e = checkpointed(edges.select(normalised(F.col("src")).alias("src"), normalised(F.col("dst")).alias("dst"), "pos").where(fine).repartition("src"))
+    e = checkpointed(edges.select(normalised(F.col("src")).alias("src"), normalised(F.col("dst")).alias("dst"), "pos").where(fine).groupBy("src", "dst").agg(F.max("pos").alias("pos")))
     start = spark.createDataFrame([(s,) for s in seeds], "dst string").select(normalised(F.col("dst")).alias("dst")).where(fine).toArrow().column(0).to_pylist()
-    stack, seen = [(u, 0) for u in start], {}
+    stack, seen, known = [(u, 0) for u in start], {}, {}
     while stack and len(seen) < max_pages:
         url, d = stack.pop()
         if url in seen or d > depth:
             continue
         seen[url] = (d, len(seen))
-        if d < depth:
-            links = e.where(F.col("src") == url).orderBy("pos", "dst").limit(max_pages * 10).collect()
-            stack += [(r["dst"], d + 1) for r in links if r["dst"] not in seen]
+        if d == depth:
+            continue
+        if url not in known:
+            ahead = dict.fromkeys([url, *(u for u, at in reversed(stack[-AHEAD:]) if at < depth and u not in seen)])
+            last = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("pos"), F.desc("dst")))
+            known = {u: [] for u in ahead}
+            for r in e.where(F.col("src").isin(list(ahead))).withColumn("n", last).where(F.col("n") <= max_pages).orderBy("src", F.desc("n")).toLocalIterator():
+                known[r["src"]].append(r["dst"])
+        stack += [(u, d + 1) for u in known.pop(url) if u not in seen]
     return spark.createDataFrame([(u, d, i) for u, (d, i) in seen.items()], "url string, depth int, place int")

@@ -250,6 +250,37 @@ def test_fusion(spark):
     assert ids([(0, i, (0.0, 100 * i, 0, 30, 30)) for i in range(1001)])[-1] == "G1001"
 
 
+def plain_fusion(rows, threshold=0.4):
+    """Global ids by a fold over the segments of one video."""
+    def iou(a, b):
+        inter = max(0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])) * max(0, min(a[2] + a[4], b[2] + b[4]) - max(a[2], b[2]))
+        return inter / (a[3] * a[4] + b[3] * b[4] - inter) if inter else 0.0
+
+    ids, number = {}, 0
+    for segment in sorted({s for s, _, _ in rows}):
+        here, taken = sorted((q, b) for s, q, b in rows if s == segment), set()
+        for q, b in here:
+            found = [(-iou(b, c), o) for s, o, c in rows if s == segment - 1 and o not in taken and iou(b, c) >= threshold]
+            if found:
+                taken.add(min(found)[1])
+                ids[segment, q] = ids[segment - 1, min(found)[1]]
+        for q, _ in here:
+            if (segment, q) not in ids:
+                number += 1
+                ids[segment, q] = f"G{number:03d}"
+    return [ids[k] for k in sorted(ids)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_fusion_equals_a_fold(spark, seed):
+    """Long chains, crowded segments and missing ones."""
+    rng = random.Random(seed)
+    rows = [(s, q, (0.0, 20 * rng.randint(0, 3 + seed), 20 * rng.randint(0, 1), rng.choice([40, 60]), 40)) for s in range(25) if s != 11 for q in range(rng.randint(0, 6))]
+    rows += [(s, 9, (0.0, 900, 900, 50, 50)) for s in range(25)]
+    got = video.fused(track(spark, rows)).orderBy("segment_idx", "seq").collect()
+    assert [r.global_id for r in got] == plain_fusion(rows)
+
+
 HIT = "array<struct<text:string,conf:double,x1:double,y1:double,x2:double,y2:double>>"
 
 
@@ -307,6 +338,33 @@ def test_crawl_limits(spark):
     assert web.crawl(seeds, edges, 9, max_pages=0).count() == 0
 
 
+def plain_crawl(seeds, links, depth, max_pages, deep):
+    """The queue of a crawler, page by page."""
+    queue, seen = [(s, 0) for s in seeds], {}
+    while queue and len(seen) < max_pages:
+        url, d = queue.pop() if deep else queue.pop(0)
+        if url in seen or d > depth:
+            continue
+        seen[url] = (d, len(seen))
+        if d < depth:
+            queue += [(u, d + 1) for u in links.get(url, []) if u not in seen]
+    return [(u, d, i) for u, (d, i) in seen.items()]
+
+
+@pytest.mark.parametrize(("deep", "max_pages"), [(False, 9), (False, 60), (True, 2), (True, 9), (True, 60)])
+def test_crawls_equal_a_plain_one(spark, deep, max_pages):
+    """Both orders, cut inside a level; a page has more links than pages are taken, and some twice."""
+    rng = random.Random(max_pages)
+    links = {f"p{i}": [f"p{rng.randint(0, 79)}" for _ in range(rng.choice([0, 2, 25, 40]))] for i in range(80)}
+    links["p0"] = [f"p{i}" for i in range(1, 30)]
+    edges = spark.createDataFrame([(a, b, i) for a, out in links.items() for i, b in enumerate(out)], "src string, dst string, pos int")
+    if deep:
+        got = web.crawl_deep(["p0"], edges, 4, max_pages)
+    else:
+        got = web.crawl(spark.createDataFrame([("p0",)], "url string"), edges, 4, max_pages=max_pages)
+    assert [tuple(r) for r in got.select("url", "depth", "place").orderBy("place").collect()] == plain_crawl(["p0"], links, 4, max_pages, deep)
+
+
 def test_safe_crawl(spark):
     edges = spark.createDataFrame([("http://a.com", "http://127.1/x"), ("http://a.com", "http://b.com"), ("http://127.1/x", "http://c.com")], "src string, dst string")
     start = lambda u: spark.createDataFrame([(u,)], "url string")
