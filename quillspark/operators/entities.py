@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import checkpointed, discard
+from .graph import roots
 
 # Kinds of entities and their patterns, in the order in which they are tried.
 PATTERNS = [
@@ -31,16 +35,14 @@ SAME_FROM = 0.85
 
 def mentions(docs: DataFrame, key: str = "doc_id", text: str = "text", kinds: list[str] | None = None) -> DataFrame:
     """key, pattern_no, match_no, entity, entity_type of every match; letters, digits and
-    blanks of any script count as such at word bounds."""
-    found = None
-    for no, (kind, pattern) in enumerate(PATTERNS):
-        if kinds and kind not in kinds:
-            continue
-        pattern = "(?U)" + pattern
-        hits = docs.where(F.col(text).rlike(pattern)).select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("match_no", "m"))
-        hits = hits.select(key, F.lit(no).alias("pattern_no"), "match_no", F.regexp_replace("m", r"(?U)^\s+|\s+$", "").alias("entity"), F.lit(kind).alias("entity_type"))
-        found = hits if found is None else found.unionByName(hits)
-    return found
+    blanks of any script count as such at word bounds.  Every text is read once."""
+    wanted = [(no, kind, "(?U)" + pattern) for no, (kind, pattern) in enumerate(PATTERNS) if not kinds or kind in kinds]
+
+    def found(no: int, kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(
+            F.lit(no).alias("pattern_no"), i.alias("match_no"), F.regexp_replace(m, r"(?U)^\s+|\s+$", "").alias("entity"), F.lit(kind).alias("entity_type")))
+
+    return docs.select(key, F.inline(F.concat(*(found(*w) for w in wanted))))
 
 
 def entities(docs: DataFrame, key: str = "doc_id", text: str = "text", kinds: list[str] | None = None) -> DataFrame:
@@ -71,88 +73,150 @@ def pair_counts(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def similarity(a: str, b: str) -> float:
-    """Ratcliff/Obershelp ratio in lower case."""
-    return SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    """Ratcliff/Obershelp ratio."""
+    return SequenceMatcher(None, a, b).ratio()
 
 
 def _letters(names: list[str]) -> np.ndarray:
     """How often each of 64 character classes occurs in every name."""
     out = np.zeros((len(names), 64), np.int16)
     for i, name in enumerate(names):
-        np.add.at(out[i], np.frombuffer(name.lower().encode("utf-32-le"), np.uint32) % 64, 1)
+        np.add.at(out[i], np.frombuffer(name.encode("utf-32-le"), np.uint32) % 64, 1)
     return out
 
 
-class _Leaders:
-    """Canonical names of one turn, searched for the most similar one of a name."""
+#: Ratios from which on matches are looked for, one after the other: names that have one go on no more.
+BANDS = (0.94, 0.89)
+#: Places of the counts that tell frequent pairs of characters from rare ones.
+SLOTS = 1 << 16
+
+
+def shared_pairs(n: int, m: int, ratio: float) -> int | None:
+    """How many pairs of neighbouring characters two different names of n and m characters have
+    in common at least if their ratio is ``ratio`` or more; None if it cannot be.
+
+    With u unmatched characters in both, (n + m - u) / 2 are matched, in u + 1 blocks at most,
+    and a block of k characters holds k - 1 pairs.
+    """
+    total = n + m
+    most = int((1 - ratio) * total + 1e-9)
+    most -= (most - total) % 2
+    if most < max(1, abs(n - m)):
+        return None
+    if (shared := (total - most) // 2 - most - 1) < 1:
+        raise ValueError(f"names as little alike as {ratio} need not share a pair of characters")
+    return shared
+
+
+def prefix_size(n: int, ratio: float) -> int:
+    """So many of a name's rarest pairs hold one at least that it shares with any name as similar as ``ratio``."""
+    least = [x for m in range(int(n * ratio / 2), int(n * 2 / ratio) + 2) if (x := shared_pairs(n, m, ratio)) is not None]
+    return n - 1 - min(least) + 1 if least else 0
+
+
+def _pairs_of(name: str) -> list[tuple[str, int]]:
+    """Pairs of neighbouring characters, each with how often it has come before."""
+    seen: dict[str, int] = {}
+    out = []
+    for i in range(len(name) - 1):
+        pair = name[i:i + 2]
+        out.append((pair, seen.get(pair, 0)))
+        seen[pair] = seen.get(pair, 0) + 1
+    return out
+
+
+def _hashed(pair: tuple[str, int]) -> int:
+    return int.from_bytes(blake2b(f"{pair[1]} {pair[0]}".encode("utf-32-le"), digest_size=8).digest(), "little", signed=True)
+
+
+def _signatures(names: DataFrame, ratio: float, counts: np.ndarray) -> DataFrame:
+    """entity_type, name, seq, n, tokens: the rarest pairs of every name, in one order for all."""
 
-    def __init__(self, same_from: float):
-        self.same_from, self.name, self.seq = same_from, [], []
-        self.letters = np.zeros((0, 64), np.int16)
+    def run(frames):
+        for f in frames:
+            tokens = []
+            for name in f["name"]:
+                own = sorted((int(counts[h % SLOTS]), h) for h in map(_hashed, _pairs_of(name)))
+                tokens.append([h for _, h in own[:prefix_size(len(name), ratio)]])
+            yield f.assign(n=f["name"].str.len(), tokens=tokens)
 
-    def add(self, name: str, seq: int) -> None:
-        self.name.append(name)
-        self.seq.append(seq)
-        self.letters = np.concatenate([self.letters, _letters([name])])
+    return names.select("entity_type", "name", "seq").mapInPandas(run, "entity_type string, name string, seq long, n int, tokens array<long>").where("size(tokens) > 0")
 
-    def best(self, name: str, seq: int, letters: np.ndarray) -> tuple[float, int, str] | None:
-        """(ratio, -seq, name) of the most similar leader of smaller seq, from ``same_from`` on."""
-        if not self.name:
-            return None
-        size = self.letters.sum(1) + letters.sum()
-        reach = 2 * np.minimum(self.letters, letters).sum(1) / np.maximum(size, 1)  # no ratio is larger
-        found = None
-        for i in np.flatnonzero(reach >= self.same_from - 1e-9).tolist():
-            if self.seq[i] >= seq or (found and reach[i] < found[0] - 1e-9):
-                continue
-            ratio = 1.0 if self.name[i] == name else similarity(name, self.name[i])
-            if ratio >= self.same_from and (found is None or (ratio, -self.seq[i]) > found[:2]):
-                found = ratio, -self.seq[i], self.name[i]
-        return found
 
+def _pair_counts(names: DataFrame) -> np.ndarray:
+    """How often pairs of characters occur in all names, by slots of their hashes."""
 
-#: Names that a turn settles in order, at most (all that the driver holds).
-LEADERS = 512
+    def run(frames):
+        total = np.zeros(SLOTS, np.int64)
+        for f in frames:
+            for name in f["name"]:
+                for pair in _pairs_of(name):
+                    total[_hashed(pair) % SLOTS] += 1
+        some = np.flatnonzero(total)
+        yield pd.DataFrame({"slot": some, "c": total[some]})
+
+    counted = names.select("name").mapInPandas(run, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # SLOTS rows at most
+    out = np.zeros(SLOTS, np.int64)
+    out[counted.column("slot").to_numpy()] = counted.column("c").to_numpy()
+    return out
+
+
+def _compared(ratio: float):
+    """Pairs (name, earlier) to those as similar as ``ratio``, the best of each name in a batch."""
+
+    def run(frames):
+        for f in frames:
+            if len(f):
+                a, b = f["name"].tolist(), f["earlier"].tolist()
+                x, y = _letters(a), _letters(b)
+                reach = 2 * np.minimum(x, y).sum(1) / np.maximum(x.sum(1) + y.sum(1), 1)  # no ratio is larger
+                f = f[reach >= ratio - 1e-9]
+                f = f.assign(less=[-similarity(a, b) for a, b in zip(f["name"], f["earlier"], strict=True)])
+                f = f[f["less"] <= -ratio].sort_values(["less", "at", "earlier"]).drop_duplicates(["entity_type", "name"])
+                yield f
+
+    return run
+
+
+def most_similar(names: DataFrame, same_from: float = SAME_FROM) -> DataFrame:
+    """entity_type, name, earlier: for every name (entity_type, name, seq; each name once) the most
+    similar one before it in its type, from ``same_from`` on, the earlier of equals.
+
+    Two names can only be as similar if they share one of their rarest pairs of characters, so
+    they meet by an equi-join on those.  Close matches are looked for first, where few pairs
+    have to be shared; only names without one are looked up again at the next ratio.
+    """
+    counts = _pair_counts(names)
+    open_, found = names, []
+    schema = "entity_type string, name string, earlier string, at long, less double"
+    for ratio in [*(r for r in BANDS if r > same_from), same_from]:
+        every = checkpointed(_signatures(names, ratio, counts), "signatures")
+        asked = every.join(open_.select("entity_type", "name"), ["entity_type", "name"], "left_semi") if found else every
+        old = every.select("entity_type", F.col("name").alias("earlier"), F.col("seq").alias("at"), F.col("n").alias("m"), F.col("tokens").alias("theirs"), F.explode("tokens").alias("token"))
+        new = asked.withColumn("token", F.explode("tokens"))
+        fits = (2 * F.least("n", "m") >= ratio * (F.col("n") + F.col("m")) - 1e-9) & (F.struct("at", "earlier") < F.struct("seq", "name"))
+        once = F.get(F.array_intersect("tokens", "theirs"), F.lit(0)) == F.col("token")  # a pair meets at its first common token alone
+        pairs = new.join(old, ["entity_type", "token"]).where(fits & once).select("entity_type", "name", "earlier", "at", F.lit(0.0).alias("less"))
+        best = pairs.mapInPandas(_compared(ratio), schema).groupBy("entity_type", "name").agg(F.min(F.struct("less", "at", "earlier"))["earlier"].alias("earlier"))
+        found.append(checkpointed(best, "similar"))
+        discard(every)
+        open_ = open_.join(found[-1], ["entity_type", "name"], "left_anti")
+    return reduce(DataFrame.unionByName, found)
 
 
 def canonical(names: DataFrame, same_from: float = SAME_FROM) -> DataFrame:
-    """name, entity_type, seq -> canonical: greedy in order of seq inside a type: the most
-    similar canonical name before it from ``same_from`` on (the earlier of equals), else itself.
+    """name, entity_type, seq -> canonical: in order of seq inside a type, a name (in lower case)
+    has the canonical name of the most similar one before it, from ``same_from`` on, else its own.
 
-    Distinct names are settled in turns: the next ``LEADERS`` open names in order are
-    settled among themselves; every later name of any partition is then compared with
-    the new canonical ones, and keeps the best it has met.  The number of turns grows
-    with that of canonical names, the work with names times canonical names.
+    The most similar earlier name of each is found by itself (``most_similar``); the canonical
+    name is the root of the chain of such names, found by pointer doubling.
     """
-    state = names.groupBy("entity_type", "name").agg(F.min(F.col("seq").cast("long")).alias("seq"))
-    state = checkpointed(state.select("entity_type", "name", "seq", F.lit(0.0).alias("ratio"), F.lit(0).cast("long").alias("leader_seq"), F.lit(None).cast("string").alias("canonical")))
-    while True:  # ends: every turn settles the names it begins with
-        head = state.where("canonical is null").orderBy("seq", "name").limit(LEADERS).collect()
-        if not head:
-            break
-        leaders: dict[str, _Leaders] = {}
-        fresh = set()
-        for row in head:
-            own = leaders.setdefault(row["entity_type"], _Leaders(same_from))
-            if own.best(row["name"], row["seq"], _letters([row["name"]])[0]) is None:
-                own.add(row["name"], row["seq"])
-                fresh.add((row["entity_type"], row["name"]))
-
-        def compare(frames, leaders=leaders, fresh=fresh):
-            for f in frames:
-                letters = _letters(f["name"].tolist())
-                ratio, at, canon = f["ratio"].tolist(), f["leader_seq"].tolist(), f["canonical"].tolist()
-                for i, (kind, name, seq) in enumerate(zip(f["entity_type"], f["name"], f["seq"], strict=True)):
-                    if (kind, name) in fresh:
-                        canon[i], ratio[i] = name, 2.0  # itself, whatever comes
-                    elif ratio[i] < 2 and kind in leaders and (hit := leaders[kind].best(name, seq, letters[i])):
-                        if canon[i] is None or hit[:2] > (ratio[i], -at[i]):
-                            ratio[i], at[i], canon[i] = hit[0], -hit[1], hit[2]
-                yield f.assign(ratio=ratio, leader_seq=at, canonical=canon)
-
-        old, state = state, checkpointed(state.mapInPandas(compare, state.schema))
-        discard(old)
-    return names.select("name", "entity_type", F.col("seq").cast("long").alias("seq")).join(state.select("entity_type", "name", "canonical"), ["entity_type", "name"]).select("name", "entity_type", "seq", "canonical")
+    low = F.lower("name")
+    state = checkpointed(names.groupBy("entity_type", low.alias("name")).agg(F.min(F.col("seq").cast("long")).alias("seq")), "names")
+    links = most_similar(state, same_from).select(F.struct("entity_type", "name").alias("node"), F.struct("entity_type", F.col("earlier").alias("name")).alias("to"))
+    root = roots(links).select("node.entity_type", F.col("node.name").alias("low"), F.col("root.name").alias("canonical"))
+    every = names.select("name", "entity_type", F.col("seq").cast("long").alias("seq"), low.alias("low"))
+    return every.join(root, ["entity_type", "low"], "left").select("name", "entity_type", "seq", F.coalesce("canonical", "low").alias("canonical"))
 
 
 def clusters(canon: DataFrame) -> DataFrame:

@@ -56,6 +56,21 @@ def components(edges: DataFrame) -> DataFrame:
             return label.select("node", "component")
 
 
+def roots(links: DataFrame) -> DataFrame:
+    """node, root of links (node, to) that lead from a node to one other and never in a circle.
+
+    Pointer doubling: in every round a node points to where its target points, so a chain of
+    n links takes log2(n) rounds; nodes that have arrived at a root are joined no more.
+    """
+    at = checkpointed(links.select("node", "to", F.lit(True).alias("moved")), "links")
+    while not at.where("moved").isEmpty():
+        further = at.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        jumped = at.where("moved").join(further, "to", "left").select("node", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+        old, at = at, checkpointed(at.where("not moved").unionByName(jumped), "links")
+        discard(old)
+    return at.select("node", F.col("to").alias("root"))
+
+
 def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, directed: bool = False) -> DataFrame:
     """source, node, distance, via (the smallest node before it on a shortest path), up to ``depth`` steps if it is given."""
     e = checkpointed((edges.select("src", "dst") if directed else both_ways(edges).select("src", "dst")).distinct())

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
+from ..sources.tables import checkpointed
 from .assembly import resolved
 
 #: Entities and characters of a text that relations are looked for in.
@@ -80,10 +81,13 @@ def cooccurrence_edges(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def build(found: DataFrame, stated: DataFrame | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, mentions) and edges of a collection's entities (key, name, entity_type) and stated relations."""
+    """Nodes (node, mentions) and edges of a collection's entities (key, name, entity_type) and
+    stated relations.  Entities and edges are written once, as nodes are counted over both."""
+    found = checkpointed(found, "entities")
     edges = cooccurrence_edges(found, key)
     if stated is not None:
         edges = edges.unionByName(semantic_edges(stated, found, key))
+    edges = checkpointed(edges, "edges")
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).select("node", F.lit(0).cast("long").alias("mentions"))
     own = found.groupBy(node("name", "entity_type").alias("node")).agg(F.count("*").alias("mentions"))
     return own.unionByName(ends).groupBy("node").agg(F.sum("mentions").alias("mentions")), edges

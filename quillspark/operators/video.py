@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import biased_times, iou_corners, iou_sized
 from ..functions.text import collapse
-from ..sources.tables import checkpointed, discard, numbered
+from ..sources.tables import numbered
+from .graph import roots
 
 SEGMENT, OVERLAP, FRAMES = 4.0, 1.0, 10
 IOU_FROM = 0.4
@@ -56,26 +57,22 @@ def matches(tracks: DataFrame, threshold: float = IOU_FROM) -> DataFrame:
 
 
 def fused(tracks: DataFrame, threshold: float = IOU_FROM) -> DataFrame:
-    """Adds global_id (G001, …) to tracks (video_id, segment_idx, seq, track_id, boxes).
+    """Adds global_id (G001, …) to tracks (video_id, segment_idx, seq, track_id, boxes), which
+    are known by video, segment and seq.
 
     A track that goes on one of the segment before (see ``matches``) has its id; the others are
-    heads of chains and are numbered in each video by segment and seq.  Chains are followed by
-    pointer doubling: in every round a track points to where its target points, so a chain of n
-    tracks takes log2(n) rounds, and no video needs a task of its own.
+    heads of chains and are numbered in each video by segment and seq.  Chains are followed by pointer doubling
+    (see ``graph.roots``), so no video needs a task of its own.
     """
     key = ["video_id", "segment_idx", "seq"]
+    node = F.struct(*key)
+    found = matches(tracks, threshold)
+    ends = roots(found.select(node.alias("node"), F.struct("video_id", (F.col("segment_idx") - 1).alias("segment_idx"), F.col("old_seq").alias("seq")).alias("to")))
     every = tracks.select("video_id", "segment_idx", F.col("seq").cast("long").alias("seq"), "track_id")
-    links = matches(tracks, threshold).select(*key, F.struct((F.col("segment_idx") - 1).alias("segment_idx"), F.col("old_seq").alias("seq")).alias("to"), F.lit(True).alias("moved"))
-    links = checkpointed(links, "links")
-    while not links.where("moved").isEmpty():
-        further = links.select("video_id", F.struct("segment_idx", "seq").alias("to"), F.col("to").alias("next"))
-        jumped = links.where("moved").join(further, ["video_id", "to"], "left").select(*key, F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
-        old, links = links, checkpointed(links.where("not moved").unionByName(jumped), "links")
-        discard(old)
-    heads = numbered(every.join(links.select(*key), key, "left_anti").select(*key), ["video_id"], ["segment_idx", "seq"], "number")
-    number = heads.select("video_id", F.struct("segment_idx", "seq").alias("to"), "number")
-    placed = every.join(links.drop("moved"), key, "left").withColumn("to", F.coalesce("to", F.struct("segment_idx", "seq")))
-    return placed.join(number, ["video_id", "to"]).select(*key, "track_id", F.format_string("G%03d", "number").alias("global_id"))
+    placed = every.join(ends.select("node.*", "root"), key, "left")
+    heads = numbered(placed.where("root is null").select(*key), ["video_id"], ["segment_idx", "seq"], "number")
+    number = heads.select(node.alias("root"), "number")
+    return placed.withColumn("root", F.coalesce("root", node)).join(number, "root").select(*key, "track_id", F.format_string("G%03d", "number").alias("global_id"))
 
 
 def kept_hits(hits: Column, merge: float = 0.35, least: float = 0.0) -> Column:

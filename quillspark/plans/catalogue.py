@@ -310,9 +310,7 @@ _TYPED = _MENTIONS + """, c AS (SELECT a.name AS n1, a.entity_type AS t1, b.name
 FROM (SELECT count(*) AS nodes FROM (SELECT DISTINCT name, entity_type FROM ent)) n, (SELECT count(*) AS edges FROM c) e""")
 def graph_stats(read):
     """AG8, GR7, GR13: the graph of all typed entities and its figures (no relations are stated)."""
-    found = entities.entities(read("documents"))
-    nodes, edges = knowledge.build(found)
-    return knowledge.figures(nodes, tables.checkpointed(edges)).withColumn("density", F.round("density", 9))
+    return knowledge.figures(*knowledge.build(entities.entities(read("documents")))).withColumn("density", F.round("density", 9))
 
 
 @query(_TYPED + """ SELECT n1 || ' (' || t1 || ')' AS src, n2 || ' (' || t2 || ')' AS dst, weight::DOUBLE AS weight FROM c""")
@@ -392,7 +390,7 @@ def graph_communities(read):
 
 @query(None)
 def entity_dedup_fuzzy(read):
-    """GR3, GR4, JN12: greedy canonical names."""
+    """GR3, GR4, JN12: canonical names, by the most similar name before."""
     names = read("supplier").select(F.lower("s_name").alias("name"), F.lit("organization").alias("entity_type"), F.col("s_suppkey").alias("seq"))
     return entities.canonical(names)
 
@@ -633,7 +631,12 @@ def offset_shift(read):
     return subtitles.shifted(_segments(read), F.col("seq") % 2).select(F.col("video_id").alias("conv_id"), F.col("seq").alias("turn"), "start")
 
 
-@query(None)
+@query("""WITH RECURSIVE w AS (SELECT conv_id AS video_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS k, word, (turn * 3 + (i - 1) * 0.4::DOUBLE) AS a, (turn * 3 + (i - 1) * 0.4::DOUBLE + 0.3::DOUBLE) AS z FROM
+  (SELECT conv_id, turn, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS t FROM conversations))),
+n AS (SELECT video_id, k, a, z, word, suffix(word, '.') OR suffix(word, ',') OR suffix(word, '!') OR suffix(word, '?') OR suffix(word, ';') OR suffix(word, ':') OR k = max(k) OVER (PARTITION BY video_id) AS closes FROM w),
+walk(video_id, k, seq, b, ends) AS (SELECT video_id, k, 0::BIGINT, a, closes OR z - a >= 5 FROM n WHERE k = 1
+  UNION ALL SELECT n.video_id, n.k, walk.seq + CASE WHEN walk.ends THEN 1 ELSE 0 END, CASE WHEN walk.ends THEN n.a ELSE walk.b END, n.closes OR n.z - CASE WHEN walk.ends THEN n.a ELSE walk.b END >= 5 FROM walk JOIN n ON n.video_id = walk.video_id AND n.k = walk.k + 1)
+SELECT video_id, seq, min(b) AS start, arg_max(z, k) AS "end", regexp_replace(string_agg(word, ' ' ORDER BY k), '^\\s+|\\s+$', '', 'g') AS text FROM walk JOIN n USING (video_id, k) GROUP BY video_id, seq""")
 def words_to_segments(read):
     """TQ1."""
     words = read("conversations").select(F.col("conv_id").alias("video_id"), "turn", F.posexplode(F.split("text", " ")).alias("i", "word"))
@@ -702,11 +705,18 @@ def nms_merge(read):
     return hits.select("v", video.read_order(video.kept_hits(F.col("hits"))).alias("kept"))
 
 
-@query(None)
+@query(_BOXES.replace("WITH b", "WITH RECURSIVE b") + """, t AS (SELECT v // 8 AS video_id, (v % 8)::INTEGER AS segment_idx, row_number() OVER (PARTITION BY v ORDER BY i, x, y, w, h) AS seq, x, y, w, h FROM b),
+p AS (SELECT c.video_id, c.segment_idx, c.seq, o.seq AS old_seq, greatest(0, least(c.x + c.w, o.x + o.w) - greatest(c.x, o.x)) * greatest(0, least(c.y + c.h, o.y + o.h) - greatest(c.y, o.y)) AS s, c.w * c.h + o.w * o.h AS a FROM t c JOIN t o ON o.video_id = c.video_id AND o.segment_idx = c.segment_idx - 1),
+l AS (SELECT video_id, segment_idx, list([{'seq': seq, 'old': old_seq}] ORDER BY seq, s::DOUBLE / (a - s) DESC, old_seq) AS l FROM p WHERE s::DOUBLE / (a - s) >= 0.4 GROUP BY video_id, segment_idx),
+m AS (SELECT video_id, segment_idx, unnest(list_reduce(l, lambda d, x: CASE WHEN list_contains(list_transform(d, lambda e: e.seq), x[1].seq) OR list_contains(list_transform(d, lambda e: e.old), x[1].old) THEN d ELSE d || x END)) AS m FROM l),
+heads AS (SELECT video_id, segment_idx, seq, row_number() OVER (PARTITION BY video_id ORDER BY segment_idx, seq) AS n FROM t WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.video_id = t.video_id AND m.segment_idx = t.segment_idx AND m.m.seq = t.seq)),
+way(video_id, segment_idx, seq, n) AS (SELECT * FROM heads UNION ALL SELECT m.video_id, m.segment_idx, m.m.seq, way.n FROM way JOIN m ON m.video_id = way.video_id AND m.segment_idx = way.segment_idx + 1 AND m.m.old = way.seq)
+SELECT video_id, segment_idx, seq, printf('T%02d', seq) AS track_id, printf('G%03d', n) AS global_id FROM way""")
 def track_fuse(read):
     """GE3, JN10."""
     b = _boxes(read)
-    tracks = b.select(F.floor(F.col("v") / 8).alias("video_id"), (F.col("v") % 8).cast("int").alias("segment_idx"), F.col("i").alias("seq"), F.format_string("T%02d", F.col("i")).alias("track_id"), F.array(F.struct(F.lit(0.0).alias("t"), "x", "y", "w", "h")).alias("boxes"))
+    b = tables.numbered(b, ["v"], ["i", "x", "y", "w", "h"], "seq")
+    tracks = b.select(F.floor(F.col("v") / 8).alias("video_id"), (F.col("v") % 8).cast("int").alias("segment_idx"), "seq", F.format_string("T%02d", "seq").alias("track_id"), F.array(F.struct(F.lit(0.0).alias("t"), "x", "y", "w", "h")).alias("boxes"))
     return video.fused(tracks)
 
 

@@ -122,36 +122,59 @@ def test_entity_patterns(spark):
 
 
 def greedy(rows, same_from=0.85):
-    """The rule as a plain loop over (name, type, seq) in order."""
-    known, out = {}, {}
-    for name, kind, seq in sorted(rows, key=lambda r: (r[2], r[0])):
+    """The rule as a plain loop over (name, type, seq) in order: the canonical name of the most similar name before."""
+    out = {}
+    for name, kind, _ in sorted(rows, key=lambda r: (r[2], r[0])):
         if (name, kind) in out:
             continue
         best, ratio = name, 0
-        for other in known.setdefault(kind, []):
-            r = SequenceMatcher(None, name, other).ratio()
+        for (other, other_kind), canon in out.items():
+            r = SequenceMatcher(None, name, other).ratio() if kind == other_kind else 0
             if r >= same_from and r > ratio:
-                best, ratio = other, r
-        if best == name:
-            known[kind].append(name)
+                best, ratio = canon, r
         out[name, kind] = best
     return out
 
 
-@pytest.mark.parametrize("leaders", [3, 512])
-def test_greedy_names_equal_a_plain_loop(spark, monkeypatch, leaders):
-    monkeypatch.setattr(entities, "LEADERS", leaders)
-    rng = random.Random(3)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(6, 14))) for _ in range(12)]
+def names_like(rng, base, n, alphabet="abcxyz"):
     rows = []
-    for i in range(120):
+    for i in range(n):
         name = list(rng.choice(base))
         for _ in range(rng.randint(0, 2)):
-            name[rng.randrange(len(name))] = rng.choice("abcxyz")
-        rows.append(("".join(name), rng.choice(["person", "place"]), i))
+            at = rng.randrange(len(name))
+            name[at:at + rng.choice([0, 1, 1])] = rng.choice(alphabet)
+        rows.append(("".join(name), rng.choice(["person", "place"]), i // 2))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_canonical_names_equal_a_plain_loop(spark, seed):
+    """Chains of ever less similar names, ties in order, short and repeated names."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 30))) for _ in range(12)] + ["ab", "a", "supplier#000000001", "supplier#000000020"]
+    rows = names_like(rng, base, 160)
     got = entities.canonical(spark.createDataFrame(rows, "name string, entity_type string, seq long")).collect()
     want = greedy(rows)
     assert len(got) == len(rows) and all(r.canonical == want[r.name, r.entity_type] for r in got)
+    assert any(want[k] != k[0] for k in want)
+
+
+def test_similar_names_share_pairs():
+    """The bound that candidates are found by, beside the ratios of random names."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcd") for _ in range(rng.randint(2, 24))) for _ in range(60)]
+    names = sorted({r[0] for r in names_like(rng, base, 500, "abcd")})
+    met = 0
+    for a in names:
+        for b in names:
+            for ratio in (0.85, 0.89, 0.94):
+                if a != b and SequenceMatcher(None, a, b).ratio() >= ratio:
+                    common = len(set(entities._pairs_of(a)) & set(entities._pairs_of(b)))
+                    assert common >= entities.shared_pairs(len(a), len(b), ratio) >= len(a) - entities.prefix_size(len(a), ratio)
+                    met += 1
+    assert met > 500
+    with pytest.raises(ValueError):
+        entities.prefix_size(5, 0.6)
 
 
 def test_greedy_names(spark):
