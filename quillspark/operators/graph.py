@@ -217,27 +217,68 @@ def _dependencies_by_joins(edges: DataFrame, depth: int | None) -> DataFrame:
     return total.where("source <> node").groupBy("node").agg((F.sum("dep") / 2).alias("b"))
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """node, community: weighted label propagation from connected starts, a stand-in for
-    modularity optimisation in sequence that spreads over a cluster; every community lies
-    inside one component.  A node moves only to a label of more weight among its neighbours
-    than its own has (ties to the smaller hash), and ever fewer nodes move in one turn, until none would."""
-    e = checkpointed(both_ways(edges))
-    label = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
-    for turn in count():
-        pull = e.join(label, e.dst == label.node).groupBy("src", "community").agg(F.sum("weight").alias("w"))
-        best = pull.groupBy("src").agg(F.max(F.struct("w", F.struct((-F.hash("community").cast("long")).alias("h"), F.col("community").alias("c")).alias("x"))).alias("m")).select(F.col("src").alias("node"), F.col("m.x.c").alias("to"), F.col("m.w").alias("best"))
-        own = label.join(pull.select(F.col("src").alias("node"), "community", "w"), ["node", "community"], "left")
-        wish = checkpointed(own.join(best, "node", "left").select("node", "community", F.when(F.col("best") > F.coalesce("w", F.lit(0)), F.col("to")).alias("to")))
-        if wish.where("to is not null").isEmpty():
-            return label
-        # about one node in ``few`` may move: neighbours seldom move at once, and in the end none do
-        few = 2 + turn // 4
-        mine = F.pmod(F.hash("node", F.lit(turn)), F.lit(few)) == 0
-        old, label = label, checkpointed(wish.select("node", F.when(mine, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community")))
+#: A move must raise the gain by so much of the node's weight.
+LEAST_GAIN = 1e-9
+#: Rounds in which every node may move; after them ever fewer do in one round.
+FREE = 16
+
+
+def _settled(e: DataFrame, m2: float) -> tuple[DataFrame, bool]:
+    """node, community after rounds of local moving on edges (src, dst, weight, both ways;
+    a node's own weight is an edge to itself), and whether any node has moved.
+
+    A node wishes for the neighbouring community of largest modularity gain.  Of two
+    neighbours that wish, the later one in the round's random order stays if the one leaves
+    where the other goes: so neighbours never trade places or run after each other.
+    """
+    held = checkpointed(e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")), "nodes")
+    label = checkpointed(held.withColumn("community", F.col("node")), "label")
+    for turn in count():  # ends: ever fewer nodes move in one turn, and a move alone always gains
+        where = label.select(F.col("node").alias("dst"), "community")
+        pull = e.where("src <> dst").join(where, "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        total = label.groupBy("community").agg(F.sum("k").alias("tot"))
+        own = label.select("node", "k", F.col("community").alias("own"))
+        offers = pull.join(total, "community").join(own, "node")
+        stays = F.col("community") == F.col("own")
+        gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0)) / m2
+        best = offers.groupBy("node").agg(F.max(F.when(~stays, F.struct(gain.alias("gain"), (-F.hash("community").cast("long")).alias("h"), F.col("community").alias("to")))).alias("best"), F.max(F.when(stays, gain)).alias("now"))
+        alone = own.join(total.withColumnRenamed("community", "own"), "own").select("node", "k", "own", (-F.col("k") * (F.col("tot") - F.col("k")) / m2).alias("without"))
+        wish = best.join(alone, "node").where(F.col("best.gain") > F.coalesce("now", "without") + LEAST_GAIN * F.col("k"))
+        order = F.xxhash64("node", F.lit(turn))
+        wish = checkpointed(wish.select("node", "own", F.col("best.to").alias("to"), order.alias("o")), "wishes")
+        if wish.isEmpty():
+            discard(held, wish)
+            return label.select("node", "community"), turn > 0
+        mine, theirs = wish.select(F.col("node").alias("src"), "own", "to", "o"), wish.select(F.col("node").alias("dst"), F.col("own").alias("left"), F.col("to").alias("goes"), F.col("o").alias("before"))
+        rivals = e.where("src <> dst").join(mine, "src").join(theirs, "dst").where("before < o and (left = to or goes = own)")
+        moves = wish.join(rivals.select(F.col("src").alias("node")).distinct(), "node", "left_anti").where(F.pmod(F.hash("node", F.lit(turn)), F.lit(1 + max(0, turn - FREE) // 2)) == 0)
+        old, label = label, checkpointed(label.join(moves.select("node", "to"), "node", "left").select("node", "k", F.coalesce("to", "community").alias("community")), "label")
         discard(old, wish)
 
 
+def communities(edges: DataFrame) -> DataFrame:
+    """node, community by modularity, in the manner of Louvain: nodes move to the neighbouring
+    community of largest gain until none gains (see ``_settled``); then every community becomes
+    one node whose edges are the sums of its members', and the smaller graph is settled in turn,
+    until nothing moves.  A community is named by its smallest node."""
+    e = both_ways(edges).groupBy("src", "dst").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    e = checkpointed(e, "edges")
+    m2 = e.agg(F.sum("weight")).first()[0]
+    member = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "members")
+    while m2:
+        label, moved = _settled(e, m2)
+        if not moved:
+            break
+        a, b = label.select(F.col("node").alias("src"), F.col("community").alias("a")), label.select(F.col("node").alias("dst"), F.col("community").alias("b"))
+        merged = checkpointed(e.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")), "edges")
+        joined = checkpointed(member.withColumnRenamed("community", "old").join(label.withColumnRenamed("node", "old"), "old").select("node", "community"), "members")
+        discard(e, member)
+        e, member = merged, joined
+    discard(e)
+    first = member.groupBy("community").agg(F.min("node").alias("least"))
+    return member.join(first, "community").select("node", F.col("least").alias("community"))
+
+
 def modularity(edges: DataFrame, label: DataFrame) -> DataFrame:
     w = both_ways(edges)
     total = w.agg(F.sum("weight").alias("m2"))

@@ -388,6 +388,28 @@ def graph_communities(read):
     return graph.communities(_places(read))
 
 
+@query("""SELECT 'c' || c_custkey AS node, min('c' || c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS community FROM customer
+QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) > 1""")
+def communities_of_customers(read):
+    """GR11: customers of one nation and segment know each other, so these groups are the partition of largest modularity."""
+    c = read("customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"), "c_nationkey", "c_mktsegment")
+    group = c.groupBy("c_nationkey", "c_mktsegment").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
+    left = group.select(F.posexplode("nodes").alias("i", "src"), "nodes")
+    return graph.communities(left.select("src", F.explode(F.slice("nodes", F.col("i") + 2, F.size("nodes"))).alias("dst"), F.lit(1).alias("weight")))
+
+
+@query("WITH " + _PLACES[5:] + """, label AS (SELECT DISTINCT src AS node, CASE WHEN src LIKE 's%' THEN (SELECT any_value(dst) FROM edges e WHERE e.src = b.src) ELSE src END AS c FROM both_ways b),
+m AS (SELECT sum(weight)::DOUBLE AS m2 FROM both_ways),
+own AS (SELECT a.c, sum(CASE WHEN a.c = z.c THEN weight ELSE 0 END) AS inner_w, sum(weight) AS deg FROM both_ways JOIN label a ON a.node = src JOIN label z ON z.node = dst GROUP BY a.c)
+SELECT round(sum(inner_w / m2 - (deg / m2) * (deg / m2)), 9) AS modularity FROM own, m""")
+def graph_modularity(read):
+    """GR11: modularity of the graph of places, each nation with its suppliers."""
+    e = _places(read)
+    label = e.where("src like 's%'").select(F.col("src").alias("node"), F.col("dst").alias("community"))
+    rest = e.select(F.col("dst").alias("node")).unionByName(e.where("src like 'n%'").select(F.col("src").alias("node"))).distinct()
+    return graph.modularity(e, label.unionByName(rest.withColumn("community", F.col("node")))).select(F.round("modularity", 9).alias("modularity"))
+
+
 @query(None)
 def entity_dedup_fuzzy(read):
     """GR3, GR4, JN12: canonical names, by the most similar name before."""

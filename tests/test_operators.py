@@ -239,6 +239,71 @@ def test_graph_measures(spark, monkeypatch):
     assert set(label) == set(near) and all(label[v] in dist[v] for v in near)
 
 
+def louvain(edges):
+    """Modularity of a sequential Louvain's communities (edges: {(a, b): weight}, each once)."""
+    def settle(near):
+        k = {v: sum(w for w in n.values()) for v, n in near.items()}
+        m2, com, moved = sum(k.values()), {v: v for v in near}, True
+        tot, any_move = dict(k), False
+        while moved:
+            moved = False
+            for v in near:
+                pull = {}
+                for u, w in near[v].items():
+                    if u != v:
+                        pull[com[u]] = pull.get(com[u], 0) + w
+                own = com[v]
+                tot[own] -= k[v]
+                best = max([own, *pull], key=lambda c: (pull.get(c, 0) - k[v] * tot[c] / m2, c == own))
+                com[v] = best
+                tot[best] += k[v]
+                moved |= best != own
+            any_move |= moved
+        return com, any_move
+
+    near = {}
+    for (a, b), w in edges.items():
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = w
+    first, member, more = near, {v: v for v in near}, True
+    while True:
+        com, more = settle(near)
+        if not more:
+            break
+        member = {v: com[c] for v, c in member.items()}
+        merged = {}
+        for v, n in near.items():
+            for u, w in n.items():
+                row = merged.setdefault(com[v], {})
+                row[com[u]] = row.get(com[u], 0) + w
+        near = merged
+    m2 = sum(w for n in first.values() for w in n.values())
+    inner = sum(w for v, n in first.items() for u, w in n.items() if member[u] == member[v])
+    degree = {}
+    for v, n in first.items():
+        degree[member[v]] = degree.get(member[v], 0) + sum(n.values())
+    return inner / m2 - sum((d / m2) ** 2 for d in degree.values())
+
+
+def known_graph(kind):
+    rng = random.Random(8)
+    if kind == "ring of cliques":
+        edges = {(8 * c + i, 8 * c + j): 1 for c in range(12) for i in range(8) for j in range(i)}
+        return edges | {(8 * c, 8 * ((c + 1) % 12) + 1): 1 for c in range(12)}
+    if kind == "planted groups":
+        return {(i, j): 1 for i in range(48) for j in range(i) if rng.random() < (0.6 if i % 4 == j % 4 else 0.03)}
+    return {((x, y), n): 1 for x in range(10) for y in range(10) for n in ((x + 1, y), (x, y + 1)) if max(n) < 10}
+
+
+@pytest.mark.parametrize("kind", ["ring of cliques", "planted groups", "grid"])
+def test_communities_are_as_modular_as_those_of_a_sequential_search(spark, kind):
+    edges = known_graph(kind)
+    df = spark.createDataFrame([(str(a), str(b), w) for (a, b), w in edges.items()], "src string, dst string, weight int")
+    label = graph.communities(df)
+    found = graph.modularity(df, label).first()[0]
+    assert found >= louvain({(str(a), str(b)): w for (a, b), w in edges.items()}) - 0.02
+    assert label.groupBy("community").agg(F.min("node").alias("m")).where("m <> community").isEmpty()
+
+
 # --- subtitles and video ---------------------------------------------------------------------------
 
 def test_words_close_segments(spark):
