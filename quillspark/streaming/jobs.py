@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.entities import entities, pair_counts
 
@@ -62,6 +64,52 @@ def transitions(updates: DataFrame) -> DataFrame:
     return rows.select("job_id", "ts", "status", "before", (F.col("status").isin(*STATES) & ~F.coalesce(F.col("before").isin(*ENDED), F.lit(False))).alias("valid"))
 
 
+#: What becomes of an update: it is the job's new state; the state is not known; the job has
+#: ended; a later update has been taken before.
+TAKEN, UNKNOWN, AFTER_END, LATE = "taken", "unknown", "after end", "late"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class JobSteps(StatefulProcessor):
+    """Keeps the last state of every job and judges each update against it."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "status string, ts timestamp", ttlDurationMs=self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.last.get()
+        status, at = (held[0], pd.Timestamp(held[1])) if held is not None else (None, None)
+        for part in [pd.concat(rows)]:  # the updates of one job in one batch
+            out = []
+            for ts, new in part.sort_values(["ts", "status"], kind="stable")[["ts", "status"]].itertuples(index=False):
+                verdict = UNKNOWN if new not in STATES else LATE if at is not None and ts < at else AFTER_END if status in ENDED else TAKEN
+                out.append((key[0], ts, new, status, verdict))
+                if verdict == TAKEN:
+                    status, at = new, ts
+            if any(o[4] == TAKEN for o in out):
+                self.last.update((status, at))
+            yield pd.DataFrame(out, columns=["job_id", "ts", "status", "before", "verdict"])
+
+    def close(self) -> None:
+        pass
+
+
+def job_steps(updates: DataFrame, keep_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """job_id, ts, status, before, verdict of every update (job_id, ts, status) of a stream.
+
+    ``before`` is the job's state so far; a known state is taken unless the job has ended or a
+    later update was taken.  State lives in the state store (the session must use ``STATE_STORE``)
+    and goes when a job has not been heard of for ``keep_ms``; then its id begins anew.  As
+    state expires by the clock, a trigger of all that is available never ends; one batch or an interval does.
+    """
+    if updates.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass") != STATE_STORE:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE}")
+    return updates.select("job_id", "ts", "status").groupBy("job_id").transformWithStateInPandas(JobSteps(keep_ms), "job_id string, ts timestamp, status string, before string, verdict string", outputMode="Update", timeMode="ProcessingTime")
+
+
 def merged_pairs(spark, path: str) -> DataFrame:
     """src, dst, weight over all epochs that ``growing_pairs`` has written."""
     return spark.read.parquet(path).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
