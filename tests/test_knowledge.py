@@ -227,7 +227,7 @@ def test_subtitles_translated(spark):
             if "bad" in q:
                 return ["no JSON"]
             if "five" in q:
-                assert not q.startswith("Context")  # a failed sentence is no context
+                assert json.loads(q) == {"sentence": "five six.", "parts": 2, "before": ""}  # a failed sentence is no context
                 return ['```json\n["a", "b", "too many"]\n```']
             return ['["only one"]']
 
@@ -236,6 +236,11 @@ def test_subtitles_translated(spark):
     assert [r.text for r in subtitles.translated(df.where("seq < 2"), "", "xx").orderBy("seq").collect()] == ["one two", "three four."]
 
 
+@pytest.mark.parametrize(("reply", "strings"), [('["a", 1]', ["a", "1"]), ('```json\n[" a "]\n```', ["a"]), ('```["a"]```', ["a"]), ('"one"', ["one"]), ("none", None), ("", None)])
+def test_reply_strings(reply, strings):
+    assert subtitles.reply_strings(reply) == strings
+
+
 def test_video_prompts(spark):
     library = {"procedure": {"template": "From {t_start}: {n}.", "id": "p1", "tracks_append": " Tracks {tracks_json}", "tracks_append_empty": " No tracks"}, "race": {"id": "r1"}}
     rows = spark.createDataFrame([("race", "[1]", "X-Cosmo-2"), ("procedure", " ", None), ("other", None, "y")], "mode string, tracks string, model string")
