@@ -31,7 +31,7 @@ def normalised(vec: Column) -> Column:
     return F.when(norm > 0, F.transform(vec, lambda x: x.cast("double") / norm))
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, points: pa.RecordBatch | pa.Table, threshold: float, k: int | None, by: str | None) -> list[pa.Table]:
+def scored(ids: np.ndarray, matrix: np.ndarray, points: pa.RecordBatch | pa.Table, threshold: float, k: int | None, by: str | None = None) -> list[pa.Table]:
     """Of a piece of points the k best of every query (and value of column ``by``), or all from the threshold on."""
     out = []
     at = points.schema.names.index("vector")
@@ -81,7 +81,7 @@ def similar(points: DataFrame, queries: DataFrame, threshold: float = THRESHOLD,
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches if len(ids) else ():
-                for table in _best(ids, matrix, batch, threshold, k, by):
+                for table in scored(ids, matrix, batch, threshold, k, by):
                     yield from table.combine_chunks().to_batches()
 
         return ready.mapInArrow(score, schema)
@@ -93,7 +93,7 @@ def similar(points: DataFrame, queries: DataFrame, threshold: float = THRESHOLD,
     def cell(p: pa.Table, asked: pa.Table) -> pa.Table:
         ids, matrix = asked.column("query_id").to_numpy(), np.array(asked.column("vector").to_pylist())
         own = p.drop_columns(["__g", "__b"])
-        found = _best(ids, matrix, own, threshold, k, by) if own.num_rows and len(ids) else []
+        found = scored(ids, matrix, own, threshold, k, by) if own.num_rows and len(ids) else []
         rest = [c for c in own.schema.names if c != "vector"]
         none = pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), *(own.column(c).slice(0, 0) for c in rest)], names=["query_id", "score", *rest])
         return pa.concat_tables([none, *found])
@@ -105,9 +105,14 @@ def _top(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank"
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
+def best_ranked(hits: DataFrame, k: int) -> DataFrame:
+    """The k hits of highest score of every query, ties to the smaller point_id."""
+    return _top(hits, ["query_id"], [F.desc("score"), "point_id"], k)
+
+
 def retrieve(points: DataFrame, queries: DataFrame, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """The k best hits of every query over all collections; ties to the smaller point_id."""
-    return _top(similar(points, queries, threshold, k=k), ["query_id"], [F.desc("score"), "point_id"], k)
+    return best_ranked(similar(points, queries, threshold, k=k), k)
 
 
 def retrieve_multi(points: DataFrame, queries: DataFrame, collections: int, k: int = K, threshold: float = THRESHOLD) -> DataFrame:

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import in_sql
 from ..functions import numbers as N
 from ..functions import text as X
 from ..functions.languages import language_name
 from ..functions.models import embedded
 from ..operators import assembly, chunking, entities, graph, knowledge, metadata, retrieval, subtitles, video, web
 from ..session import configure, table
-from ..sources import tables
+from ..sources import tables, vectors
+from ..streaming.telemetry import Run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,6 +60,18 @@ def retrieve_global(read):
     return hits.select("query_id", "point_id", F.col("collection").cast("long").alias("collection"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(_HITS + """
+SELECT query_id, point_id, CAST(collection AS BIGINT) AS collection, round(s, 6) AS score, rank FROM
+ (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, point_id) AS rank FROM good) WHERE rank <= 5""")
+def retrieve_indexed(read):
+    """TK1, SC16: the same hits out of a stored collection (all of its lists asked)."""
+    points = _points(read)
+    path = tables.shared_folder(points.sparkSession, "index")
+    vectors.write_index(points, path)
+    hits = vectors.search_index(points.sparkSession, path, _queries(read))
+    return hits.select("query_id", "point_id", F.col("collection").cast("long").alias("collection"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _MULTI = _HITS + """,
 each AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, collection ORDER BY s DESC, point_id) AS r FROM good) WHERE r <= 1),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, collection, point_id) AS rank FROM each) WHERE rank <= 5)"""
@@ -196,6 +210,15 @@ def chunk_lines(read):
     return parts.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("total_chunks").cast("long").alias("total_chunks"), "content")
 
 
+@query(None)
+def chunks_in_sql(read):
+    """UD7, UD1: the same chunks by a table function in SQL."""
+    docs = read("documents").select("doc_id", "text")
+    in_sql.register(docs.sparkSession)
+    docs.createOrReplaceTempView("documents_to_chunk")
+    return docs.sparkSession.sql("SELECT * FROM chunks(TABLE(documents_to_chunk), 1000, 200)")
+
+
 @query(None)
 def chunk_recursive(read):
     """ST-2, WN3: recursive splitting to 1000 characters with an overlap of 200."""
@@ -539,6 +562,19 @@ def job_live_merge(read):
     return metadata.with_live_status(jobs, live).select("id", "status")
 
 
+@query("""SELECT stage, ok, n AS rows, round(x, 4)::DOUBLE AS figure FROM (
+ SELECT 'extracted' AS stage, true AS ok, count(*) AS n, sum(length(text))::DOUBLE AS x FROM documents UNION ALL
+ SELECT 'kept', true, count(*), avg(length(text)) FROM documents WHERE length(text) >= 1000)""")
+def run_telemetry(read):
+    """SK14, AG12: rows and figures of a run's stages, observed while they are written."""
+    docs = read("documents").select("doc_id", "text")
+    run = Run(docs.sparkSession)
+    at = lambda name: tables.shared_folder(docs.sparkSession, name)
+    got = run.written("extracted", docs, at("extracted"), characters=F.sum(F.length("text")))
+    run.written("kept", got.where(F.length("text") >= 1000), at("kept"), mean=F.avg(F.length("text")))
+    return run.report().select("stage", "ok", "rows", F.round(F.coalesce(F.col("figures.characters"), F.col("figures.mean")), 4).alias("figure"))
+
+
 @query("""SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, date_diff('second', o_orderdate, l_shipdate)::DOUBLE AS seconds FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def job_durations(read):
     """DT1."""

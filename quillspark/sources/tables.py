@@ -222,11 +222,38 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, number (from 0, in its file) and line of every line of text files of any size.
+
+    Files are read in blocks of bytes, a task for some of them.  The lines of every block are
+    counted first; a line's number is the sum over the blocks before its own, and its place
+    within it, which the task counts as it reads.
+    """
+    block = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    counts = checkpointed(spark.read.text(path).select(*block).groupBy("path", "block").agg(F.count("*").alias("n")), "blocks")
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("path", "block", F.coalesce(before, F.lit(0)).alias("first"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for batch in batches:
+            place = []
+            for at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen = seen + 1 if at == last else 0
+                last = at
+                place.append(seen)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place, pa.int64())], names=["path", "block", "line", "place"])
+
+    lines = spark.read.text(path).select(*block, F.col("value").alias("line")).mapInArrow(run, "path string, block long, line string, place long")
+    first = F.coalesce("first", F.raise_error(F.lit("a file has changed while it was read")).cast("long"))
+    return lines.join(starts, ["path", "block"], "left").select("path", (first + F.col("place")).alias("number"), "line")
+
+
 def jsonl_chunks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """path, chunk_idx (the number of the line in its file, blank ones counted) and the
-    fields of every line that is not blank.  A file is one row while it is cut to lines."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", r"\r?\n")).alias("chunk_idx", "line"))
-    return files.where(F.trim("line") != "").select("path", "chunk_idx", F.from_json("line", schema).alias("r")).select("path", "chunk_idx", "r.*")
+    fields of every line that is not blank."""
+    lines = numbered_lines(spark, path).where(F.trim("line") != "")
+    return lines.select("path", F.col("number").alias("chunk_idx"), F.from_json("line", schema).alias("r")).select("path", "chunk_idx", "r.*")
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
