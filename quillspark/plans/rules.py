@@ -306,10 +306,23 @@ def tables_as_markdown(read):
     return n.select("n_nationkey", "markdown", F.size(web.markdown_rows(F.col("markdown"))).alias("rows"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS title, turn % 5 IN (0, 1, 2) AS plain FROM (SELECT conv_id, turn, regexp_replace(regexp_replace(replace(text, '#', ''), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')[1:60] AS t FROM conversations WHERE NOT regexp_matches(text, '["''*_`\\[]') AND NOT starts_with(lower(trim(text)), 'title:'))""")
+def _titles_sql() -> str:
+    """The wrapping taken off step by step, in SQL."""
+    strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    bare = strip(f"""regexp_replace(regexp_replace({strip("raw")}, '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g')""")
+    marked = "u"
+    for pattern in text.TITLE_MARKUP:
+        marked = f"regexp_replace({marked}, '{pattern}', '\\1', 'g')"
+    short = f"regexp_replace({strip(f"replace({marked}, '#', '')")}, '\\s+', ' ', 'g')[1:60]"
+    return f"""WITH r AS (SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN '' ELSE '"Title: **' || replace(text, chr(10), ' ') || '**"' END AS raw FROM conversations),
+q AS (SELECT conv_id, turn, {bare} AS q FROM r), u AS (SELECT conv_id, turn, CASE WHEN starts_with(lower(q), 'title:') THEN {strip("q[7:]")} ELSE q END AS u FROM q)
+SELECT conv_id, turn, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS title, turn % 5 IN (0, 1, 2) AS plain FROM (SELECT conv_id, turn, {short} AS t FROM u)"""
+
+
+@query(_titles_sql())
 def titles(read):
     """ST-12, ST-13, ST-34: a model's title without its wrapping; titles that stand for none."""
-    c = read("conversations").where(~F.col("text").rlike(r"""["'*_`\[]""") & ~F.lower(F.trim("text")).startswith("title:"))
+    c = read("conversations")
     raw = F.concat(F.lit('"Title: **'), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit('**"'))
     raw = F.when(F.trim(F.col("text")) == "", F.lit("")).otherwise(raw)
     plain = F.when(F.col("turn") % 5 == 0, F.lit(None).cast("string")).when(F.col("turn") % 5 == 1, "Untitled").when(F.col("turn") % 5 == 2, "Chat with x").when(F.col("turn") % 5 == 3, "chat with x").otherwise("y")
