@@ -26,6 +26,15 @@ def key(r):
     return repr(r)
 
 
+def test_all_thirteen_are_registered():
+    """A broken import inside the subpackage must not pass for its absence."""
+    import __spark_entry__
+
+    known = __spark_entry__.queries()
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in known)] == [] and "pipeline" in known
+    assert set(__spark_entry__.oracle_sql()) <= set(known)
+
+
 # --- positive-unlabelled learning ---------------------------------------------------------------
 
 def plain_sums(codes, unlabelled, positive, w):
