@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 import re
 import zipfile
 from collections.abc import Iterator
@@ -71,6 +70,9 @@ def parsed_entities(reply: Column, confidence: float = 0.8) -> Column:
 
 # --- replies of a vision model -----------------------------------------------------------------
 
+_BRACE = re.compile("[{}]")
+
+
 def braced(text: str | None) -> str | None:
     """The first object in braces, of a fenced block if there is one (braces are only
     counted); one that a fence leaves open runs to the end, a bare open one is none."""
@@ -79,10 +81,10 @@ def braced(text: str | None) -> str | None:
         if begin < 0:
             return None, False
         depth = 0
-        for i in range(begin, len(t)):
-            depth += (t[i] == "{") - (t[i] == "}")
+        for brace in _BRACE.finditer(t, begin):
+            depth += 1 if brace[0] == "{" else -1
             if not depth:
-                return t[begin:i + 1], True
+                return t[begin:brace.end()], True
         return t[begin:], False
 
     t = (text or "").strip()
@@ -100,29 +102,22 @@ def json_object(x: pd.Series) -> pd.Series:
     return x.map(braced)
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_object(x: pd.Series) -> pd.Series:
-    def ok(t: str | None) -> bool:
-        try:
-            return isinstance(json.loads(t), dict)
-        except (TypeError, ValueError):
-            return False
-
-    return x.map(ok)
-
-
 def vision_replies(rows: DataFrame, column: str = "reply") -> DataFrame:
     """Adds caption, events, entities, notes and reasoning, read from a model's reply:
     its thinking is taken off, then an object is parsed, a cut one is salvaged, and
-    anything else is the caption.  events and entities are arrays of JSON strings."""
+    anything else is the caption.  events and entities are arrays of JSON strings.
+
+    The object is a VARIANT, parsed once; whatever has another type than a field should
+    have counts as missing."""
     out = rows.withColumn("__t", think_block(strip(F.coalesce(F.col(column), F.lit("")))))
     out = out.withColumn("__body", F.coalesce("__t.caption", strip(F.coalesce(F.col(column), F.lit("")))))
-    out = out.withColumn("__json", json_object("__body")).withColumn("__ok", _is_object("__json"))
-    strings = lambda path: F.coalesce(F.from_json(F.when(F.col("__ok"), F.get_json_object("__json", path)), "array<string>"), F.array().cast("array<string>"))
-    salvaged = F.when(F.col("__json").isNotNull() & ~F.col("__ok"), F.nullif(salvaged_caption(F.col("__json")), F.lit("")))
-    caption = F.when(F.col("__ok"), F.coalesce(F.get_json_object("__json", "$.caption"), F.lit(""))).otherwise(F.coalesce(salvaged, "__body"))
+    out = out.withColumn("__json", json_object("__body")).withColumn("__v", F.try_parse_json("__json"))
+    ok = F.coalesce(F.schema_of_variant("__v").startswith("OBJECT"), F.lit(False))
+    strings = lambda path: F.coalesce(F.when(ok, F.try_variant_get("__v", path, "array<string>")), F.array().cast("array<string>"))
+    salvaged = F.when(F.col("__json").isNotNull() & ~ok, F.nullif(salvaged_caption(F.col("__json")), F.lit("")))
+    caption = F.when(ok, F.coalesce(F.try_variant_get("__v", "$.caption", "string"), F.lit(""))).otherwise(F.coalesce(salvaged, "__body"))
     notes = F.when(salvaged.isNotNull(), F.array(F.lit("Response truncated (max_tokens)."))).otherwise(strings("$.notes"))
-    return out.withColumns({"caption": caption, "events": strings("$.events"), "entities": strings("$.entities"), "notes": notes, "reasoning": F.col("__t.reasoning")}).drop("__t", "__body", "__json", "__ok")
+    return out.withColumns({"caption": caption, "events": strings("$.events"), "entities": strings("$.entities"), "notes": notes, "reasoning": F.col("__t.reasoning")}).drop("__t", "__body", "__json", "__v")
 
 
 # --- office documents ---------------------------------------------------------------------------

@@ -329,6 +329,18 @@ def titles(read):
     return c.select("conv_id", "turn", text.clean_title(raw).alias("title"), text.is_default_title(plain).alias("plain"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN '' ELSE text END AS caption, CASE WHEN doc_id % 3 = 0 THEN [lang, source] ELSE []::VARCHAR[] END AS events, CASE WHEN doc_id % 3 = 2 THEN 1 ELSE 0 END AS n_notes FROM documents""")
+def vision_payloads(read):
+    """ST-21, JS2: replies that hold a document's text as an object, in a fence or bare, read as VARIANT."""
+    d = read("documents")
+    whole = F.to_json(F.struct(F.col("text").alias("caption"), F.array("lang", "source").alias("events")))
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(F.col("text").alias("caption"))), F.lit("\n```"))
+    noted = F.to_json(F.struct(F.array(F.lit("seen")).alias("notes"), F.struct("lang").alias("caption_of")))
+    reply = F.when(F.col("doc_id") % 3 == 0, whole).when(F.col("doc_id") % 3 == 1, fenced).otherwise(noted)
+    out = assembly.vision_replies(d.select("doc_id", reply.alias("reply")))
+    return out.select("doc_id", "caption", "events", F.size("notes").alias("n_notes"))
+
+
 @query("""SELECT conv_id, turn, CASE turn % 4 WHEN 3 THEN '' ELSE 'why' END AS reasoning, CASE turn % 4 WHEN 0 THEN 'so' WHEN 1 THEN 'pre' WHEN 2 THEN 'after' END AS caption FROM conversations""")
 def thinking(read):
     """ST-17, ST-18: a model's thinking apart from its answer."""
