@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.entities import entities, pair_counts
+from ..operators.knowledge import cooccurrence_edges
 
 WATERMARK = "10 seconds"
 
@@ -110,15 +111,63 @@ def job_steps(updates: DataFrame, keep_ms: int = 24 * 3600 * 1000) -> DataFrame:
     return updates.select("job_id", "ts", "status").groupBy("job_id").transformWithStateInPandas(JobSteps(keep_ms), "job_id string, ts timestamp, status string, before string, verdict string", outputMode="Update", timeMode="ProcessingTime")
 
 
-def merged_pairs(spark, path: str) -> DataFrame:
+# --- a graph that grows ----------------------------------------------------------------------------
+
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def epoch_ranges(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """Ranges (first, last) of epochs whose counts are at ``path``, whole folders only; one that
+    lies within another has been merged into it and counts no more."""
+    at, fs = _folder(spark, path)
+    if not fs.exists(at):
+        return []
+    found = []
+    for status in fs.listStatus(at):
+        name = status.getPath().getName()
+        if name.startswith("epochs=") and fs.exists(_folder(spark, f"{path}/{name}/_SUCCESS")[0]):
+            first, last = name.removeprefix("epochs=").split("-")
+            found.append((int(first), int(last)))
+    out: list[tuple[int, int]] = []
+    for first, last in sorted(found, key=lambda r: (r[0], -r[1])):
+        if not out or last > out[-1][1]:
+            out.append((first, last))
+    return out
+
+
+def _summed(spark: SparkSession, path: str, ranges: list[tuple[int, int]]) -> DataFrame:
+    rows = spark.read.parquet(*(f"{path}/epochs={a}-{b}" for a, b in ranges))
+    return rows.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def merged_pairs(spark: SparkSession, path: str) -> DataFrame:
     """src, dst, weight over all epochs that ``growing_pairs`` has written."""
-    return spark.read.parquet(path).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return _summed(spark, path, epoch_ranges(spark, path))
 
 
-def growing_pairs(texts: DataFrame, path: str, checkpoint: str):
-    """Starts a query that adds every micro-batch's entity pairs to a table of counts
-    (a file set an epoch; an epoch that is run again replaces its own)."""
+def growing_pairs(texts: DataFrame, path: str, checkpoint: str, typed: bool = False):
+    """Starts a query that adds every micro-batch's entity pairs (of structs of name and type
+    if ``typed``) to a table of counts.
+
+    Each epoch is a folder; the last two are merged while the older holds no more epochs than
+    the newer, so n epochs are log2(n) folders and a count is rewritten log2(n) times.  An epoch
+    that is run again replaces its own folder, or lies within one that holds it already; a
+    merge that breaks off leaves the folders it was made of.
+    """
     def each(batch: DataFrame, epoch: int) -> None:
-        pair_counts(entities(batch)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        spark, found = batch.sparkSession, entities(batch)
+        pairs = cooccurrence_edges(found).select("src", "dst", F.col("weight").cast("long").alias("weight")) if typed else pair_counts(found)
+        if not any(a <= epoch <= b for a, b in epoch_ranges(spark, path) if a < b):
+            pairs.write.mode("overwrite").parquet(f"{path}/epochs={epoch}-{epoch}")
+        while len(ranges := epoch_ranges(spark, path)) > 1:
+            (a, b), (c, d) = ranges[-2:]
+            if b - a > d - c:
+                break
+            _summed(spark, path, [(a, b), (c, d)]).write.mode("overwrite").parquet(f"{path}/epochs={a}-{d}")
+            for old in ((a, b), (c, d)):
+                at, fs = _folder(spark, f"{path}/epochs={old[0]}-{old[1]}")
+                fs.delete(at, True)
 
     return texts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,6 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.operators import entities, knowledge
 from quillspark.streaming import jobs
 
 
@@ -58,3 +59,24 @@ def test_job_steps_need_a_store_that_expires(spark):
     source = spark.readStream.format("rate").load().select(F.lit("a").alias("job_id"), F.col("timestamp").alias("ts"), F.lit("queued").alias("status"))
     with pytest.raises(ValueError, match="RocksDB"):
         jobs.job_steps(source)
+
+
+@pytest.mark.parametrize("typed", [False, True])
+def test_a_graph_grows_by_batches(spark, tmp_path, typed):
+    """Thirteen batches equal one build, in a few folders; an epoch run again counts once."""
+    names = ["NASA", "IBM", "ESA", "John Smith", "Acme Corp", "Paris, TX"]
+    rows = [(i, " met ".join(names[(i * k) % 6] for k in (1, 2, 5)) + ".") for i in range(26)]
+    for i in range(13):
+        part = spark.createDataFrame(rows[2 * i:2 * i + 2], "doc_id long, text string")
+        part.coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+    at = f"file://{tmp_path}/pairs"
+    source = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/in")
+    jobs.growing_pairs(source, at, f"file://{tmp_path}/ck", typed).awaitTermination()
+    found = entities.entities(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = knowledge.cooccurrence_edges(found) if typed else entities.pair_counts(found)
+    of = lambda df: sorted((str(r.src), str(r.dst), int(r.weight)) for r in df.collect())
+    assert of(jobs.merged_pairs(spark, at)) == of(want)
+    assert jobs.epoch_ranges(spark, at) == [(0, 7), (8, 11), (12, 12)]
+    # left by a merge that broke off, and by an epoch that was run again: both lie within a larger range
+    spark.read.parquet(f"{at}/epochs=8-11").write.parquet(f"{at}/epochs=9-10")
+    assert of(jobs.merged_pairs(spark, at)) == of(want)
