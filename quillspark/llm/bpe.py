@@ -1,26 +1,28 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary, many texts at once.
 
-A text is cut before every run of ASCII white space that follows a visible
-character: byte-level pre-tokenisation always starts a new word there, so the
-pieces can be encoded apart.  The vocabulary's added tokens (``<|endoftext|>``) are found
-first and are pieces of their own, as its tokenizer file says.  Each distinct piece is
-encoded once by the tokenizer and remembered by its bytes; all others are copied.
+A text is handed to the tokenizer whole: natural text has so many different words that
+remembering them costs more than encoding them again.  The vocabulary's added tokens
+(``<|endoftext|>``) are found first and are parts of their own, as its tokenizer file says.
+A long text is handed over in parts, cut before a run of ASCII white space that follows a
+visible character: byte-level pre-tokenisation always starts a new word there, so the parts
+can be encoded apart.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+from itertools import pairwise
 
 import numpy as np
 
-from .common import SPACE, distinct_spans, ranges
+from .common import SPACE
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The tokenizer file of the same vocabulary, which names its added tokens.
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces a worker remembers (about 200 bytes each) before it starts afresh.
-REMEMBERED = 200_000
+#: Bytes of a text after which its next part begins, at the first place where it can be cut.
+PART = 1 << 16
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -29,6 +31,15 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def part_starts(raw: np.ndarray, most: int) -> np.ndarray:
+    """Places within a text where its parts begin, but the first: after every ``most`` bytes the next cut."""
+    visible = (raw > 0x20) & (raw < 0x7F)
+    visible[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0x80)  # a Latin letter of two bytes
+    at = np.flatnonzero(SPACE[raw[1:]] & visible[:-1]) + 1
+    k = np.unique(np.searchsorted(at, np.arange(most, len(raw), most)))
+    return at[k[k < len(at)]]
+
+
 class Encoder:
     """Ids of texts as the tokenizer file gives them: its added tokens are matched where
     they stand in a text, and none are put in."""
@@ -45,7 +56,6 @@ class Encoder:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._forget()
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -54,12 +64,6 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.empty(1 << 20, np.int32)
-        self.first = np.zeros(1 << 16, np.int64)
-        self.n = self.used = 0
-
     def _places(self, data: bytes, off: np.ndarray) -> list[tuple[int, int]]:
         """Where added tokens stand, from left to right, within single texts."""
         out, at = [], {t: data.find(t) for t in self.added}
@@ -73,46 +77,17 @@ class Encoder:
             at |= {t: data.find(t, b) for t, i in some.items() if i < b}
         return out
 
-    def _add(self, piece: bytes) -> int:
-        ids = [self.added[piece]] if piece in self.added else self.encode(piece.decode("utf-8", "replace"))
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.int32)])
-        if self.n + 2 > len(self.first):
-            self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.known[piece] = at = self.n
-        self.n += 1
-        self.first[self.n] = self.used
-        return at
+    def _ids(self, part: bytes) -> np.ndarray:
+        return np.array([self.added[part]] if part in self.added else self.encode(part.decode("utf-8", "replace")), np.int32)
 
     def encode_flat(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the n+1 places where each begins."""
-        n = len(raw)
-        if not n:
+        if not len(raw):
             return np.empty(0, np.int32), np.zeros(len(off), np.int64)
-        space = SPACE[raw]
-        visible = (raw > 0x20) & (raw < 0x7F)
-        visible[1:] |= (raw[:-1] == 0xC3) & (raw[1:] >= 0x80)  # a Latin letter of two bytes
-        cut = np.zeros(n, bool)
-        cut[1:] = space[1:] & visible[:-1]
-        cut[off[:-1][off[:-1] < n]] = True
         data = raw.tobytes()
-        for a, b in self._places(data, off):
-            cut[[a, *([b] if b < n else [])]] = True
-        start = np.flatnonzero(cut)
-        end = np.append(start[1:], n)
-        one, which = distinct_spans(raw, start, end)
-        if self.n + len(one) > REMEMBERED:
-            self._forget()
-        known = self.known
-        at = np.empty(len(one), np.int64)
-        for i, (a, b) in enumerate(zip(start[one].tolist(), end[one].tolist(), strict=True)):
-            piece = data[a:b]
-            k = known.get(piece)
-            at[i] = self._add(piece) if k is None else k
-        own = at[which]
-        size = self.first[own + 1] - self.first[own]
-        ids = self.flat[np.repeat(self.first[own], size) + ranges(size)]
-        total = np.concatenate([[0], np.cumsum(size)])
-        return ids, total[np.searchsorted(start, off)]
+        edges = [off, *self._places(data, off)]
+        edges += [off[i] + part_starts(raw[off[i]:off[i + 1]], PART) for i in np.flatnonzero(np.diff(off) > PART)]
+        edge = np.unique(np.concatenate(edges))
+        ids = [self._ids(data[a:b]) for a, b in pairwise(edge.tolist())]
+        total = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+        return np.concatenate(ids), total[np.searchsorted(edge, off)]

@@ -299,6 +299,22 @@ def test_bpe_equals_the_tokenizer():
         assert flat[at[i]:at[i + 1]].tolist() == want[:-1].tolist(), texts[i]
 
 
+def test_bpe_of_many_different_words():
+    """Texts go to the tokenizer whole, not word by word; a long one in few parts that give the same ids."""
+    rng = random.Random(7)
+    texts = ["".join(f"w{rng.getrandbits(40)}" + rng.choice([" ", "  ", "\n ", "\u00a0 ", "é\t", "、 ", "'s ", ". <|endoftext|> "]) for _ in range(n)) for n in (300, 0, 1500, 20_000)]
+    data = [t.encode() for t in texts]
+    encoder, calls = Encoder(vocabulary_path()), []
+    encode = encoder.encode
+    encoder.encode = lambda part: (calls.append(part), encode(part))[1]
+    flat, at = encoder.encode_flat(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for i, want in enumerate(ids_by_tokenizers(texts)):
+        assert flat[at[i]:at[i + 1]].tolist() == want[:-1].tolist()
+    added = sum(t.count("<|endoftext|>") for t in texts)
+    assert len(calls) <= len(texts) + added + sum(map(len, data)) // 60_000
+    assert max(len(part) for part in calls) < 70_000
+
+
 def test_cost_packing(spark):
     rows = [*enumerate(ODD), *((100 + d if d is not None else None, t) for d, t in corpus(8, 60))]
     docs = frame(spark, rows)
