@@ -125,6 +125,18 @@ def test_suffix_dedup_of_a_very_long_text(spark):
     assert (r.n_bytes, r.n_removed, r.n_spans) == (len(text), 1000, 2)
 
 
+def test_texts_are_read_in_small_batches(spark, tmp_path):
+    """op3: batches of 4,096 long texts are large arrays on the heap of an executor."""
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.unset("spark.sql.parquet.columnarReaderBatchSize")
+    registry.op3_suffix_dedup(spark, str(tmp_path))
+    plan = common.read_table(spark, str(tmp_path), "documents").select("text")._jdf.queryExecution().executedPlan()
+    assert plan.execute().count() == 3000
+    while plan.nodeName() != "ColumnarToRow":
+        plan = plan.children().head()
+    assert plan.metrics().apply("numInputBatches").value() >= 3000 / 512
+
+
 def test_difference_cover():
     for period in (8, 32):
         on, meet = suffix_dedup.difference_cover(period)
