@@ -263,8 +263,36 @@ def communities(edges: DataFrame) -> DataFrame:
     until nothing moves.  A community is named by its smallest node."""
     e = both_ways(edges).groupBy("src", "dst").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
     e = checkpointed(e, "edges")
+    return _coarsened(e, checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "members"))
+
+
+def communities_of_groups(members: DataFrame) -> DataFrame:
+    """node, community as ``communities`` gives them, of the graph in which an edge weighs as many
+    groups as its two nodes share (members: node, group); nodes without an edge are left out.
+
+    A group of n has n * (n - 1) / 2 edges, so they are not made where nodes are in the very same
+    groups: those are one node from the start, as every partition of largest modularity holds
+    them together.  Two of them, of weight k each and w groups, in different communities would
+    gain 2 * (w - k * k / m2) by moving to each other's in turn, and that is above 0: m2 is the
+    sum of n * (n - 1) over all groups, k of n - 1 over w of them, so k * k < w * m2.
+    """
+    own = members.where("node is not null").select("node", "group").distinct()
+    large = own.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    held = checkpointed(own.join(large, "group").groupBy("node").agg(F.sort_array(F.collect_list("group")).alias("groups")), "nodes")
+    one = checkpointed(held.groupBy("groups").agg(F.min("node").alias("community"), F.count("*").cast("double").alias("c")), "nodes")
+    member = checkpointed(held.join(one, "groups").select("node", "community"), "members")
+    a, b = (one.select(F.col("community").alias(x), F.col("c").alias(f"c_{x}"), F.explode("groups").alias("group")) for x in ("src", "dst"))
+    between = a.join(b, "group").where("src <> dst").groupBy("src", "dst").agg(F.sum(F.col("c_src") * F.col("c_dst")).alias("weight"))
+    within = one.where("c > 1").select(F.col("community").alias("src"), F.col("community").alias("dst"), (F.col("c") * (F.col("c") - 1) * F.size("groups")).alias("weight"))
+    e = checkpointed(between.unionByName(within), "edges")
+    discard(held, one)
+    return _coarsened(e, member)
+
+
+def _coarsened(e: DataFrame, member: DataFrame) -> DataFrame:
+    """Communities of stored edges (as in ``_settled``) between the nodes that the stored
+    ``member`` (node, community) names as communities at the start."""
     m2 = e.agg(F.sum("weight")).first()[0]
-    member = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), "members")
     while m2:
         label, moved = _settled(e, m2)
         if not moved:

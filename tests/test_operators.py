@@ -304,6 +304,38 @@ def test_communities_are_as_modular_as_those_of_a_sequential_search(spark, kind)
     assert label.groupBy("community").agg(F.min("node").alias("m")).where("m <> community").isEmpty()
 
 
+@pytest.mark.parametrize("kind", ["apart", "overlapping", "hubs"])
+def test_communities_of_groups_are_those_of_their_edges(spark, kind):
+    """Nodes in one group or several, alone in one, and hubs in all of them."""
+    rng = random.Random(3)
+    if kind == "apart":
+        members = [(f"v{i}", i % 7) for i in range(90)] + [("v90", 7), ("v0", 0)]
+    elif kind == "overlapping":
+        members = [(f"v{i}", g) for i in range(80) for g in {i % 5, *(rng.choices(range(9), k=1) if i % 4 == 0 else [])}]
+    else:  # two nodes in all groups, others in one each
+        members = [(f"v{g}.{i}", g) for g in range(8) for i in range(5)] + [(f"hub{i}", g) for i in range(2) for g in range(8)]
+    groups, edges = {}, {}
+    for v, g in members:
+        groups.setdefault(g, set()).add(v)
+    for g in groups.values():
+        for pair in combinations(sorted(g), 2):
+            edges[pair] = edges.get(pair, 0) + 1
+    label = graph.communities_of_groups(spark.createDataFrame(members, "node string, group long"))
+    rows = label.collect()
+    assert sorted(r.node for r in rows) == sorted({v for pair in edges for v in pair})
+    found = graph.modularity(spark.createDataFrame([(*pair, w) for pair, w in edges.items()], "src string, dst string, weight int"), label).first()[0]
+    assert found >= louvain(edges) - 0.02
+    assert label.groupBy("community").agg(F.min("node").alias("m")).where("m <> community").isEmpty()
+    if kind == "apart":
+        assert {r.node: r.community for r in rows} == {v: min(g) for g in groups.values() if len(g) > 1 for v in g}
+
+
+def test_communities_of_large_groups_need_no_edges(spark):
+    """Two groups of 100,000 would give 10,000,000,000 edges."""
+    label = graph.communities_of_groups(spark.range(200_000).select(F.col("id").alias("node"), (F.col("id") % 2).alias("group")))
+    assert {(r.community, r["count"]) for r in label.groupBy("community").count().collect()} == {(0, 100_000), (1, 100_000)}
+
+
 # --- subtitles and video ---------------------------------------------------------------------------
 
 def test_words_close_segments(spark):
