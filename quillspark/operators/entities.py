@@ -5,6 +5,8 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 from functools import reduce
 from hashlib import blake2b
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pandas as pd
@@ -161,44 +163,136 @@ def _pair_counts(names: DataFrame) -> np.ndarray:
     return out
 
 
-def _compared(ratio: float):
-    """Pairs (name, earlier) to those as similar as ``ratio``, the best of each name in a batch."""
+def _compared(frames):
+    """Pairs (name, earlier) to those as similar as their ``least``, the best of each name in a batch."""
+    for f in frames:
+        if len(f):
+            a, b = f["name"].tolist(), f["earlier"].tolist()
+            x, y = _letters(a), _letters(b)
+            reach = 2 * np.minimum(x, y).sum(1) / np.maximum(x.sum(1) + y.sum(1), 1)  # no ratio is larger
+            f = f[reach >= f["least"] - 1e-9]
+            f = f.assign(less=[-similarity(a, b) for a, b in zip(f["name"], f["earlier"], strict=True)])
+            f = f[f["less"] <= -f["least"]].sort_values(["less", "at", "earlier"]).drop_duplicates(["entity_type", "name"])
+            yield f[["entity_type", "name", "earlier", "at", "less"]]
+
+
+_FOUND = "entity_type string, name string, earlier string, at long, less double"
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    found = pairs.mapInPandas(_compared, _FOUND)
+    return found.groupBy("entity_type", "name").agg(F.min(F.struct("less", "at", "earlier"))["earlier"].alias("earlier"))
+
+
+#: Names that have a match as near as so many changed characters, one after the other, are looked for by what is left when characters are taken out.
+CHANGED = (1, 2)
+#: So many rests of one name at most; names with more are looked for by pairs of characters.
+RESTS = 256
+
+
+def near_lengths(lengths: list[int], changed: int, same_from: float) -> dict[int, dict[int, tuple[int, int]]]:
+    """For a name of n characters that has no match as near as ``changed - 1`` changed characters:
+    the lengths m of names that can be as near as ``changed``, each with the least and the most
+    characters that such a match holds."""
+    out: dict[int, dict[int, tuple[int, int]]] = {}
+    for n in lengths:
+        out[n] = {}
+        for m in lengths if n > changed else []:
+            most = min(((n - changed + 1) * (n + m) - 1) // (2 * n), n, m)
+            least = max(-((changed - n) * (n + m) // (2 * n)), 1)
+            while least <= most and 2.0 * least / (n + m) < same_from:
+                least += 1
+            if least <= most:
+                out[n][m] = (least, most)
+    return out
+
+
+def _rests(names: DataFrame, wanted: dict[int, list[tuple[int, int, float, float]]]) -> DataFrame:
+    """entity_type, name, seq, key, least, bound: a row for every text of some characters of a name in
+    their order.  ``wanted``: by a name's length, for every length it may meet: how many characters
+    are kept, what tells the two lengths apart in the key, the least and the largest ratio."""
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for kind, name, seq in zip(f["entity_type"], f["name"], f["seq"], strict=True):
+                kept: dict[int, list[str]] = {}
+                for size, lengths, least, bound in wanted.get(len(name), ()):
+                    if size not in kept:
+                        kept[size] = list({"".join(c) for c in combinations(name, size)})
+                    rows.append((kind, name, seq, lengths, least, bound, kept[size]))
+            yield pd.DataFrame(rows, columns=["entity_type", "name", "seq", "lengths", "least", "bound", "rests"])
+
+    made = names.select("entity_type", "name", "seq").mapInPandas(run, "entity_type string, name string, seq long, lengths long, least double, bound double, rests array<string>")
+    return made.select("entity_type", "name", "seq", "least", "bound", "lengths", F.explode("rests").alias("rest")).withColumn("key", F.xxhash64("rest", "lengths")).drop("rest", "lengths")
+
+
+def _nearest(names: DataFrame, asked: DataFrame, near: dict[int, dict[int, tuple[int, int]]]) -> DataFrame:
+    """entity_type, name, earlier: the most similar earlier name of those of ``asked`` that have one within ``near``.
+
+    Names with so many characters matched have a text of so many characters in common.  The
+    earliest name of each such text and pair of lengths is enough if its ratio is the largest there
+    can be; only where it is not, the name is compared with all that it has a text in common with.
+    """
+    new, old = {}, {}
+    for n, lengths in near.items():
+        for m, (least, most) in lengths.items():
+            new.setdefault(n, []).append((least, n << 32 | m, 2.0 * least / (n + m), 2.0 * most / (n + m)))
+            old.setdefault(m, []).append((least, n << 32 | m, 0.0, 0.0))
+    old = _rests(names, old).select("entity_type", "key", F.struct(F.col("seq").alias("at"), F.col("name").alias("earlier")).alias("old"))
+    before = F.col("old") < F.struct(F.col("seq").alias("at"), F.col("name").alias("earlier"))
+    first = _rests(asked, new).join(old.groupBy("entity_type", "key").agg(F.min("old").alias("old")), ["entity_type", "key"]).where(before)
+    first = first.groupBy("entity_type", "name").agg(F.min(F.struct((-F.col("bound")).alias("less"), "old")).alias("b"), F.min("seq").alias("seq"))
 
     def run(frames):
         for f in frames:
-            if len(f):
-                a, b = f["name"].tolist(), f["earlier"].tolist()
-                x, y = _letters(a), _letters(b)
-                reach = 2 * np.minimum(x, y).sum(1) / np.maximum(x.sum(1) + y.sum(1), 1)  # no ratio is larger
-                f = f[reach >= ratio - 1e-9]
-                f = f.assign(less=[-similarity(a, b) for a, b in zip(f["name"], f["earlier"], strict=True)])
-                f = f[f["less"] <= -ratio].sort_values(["less", "at", "earlier"]).drop_duplicates(["entity_type", "name"])
-                yield f
+            yield f.assign(sure=[-similarity(a, b) <= less for a, b, less in zip(f["name"], f["earlier"], f["less"], strict=True)])
 
-    return run
+    tried = first.select("entity_type", "name", "seq", "b.old.earlier", "b.less").mapInPandas(run, "entity_type string, name string, seq long, earlier string, less double, sure boolean")
+    tried = checkpointed(tried, "tried")
+    pairs = _rests(tried.where("not sure"), new).join(old, ["entity_type", "key"]).where(before).select("entity_type", "name", "old.earlier", "old.at", "least").distinct()
+    found = checkpointed(tried.where("sure").select("entity_type", "name", "earlier").unionByName(_best(pairs)), "similar")
+    discard(tried)
+    return found
 
 
 def most_similar(names: DataFrame, same_from: float = SAME_FROM) -> DataFrame:
     """entity_type, name, earlier: for every name (entity_type, name, seq; each name once) the most
     similar one before it in its type, from ``same_from`` on, the earlier of equals.
 
-    Two names can only be as similar if they share one of their rarest pairs of characters, so
-    they meet by an equi-join on those.  Close matches are looked for first, where few pairs
-    have to be shared; only names without one are looked up again at the next ratio.
+    Names of nearly the same characters are looked for first (see ``_nearest``), where that
+    takes few rests of a name.  All others can only be as similar if they share one of their rarest
+    pairs of characters, so they meet by an equi-join on those.  Close matches are looked for
+    first here too, where few pairs have to be shared; only names without one are looked up
+    again at the next ratio.
     """
+    first = names.groupBy("entity_type").agg(F.min(F.struct("seq", "name"))["name"].alias("name"))
+    open_, found = checkpointed(names.join(first, ["entity_type", "name"], "left_anti"), "open"), []
+    lengths = sorted(r.n for r in names.select(F.length("name").alias("n")).distinct().collect())  # no more than the longest has characters
+    skipped: set[int] = set()
+    for changed in CHANGED:
+        near = near_lengths(lengths, changed, same_from)
+        skipped |= {n for n, x in near.items() if n <= changed or any(max(comb(n, least), comb(m, least)) > RESTS for m, (least, _) in x.items())}
+        near = {n: x for n, x in near.items() if x and n not in skipped}
+        if near and not (asked := open_.where(F.length("name").isin(list(near)))).isEmpty():
+            found.append(_nearest(names, asked, near))
+        # names are done that have a match, and those that nothing less near can be similar enough to
+        fails = [n for n in lengths if n not in skipped and all(ceil(same_from * (n + m) / 2 - 1e-6) > min(((n - changed) * (n + m) - 1) // (2 * n), n, m) for m in lengths)]
+        rest = open_.where(~F.length("name").isin(fails))
+        old, open_ = open_, checkpointed(rest.join(found[-1], ["entity_type", "name"], "left_anti") if found else rest, "open")
+        discard(old)
+    if open_.isEmpty():
+        return reduce(DataFrame.unionByName, found) if found else open_.select("entity_type", "name", F.col("name").alias("earlier"))
     counts = _pair_counts(names)
-    open_, found = names, []
-    schema = "entity_type string, name string, earlier string, at long, less double"
     for ratio in [*(r for r in BANDS if r > same_from), same_from]:
         every = checkpointed(_signatures(names, ratio, counts), "signatures")
-        asked = every.join(open_.select("entity_type", "name"), ["entity_type", "name"], "left_semi") if found else every
+        asked = every.join(open_.select("entity_type", "name"), ["entity_type", "name"], "left_semi")
         old = every.select("entity_type", F.col("name").alias("earlier"), F.col("seq").alias("at"), F.col("n").alias("m"), F.col("tokens").alias("theirs"), F.explode("tokens").alias("token"))
         new = asked.withColumn("token", F.explode("tokens"))
         fits = (2 * F.least("n", "m") >= ratio * (F.col("n") + F.col("m")) - 1e-9) & (F.struct("at", "earlier") < F.struct("seq", "name"))
         once = F.get(F.array_intersect("tokens", "theirs"), F.lit(0)) == F.col("token")  # a pair meets at its first common token alone
-        pairs = new.join(old, ["entity_type", "token"]).where(fits & once).select("entity_type", "name", "earlier", "at", F.lit(0.0).alias("less"))
-        best = pairs.mapInPandas(_compared(ratio), schema).groupBy("entity_type", "name").agg(F.min(F.struct("less", "at", "earlier"))["earlier"].alias("earlier"))
-        found.append(checkpointed(best, "similar"))
+        pairs = new.join(old, ["entity_type", "token"]).where(fits & once).select("entity_type", "name", "earlier", "at", F.lit(ratio).alias("least"))
+        found.append(checkpointed(_best(pairs), "similar"))
         discard(every)
         open_ = open_.join(found[-1], ["entity_type", "name"], "left_anti")
     return reduce(DataFrame.unionByName, found)
@@ -212,7 +306,7 @@ def canonical(names: DataFrame, same_from: float = SAME_FROM) -> DataFrame:
     name is the root of the chain of such names, found by pointer doubling.
     """
     low = F.lower("name")
-    state = checkpointed(names.groupBy("entity_type", low.alias("name")).agg(F.min(F.col("seq").cast("long")).alias("seq")), "names")
+    state = checkpointed(names.groupBy("entity_type", low.alias("name")).agg(F.min(F.col("seq").cast("long")).alias("seq")).where("name is not null"), "names")
     links = most_similar(state, same_from).select(F.struct("entity_type", "name").alias("node"), F.struct("entity_type", F.col("earlier").alias("name")).alias("to"))
     root = roots(links).select("node.entity_type", F.col("node.name").alias("low"), F.col("root.name").alias("canonical"))
     every = names.select("name", "entity_type", F.col("seq").cast("long").alias("seq"), low.alias("low"))

@@ -177,6 +177,45 @@ def test_similar_names_share_pairs():
         entities.prefix_size(5, 0.6)
 
 
+@pytest.mark.parametrize("kind", ["counted", "drawn", "mixed"])
+def test_names_of_nearly_the_same_characters(spark, kind):
+    """Numbered names in disorder: every one has many that are nearly the same, or few, or of other lengths too."""
+    rng = random.Random(kind)
+    number = {"counted": lambda i: f"{i:09}", "drawn": lambda i: f"{rng.randrange(10 ** 4):09}"[::-1], "mixed": lambda i: str(rng.randrange(10 ** rng.randint(1, 9)))}[kind]
+    names = list({f"supplier#{number(i)}" for i in range(300)})
+    rows = [(name, "organization", rng.randrange(250)) for name in names] + [(None, "organization", 1), ("", "organization", 2)]
+    got = {r.name: r.canonical for r in entities.canonical(spark.createDataFrame(rows, "name string, entity_type string, seq long")).collect()}
+    want = greedy([r for r in rows if r[0] is not None])
+    assert got == {n: want[n, "organization"] for n in [*names, ""]} | {None: None}
+
+
+def test_ratios_fall_in_one_step_of_changes():
+    """Every ratio from 0.85 on that two different names can have, by their lengths."""
+    lengths = list(range(4, 40))
+    steps = [entities.near_lengths(lengths, k, 0.85) for k in range(1, 4)]
+    for n in lengths:
+        for m in lengths:
+            for size in range(1, min(n, m) + 1):
+                hit = [k for k, x in enumerate(steps, 1) if m in x[n] and x[n][m][0] <= size <= x[n][m][1]]
+                near = [k for k in range(1, 4) if 2 * size * n >= (n - k) * (n + m)]
+                assert hit == (near[:1] if size * 2.0 / (n + m) >= 0.85 and size < max(n, m) and n > near[0] else []) if near else not hit
+
+
+def test_many_numbered_names_are_not_compared_with_all_before(spark, monkeypatch):
+    pairs, compared = spark.sparkContext.accumulator(0), entities._compared
+
+    def counted(frames):
+        for f in frames:
+            pairs.add(len(f))
+            yield from compared([f])
+
+    monkeypatch.setattr(entities, "_compared", counted)
+    n = 3000
+    names = spark.range(n).select(F.format_string("supplier#%09d", "id").alias("name"), F.lit("organization").alias("entity_type"), F.col("id").alias("seq"))
+    assert {r.canonical for r in entities.canonical(names).collect()} == {"supplier#000000000"}
+    assert pairs.value < 20 * n
+
+
 def test_greedy_names(spark):
     rows = [("acme corporation", "organization", 0), ("acme corporatio", "organization", 1), ("other", "organization", 2), ("acme corporation", "person", 3)]
     got = {(r.name, r.entity_type): r.canonical for r in entities.canonical(spark.createDataFrame(rows, "name string, entity_type string, seq long")).collect()}
