@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -108,10 +109,15 @@ def shortest_path(edges: DataFrame, sources: DataFrame, targets: DataFrame, dire
 HELD_EDGES = 2_000_000
 
 
-def _per_source(edges: DataFrame, measure, schema: str) -> DataFrame | None:
-    """``measure(neighbours, source)`` gives rows of every node as a source, in tasks that
-    hold the whole graph as lists of numbers; None if it has too many edges."""
-    e = checkpointed(both_ways(edges).select("src", "dst").distinct())
+def _linked(edges: DataFrame) -> DataFrame:
+    """src, dst of every edge both ways, each once, stored."""
+    return checkpointed(both_ways(edges).select("src", "dst").distinct(), "edges")
+
+
+def _per_source(e: DataFrame, measure, schema: str, size: DataFrame | None = None) -> DataFrame | None:
+    """``measure(neighbours, source)`` gives rows of every node as a source, in tasks that hold
+    the whole graph (as ``_linked`` gives it) as lists of numbers; None if it has too many edges.
+    With ``size`` (node, size) the sizes of all nodes are a third argument."""
     if e.count() > HELD_EDGES:
         return None
     held = e.toArrow()  # at most HELD_EDGES rows
@@ -120,15 +126,20 @@ def _per_source(edges: DataFrame, measure, schema: str) -> DataFrame | None:
     near: list[list[int]] = [[] for _ in names]
     for a, b in zip(held.column("src").to_pylist(), held.column("dst").to_pylist(), strict=True):
         near[number[a]].append(number[b])
-    spark = edges.sparkSession
-    graph = spark.sparkContext.broadcast((names, near))
+    more = []
+    if size is not None:
+        sizes = size.join(e.select(F.col("src").alias("node")), "node", "left_semi").toArrow()  # no more than the edges
+        of = dict(zip(sizes.column("node").to_pylist(), sizes.column("size").to_pylist(), strict=True))
+        more = [[of[n] for n in names]]
+    spark = e.sparkSession
+    graph = spark.sparkContext.broadcast((names, near, more))
 
     def run(batches):
         import pyarrow as pa
 
-        names, near = graph.value
+        names, near, more = graph.value
         for batch in batches:
-            rows = [x for s in batch.column(0).to_pylist() for x in measure(near, s)]
+            rows = [x for s in batch.column(0).to_pylist() for x in measure(near, s, *more)]
             yield pa.RecordBatch.from_arrays([pa.array([names[i] for i, _ in rows]), pa.array([float(x) for _, x in rows], pa.float64())], names=["node", "x"])
 
     return spark.range(0, len(names), 1, max(1, min(len(names) // 16, 512))).mapInArrow(run, schema)
@@ -151,8 +162,8 @@ def _closeness_of(near: list[list[int]], source: int) -> list[tuple[int, float]]
     return [(source, r / max(len(near) - 1, 1) * r / d if d else 0.0)]
 
 
-def _dependencies_of(near: list[list[int]], source: int) -> list[tuple[int, float]]:
-    """What every node adds to the paths from one source (0 is left out)."""
+def _dependencies_of(near: list[list[int]], source: int, size: list[int]) -> list[tuple[int, float]]:
+    """What every node adds to the paths from one source, itself and the ends counted by size (0 is left out)."""
     order, far = _steps(near, source)
     paths, dep = dict.fromkeys(order, 0.0), dict.fromkeys(order, 0.0)
     paths[source] = 1.0
@@ -163,15 +174,15 @@ def _dependencies_of(near: list[list[int]], source: int) -> list[tuple[int, floa
     for w in reversed(order):
         for v in near[w]:
             if far[v] == far[w] - 1:
-                dep[v] += paths[v] / paths[w] * (1 + dep[w])
-    return [(v, x) for v, x in dep.items() if x and v != source]
+                dep[v] += paths[v] / paths[w] * (size[w] + dep[w])
+    return [(v, x * size[source]) for v, x in dep.items() if x and v != source]
 
 
 def closeness(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """node, closeness: (r / (n - 1)) * (r / sum of distances) for the r nodes reached.  A
     graph of up to ``HELD_EDGES`` edges is searched from each node within tasks, a larger one by joins."""
     kind = edges.schema["src"].dataType.simpleString()
-    local = _per_source(edges, _closeness_of, f"node {kind}, x double") if depth is None else None
+    local = _per_source(_linked(edges), _closeness_of, f"node {kind}, x double") if depth is None else None
     if local is not None:
         return local.select("node", F.round("x", 9).alias("closeness"))
     nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
@@ -182,22 +193,81 @@ def closeness(edges: DataFrame, depth: int | None = None) -> DataFrame:
 
 def betweenness(edges: DataFrame, depth: int | None = None, normalised: bool = True) -> DataFrame:
     """node, betweenness: the share of pairs of other nodes whose shortest paths lead over
-    a node (each undirected pair once; ``normalised``: by the number of such pairs).  Searched as in ``closeness``."""
+    a node (each undirected pair once; ``normalised``: by the number of such pairs).
+
+    Trees that hang on a graph of more than ``FEW_EDGES`` are folded first (see ``_folded``): all
+    paths between a node's branches, and from them to the rest of its component, lead over it, so
+    they are counted by sizes.  Only what is left is searched as in ``closeness``, every node
+    standing for as many as were folded into it.
+    """
     kind = edges.schema["src"].dataType.simpleString()
-    nodes = both_ways(edges).select(F.col("src").alias("node")).distinct()
-    local = _per_source(edges, _dependencies_of, f"node {kind}, x double") if depth is None else None
-    dep = local.groupBy("node").agg((F.sum("x") / 2).alias("b")) if local is not None else _dependencies_by_joins(edges, depth)
+    e = _linked(edges)
+    nodes = e.select(F.col("src").alias("node")).distinct()
+    one, none = F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("hung")
+    if depth is None:
+        core, size, nodes = e, nodes.select("node", one), nodes.select("node", none)
+        if e.count() > FEW_EDGES:
+            folded, core = _folded(e)
+            size = checkpointed(folded.where("root = node").select("node", "size"), "nodes")
+            t = (F.col("size") - 1).cast("double")
+            nodes = folded.select("node", ((t * t - F.col("squares")) / 2 + t * (F.col("total") - F.col("size"))).alias("hung"))
+        local = _per_source(core, _dependencies_of, f"node {kind}, x double", size)
+        dep = local.groupBy("node").agg((F.sum("x") / 2).alias("b")) if local is not None else _dependencies_by_joins(core, None, size)
+    else:
+        dep, nodes = _dependencies_by_joins(e, depth, nodes.select("node", one)), nodes.select("node", none)
     n = nodes.agg(F.count("*").alias("n"))
-    share = F.lit(1.0) if not normalised else F.when(F.col("n") > 2, 2.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(F.lit(1.0))
-    return nodes.join(dep, "node", "left").crossJoin(n).select("node", F.round(F.coalesce("b", F.lit(0.0)) * share, 9).alias("betweenness"))  # one row on the right
+    b = F.col("hung") + F.coalesce("b", F.lit(0.0))
+    share = b if not normalised else F.when(F.col("n") > 2, b * 2.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(b)
+    return nodes.join(dep, "node", "left").crossJoin(n).select("node", F.round(share, 9).alias("betweenness"))  # one row on the right
 
 
-def _dependencies_by_joins(edges: DataFrame, depth: int | None) -> DataFrame:
+#: Edges (both ways) up to which a graph is searched from each node as it is.
+FEW_EDGES = 5_000
+#: Ends of branches are folded as long as they are one of so many edges at least.
+FOLDED_OF = 10
+
+
+def _folded(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one neighbour are folded into it, round by round, while there are many of them.
+
+    The first table has node, size (nodes folded into it, and itself), squares (the sum of the
+    squared sizes of its branches), root (the node that is left where it was folded to in the
+    end) and total (nodes of its component); the second the edges that are left (as ``_linked``).
+    """
+    left = checkpointed(e.select(F.col("src").alias("node")).distinct().select("node", F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("squares")), "nodes")
+    gone: list[DataFrame] = []
+    while True:  # ends: every round takes a share of the edges
+        ends = e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d"), F.min("dst").alias("to")).where("d = 1").select("node", "to")
+        pair = ends.select(F.col("node").alias("to"), F.lit(True).alias("pair"))
+        leaf = checkpointed(ends.join(pair, "to", "left").where("pair is null or node > to").join(left, "node").select("node", "to", "size", "squares"), "leaves")
+        n = leaf.count()
+        if not n or 2 * n * FOLDED_OF < e.count():
+            discard(leaf)
+            break
+        gone.append(leaf)
+        more = leaf.groupBy(F.col("to").alias("node")).agg(F.sum("size").alias("s"), F.sum(F.col("size") * F.col("size")).alias("q"))
+        old, left = left, checkpointed(left.join(leaf.select("node"), "node", "left_anti").join(more, "node", "left").select("node", (F.col("size") + F.coalesce("s", F.lit(0))).alias("size"), (F.col("squares") + F.coalesce("q", F.lit(0))).alias("squares")), "nodes")
+        was, e = e, checkpointed(e.join(leaf.select(F.col("node").alias("src")), "src", "left_anti").join(leaf.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "edges")
+        discard(old, was)
+    core = left.withColumn("component", F.col("node"))
+    if not e.isEmpty():
+        core = left.join(components(e), "node", "left").select(*left.columns, F.coalesce("component", "node").alias("component"))
+    core = checkpointed(core, "nodes")
+    total = checkpointed(core.groupBy("component").agg(F.sum("size").alias("total")), "totals")
+    core = checkpointed(core.join(total, "component").select("node", "size", "squares", F.col("node").alias("root"), "total"), "nodes")
+    discard(left)
+    if not gone:
+        return core, e
+    hung = reduce(DataFrame.unionByName, gone)
+    hung = hung.join(roots(hung.select("node", "to")), "node").select("node", "size", "squares", "root")
+    return core.unionByName(hung.join(core.select("root", "total"), "root").select(*core.columns)), e
+
+
+def _dependencies_by_joins(e: DataFrame, depth: int | None, size: DataFrame) -> DataFrame:
     """node, b: shortest paths are counted forwards and dependencies summed backwards, a
-    level of distance at a time, for all sources together."""
-    e = checkpointed(both_ways(edges).select("src", "dst").distinct())
+    level of distance at a time, for all sources together; every node counts by its size."""
     nodes = e.select(F.col("src").alias("node")).distinct()
-    d = checkpointed(distances(edges, nodes, depth).select("source", "node", "distance"))
+    d = checkpointed(distances(e, nodes, depth).select("source", "node", "distance"))
     far = d.agg(F.max("distance")).collect()[0][0] or 0
     step = checkpointed(d.select("source", F.col("node").alias("src"), F.col("distance").alias("k")).join(e, "src").join(d.select("source", F.col("node").alias("dst"), F.col("distance").alias("k2")), ["source", "dst"]).where("k2 = k + 1").select("source", "src", "dst", "k2"))
     level = d.where("distance = 0").select("source", "node", F.lit(1.0).alias("paths"))
@@ -207,14 +277,15 @@ def _dependencies_by_joins(edges: DataFrame, depth: int | None) -> DataFrame:
         paths = paths.unionByName(level)
     paths = checkpointed(paths)
     a, b = paths.select("source", F.col("node").alias("src"), F.col("paths").alias("pa")), paths.select("source", F.col("node").alias("dst"), F.col("paths").alias("pb"))
-    shared = checkpointed(step.join(a, ["source", "src"]).join(b, ["source", "dst"]).select("source", "src", "dst", "k2", (F.col("pa") / F.col("pb")).alias("share")))
+    ends = size.select(F.col("node").alias("dst"), "size")
+    shared = checkpointed(step.join(a, ["source", "src"]).join(b, ["source", "dst"]).join(ends, "dst").select("source", "src", "dst", "k2", "size", (F.col("pa") / F.col("pb")).alias("share")))
     total, below = nodes.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dep")).limit(0), None
     for k in range(far, 0, -1):
         s = shared.where(F.col("k2") == k)
         s = s.withColumn("dep", F.lit(0.0)) if below is None else s.join(below.select("source", F.col("node").alias("dst"), "dep"), ["source", "dst"], "left").na.fill(0.0, ["dep"])
-        below = checkpointed(s.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("share") * (1 + F.col("dep"))).alias("dep")))
+        below = checkpointed(s.groupBy("source", F.col("src").alias("node")).agg(F.sum(F.col("share") * (F.col("size") + F.col("dep"))).alias("dep")))
         total = total.unionByName(below)
-    return total.where("source <> node").groupBy("node").agg((F.sum("dep") / 2).alias("b"))
+    return total.where("source <> node").join(size.withColumnRenamed("node", "source"), "source").groupBy("node").agg((F.sum(F.col("dep") * F.col("size")) / 2).alias("b"))
 
 
 #: A move must raise the gain by so much of the node's weight.

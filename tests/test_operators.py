@@ -278,6 +278,44 @@ def test_graph_measures(spark, monkeypatch):
     assert set(label) == set(near) and all(label[v] in dist[v] for v in near)
 
 
+def betweenness_of(near, dist, count):
+    """By all pairs of nodes."""
+    between = dict.fromkeys(near, 0.0)
+    for s, t in combinations(sorted(near), 2):
+        for v in dist[s] if t in dist[s] else ():
+            if v not in (s, t) and dist[s][v] + dist[v][t] == dist[s][t]:
+                between[v] += count[s][v] * count[v][t] / count[s][t]
+    return between
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_betweenness_with_trees_folded(spark, monkeypatch, held):
+    """Trees on trees, hanging on rings and by themselves, a pair of nodes, a doubled edge and a loop."""
+    rng = random.Random(2)
+    edges = [("v0", "v1", 1), ("v1", "v2", 1), ("v2", "v3", 1), ("v3", "v0", 1), ("v2", "v0", 1), ("v1", "v0", 1), ("v1", "v1", 1), ("p", "q", 1), ("w0", "w1", 1)]
+    edges += [(f"v{i}", f"v{rng.randrange(i)}", 1) for i in range(4, 30)] + [(f"w{i}", f"w{rng.randrange(i)}", 1) for i in range(2, 12)]
+    edges += [(f"u{i}", f"u{(i + 1) % 5}", 1) for i in range(5)] + [("u0", "u5", 1), ("u5", "u6", 1)]
+    near, dist, count = paths_between([x for x in edges if x[0] != x[1]])
+    monkeypatch.setattr(graph, "FEW_EDGES", 0)
+    if not held:
+        monkeypatch.setattr(graph, "HELD_EDGES", 0)
+    got = graph.betweenness(spark.createDataFrame(edges, "src string, dst string, weight long"), normalised=False)
+    assert {r.node: r.betweenness for r in got.collect()} == pytest.approx(betweenness_of(near, dist, count))
+
+
+def test_betweenness_of_a_tree_searches_from_no_node(spark, monkeypatch):
+    """60,000 leaves in 20 branches: each node searched for itself would be 3,600,000,000 steps."""
+    def searched(*_):
+        raise AssertionError("searched from a node")
+
+    monkeypatch.setattr(graph, "_dependencies_of", searched)
+    leaves, branches = 60_000, 20
+    edges = spark.range(leaves).select((F.col("id") + 100).alias("src"), (F.col("id") % branches + 1).alias("dst")).union(spark.range(branches).select(F.col("id") + 1, F.lit(0)))
+    got = {r.node: r.betweenness for r in graph.betweenness(edges, normalised=False).where("betweenness > 0").collect()}
+    own = leaves // branches
+    assert got == {0: (own + 1) ** 2 * branches * (branches - 1) / 2, **{b: own * (own - 1) / 2 + own * (leaves + branches - own) for b in range(1, branches + 1)}}
+
+
 def louvain(edges):
     """Modularity of a sequential Louvain's communities (edges: {(a, b): weight}, each once)."""
     def settle(near):
